@@ -125,13 +125,114 @@ VALIDATION_RATIO = 0.9
 # Number of events kept in a minimal history.
 HISTORY_TAIL_EVENTS = 256
 
-# Length buckets of the sequence-length report: upper bounds, then the rest.
-LENGTH_BUCKETS = [("<=10", 10), ("<=20", 20), ("<=100", 100), ("<=200", 200), ("<=800", 800)]
+# Length buckets of the sequence-length report: (label, inclusive upper bound), then the rest.
+LENGTH_BUCKETS = [("0-10", 10), ("10-20", 20), ("20-100", 100), ("100-200", 200), ("200-800", 800)]
 LENGTH_BUCKET_REST = ">800"
 
 # Number of calibration bins.
 ECE_BINS = 10
 
+# Top-token report: prefixes parsed as concept tokens (note UNIT_ is included).
+REPORT_CONCEPT_PREFIXES = [
+    "CONDITION_OCCURRENCE_",
+    "DRUG_EXPOSURE_",
+    "PROCEDURE_OCCURRENCE_",
+    "MEASUREMENT_",
+    "OBSERVATION_",
+    "UNIT_",
+]
+REPORT_TOP_K = 1000
+
+# Top-token report: readable labels for tokens without a concept name.
+LABEL_EVENT = {
+    "condition": "Medical Condition",
+    "drug": "Medication",
+    "procedure": "Medical Procedure",
+    "measurement": "Lab Test/Measurement",
+    "observation": "Clinical Observation",
+    "visit": "Healthcare Visit",
+    "death": "Death Event",
+}
+LABEL_AGE = {
+    "0": "Age: 0-1 years",
+    "1": "Age: 1-5 years",
+    "5": "Age: 5-10 years",
+    "10": "Age: 10-15 years",
+    "15": "Age: 15-20 years",
+    "20": "Age: 20-30 years",
+    "30": "Age: 30-40 years",
+    "40": "Age: 40-50 years",
+    "50": "Age: 50-60 years",
+    "60": "Age: 60-70 years",
+    "70": "Age: 70-80 years",
+    "80": "Age: 80+ years",
+}
+LABEL_TIME = {
+    "0": "Time: Same day",
+    "1": "Time: 1-6 months gap",
+    "2": "Time: 6-12 months gap",
+    "3": "Time: 1-2 years gap",
+    "4": "Time: 2-5 years gap",
+    "5": "Time: 5+ years gap",
+}
+LABEL_GENDER = {"0": "Unknown", "1": "Male", "2": "Female"}
+LABEL_RACE = {
+    "0": "Unknown",
+    "1": "White",
+    "2": "Black/African American",
+    "3": "Asian",
+    "4": "Hispanic/Latino",
+    "5": "Other",
+}
+LABEL_YEAR = {
+    "0": "Birth year: 2000+",
+    "1": "Birth year: 1990-1999",
+    "2": "Birth year: 1980-1989",
+    "3": "Birth year: 1970-1979",
+    "4": "Birth year: 1960-1969",
+    "5": "Birth year: 1950-1959",
+    "6": "Birth year: 1940-1949",
+    "7": "Birth year: 1930-1939",
+    "8": "Birth year: 1920-1929",
+    "9": "Birth year: 1910-1919",
+    "10": "Birth year: 1900-1909",
+}
+LABEL_VISIT = {
+    "0": "Unknown",
+    "1": "Inpatient",
+    "2": "Outpatient",
+    "3": "Emergency",
+    "4": "Urgent Care",
+    "5": "Primary Care",
+}
+LABEL_UNIT = {
+    "0": "Unknown unit",
+    "1": "mg/dL",
+    "2": "mmol/L",
+    "3": "mg/L",
+    "4": "ng/mL",
+    "5": "pg/mL",
+    "6": "U/L",
+    "7": "mEq/L",
+    "8": "mmHg",
+    "9": "bpm",
+    "10": "kg",
+    "11": "cm",
+    "12": "Fahrenheit",
+    "13": "Celsius",
+    "14": "inches",
+    "15": "pounds",
+    "16": "percent",
+    "17": "ratio",
+}
+LABEL_QUANTILE = {
+    0: "Quantile: Minimum (0th percentile)",
+    25: "Quantile: 25th percentile",
+    50: "Quantile: Median (50th percentile)",
+    75: "Quantile: 75th percentile",
+    100: "Quantile: Maximum (100th percentile)",
+}
+
 
 def time_label_minutes() -> dict[str, int]:
     """TIME_<label> -> minutes."""

@@ -191,3 +191,232 @@ FROM tokens GROUP BY person_id"""))
 def q_timeline_arrays(spark, sf_dir):
     a = build_for(spark, sf_dir, B2).arrays
     return a.select("person_id", "n_tokens", F.array_join(F.col("tokens").cast("array<string>"), ",").alias("tokens"))
+
+
+# --------------------------------------------------------------------------- M4: profiles and reports
+from ..operators import profile as P  # noqa: E402
+from ..operators import vocab as V  # noqa: E402
+from ..sources.bridge import concept_tables  # noqa: E402
+from .oracle_sql import label_case_sql  # noqa: E402
+
+LENS_SQL = "(SELECT person_id, CAST(count(*) AS INTEGER) AS n_tokens FROM tokens GROUP BY person_id)"
+
+
+@register("token_frequency", assemble(B2, "SELECT token_id, count(*) AS n FROM tokens GROUP BY token_id"))
+def q_token_frequency(spark, sf_dir):
+    return P.token_frequency(build_for(spark, sf_dir, B2).tokens)
+
+
+@register("dataset_profile", assemble(B2, f"""
+SELECT count(*) AS num_patients, CAST(sum(n_tokens) AS BIGINT) AS total_tokens,
+       round(avg(n_tokens), 6) AS avg_sequence_length, round(quantile_cont(n_tokens, 0.5), 6) AS median_sequence_length,
+       min(n_tokens) AS min_sequence_length, max(n_tokens) AS max_sequence_length,
+       round(stddev_pop(n_tokens), 6) AS std_sequence_length,
+       (SELECT count(DISTINCT token_id) FROM tokens) AS unique_tokens
+FROM {LENS_SQL}"""))
+def q_dataset_profile(spark, sf_dir):
+    d = P.dataset_profile(build_for(spark, sf_dir, B2).tokens)
+    return d.select(*[r6(c).alias(c) if c in ("avg_sequence_length", "median_sequence_length", "std_sequence_length")
+                      else F.col(c) for c in d.columns])
+
+
+@register("length_summary", assemble(B2, f"""
+SELECT count(*) AS patients, min(n_tokens) AS min_length, max(n_tokens) AS max_length,
+       round(avg(n_tokens), 6) AS mean_length, round(quantile_cont(n_tokens, 0.5), 6) AS median_length,
+       round(quantile_cont(n_tokens, 0.1), 6) AS p10, round(quantile_cont(n_tokens, 0.25), 6) AS p25,
+       round(quantile_cont(n_tokens, 0.75), 6) AS p75, round(quantile_cont(n_tokens, 0.9), 6) AS p90
+FROM {LENS_SQL}"""))
+def q_length_summary(spark, sf_dir):
+    d = P.length_summary(build_for(spark, sf_dir, B2).tokens)
+    return d.select(*[r6(c).alias(c) if c not in ("patients", "min_length", "max_length") else F.col(c)
+                      for c in d.columns])
+
+
+_BUCKET_CASE = ("CASE " + " ".join(f"WHEN n_tokens <= {ub} THEN '{lab}'" for lab, ub in K.LENGTH_BUCKETS)
+                + f" ELSE '{K.LENGTH_BUCKET_REST}' END")
+_BUCKET_VALUES = ", ".join(f"('{lab}', {i})" for i, lab in enumerate([b for b, _ in K.LENGTH_BUCKETS] + [K.LENGTH_BUCKET_REST]))
+
+
+@register("length_buckets", assemble(B2, f"""
+SELECT b.bucket, CAST(b.bucket_order AS INTEGER) AS bucket_order, CAST(coalesce(c.patients, 0) AS BIGINT) AS patients
+FROM (VALUES {_BUCKET_VALUES}) b(bucket, bucket_order)
+LEFT JOIN (SELECT {_BUCKET_CASE} AS bucket, count(*) AS patients FROM {LENS_SQL} GROUP BY 1) c ON b.bucket = c.bucket"""))
+def q_length_buckets(spark, sf_dir):
+    return P.length_buckets(build_for(spark, sf_dir, B2).tokens)
+
+
+@register("length_histogram", assemble(B2, f"""
+SELECT CAST(b.bin AS INTEGER) AS bin, round(m.lo + b.bin * (m.hi - m.lo) / 50.0, 6) AS bin_start,
+       round(m.lo + (b.bin + 1) * (m.hi - m.lo) / 50.0, 6) AS bin_end, CAST(coalesce(c.patients, 0) AS BIGINT) AS patients
+FROM (SELECT min(n_tokens) AS lo, max(n_tokens) AS hi FROM {LENS_SQL}) m
+CROSS JOIN range(0, 50) b(bin)
+LEFT JOIN (
+  SELECT CASE WHEN hi = lo THEN 0 ELSE least(CAST(floor((n_tokens - lo) * 50 / CAST(hi - lo AS DOUBLE)) AS BIGINT), 49) END AS bin,
+         count(*) AS patients
+  FROM {LENS_SQL} l, (SELECT min(n_tokens) AS lo, max(n_tokens) AS hi FROM {LENS_SQL}) mm GROUP BY 1
+) c ON b.bin = c.bin"""))
+def q_length_histogram(spark, sf_dir):
+    return P.length_histogram(build_for(spark, sf_dir, B2).tokens, bins=50)
+
+
+_CAT_CASE = "CASE " + " ".join(f"WHEN starts_with(token, '{c}') THEN '{c}'" for c in K.CATEGORIES) + f" ELSE '{K.OTHER_CATEGORY}' END"
+
+
+@register("vocab_by_category", assemble(B2, f"""
+SELECT {_CAT_CASE} AS category, v.token_id, v.token, coalesce(c.n, 0) AS count
+FROM vocab v LEFT JOIN (SELECT token_id, count(*) AS n FROM tokens GROUP BY token_id) c ON v.token_id = c.token_id"""))
+def q_vocab_by_category(spark, sf_dir):
+    b = build_for(spark, sf_dir, B2)
+    return P.vocab_report(b.vocab, b.tokens)
+
+
+@register("patient_top_tokens", assemble(B2, """
+SELECT r.person_id, CAST(r.timeline_length AS INTEGER) AS timeline_length, CAST(r.unique_tokens AS INTEGER) AS unique_tokens,
+       CAST(r.rnk AS INTEGER) AS rank, coalesce(v.token, 'UNKNOWN_' || CAST(r.token_id AS VARCHAR)) AS token, r.n
+FROM (
+  SELECT *, sum(n) OVER (PARTITION BY person_id) AS timeline_length, count(*) OVER (PARTITION BY person_id) AS unique_tokens,
+         row_number() OVER (PARTITION BY person_id ORDER BY n DESC, first_pos) AS rnk
+  FROM (SELECT person_id, token_id, count(*) AS n, min(pos) AS first_pos FROM tokens GROUP BY person_id, token_id)
+) r LEFT JOIN vocab v ON r.token_id = v.token_id WHERE r.rnk <= 10"""))
+def q_patient_top_tokens(spark, sf_dir):
+    b = build_for(spark, sf_dir, B2)
+    return P.patient_top_tokens(b.tokens, b.vocab, k=10).withColumn("rank", F.col("rank").cast("int"))
+
+
+@register("example_timelines", assemble(B2, f"""
+SELECT t.person_id, CAST(floor(t.pos / 8) AS INTEGER) AS line_no,
+       string_agg(coalesce(v.token, 'UNKNOWN_' || CAST(t.token_id AS VARCHAR)), ', ' ORDER BY t.pos) AS line
+FROM tokens t LEFT JOIN vocab v ON t.token_id = v.token_id
+WHERE t.pos < 400 AND t.person_id IN (
+  SELECT person_id FROM {LENS_SQL} l
+  WHERE (EXISTS (SELECT 1 FROM {LENS_SQL} x WHERE x.n_tokens > 100) AND n_tokens > 100)
+     OR NOT EXISTS (SELECT 1 FROM {LENS_SQL} x WHERE x.n_tokens > 100)
+  ORDER BY CASE WHEN EXISTS (SELECT 1 FROM {LENS_SQL} x WHERE x.n_tokens > 100) THEN 0 ELSE -n_tokens END, person_id
+  LIMIT 2)
+GROUP BY 1, 2"""))
+def q_example_timelines(spark, sf_dir):
+    b = build_for(spark, sf_dir, B2)
+    return P.example_timelines(b.tokens, b.vocab)
+
+
+def _concept_ctes() -> str:
+    return """
+concept_t AS (
+  SELECT CAST(p_partkey AS BIGINT) AS concept_id, p_name AS concept_name, p_type AS domain_id, p_brand AS vocabulary_id,
+         CAST(p_partkey AS VARCHAR) AS concept_code, CAST(p_size AS VARCHAR) AS concept_class_id,
+         CASE WHEN p_partkey % 10 = 0 THEN 'S' END AS standard_concept
+  FROM part
+),
+concept_rel AS (
+  SELECT CAST(p_partkey AS BIGINT) AS concept_id_1, CAST(p_partkey - p_partkey % 10 AS BIGINT) AS concept_id_2, 'Maps to' AS relationship_id
+  FROM part WHERE p_partkey % 10 BETWEEN 1 AND 8
+  UNION ALL
+  SELECT CAST(p_partkey AS BIGINT), CAST(p_partkey - p_partkey % 10 + 10 AS BIGINT), 'Maps to' FROM part WHERE p_partkey % 10 = 5
+  UNION ALL
+  SELECT CAST(p_partkey AS BIGINT), CAST(p_partkey - p_partkey % 10 AS BIGINT), 'Is a' FROM part WHERE p_partkey % 10 = 9
+)"""
+
+
+_REPORT_CODE = "CASE " + " ".join(
+    f"WHEN starts_with(token, '{p}') THEN TRY_CAST(CASE WHEN regexp_full_match(substr(split_part(token, '__TABLE_', 1), {len(p) + 1}), '-?[0-9]+') "
+    f"THEN substr(split_part(token, '__TABLE_', 1), {len(p) + 1}) END AS BIGINT)"
+    for p in K.REPORT_CONCEPT_PREFIXES) + " END"
+_REPORT_FILTER = " OR ".join(f"starts_with(token, '{p}')" for p in K.REPORT_CONCEPT_PREFIXES)
+
+
+def _top_report_sql(include_misc: bool) -> str:
+    where = "" if include_misc else f"WHERE {_REPORT_FILTER}"
+    return assemble(B2, f"""
+SELECT r.token, r.token_id, r.raw_count, round(r.raw_count / greatest(r.total, 1) * 100.0, 6) AS frequency_percent,
+       coalesce(c.concept_name, {label_case_sql('r.token')}) AS interpretation,
+       r.concept_code, c.concept_name, c.domain_id, c.vocabulary_id, c.concept_class_id
+FROM (
+  SELECT *, sum(raw_count) OVER () AS total, {_REPORT_CODE} AS concept_code FROM (
+    SELECT f.token_id, v.token, f.raw_count FROM (SELECT token_id, count(*) AS raw_count FROM tokens GROUP BY token_id) f
+    JOIN vocab v ON f.token_id = v.token_id) {where}
+) r LEFT JOIN concept_t c ON r.concept_code = c.concept_id
+ORDER BY r.raw_count DESC, r.token_id LIMIT {K.REPORT_TOP_K}""", extra=_concept_ctes())
+
+
+@register("top_token_report", _top_report_sql(False))
+def q_top_token_report(spark, sf_dir):
+    b = build_for(spark, sf_dir, B2)
+    concept, _ = concept_tables(spark, sf_dir)
+    return P.top_token_report(b.tokens, b.vocab, concept, include_misc=False)
+
+
+@register("top_token_report_all", _top_report_sql(True))
+def q_top_token_report_all(spark, sf_dir):
+    b = build_for(spark, sf_dir, B2)
+    concept, _ = concept_tables(spark, sf_dir)
+    return P.top_token_report(b.tokens, b.vocab, concept, include_misc=True)
+
+
+@register("standard_concepts", assemble(B2, """
+SELECT i.concept_id, coalesce(m.concept_id_2, i.concept_id) AS standard_id,
+       coalesce(s.concept_name, c.concept_name) AS concept_name, s.concept_name AS standard_concept_name,
+       c.domain_id, c.vocabulary_id, c.standard_concept
+FROM (SELECT DISTINCT cid AS concept_id FROM concept_counts WHERE et IN ('condition', 'medication', 'procedure')) i
+LEFT JOIN (SELECT DISTINCT concept_id_1, concept_id_2 FROM concept_rel WHERE relationship_id = 'Maps to') m ON i.concept_id = m.concept_id_1
+LEFT JOIN concept_t c ON i.concept_id = c.concept_id
+LEFT JOIN concept_t s ON coalesce(m.concept_id_2, i.concept_id) = s.concept_id""", extra=_concept_ctes()))
+def q_standard_concepts(spark, sf_dir):
+    b = build_for(spark, sf_dir, B2)
+    concept, rel = concept_tables(spark, sf_dir)
+    ids = b.concept_counts.where(F.col("et").isin("condition", "medication", "procedure")).select(
+        F.col("cid").alias("concept_id"))
+    return P.standard_concepts(ids, concept, rel)
+
+
+# Shrink/remap run on the clickstream bridge with a 150-token budget (FIXTURES).
+SHRINK_SIZE = 150
+
+
+def _shrunk(spark, sf_dir):
+    b = build_for(spark, sf_dir, B1)
+    counts = V.decode(P.token_frequency(b.tokens), b.vocab, unknown_prefix="UNKNOWN_").select("token", "n")
+    return b, V.shrink_vocabulary(b.vocab, counts, SHRINK_SIZE)
+
+
+_SHRINK_SQL = f"""
+sh_counts AS (SELECT v.token, coalesce(c.n, 0) AS n FROM vocab v LEFT JOIN (SELECT token_id, count(*) AS n FROM tokens GROUP BY token_id) c ON v.token_id = c.token_id),
+sh_class AS (
+  SELECT token, n,
+    CASE WHEN token IN ('<PAD>', '<UNK>', '<EOS>', '<SOS>') THEN 0
+         WHEN {' OR '.join(f"starts_with(token, '{p}')" for p in K.PRUNABLE_PREFIXES)} THEN 99
+         {' '.join(f"WHEN starts_with(token, '{p}') THEN {i + 1}" for i, p in enumerate(K.ALWAYS_KEEP_PREFIXES))}
+         ELSE {len(K.ALWAYS_KEEP_PREFIXES) + 1} END AS grp,
+    CASE token WHEN '<PAD>' THEN 1 WHEN '<UNK>' THEN 2 WHEN '<EOS>' THEN 3 WHEN '<SOS>' THEN 4 END AS sub
+  FROM sh_counts
+),
+sh_kept AS (
+  SELECT token, grp, sub, n FROM sh_class WHERE grp < 99
+  UNION ALL
+  SELECT token, grp, sub, n FROM (
+    SELECT *, row_number() OVER (ORDER BY n DESC, token) AS rn FROM sh_class WHERE grp = 99)
+  WHERE rn <= {SHRINK_SIZE} - (SELECT count(*) FROM sh_class WHERE grp < 99)
+),
+shrunk AS (
+  SELECT token, CAST(row_number() OVER (ORDER BY grp, sub NULLS LAST, CASE WHEN grp = 99 THEN -n END NULLS FIRST, token) - 1 AS INTEGER) AS token_id
+  FROM sh_kept
+)"""
+
+
+@register("vocab_shrunk", assemble(B1, "SELECT token, token_id FROM shrunk", extra=_SHRINK_SQL))
+def q_vocab_shrunk(spark, sf_dir):
+    _, s = _shrunk(spark, sf_dir)
+    return s
+
+
+@register("remapped_stats", assemble(B1, """
+SELECT count(*) FILTER (WHERE new_id = 1 AND token_id <> 1) AS replaced, count(*) AS total,
+       round(100.0 * count(*) FILTER (WHERE new_id = 1 AND token_id <> 1) / count(*), 6) AS pct_replaced
+FROM (SELECT t.token_id, coalesce(s.token_id, 1) AS new_id
+      FROM tokens t LEFT JOIN vocab v ON t.token_id = v.token_id LEFT JOIN shrunk s ON v.token = s.token)""",
+                                       extra=_SHRINK_SQL))
+def q_remapped_stats(spark, sf_dir):
+    b, s = _shrunk(spark, sf_dir)
+    from ..operators.datasets import remap_tokens
+
+    _, stats_df = remap_tokens(b.tokens, b.vocab, s)
+    return stats_df

@@ -271,3 +271,34 @@ def assemble(bridge: str, final: str, extra: str = "", as_of_year: int = 2025,
     if not chosen:
         return final.strip()
     return "WITH " + ",\n".join(chosen) + "\n" + final.strip()
+
+
+def _lookup_case(mapping: dict, key: str, quote: bool = True) -> str:
+    q = (lambda k: f"'{k}'") if quote else str
+    return "CASE " + " ".join(f"WHEN {key} = {q(k)} THEN '{v}'" for k, v in mapping.items()) + " END"
+
+
+def label_case_sql(t: str) -> str:
+    """F11 fallback label of token column ``t``."""
+    def rest(p: str) -> str:
+        return f"substr({t}, {len(p) + 1})"
+
+    ev = f"lower({rest('EVENT_')})"
+    qn = f"substr({t}, 2)"
+    specials = ", ".join(f"'{s}'" for s in K.SPECIAL_TOKENS)
+    return (
+        f"CASE WHEN {t} IN ({specials}) THEN {t} "
+        f"WHEN starts_with({t}, 'EVENT_') THEN coalesce({_lookup_case(K.LABEL_EVENT, ev)}, "
+        f"'Medical Event: ' || upper(substr({ev}, 1, 1)) || substr({ev}, 2)) "
+        f"WHEN starts_with({t}, 'AGE_') THEN coalesce({_lookup_case(K.LABEL_AGE, rest('AGE_'))}, 'Age interval: ' || {rest('AGE_')} || ' years') "
+        f"WHEN starts_with({t}, 'TIME_') THEN coalesce({_lookup_case(K.LABEL_TIME, rest('TIME_'))}, 'Time gap: ' || {rest('TIME_')} || ' intervals') "
+        f"WHEN starts_with({t}, 'GENDER_') THEN 'Gender: ' || coalesce({_lookup_case(K.LABEL_GENDER, rest('GENDER_'))}, {rest('GENDER_')}) "
+        f"WHEN starts_with({t}, 'RACE_') THEN 'Race: ' || coalesce({_lookup_case(K.LABEL_RACE, rest('RACE_'))}, {rest('RACE_')}) "
+        f"WHEN starts_with({t}, 'YEAR_') THEN coalesce({_lookup_case(K.LABEL_YEAR, rest('YEAR_'))}, 'Birth year interval: ' || {rest('YEAR_')}) "
+        f"WHEN starts_with({t}, 'VISIT_TYPE_') THEN 'Visit type: ' || coalesce({_lookup_case(K.LABEL_VISIT, rest('VISIT_TYPE_'))}, {rest('VISIT_TYPE_')}) "
+        f"WHEN starts_with({t}, 'UNIT_') THEN 'Unit: ' || coalesce({_lookup_case(K.LABEL_UNIT, rest('UNIT_'))}, 'Unit ID ' || {rest('UNIT_')}) "
+        f"WHEN starts_with({t}, 'Q') AND regexp_full_match({qn}, '[0-9]+') THEN coalesce("
+        f"{_lookup_case(K.LABEL_QUANTILE, f'CAST({qn} AS INTEGER)', quote=False)}, "
+        f"'Quantile: ' || CAST(CAST({qn} AS INTEGER) AS VARCHAR) || 'th percentile') "
+        f"ELSE 'Token: ' || {t} END"
+    )
