@@ -420,3 +420,183 @@ def q_remapped_stats(spark, sf_dir):
 
     _, stats_df = remap_tokens(b.tokens, b.vocab, s)
     return stats_df
+
+
+# --------------------------------------------------------------------------- M5: datasets, transitions
+from ..operators import datasets as D  # noqa: E402
+from ..operators import transitions as R  # noqa: E402
+
+MAX_SEQ_LEN = 32
+BATCH_SIZE = 8
+
+
+def _ids_str(c):
+    return F.array_join(F.col(c).cast("array<string>"), ",")
+
+
+def _md5_sql(*parts: str) -> str:
+    return "md5(" + " || '|' || ".join(parts) + ")"
+
+
+def _md5_int_sql(*parts: str) -> str:
+    return f"CAST(('0x' || substr({_md5_sql(*parts)}, 1, 8)) AS BIGINT)"
+
+
+_DATASET_SQL = f"""
+arr AS (SELECT person_id, list(token_id ORDER BY pos) AS toks, CAST(count(*) AS INTEGER) AS n_tokens FROM tokens GROUP BY person_id),
+split80 AS (
+  SELECT person_id, CASE WHEN rn <= (SELECT round_even(0.8 * count(*), 0) FROM demo) THEN 'train' ELSE 'test' END AS split
+  FROM (SELECT person_id, row_number() OVER (ORDER BY {_md5_sql("'42'", "CAST(person_id AS VARCHAR)")}, person_id) AS rn
+        FROM (SELECT DISTINCT person_id FROM demo))
+),
+split90 AS (
+  SELECT person_id, CASE WHEN rn <= (SELECT floor(0.9 * count(*)) FROM arr) THEN 'train' ELSE 'val' END AS split
+  FROM (SELECT person_id, row_number() OVER (ORDER BY {_md5_sql("'42'", "'val'", "CAST(person_id AS VARCHAR)")}, person_id) AS rn
+        FROM arr)
+),
+examples AS (
+  SELECT person_id, n_tokens, CAST(start AS INTEGER) AS start,
+         list_slice(toks, start + 1, start + len - 1) AS input_ids, list_slice(toks, start + 2, start + len) AS target_ids
+  FROM (SELECT *, CASE WHEN n_tokens > {MAX_SEQ_LEN} THEN {_md5_int_sql("'42'", "CAST(person_id AS VARCHAR)", "'0'")} % (n_tokens - {MAX_SEQ_LEN}) ELSE 0 END AS start,
+               least(n_tokens, {MAX_SEQ_LEN}) AS len
+        FROM arr WHERE n_tokens > 10)
+),
+c_lens AS (SELECT person_id, count(*) AS n FROM tokens GROUP BY person_id),
+c_offs AS (SELECT person_id, n, coalesce(sum(n + 2) OVER (ORDER BY person_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM c_lens),
+corpus AS (
+  SELECT o.off + 1 + t.pos AS global_pos, t.token_id FROM tokens t JOIN c_offs o ON t.person_id = o.person_id
+  UNION ALL SELECT off, 3 FROM c_offs
+  UNION ALL SELECT off + n + 1, 2 FROM c_offs
+),
+pairs AS (
+  SELECT person_id, pos, token_id, lead(token_id) OVER (PARTITION BY person_id ORDER BY pos) AS target_id FROM tokens
+),
+bi AS (
+  SELECT token_id AS prev_id, target_id AS next_id, count(*) AS n,
+         count(*) / sum(count(*)) OVER (PARTITION BY token_id) AS prob
+  FROM pairs WHERE target_id IS NOT NULL GROUP BY 1, 2
+)"""
+
+
+def _ds(final: str) -> str:
+    return assemble(B1, final, extra=_DATASET_SQL)
+
+
+@register("person_split", assemble(B2, "SELECT person_id, split FROM split80", extra=_DATASET_SQL))
+def q_person_split(spark, sf_dir):
+    return D.person_split(build_for(spark, sf_dir, B2).demo, 0.8, 42)
+
+
+def _val_split(b):
+    return D.person_split(b.arrays, K.VALIDATION_RATIO, "42|val", rounding="floor", names=("train", "val"))
+
+
+@register("train_val_split", _ds("SELECT person_id, split FROM split90"))
+def q_train_val_split(spark, sf_dir):
+    return _val_split(build_for(spark, sf_dir, B1))
+
+
+@register("next_token_pairs", _ds("SELECT person_id, pos, token_id, target_id FROM pairs WHERE target_id IS NOT NULL"))
+def q_next_token_pairs(spark, sf_dir):
+    return D.next_token_pairs(build_for(spark, sf_dir, B1).tokens)
+
+
+@register("capped_slices", _ds("""
+SELECT person_id, n_tokens, start, array_to_string(input_ids, ',') AS input_ids, array_to_string(target_ids, ',') AS target_ids
+FROM examples"""))
+def q_capped_slices(spark, sf_dir):
+    b = build_for(spark, sf_dir, B1)
+    ex = D.next_token_examples(D.filter_min_length(b.arrays), MAX_SEQ_LEN, seed=42, epoch=0)
+    return ex.select("person_id", "n_tokens", "start", _ids_str("input_ids").alias("input_ids"),
+                     _ids_str("target_ids").alias("target_ids"))
+
+
+@register("corpus_chunks", _ds(f"""
+SELECT CAST(floor(global_pos / {MAX_SEQ_LEN}) AS BIGINT) AS chunk_id,
+       string_agg(CAST(token_id AS VARCHAR), ',' ORDER BY global_pos) AS tokens
+FROM corpus GROUP BY 1"""))
+def q_corpus_chunks(spark, sf_dir):
+    c = D.corpus_chunks(D.corpus_positions(build_for(spark, sf_dir, B1).tokens), MAX_SEQ_LEN)
+    return c.select("chunk_id", _ids_str("tokens").alias("tokens"))
+
+
+@register("sliding_windows", _ds(f"""
+SELECT CAST(s AS BIGINT) AS start, array_to_string(list_slice(a, s + 1, s + {MAX_SEQ_LEN - 1}), ',') AS input_ids,
+       array_to_string(list_slice(a, s + 2, s + {MAX_SEQ_LEN}), ',') AS target_ids
+FROM (SELECT a, unnest(range(0, len(a) - {MAX_SEQ_LEN})) AS s FROM (SELECT list(token_id ORDER BY global_pos) AS a FROM corpus))"""))
+def q_sliding_windows(spark, sf_dir):
+    w = D.sliding_windows(D.corpus_positions(build_for(spark, sf_dir, B1).tokens), MAX_SEQ_LEN)
+    return w.select("start", _ids_str("input_ids").alias("input_ids"), _ids_str("target_ids").alias("target_ids"))
+
+
+@register("padded_batches", _ds(f"""
+SELECT CAST(floor(rk / {BATCH_SIZE}) AS BIGINT) AS batch_id, CAST(rk % {BATCH_SIZE} AS INTEGER) AS slot, person_id,
+       CAST(len(input_ids) AS INTEGER) AS n_real,
+       array_to_string(list_concat(input_ids, list_transform(range(mx - len(input_ids)), lambda x: 0)), ',') AS input_ids,
+       array_to_string(list_concat(target_ids, list_transform(range(mx - len(target_ids)), lambda x: 0)), ',') AS target_ids
+FROM (
+  SELECT *, max(len(input_ids)) OVER (PARTITION BY floor(rk / {BATCH_SIZE})) AS mx FROM (
+    SELECT e.*, row_number() OVER (ORDER BY {_md5_sql("'42'", "CAST(e.person_id AS VARCHAR)", "CAST(e.start AS VARCHAR)")}, e.person_id) - 1 AS rk,
+           count(*) OVER () AS n_ex
+    FROM examples e JOIN split90 s ON e.person_id = s.person_id WHERE s.split = 'train')
+  WHERE rk < floor(n_ex / {BATCH_SIZE}) * {BATCH_SIZE})"""))
+def q_padded_batches(spark, sf_dir):
+    b = build_for(spark, sf_dir, B1)
+    train = _val_split(b).where(F.col("split") == "train").select("person_id")
+    ex = D.next_token_examples(D.filter_min_length(b.arrays).join(train, "person_id", "left_semi"),
+                               MAX_SEQ_LEN, seed=42, epoch=0)
+    out = D.batches(ex, BATCH_SIZE, seed=42, shuffle=True, drop_last=True)
+    return out.select("batch_id", "slot", "person_id", "n_real", _ids_str("input_ids").alias("input_ids"),
+                      _ids_str("target_ids").alias("target_ids"))
+
+
+@register("bigrams", _ds("SELECT prev_id, next_id, n, round(prob, 6) AS prob FROM bi"))
+def q_bigrams(spark, sf_dir):
+    bi = R.bigrams(build_for(spark, sf_dir, B1).tokens)
+    return bi.select("prev_id", "next_id", "n", r6("prob").alias("prob"))
+
+
+@register("top_k_p", _ds("""
+SELECT prev_id, next_id, CAST(rk AS INTEGER) AS rank, round(p_k / sum(p_k) OVER (PARTITION BY prev_id), 6) AS p_final FROM (
+  SELECT *, coalesce(sum(p_k) OVER (PARTITION BY prev_id ORDER BY prob DESC, next_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM (SELECT *, prob / sum(prob) OVER (PARTITION BY prev_id) AS p_k FROM (
+          SELECT *, row_number() OVER (PARTITION BY prev_id ORDER BY prob DESC, next_id) AS rk FROM bi) WHERE rk <= 5))
+WHERE rk = 1 OR before <= 0.9"""))
+def q_top_k_p(spark, sf_dir):
+    t = R.top_k_top_p(R.bigrams(build_for(spark, sf_dir, B1).tokens), k=5, p=0.9)
+    return t.select("prev_id", "next_id", F.col("rank").cast("int"), r6("p_final").alias("p_final"))
+
+
+@register("sequence_logprob", _ds("""
+SELECT p.person_id, round(sum(ln(b.prob)), 6) AS logprob, count(*) AS n_pairs
+FROM pairs p LEFT JOIN bi b ON p.token_id = b.prev_id AND p.target_id = b.next_id
+WHERE p.target_id IS NOT NULL GROUP BY p.person_id"""))
+def q_sequence_logprob(spark, sf_dir):
+    b = build_for(spark, sf_dir, B1)
+    s = R.sequence_logprob(b.tokens, R.bigrams(b.tokens))
+    return s.select("person_id", r6("logprob").alias("logprob"), "n_pairs")
+
+
+@register("greedy_next", _ds("""
+SELECT prev_id, next_id, round(prob, 6) AS prob FROM (
+  SELECT *, row_number() OVER (PARTITION BY prev_id ORDER BY prob DESC, next_id) AS rk FROM bi) WHERE rk = 1"""))
+def q_greedy_next(spark, sf_dir):
+    g = R.greedy_next(R.bigrams(build_for(spark, sf_dir, B1).tokens))
+    return g.select("prev_id", "next_id", r6("prob").alias("prob"))
+
+
+@register("val_cross_entropy", _ds("""
+SELECT count(*) AS n_pairs, round(avg(-ln((coalesce(c.n, 0) + 1.0) / (coalesce(np.n_prev, 0) + (SELECT count(*) FROM vocab)))), 6) AS cross_entropy
+FROM (SELECT p.token_id AS prev_id, p.target_id AS next_id FROM pairs p JOIN split90 s ON p.person_id = s.person_id
+      WHERE s.split = 'val' AND p.target_id IS NOT NULL AND p.target_id <> 0) e
+LEFT JOIN (SELECT p.token_id AS prev_id, p.target_id AS next_id, count(*) AS n FROM pairs p JOIN split90 s ON p.person_id = s.person_id
+           WHERE s.split = 'train' AND p.target_id IS NOT NULL GROUP BY 1, 2) c ON e.prev_id = c.prev_id AND e.next_id = c.next_id
+LEFT JOIN (SELECT p.token_id AS prev_id, count(*) AS n_prev FROM pairs p JOIN split90 s ON p.person_id = s.person_id
+           WHERE s.split = 'train' AND p.target_id IS NOT NULL GROUP BY 1) np ON e.prev_id = np.prev_id"""))
+def q_val_cross_entropy(spark, sf_dir):
+    b = build_for(spark, sf_dir, B1)
+    sp = _val_split(b)
+    train = b.tokens.join(sp.where(F.col("split") == "train").select("person_id"), "person_id", "left_semi")
+    val = b.tokens.join(sp.where(F.col("split") == "val").select("person_id"), "person_id", "left_semi")
+    ce = R.cross_entropy(val, train, vocab_size=b.vocab.count(), alpha=1.0)
+    return ce.select("n_pairs", r6("cross_entropy").alias("cross_entropy"))
