@@ -16,6 +16,7 @@ from .. import constants as K
 from ..functions import tokens as T
 from ..operators import events as E
 from ..operators import stats
+from .oracle_sql import CLINICAL_PREFIX_CASE as CLINICAL_PREFIX_CASE_SQL
 from .oracle_sql import assemble
 from .timelines import build_for
 
@@ -600,3 +601,305 @@ def q_val_cross_entropy(spark, sf_dir):
     val = b.tokens.join(sp.where(F.col("split") == "val").select("person_id"), "person_id", "left_semi")
     ce = R.cross_entropy(val, train, vocab_size=b.vocab.count(), alpha=1.0)
     return ce.select("n_pairs", r6("cross_entropy").alias("cross_entropy"))
+
+
+# --------------------------------------------------------------------------- M6: labels and evaluation
+from ..operators import evaluate as EV  # noqa: E402
+from ..operators import labels as L  # noqa: E402
+from .evaluation import EvalContext, eval_sql, metric_sql  # noqa: E402
+
+EVAL_CUT, EVAL_H, N_SIMS, N_TARGETS, PATIENT_LIMIT, READMIT_DAYS = "2000-01-01 00:00:00", 365, 10, 3, 100, 30
+_EVAL_CTX: dict = {}
+
+
+def _ctx(spark, sf_dir) -> EvalContext:
+    key = (id(spark), sf_dir)
+    if key not in _EVAL_CTX:
+        _EVAL_CTX[key] = EvalContext(build_for(spark, sf_dir, B2), EVAL_CUT, EVAL_H, N_SIMS, N_TARGETS,
+                                     PATIENT_LIMIT, READMIT_DAYS)
+    return _EVAL_CTX[key]
+
+
+_EVAL_EXTRA = eval_sql(EVAL_CUT, EVAL_H, N_SIMS, N_TARGETS, PATIENT_LIMIT, READMIT_DAYS)
+
+
+def _ev(final: str) -> str:
+    return assemble(B2, final, extra=_EVAL_EXTRA, tok_events="ev_future", tok_demo="demo_fut")
+
+
+_IDX_SQL = f"""
+idx_rows AS (SELECT *, row_number() OVER (w) - 1 AS rn, count(*) OVER (PARTITION BY person_id) AS n,
+                    min(ts) OVER (PARTITION BY person_id) AS first_ts, max(ts) OVER (PARTITION BY person_id) AS last_ts
+             FROM ev_known WINDOW w AS ({_ORDER_SQL})),
+idx_end AS (
+  SELECT person_id, CASE WHEN last_ts - INTERVAL {EVAL_H} DAY <= first_ts THEN ts ELSE last_ts - INTERVAL {EVAL_H} DAY END AS index_time
+  FROM idx_rows WHERE rn = n // 2
+),
+idx_random AS (
+  SELECT f.person_id, coalesce(p.ts, f.first_ts) AS index_time
+  FROM (SELECT DISTINCT person_id, first_ts FROM idx_rows) f
+  LEFT JOIN (SELECT person_id, ts FROM (
+      SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY md5('42|' || CAST(person_id AS VARCHAR) || '|' || CAST(rn AS VARCHAR)), rn) AS pr
+      FROM idx_rows WHERE ts + INTERVAL {EVAL_H} DAY <= last_ts) WHERE pr = 1) p ON f.person_id = p.person_id
+),
+ev_hist AS (SELECT e.* FROM ev_all e JOIN idx_end i ON e.person_id = i.person_id WHERE e.ts <= i.index_time),
+demo_idx AS (SELECT d.*, i.index_time FROM demo d JOIN idx_end i ON d.person_id = i.person_id)"""
+
+
+@register("index_time_end", assemble(B2, "SELECT person_id, index_time FROM idx_end", extra=_IDX_SQL))
+def q_index_time_end(spark, sf_dir):
+    return L.index_time_end_minus_horizon(build_for(spark, sf_dir, B2).known_events, EVAL_H)
+
+
+@register("index_time_random", assemble(B2, "SELECT person_id, index_time FROM idx_random", extra=_IDX_SQL))
+def q_index_time_random(spark, sf_dir):
+    return L.index_time_random(build_for(spark, sf_dir, B2).known_events, EVAL_H, seed=42)
+
+
+@register("index_time_first", assemble(B2, "SELECT person_id, min(ts) AS index_time FROM ev_known GROUP BY person_id"))
+def q_index_time_first(spark, sf_dir):
+    return L.index_time_first(build_for(spark, sf_dir, B2).known_events)
+
+
+@register("history_tokens", assemble(
+    B2, "SELECT person_id, pos, token, token_id FROM tokens", extra=_IDX_SQL, tok_events="ev_hist", tok_demo="demo_idx",
+    age_expr="CASE WHEN birth_year IS NULL THEN 50 ELSE greatest(0, year(index_time) - birth_year) END"))
+def q_history_tokens(spark, sf_dir):
+    b = build_for(spark, sf_dir, B2)
+    idx = L.index_time_end_minus_horizon(b.known_events, EVAL_H)
+    ev = L.events_until(b.events, idx)
+    demo = b.demo.join(idx, "person_id")
+    from ..functions.tokens import age_at_index
+
+    t = b.tokens_for(ev, age=age_at_index(F.col("index_time"), F.col("birth_year")), demo=demo)
+    return t.select("person_id", "pos", "token", "token_id")
+
+
+@register("history_tail", _ev(f"""
+SELECT person_id, CAST(row_number() OVER (PARTITION BY person_id ORDER BY from_end DESC) - 1 AS INTEGER) AS pos, token, token_id
+FROM (
+  SELECT h.person_id, h.from_end, v.token, v.token_id
+  FROM (SELECT *, {CLINICAL_PREFIX_CASE_SQL} || CAST(cid AS VARCHAR) AS name,
+               row_number() OVER (PARTITION BY person_id ORDER BY ts DESC NULLS LAST, table_rank DESC NULLS LAST, ev_id DESC NULLS LAST,
+                                  cid DESC NULLS LAST, value_as_number DESC NULLS LAST, unit_concept_id DESC NULLS LAST) AS from_end
+        FROM ev_cur WHERE person_id IN (SELECT person_id FROM overlap)) h
+  JOIN vocab v ON v.token = h.name WHERE h.from_end <= {K.HISTORY_TAIL_EVENTS})
+UNION ALL
+SELECT o.person_id, CAST(coalesce(c.n, 0) AS INTEGER), '<EOS>', 2
+FROM overlap o LEFT JOIN (
+  SELECT h.person_id, count(*) AS n
+  FROM (SELECT *, {CLINICAL_PREFIX_CASE_SQL} || CAST(cid AS VARCHAR) AS name,
+               row_number() OVER (PARTITION BY person_id ORDER BY ts DESC NULLS LAST, table_rank DESC NULLS LAST, ev_id DESC NULLS LAST,
+                                  cid DESC NULLS LAST, value_as_number DESC NULLS LAST, unit_concept_id DESC NULLS LAST) AS from_end
+        FROM ev_cur WHERE person_id IN (SELECT person_id FROM overlap)) h
+  JOIN vocab v ON v.token = h.name WHERE h.from_end <= {K.HISTORY_TAIL_EVENTS} GROUP BY 1) c ON o.person_id = c.person_id"""))
+def q_history_tail(spark, sf_dir):
+    c = _ctx(spark, sf_dir)
+    cur = c.current.join(c.overlap, "person_id", "left_semi")
+    idx = cur.groupBy("person_id").agg(F.max("ts").alias("index_time"))
+    return L.history_tail(cur, idx, c.b.vocab)
+
+
+@register("overlap_patients", _ev("SELECT person_id FROM overlap"))
+def q_overlap_patients(spark, sf_dir):
+    return _ctx(spark, sf_dir).overlap
+
+
+@register("target_ids", _ev("""
+SELECT DISTINCT token, token_id FROM vocab
+WHERE token IN (SELECT target FROM targets) OR regexp_matches(token, '^DRUG_EXPOSURE_1[0-9]$')"""))
+def q_target_ids(spark, sf_dir):
+    c = _ctx(spark, sf_dir)
+    return V.resolve_targets(c.b.vocab, c.targets, r"^DRUG_EXPOSURE_1[0-9]$")
+
+
+@register("target_variants", assemble(B2, f"""
+SELECT DISTINCT token, variant FROM (
+  SELECT token, unnest({__import__('chronotok.plans.evaluation', fromlist=['x'])._variants_sql('token')}) AS variant FROM vocab)
+WHERE variant IS NOT NULL"""))
+def q_target_variants(spark, sf_dir):
+    v = build_for(spark, sf_dir, B2).vocab
+    return v.select("token", F.explode(T.target_variants("token")).alias("variant"))
+
+
+@register("label_inclusive", _ev(f"""
+SELECT i.person_id, CAST(max(CASE WHEN f.ts >= i.index_time AND f.ts <= i.index_time + INTERVAL {EVAL_H} DAY
+                                 AND {CLINICAL_PREFIX_CASE_SQL.replace('CASE et', 'CASE f.et')} || CAST(f.cid AS VARCHAR) IN (SELECT target FROM targets)
+                            THEN 1 ELSE 0 END) AS INTEGER) AS label
+FROM idx_cur i LEFT JOIN ev_future f ON f.person_id = i.person_id GROUP BY i.person_id"""))
+def q_label_inclusive(spark, sf_dir):
+    c = _ctx(spark, sf_dir)
+    cur = c.current.join(c.overlap, "person_id", "left_semi")
+    idx = cur.groupBy("person_id").agg(F.max("ts").alias("index_time"))
+    return L.label_in_window(c.future, idx, EVAL_H, target_tokens=c.targets, include_start=True)
+
+
+@register("truth_events", _ev("SELECT person_id, ts, token FROM truth"))
+def q_truth_events(spark, sf_dir):
+    return _ctx(spark, sf_dir).truth
+
+
+@register("label_by_target", _ev("""
+SELECT o.person_id, t.target, CAST(CASE WHEN h.person_id IS NULL THEN 0 ELSE 1 END AS INTEGER) AS label
+FROM overlap o CROSS JOIN targets t
+LEFT JOIN (SELECT DISTINCT tr.person_id, tv.target FROM truth tr JOIN target_var tv ON tr.token = tv.variant) h
+  ON h.person_id = o.person_id AND h.target = t.target"""))
+def q_label_by_target(spark, sf_dir):
+    c = _ctx(spark, sf_dir)
+    tv = L.target_table(spark, c.targets)
+    hits = c.truth.join(F.broadcast(tv), c.truth["token"] == tv["variant"]).select("person_id", "target").distinct()
+    grid = c.overlap.withColumn("target", F.explode(F.array(*[F.lit(t) for t in c.targets])))
+    return grid.join(hits.withColumn("label", F.lit(1)), ["person_id", "target"], "left").select(
+        "person_id", "target", F.coalesce("label", F.lit(0)).cast("int").alias("label"))
+
+
+@register("label_from_sequence", _ev("SELECT person_id, target, label FROM seq_labels"))
+def q_label_from_sequence(spark, sf_dir):
+    return _ctx(spark, sf_dir).seq_labels
+
+
+@register("sim_events", _ev("SELECT person_id, sim_id, CAST(pos AS INTEGER) AS pos, token, CAST(minutes AS BIGINT) AS minutes FROM sim_ev"))
+def q_sim_events(spark, sf_dir):
+    s = _ctx(spark, sf_dir).sim_ev
+    return s.select("person_id", "sim_id", F.col("pos").cast("int"), "token", F.col("minutes").cast("bigint"))
+
+
+@register("sim_token_prob", _ev(f"SELECT person_id, token, round(count(DISTINCT sim_id) / {float(N_SIMS)}, 6) AS prob FROM sim_ev GROUP BY 1, 2"))
+def q_sim_token_prob(spark, sf_dir):
+    p = EV.sim_token_prob(_ctx(spark, sf_dir).sim_ev, N_SIMS)
+    return p.select("person_id", "token", r6("prob").alias("prob"))
+
+
+@register("sim_target_prob", _ev("SELECT person_id, target, round(prob, 6) AS prob FROM sim_tprob"))
+def q_sim_target_prob(spark, sf_dir):
+    p = _ctx(spark, sf_dir).sim_tprob
+    return p.select("person_id", "target", r6("prob").alias("prob"))
+
+
+_SET_SQL = """
+set_pp AS (
+  SELECT o.person_id, coalesce(c.tp, 0) AS tp, coalesce(c.fp, 0) AS fp, coalesce(c.fn, 0) AS fn
+  FROM overlap o LEFT JOIN (
+    SELECT person_id, sum(p * t) AS tp, sum(p * (1 - t)) AS fp, sum((1 - p) * t) AS fn FROM (
+      SELECT coalesce(a.person_id, b.person_id) AS person_id, CASE WHEN a.person_id IS NULL THEN 0 ELSE 1 END AS p,
+             CASE WHEN b.person_id IS NULL THEN 0 ELSE 1 END AS t
+      FROM (SELECT DISTINCT person_id, token FROM sim_ev WHERE person_id IN (SELECT person_id FROM overlap)) a
+      FULL OUTER JOIN (SELECT DISTINCT person_id, token FROM truth) b ON a.person_id = b.person_id AND a.token = b.token)
+    GROUP BY person_id) c ON o.person_id = c.person_id
+),
+set_m AS (
+  SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1,
+         CASE WHEN tp + fp + fn > 0 THEN tp / (tp + fp + fn) ELSE 0.0 END AS jaccard
+  FROM (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision,
+               CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall FROM set_pp)
+)"""
+
+
+def _set_metrics_df(spark, sf_dir):
+    c = _ctx(spark, sf_dir)
+    pred = c.sim_ev.join(c.overlap, "person_id", "left_semi")
+    return EV.set_metrics(pred, c.truth, c.overlap)
+
+
+@register("set_metrics", assemble(B2, """
+SELECT person_id, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, round(precision, 6) AS precision,
+       round(recall, 6) AS recall, round(f1, 6) AS f1, round(jaccard, 6) AS jaccard FROM set_m""",
+                                  extra=_EVAL_EXTRA + "," + _SET_SQL, tok_events="ev_future", tok_demo="demo_fut"))
+def q_set_metrics(spark, sf_dir):
+    m = _set_metrics_df(spark, sf_dir)
+    return m.select("person_id", "tp", "fp", "fn", *[r6(x).alias(x) for x in ("precision", "recall", "f1", "jaccard")])
+
+
+@register("micro_metrics", assemble(B2, """
+SELECT count(*) AS n_patients,
+       round(CASE WHEN sum(tp) + sum(fp) > 0 THEN sum(tp) / (sum(tp) + sum(fp)) ELSE 0.0 END, 6) AS precision_micro,
+       round(CASE WHEN sum(tp) + sum(fn) > 0 THEN sum(tp) / (sum(tp) + sum(fn)) ELSE 0.0 END, 6) AS recall_micro,
+       round(CASE WHEN sum(tp) > 0 THEN 2.0 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)) ELSE 0.0 END, 6) AS f1_micro,
+       round(coalesce(avg(jaccard), 0.0), 6) AS jaccard_mean FROM set_m""",
+                                    extra=_EVAL_EXTRA + "," + _SET_SQL, tok_events="ev_future", tok_demo="demo_fut"))
+def q_micro_metrics(spark, sf_dir):
+    m = EV.micro_metrics(_set_metrics_df(spark, sf_dir))
+    return m.select("n_patients", *[r6(x).alias(x) for x in ("precision_micro", "recall_micro", "f1_micro", "jaccard_mean")])
+
+
+@register("balanced_cohort", _ev("SELECT person_id FROM cohort"))
+def q_balanced_cohort(spark, sf_dir):
+    return _ctx(spark, sf_dir).cohort
+
+
+@register("prevalence", _ev("""
+SELECT target, CAST(sum(label) AS BIGINT) AS positives, count(*) AS total FROM seq_labels
+WHERE person_id IN (SELECT person_id FROM cohort) GROUP BY target"""))
+def q_prevalence(spark, sf_dir):
+    c = _ctx(spark, sf_dir)
+    return EV.prevalence(c.seq_labels.join(c.cohort, "person_id", "left_semi"))
+
+
+def _metric(name, fn, col):
+    @register(name, _ev(metric_sql("scored", name if name != "roc_points" else "roc")))
+    def q(spark, sf_dir):
+        df = fn(_ctx(spark, sf_dir).scored, ["target"])
+        return df.select("target", *[r6(c).alias(c) if c != "threshold" else F.col(c) for c in col])
+
+    return q
+
+
+_metric("auroc", EV.auroc, ["auroc"])
+_metric("auprc", EV.auprc, ["auprc"])
+_metric("brier", EV.brier, ["brier"])
+_metric("ece", EV.ece, ["ece"])
+_metric("roc_points", EV.roc_points, ["threshold", "fpr", "tpr", "auc"])
+
+
+@register("tte_metrics", _ev("""
+SELECT (SELECT count(*) FROM tte_scored) AS n_patients, a.auroc, p.auprc, b.brier, e.ece AS ece_10
+FROM (""" + metric_sql("tte_scored", "auroc") + """) a
+JOIN (""" + metric_sql("tte_scored", "auprc") + """) p ON a.target = p.target
+JOIN (""" + metric_sql("tte_scored", "brier") + """) b ON a.target = b.target
+JOIN (""" + metric_sql("tte_scored", "ece") + """) e ON a.target = e.target"""))
+def q_tte_metrics(spark, sf_dir):
+    c = _ctx(spark, sf_dir)
+    cur = c.current.join(c.overlap, "person_id", "left_semi")
+    idx = cur.groupBy("person_id").agg(F.max("ts").alias("index_time"))
+    lab = L.label_in_window(c.future, idx, EVAL_H, target_tokens=c.targets, include_start=True)
+    k = c.sim_ev.where(F.col("token").isin(c.targets)).groupBy("person_id").agg(F.countDistinct("sim_id").alias("_k"))
+    scored = lab.join(k, "person_id", "left").select(
+        F.lit("any").alias("target"), "person_id", "label",
+        (F.coalesce("_k", F.lit(0)) / F.lit(float(N_SIMS))).alias("score"))
+    n = scored.agg(F.count(F.lit(1)).alias("n_patients"), F.lit("any").alias("target"))
+    out = n.join(EV.auroc(scored, ["target"]), "target").join(EV.auprc(scored, ["target"]), "target").join(
+        EV.brier(scored, ["target"]), "target").join(EV.ece(scored, ["target"]), "target")
+    return out.select("n_patients", r6("auroc").alias("auroc"), r6("auprc").alias("auprc"), r6("brier").alias("brier"),
+                      r6("ece").alias("ece_10"))
+
+
+@register("mortality_prob", _ev("SELECT person_id, round(prob, 6) AS prob FROM mortality"))
+def q_mortality_prob(spark, sf_dir):
+    p = EV.first_of(_ctx(spark, sf_dir).sims, ["EVENT_DEATH"], [], None, N_SIMS)
+    return p.select("person_id", r6("prob").alias("prob"))
+
+
+@register("readmission_prob", _ev(f"""
+SELECT p.person_id, round(coalesce(k.k, 0) / {float(N_SIMS)}, 6) AS prob
+FROM (SELECT DISTINCT person_id FROM sims) p
+LEFT JOIN (SELECT person_id, count(*) AS k FROM first_hits WHERE readmit = 1 GROUP BY 1) k ON p.person_id = k.person_id"""))
+def q_readmission_prob(spark, sf_dir):
+    p = EV.first_of(_ctx(spark, sf_dir).sims, ["EVENT_ADMISSION"], ["EVENT_DEATH"], READMIT_DAYS * 1440.0, N_SIMS)
+    return p.select("person_id", r6("prob").alias("prob"))
+
+
+@register("length_of_stay", _ev("""
+SELECT person_id, round(avg(m / 1440.0), 6) AS los_days, count(*) AS n_sims FROM (
+  SELECT person_id, sim_id, arg_min(token, pos) AS first_tok, arg_min(cum_minutes, pos) AS m
+  FROM sim_seq WHERE eos_before = 0 AND token IN ('EVENT_DISCHARGE', 'EVENT_DEATH') GROUP BY 1, 2)
+WHERE first_tok = 'EVENT_DISCHARGE' GROUP BY person_id"""))
+def q_length_of_stay(spark, sf_dir):
+    p = EV.length_of_stay(_ctx(spark, sf_dir).sims)
+    return p.select("person_id", r6("los_days").alias("los_days"), "n_sims")
+
+
+@register("cohort_summary", _ev("SELECT count(*) AS n_patients, round(avg(prob), 6) AS mean, round(stddev_pop(prob), 6) AS std FROM mortality"))
+def q_cohort_summary(spark, sf_dir):
+    p = EV.first_of(_ctx(spark, sf_dir).sims, ["EVENT_DEATH"], [], None, N_SIMS)
+    s = EV.cohort_summary(p)
+    return s.select("n_patients", r6("mean").alias("mean"), r6("std").alias("std"))

@@ -187,16 +187,16 @@ tok_rows AS (
          CAST(NULL AS BIGINT) AS ev_id, CAST(NULL AS BIGINT) AS cid, CAST(NULL AS DOUBLE) AS value_as_number,
          CAST(NULL AS BIGINT) AS unit_concept_id, CAST(NULL AS VARCHAR) AS et, CAST(NULL AS BIGINT) AS visit_type,
          CAST(NULL AS DOUBLE[]) AS cuts,
-         ['AGE_' || {_age_band("CASE WHEN birth_year IS NULL THEN 50 ELSE {as_of_year} - birth_year END")},
+         ['AGE_' || {_age_band("({age_expr})")},
           'GENDER_' || coalesce(CAST(gender_concept_id AS VARCHAR), 'None'),
           'RACE_' || coalesce(CAST(race_concept_id AS VARCHAR), 'None'),
           'YEAR_' || {_year_band('birth_year')}] AS static_toks
-  FROM demo
+  FROM {{tok_demo}}
   UNION ALL
   SELECT e.person_id, 1, e.ts, e.table_rank, e.ev_id, e.cid, e.value_as_number, e.unit_concept_id, e.et, e.visit_type,
          c.cuts, CAST(NULL AS VARCHAR[])
   FROM {{tok_events}} e LEFT JOIN cuts c ON e.cid = c.cid AND e.et = 'measurement'
-  WHERE e.person_id IN (SELECT person_id FROM demo)
+  WHERE e.person_id IN (SELECT person_id FROM {{tok_demo}})
 ),
 tok_w AS (
   SELECT *, lag(ts) OVER w AS prev_ts, (lead(kind) OVER w) IS NULL AS is_last,
@@ -251,26 +251,41 @@ def _split_ctes(text: str) -> list[tuple[str, str]]:
     return out
 
 
+DEFAULT_AGE_SQL = "CASE WHEN birth_year IS NULL THEN 50 ELSE {as_of_year} - birth_year END"
+
+
 def assemble(bridge: str, final: str, extra: str = "", as_of_year: int = 2025,
-             tok_events: str = "ev_all") -> str:
-    """``WITH`` the CTEs ``final`` needs (transitively), in definition order."""
+             tok_events: str = "ev_all", tok_demo: str = "demo", age_expr: str = DEFAULT_AGE_SQL) -> str:
+    """``WITH`` the CTEs ``final`` needs (transitively), in definition order.
+
+    ``tok_events`` / ``tok_demo`` / ``age_expr`` choose the events, persons and
+    static age of the ``tokens`` CTE (the vocabulary always uses every event).
+    """
     text = BRIDGE_CTES[bridge] + ("," + extra if extra else "")
-    text = text.replace("{as_of_year}", str(as_of_year)).replace("{tok_events}", tok_events)
+    text = (text.replace("{age_expr}", age_expr).replace("{as_of_year}", str(as_of_year))
+            .replace("{tok_events}", tok_events).replace("{tok_demo}", tok_demo))
     ctes = _split_ctes(text)
     names = [n for n, _ in ctes]
     bodies = dict(ctes)
-    need: set[str] = set()
-    frontier = [final]
-    while frontier:
-        s = frontier.pop()
-        for n in names:
-            if n not in need and re.search(rf"\b{n}\b", s):
-                need.add(n)
-                frontier.append(bodies[n].split(" AS (", 1)[1])
-    chosen = [bodies[n] for n in names if n in need]
-    if not chosen:
+    deps = {n: [m for m in names if m != n and re.search(rf"\b{m}\b", bodies[n].split(" AS (", 1)[1])]
+            for n in names}
+    order: list[str] = []
+    seen: set[str] = set()
+
+    def visit(n: str) -> None:
+        if n in seen:
+            return
+        seen.add(n)
+        for m in deps[n]:
+            visit(m)
+        order.append(n)
+
+    for n in names:
+        if re.search(rf"\b{n}\b", final):
+            visit(n)
+    if not order:
         return final.strip()
-    return "WITH " + ",\n".join(chosen) + "\n" + final.strip()
+    return "WITH " + ",\n".join(bodies[n] for n in order) + "\n" + final.strip()
 
 
 def _lookup_case(mapping: dict, key: str, quote: bool = True) -> str:

@@ -36,12 +36,23 @@ class TimelineBuild:
 
     @cached_property
     def events(self) -> DataFrame:
-        """Unified events (T6), before the person filter."""
-        return E.build_events(self.tables, self.include_visits, self.include_death)
+        """Unified events (T6), before the person filter.
+
+        Materialised once (K1: the partitioned event table), hash-partitioned on
+        ``person_id``: every later per-person window or join starts from this
+        table instead of re-deriving the union, and a checkpoint keeps the
+        partitioning so those operators need no further shuffle of events.
+        """
+        ev = E.build_events(self.tables, self.include_visits, self.include_death)
+        return cut_lineage(ev.repartition(self._parts(), "person_id"))
 
     @cached_property
     def demo(self) -> DataFrame:
-        return E.demographics(self.tables["person"])
+        d = E.demographics(self.tables["person"])
+        return cut_lineage(d.repartition(self._parts(), "person_id"))
+
+    def _parts(self) -> int:
+        return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
     @cached_property
     def known_events(self) -> DataFrame:
