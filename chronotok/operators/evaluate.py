@@ -173,11 +173,11 @@ def prevalence(labels: DataFrame) -> DataFrame:
 
 
 def first_of(sims: DataFrame, hit_tokens: list[str], stop_tokens: list[str], max_minutes: float | None,
-             num_samples: int) -> DataFrame:
+             num_samples: int, seq: DataFrame | None = None) -> DataFrame:
     """Per person, share of simulations whose first event among ``hit_tokens``,
     ``stop_tokens`` and the time limit (running minutes above ``max_minutes``) is a hit
-    (up to the first EOS)."""
-    s = sequence_minutes(sims, ["person_id", "sim_id"]).where(F.col("_eos_before") == 0)
+    (up to the first EOS). ``seq`` may pass a precomputed :func:`sequence_minutes`."""
+    s = (seq if seq is not None else sequence_minutes(sims, ["person_id", "sim_id"])).where(F.col("_eos_before") == 0)
     is_hit = F.col("token").isin(hit_tokens)
     is_stop = F.col("token").isin(stop_tokens) if stop_tokens else F.lit(False)
     over = (F.col("cum_minutes") > max_minutes) if max_minutes is not None else F.lit(False)
@@ -189,10 +189,10 @@ def first_of(sims: DataFrame, hit_tokens: list[str], stop_tokens: list[str], max
         "person_id", (F.coalesce("_k", F.lit(0)) / F.lit(float(num_samples))).alias("prob"))
 
 
-def length_of_stay(sims: DataFrame) -> DataFrame:
+def length_of_stay(sims: DataFrame, seq: DataFrame | None = None) -> DataFrame:
     """Per simulation, running minutes at the first discharge (days); simulations
     that die before discharging, or never discharge, are dropped; per person mean."""
-    s = sequence_minutes(sims, ["person_id", "sim_id"]).where(F.col("_eos_before") == 0)
+    s = (seq if seq is not None else sequence_minutes(sims, ["person_id", "sim_id"])).where(F.col("_eos_before") == 0)
     ev = s.where(F.col("token").isin("EVENT_DISCHARGE", "EVENT_DEATH")).groupBy("person_id", "sim_id").agg(
         F.min(F.struct("pos", "token", "cum_minutes")).alias("_f"))
     ok = ev.where(F.col("_f.token") == "EVENT_DISCHARGE").select(

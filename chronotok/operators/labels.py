@@ -138,11 +138,12 @@ def sequence_minutes(seq: DataFrame, keys: list[str]) -> DataFrame:
             .withColumn("_eos_before", F.coalesce(F.sum((F.col("token") == K.EOS).cast("int")).over(before), F.lit(0))))
 
 
-def sim_events(sims: DataFrame, horizon_days: int) -> DataFrame:
+def sim_events(sims: DataFrame, horizon_days: int, seq: DataFrame | None = None) -> DataFrame:
     """Clinical tokens of each simulation with the minutes elapsed, up to the
-    first EOS and while the running minutes stay below the horizon (``>=`` stops)."""
+    first EOS and while the running minutes stay below the horizon (``>=`` stops).
+    ``seq`` may pass a precomputed :func:`sequence_minutes` of ``sims``."""
     h = horizon_days * 24 * 60
-    s = sequence_minutes(sims, ["person_id", "sim_id"])
+    s = seq if seq is not None else sequence_minutes(sims, ["person_id", "sim_id"])
     clinical = None
     for p in SIM_EVENT_PREFIXES:
         clinical = F.col("token").startswith(p) if clinical is None else clinical | F.col("token").startswith(p)

@@ -875,7 +875,7 @@ def q_tte_metrics(spark, sf_dir):
 
 @register("mortality_prob", _ev("SELECT person_id, round(prob, 6) AS prob FROM mortality"))
 def q_mortality_prob(spark, sf_dir):
-    p = EV.first_of(_ctx(spark, sf_dir).sims, ["EVENT_DEATH"], [], None, N_SIMS)
+    p = EV.first_of(_ctx(spark, sf_dir).sims, ["EVENT_DEATH"], [], None, N_SIMS, seq=_ctx(spark, sf_dir).sim_seq)
     return p.select("person_id", r6("prob").alias("prob"))
 
 
@@ -884,7 +884,8 @@ SELECT p.person_id, round(coalesce(k.k, 0) / {float(N_SIMS)}, 6) AS prob
 FROM (SELECT DISTINCT person_id FROM sims) p
 LEFT JOIN (SELECT person_id, count(*) AS k FROM first_hits WHERE readmit = 1 GROUP BY 1) k ON p.person_id = k.person_id"""))
 def q_readmission_prob(spark, sf_dir):
-    p = EV.first_of(_ctx(spark, sf_dir).sims, ["EVENT_ADMISSION"], ["EVENT_DEATH"], READMIT_DAYS * 1440.0, N_SIMS)
+    p = EV.first_of(_ctx(spark, sf_dir).sims, ["EVENT_ADMISSION"], ["EVENT_DEATH"], READMIT_DAYS * 1440.0, N_SIMS,
+                    seq=_ctx(spark, sf_dir).sim_seq)
     return p.select("person_id", r6("prob").alias("prob"))
 
 
@@ -894,12 +895,12 @@ SELECT person_id, round(avg(m / 1440.0), 6) AS los_days, count(*) AS n_sims FROM
   FROM sim_seq WHERE eos_before = 0 AND token IN ('EVENT_DISCHARGE', 'EVENT_DEATH') GROUP BY 1, 2)
 WHERE first_tok = 'EVENT_DISCHARGE' GROUP BY person_id"""))
 def q_length_of_stay(spark, sf_dir):
-    p = EV.length_of_stay(_ctx(spark, sf_dir).sims)
+    p = EV.length_of_stay(_ctx(spark, sf_dir).sims, seq=_ctx(spark, sf_dir).sim_seq)
     return p.select("person_id", r6("los_days").alias("los_days"), "n_sims")
 
 
 @register("cohort_summary", _ev("SELECT count(*) AS n_patients, round(avg(prob), 6) AS mean, round(stddev_pop(prob), 6) AS std FROM mortality"))
 def q_cohort_summary(spark, sf_dir):
-    p = EV.first_of(_ctx(spark, sf_dir).sims, ["EVENT_DEATH"], [], None, N_SIMS)
+    p = EV.first_of(_ctx(spark, sf_dir).sims, ["EVENT_DEATH"], [], None, N_SIMS, seq=_ctx(spark, sf_dir).sim_seq)
     s = EV.cohort_summary(p)
     return s.select("n_patients", r6("mean").alias("mean"), r6("std").alias("std"))

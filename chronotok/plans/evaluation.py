@@ -79,17 +79,24 @@ class EvalContext:
                 .groupBy("token").count().orderBy(F.col("count").desc(), F.col("token")).limit(self.n_targets).collect())
         return [r["token"] for r in rows]
 
+    @cached_property
+    def sim_seq(self) -> DataFrame:
+        """Simulations up to the first EOS with running minutes (W4/W8), materialised once
+        because every simulation-based score reads it."""
+        s = L.sequence_minutes(self.sims, ["person_id", "sim_id"]).where(F.col("_eos_before") == 0)
+        return cut_lineage(s.select("person_id", "sim_id", "pos", "token", "cum_minutes", "_eos_before"))
+
     @cached_property
     def sim_ev(self) -> DataFrame:
-        return L.sim_events(self.sims, self.h)
+        return cut_lineage(L.sim_events(self.sims, self.h, seq=self.sim_seq))
 
     @cached_property
     def seq_labels(self) -> DataFrame:
-        return L.label_from_sequence(self.future_named, self.targets, self.h)
+        return cut_lineage(L.label_from_sequence(self.future_named, self.targets, self.h))
 
     @cached_property
     def sim_tprob(self) -> DataFrame:
-        return EV.sim_target_prob(self.sim_ev, self.sims, self.targets, self.n)
+        return cut_lineage(EV.sim_target_prob(self.sim_ev, self.sims, self.targets, self.n))
 
     @cached_property
     def truth(self) -> DataFrame:
@@ -98,7 +105,7 @@ class EvalContext:
 
     @cached_property
     def cohort(self) -> DataFrame:
-        return EV.balanced_cohort(self.seq_labels, self.targets, self.limit)
+        return cut_lineage(EV.balanced_cohort(self.seq_labels, self.targets, self.limit))
 
     @cached_property
     def scored(self) -> DataFrame:

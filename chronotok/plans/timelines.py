@@ -84,8 +84,9 @@ class TimelineBuild:
 
     @cached_property
     def tokens(self) -> DataFrame:
-        """Long token table of every person."""
-        return self.tokens_for(self.events)
+        """Long token table of every person (Z1-Z4), materialised once (K2: the saved
+        sequences) and kept hash-partitioned on ``person_id``."""
+        return cut_lineage(self.tokens_for(self.events))
 
     @cached_property
     def arrays(self) -> DataFrame:
