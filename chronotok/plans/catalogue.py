@@ -904,3 +904,76 @@ def q_cohort_summary(spark, sf_dir):
     p = EV.first_of(_ctx(spark, sf_dir).sims, ["EVENT_DEATH"], [], None, N_SIMS, seq=_ctx(spark, sf_dir).sim_seq)
     s = EV.cohort_summary(p)
     return s.select("n_patients", r6("mean").alias("mean"), r6("std").alias("std"))
+
+
+# --------------------------------------------------------------------------- M7: source repair
+from ..sources import repair as RP  # noqa: E402
+from ..sources.bridge import read_table  # noqa: E402
+
+_DIRTY_COLS = ["c_days", "c_secs", "c_millis", "c_iso", "c_mixed", "c_null"]
+
+
+def _dirty_dates(spark, sf_dir):
+    o = read_table(spark, sf_dir, "orders")
+    d = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint")
+    return o.select(
+        "o_orderkey",
+        d.cast("string").alias("c_days"),
+        (d * 86400).cast("string").alias("c_secs"),
+        (d * 86400000).cast("string").alias("c_millis"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("c_iso"),
+        F.when(F.col("o_orderkey") % 3 == 0, d.cast("string")).otherwise(F.lit("n/a")).alias("c_mixed"),
+        F.lit(None).cast("string").alias("c_null"),
+    )
+
+
+def _repair_sql() -> str:
+    def readings(c):
+        num = f"(CASE WHEN regexp_full_match({c}, '\\s*[-+]?[0-9]*\\.?[0-9]+([eE][-+]?[0-9]+)?\\s*') THEN TRY_CAST({c} AS DOUBLE) END)"
+        out = {}
+        for unit, ns, us in (("days", 86400e9, 86400e6), ("seconds", 1e9, 1e6), ("millis", 1e6, 1e3)):
+            out[unit] = f"(CASE WHEN abs({num} * {ns}) < 9.223372036854775e18 THEN make_timestamp(CAST({num} * {us} AS BIGINT)) END)"
+        out["string"] = f"(CASE WHEN {num} IS NULL THEN TRY_CAST({c} AS TIMESTAMP) END)"
+        return out
+
+    sel = []
+    for c in _DIRTY_COLS:
+        r = readings(c)
+        whens = " ".join(f"WHEN (SELECT count({r[k]}) FROM dirty) > 0 THEN {r[k]}" for k in RP.STRATEGIES)
+        sel.append(f"CASE {whens} ELSE NULL END AS {c}" if c != "c_null" else f"{c}")
+    return f"""
+WITH dirty AS (
+  SELECT o_orderkey, CAST(d AS VARCHAR) AS c_days, CAST(d * 86400 AS VARCHAR) AS c_secs, CAST(d * 86400000 AS VARCHAR) AS c_millis,
+         strftime(o_orderdate, '%Y-%m-%d') AS c_iso, CASE WHEN o_orderkey % 3 = 0 THEN CAST(d AS VARCHAR) ELSE 'n/a' END AS c_mixed,
+         CAST(NULL AS VARCHAR) AS c_null
+  FROM (SELECT *, CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS d FROM orders)
+)
+SELECT o_orderkey, {', '.join(sel)} FROM dirty"""
+
+
+@register("date_repair", _repair_sql())
+def q_date_repair(spark, sf_dir):
+    return RP.repair_dates(_dirty_dates(spark, sf_dir), _DIRTY_COLS)
+
+
+@register("type_coercion", """
+SELECT TRY_CAST(CAST(l_orderkey * 10 + l_linenumber AS VARCHAR) AS DOUBLE) AS measurement_id,
+       TRY_CAST(CAST(l_orderkey AS VARCHAR) AS DOUBLE) AS person_id,
+       TRY_CAST(strftime(l_shipdate, '%Y-%m-%d') AS TIMESTAMP) AS measurement_date,
+       TRY_CAST(CASE WHEN l_linenumber = 7 THEN 'x' ELSE CAST(l_extendedprice AS VARCHAR) END AS DOUBLE) AS value_as_number,
+       'SRC-' || CAST(l_partkey AS VARCHAR) AS measurement_source_value,
+       TRY_CAST(CAST(l_suppkey AS VARCHAR) AS DOUBLE) AS unit_concept_id,
+       l_returnflag AS range_flag
+FROM lineitem""")
+def q_type_coercion(spark, sf_dir):
+    li = read_table(spark, sf_dir, "lineitem")
+    raw = li.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string").alias("measurement_id"),
+        F.col("l_orderkey").cast("string").alias("person_id"),
+        F.date_format("l_shipdate", "yyyy-MM-dd").alias("measurement_date"),
+        F.when(F.col("l_linenumber") == 7, F.lit("x")).otherwise(F.col("l_extendedprice").cast("string")).alias("value_as_number"),
+        F.concat(F.lit("SRC-"), F.col("l_partkey").cast("string")).alias("measurement_source_value"),
+        F.col("l_suppkey").cast("string").alias("unit_concept_id"),
+        F.col("l_returnflag").alias("range_flag"),
+    )
+    return RP.coerce_types(raw, "measurement")
