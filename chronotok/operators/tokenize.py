@@ -29,8 +29,12 @@ from ..functions.tokens import (
     year_band,
 )
 from .events import EVENT_ORDER
+from .ranking import exclusive_running_sum
 from .vocab import bounded_broadcast, encode
 
+# Rows one task may hold for one person before the skew-safe plan is used.
+HOT_PERSON_ROWS = 5_000_000
+
 ROW_ORDER = ["_kind", *EVENT_ORDER]
 
 
@@ -68,6 +72,8 @@ def timeline_tokens(
     as_of_year: int = 2025,
     age: Column | None = None,
     require_events: bool = False,
+    skew_safe: bool | None = False,
+    hot_rows: int = HOT_PERSON_ROWS,
 ) -> DataFrame:
     """Long-form token table for every person of ``demo``.
 
@@ -77,6 +83,11 @@ def timeline_tokens(
     it may refer to columns of ``demo``). ``require_events=True`` drops persons
     without events.
     """
+    if skew_safe is None:  # decide from the largest person (one distributed count)
+        top = events.groupBy("person_id").count().agg(F.max("count")).first()[0] or 0
+        skew_safe = top > hot_rows
+    if skew_safe:
+        return timeline_tokens_skew_safe(events, demo, vocab, cuts, as_of_year, age, require_events)
     age_expr = age if age is not None else age_at(F.lit(as_of_year), F.col("birth_year"))
     static = demo.select(
         "person_id", F.lit(0).alias("_kind"), age_expr.alias("age"),
@@ -90,11 +101,12 @@ def timeline_tokens(
     )
     rows = static.unionByName(ev, allowMissingColumns=True)
 
-    by_person = Window.partitionBy("person_id")
-    w = by_person.orderBy(*ROW_ORDER)
+    w = Window.partitionBy("person_id").orderBy(*ROW_ORDER)
+    # whole-partition aggregates on the same ordered spec, so one sort serves all windows
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = (
-        rows.withColumn("_has_person", F.max((F.col("_kind") == 0).cast("int")).over(by_person))
-        .withColumn("_n_events", F.sum(F.col("_kind")).over(by_person))
+        rows.withColumn("_has_person", F.max((F.col("_kind") == 0).cast("int")).over(whole))
+        .withColumn("_n_events", F.sum(F.col("_kind")).over(whole))
         .withColumn("_prev_ts", F.lag("ts").over(w))
         .withColumn("_last", F.lead("_kind").over(w).isNull())
         .withColumn("ev_seq", (F.row_number().over(w) - 1).cast("int"))
@@ -126,6 +138,55 @@ def timeline_tokens(
     return encode(long, vocab)
 
 
+def timeline_tokens_skew_safe(
+    events: DataFrame,
+    demo: DataFrame,
+    vocab: DataFrame,
+    cuts: DataFrame,
+    as_of_year: int = 2025,
+    age: Column | None = None,
+    require_events: bool = False,
+) -> DataFrame:
+    """Same output as :func:`timeline_tokens` without any per-person window.
+
+    A person may hold a large share of all events, so nothing is computed over a
+    whole person in one task: the event number and the count per person come from
+    the range-partitioned running sum, the previous timestamp from a join on
+    ``(person_id, ev_seq)`` (hashed on both keys, so a hot person spreads out),
+    and the token offsets from a second running sum over the event token counts.
+    """
+    age_expr = age if age is not None else age_at(F.lit(as_of_year), F.col("birth_year"))
+    persons = demo.select("person_id", age_expr.alias("age"), "gender_concept_id", "race_concept_id", "birth_year")
+    c = bounded_broadcast(cuts.select(F.col("cid").alias("_cut_cid"), "cuts"))
+    ev = (events.join(demo.select("person_id"), "person_id", "left_semi")  # J1; AQE splits skewed partitions
+          .join(c, (F.col("cid") == F.col("_cut_cid")) & (F.col("et") == F.lit("measurement")), "left")
+          .select("person_id", *EVENT_ORDER, "et", "visit_type", "cuts")
+          .withColumn("_one", F.lit(1)))
+    # rows tied on every order key produce identical tokens, so any order among them is fine
+    seq = exclusive_running_sum(ev, ["person_id"], EVENT_ORDER, "_one", out="_k", total="_n").drop("_one")
+    prev = seq.select("person_id", (F.col("_k") + 1).alias("_k"), F.col("ts").alias("_prev_ts"))
+    seq = seq.join(prev, ["person_id", "_k"], "left")
+    toks = F.concat(gap_tokens(gap_minutes("_prev_ts", "ts")), _event_tokens())
+    toks = F.when(F.col("_k") == F.col("_n") - 1, F.concat(toks, F.array(F.lit(K.EOS)))).otherwise(toks)
+    seq = seq.withColumn("_toks", toks).withColumn("_size", F.size("_toks"))
+    seq = exclusive_running_sum(seq.select("person_id", "_k", "ts", "_toks", "_size"), ["person_id"], ["_k"], "_size",
+                                out="_off")
+    ev_long = seq.select(
+        "person_id", (F.col("_k") + 1).cast("int").alias("ev_seq"), "ts", (F.col("_off") + 4).alias("_off"),
+        F.posexplode("_toks").alias("_slot", "token"),
+    ).select("person_id", (F.col("_off") + F.col("_slot")).cast("int").alias("pos"), "token", "ts", "ev_seq")
+    has_events = events.select("person_id").distinct()
+    p = persons.join(has_events.withColumn("_has", F.lit(True)), "person_id", "left")
+    if require_events:
+        p = p.where(F.col("_has"))
+    static = _static_tokens()
+    static = F.when(F.col("_has").isNull(), F.concat(static, F.array(F.lit(K.EOS)))).otherwise(static)
+    st_long = p.select("person_id", F.posexplode(static).alias("pos", "token")).select(
+        "person_id", F.col("pos").cast("int"), "token", F.lit(None).cast("timestamp_ntz").alias("ts"),
+        F.lit(0).alias("ev_seq"))
+    return encode(st_long.unionByName(ev_long), vocab)
+
+
 def timeline_arrays(tokens: DataFrame) -> DataFrame:
     """A25 view: ``(person_id, tokens array<int>, n_tokens)`` ordered by position."""
     return tokens.groupBy("person_id").agg(

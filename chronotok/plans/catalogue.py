@@ -180,6 +180,16 @@ def q_timeline_tokens(spark, sf_dir):
     return build_for(spark, sf_dir, B2).tokens.select("person_id", "pos", "token", "token_id")
 
 
+@register("timeline_tokens_skew_safe", assemble(B2, "SELECT person_id, pos, token, token_id FROM tokens"))
+def q_timeline_tokens_skew_safe(spark, sf_dir):
+    """Z1-Z4 through the skew-safe plan (no per-person window); same result as timeline_tokens."""
+    b = build_for(spark, sf_dir, B2)
+    from ..operators.tokenize import timeline_tokens_skew_safe
+
+    t = timeline_tokens_skew_safe(b.events, b.demo, b.vocab, b.cuts, as_of_year=b.as_of_year)
+    return t.select("person_id", "pos", "token", "token_id")
+
+
 @register("timeline_tokens_clickstream", assemble(B1, "SELECT person_id, pos, token, token_id FROM tokens"))
 def q_timeline_tokens_clickstream(spark, sf_dir):
     return build_for(spark, sf_dir, B1).tokens.select("person_id", "pos", "token", "token_id")
@@ -977,3 +987,64 @@ def q_type_coercion(spark, sf_dir):
         F.col("l_returnflag").alias("range_flag"),
     )
     return RP.coerce_types(raw, "measurement")
+
+
+# --------------------------------------------------------------------------- more inventory rows
+@register("event_span", assemble(B2, "SELECT person_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n_events FROM ev_known GROUP BY person_id"))
+def q_event_span(spark, sf_dir):
+    """first/last event time and event count per person."""
+    return L.event_span(build_for(spark, sf_dir, B2).known_events)
+
+
+@register("first_patients", assemble(B2, "SELECT person_id, n_tokens FROM (SELECT person_id, CAST(count(*) AS INTEGER) AS n_tokens FROM tokens GROUP BY person_id) ORDER BY person_id LIMIT 100"))
+def q_first_patients(spark, sf_dir):
+    """The first N patients by id (a deterministic patient limit; the limit is the feature)."""
+    return P.lengths(build_for(spark, sf_dir, B2).tokens).orderBy("person_id").limit(100)
+
+
+@register("coverage_counts", assemble(B2, """
+SELECT 'vocabulary' AS item, count(*) AS n FROM vocab
+UNION ALL SELECT 'concept_tokens', count(*) FROM vocab WHERE token LIKE 'CONDITION_OCCURRENCE_%' OR token LIKE 'DRUG_EXPOSURE_%'
+  OR token LIKE 'PROCEDURE_OCCURRENCE_%' OR token LIKE 'MEASUREMENT_%' OR token LIKE 'OBSERVATION_%'
+UNION ALL SELECT 'concepts_with_name', count(*) FROM (SELECT DISTINCT cid FROM concept_counts WHERE et IN ('condition', 'medication', 'procedure')) c
+  WHERE c.cid IN (SELECT concept_id FROM concept_t)
+UNION ALL SELECT 'split_' || split, count(*) FROM split80 GROUP BY split
+UNION ALL SELECT 'decile_concepts', count(*) FROM cuts""", extra=_concept_ctes() + "," + _DATASET_SQL))
+def q_coverage_counts(spark, sf_dir):
+    """Artifact sizes, mapped concepts and split sizes."""
+    b = build_for(spark, sf_dir, B2)
+    concept, _ = concept_tables(spark, sf_dir)
+    concept_pref = None
+    for p in K.CONCEPT_PREFIX.values():
+        c = F.col("token").startswith(p)
+        concept_pref = c if concept_pref is None else concept_pref | c
+    ids = b.concept_counts.where(F.col("et").isin("condition", "medication", "procedure")).select(
+        F.col("cid").alias("concept_id")).distinct()
+    named = ids.join(concept.select("concept_id"), "concept_id", "left_semi")
+    sp = D.person_split(b.demo, 0.8, 42).groupBy(F.concat(F.lit("split_"), F.col("split")).alias("item")).agg(
+        F.count(F.lit(1)).alias("n"))
+    parts = [
+        b.vocab.agg(F.lit("vocabulary").alias("item"), F.count(F.lit(1)).alias("n")),
+        b.vocab.where(concept_pref).agg(F.lit("concept_tokens").alias("item"), F.count(F.lit(1)).alias("n")),
+        named.agg(F.lit("concepts_with_name").alias("item"), F.count(F.lit(1)).alias("n")),
+        sp,
+        b.cuts.agg(F.lit("decile_concepts").alias("item"), F.count(F.lit(1)).alias("n")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("inpatient_mortality_prob", _ev(f"""
+SELECT p.person_id, round(coalesce(k.k, 0) / {float(N_SIMS)}, 6) AS prob
+FROM (SELECT DISTINCT person_id FROM sims) p
+LEFT JOIN (SELECT person_id, count(*) AS k FROM (
+    SELECT person_id, sim_id, arg_min(token, pos) AS first_tok FROM sim_seq
+    WHERE eos_before = 0 AND token IN ('EVENT_DEATH', 'EVENT_DISCHARGE') GROUP BY 1, 2) WHERE first_tok = 'EVENT_DEATH' GROUP BY 1) k
+  ON p.person_id = k.person_id"""))
+def q_inpatient_mortality_prob(spark, sf_dir):
+    """Share of simulations where death comes before the first discharge."""
+    c = _ctx(spark, sf_dir)
+    p = EV.first_of(c.sims, ["EVENT_DEATH"], ["EVENT_DISCHARGE"], None, N_SIMS, seq=c.sim_seq)
+    return p.select("person_id", r6("prob").alias("prob"))

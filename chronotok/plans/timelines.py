@@ -38,18 +38,17 @@ class TimelineBuild:
     def events(self) -> DataFrame:
         """Unified events (T6), before the person filter.
 
-        Materialised once (K1: the partitioned event table), hash-partitioned on
-        ``person_id``: every later per-person window or join starts from this
-        table instead of re-deriving the union, and a checkpoint keeps the
-        partitioning so those operators need no further shuffle of events.
+        Materialised once (K1: the event table): every later plan starts from this
+        table instead of re-deriving the union of all event tables. The scan of a
+        checkpoint reports no partitioning, so it is written as produced (no
+        extra shuffle); the tokenizer's single person shuffle follows.
         """
         ev = E.build_events(self.tables, self.include_visits, self.include_death)
-        return cut_lineage(ev.repartition(self._parts(), "person_id"))
+        return cut_lineage(ev)
 
     @cached_property
     def demo(self) -> DataFrame:
-        d = E.demographics(self.tables["person"])
-        return cut_lineage(d.repartition(self._parts(), "person_id"))
+        return cut_lineage(E.demographics(self.tables["person"]))
 
     def _parts(self) -> int:
         return int(self.spark.conf.get("spark.sql.shuffle.partitions"))

@@ -87,3 +87,21 @@ def test_length_formula(spark):
     for pid in lens:
         assert lens[pid] == 4 + body.get(pid, 0) + n_gap.get(pid, 0) + 1
     assert set(n_ev) == {1, 2}
+
+
+def test_skew_safe_matches_fast_path_with_hot_person(spark):
+    from chronotok.operators.tokenize import timeline_tokens, timeline_tokens_skew_safe
+
+    t = tables(spark)
+    hot = spark.createDataFrame(
+        [(1000 + i, 1, dt.datetime(2020, 2, 1) + dt.timedelta(minutes=7 * i), 40 + i % 5, None) for i in range(3000)],
+        "condition_occurrence_id long, person_id long, condition_start_datetime timestamp_ntz, "
+        "condition_concept_id long, condition_source_concept_id long")
+    t["condition_occurrence"] = t["condition_occurrence"].unionByName(hot)
+    b = TimelineBuild(t, as_of_year=2025)
+    fast = timeline_tokens(b.events, b.demo, b.vocab, b.cuts, 2025)
+    safe = timeline_tokens_skew_safe(b.events, b.demo, b.vocab, b.cuts, 2025)
+    cols = ["person_id", "pos", "token", "token_id"]
+    a = sorted(tuple(r) for r in fast.select(*cols).collect())
+    c = sorted(tuple(r) for r in safe.select(*cols).collect())
+    assert a == c and len(a) > 6000
