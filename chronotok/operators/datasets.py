@@ -152,3 +152,8 @@ def batches(examples: DataFrame, batch_size: int, seed: int = K.SPLIT_SEED, shuf
 
     return b.select("batch_id", "slot", "person_id", F.size("input_ids").alias("n_real"),
                     pad("input_ids").alias("input_ids"), pad("target_ids").alias("target_ids"))
+
+
+def tail_tokens(arrays: DataFrame, n: int) -> DataFrame:
+    """The last ``n`` tokens of each sequence (the model's input window)."""
+    return arrays.withColumn("tokens", F.when(F.size("tokens") > n, F.slice("tokens", -n, n)).otherwise(F.col("tokens")))

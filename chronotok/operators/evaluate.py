@@ -207,3 +207,10 @@ def cohort_summary(pred: DataFrame, value_col: str = "prob") -> DataFrame:
 
 
 __all__ = ["sim_events"]
+
+
+def predictions_table(index: DataFrame, labels: DataFrame, probs: DataFrame, history_len: DataFrame) -> DataFrame:
+    """K7/F16: per-patient predictions with the index time as an ISO string."""
+    return (index.join(labels, "person_id").join(probs, "person_id").join(history_len, "person_id", "left")
+            .select("person_id", F.date_format("index_time", "yyyy-MM-dd'T'HH:mm:ss").alias("index_time"),
+                    "label", "prob", F.coalesce("history_len", F.lit(0)).cast("int").alias("history_len")))

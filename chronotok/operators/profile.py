@@ -263,3 +263,13 @@ __all__ = [
     "lengths", "patient_top_tokens", "standard_concepts", "token_frequency", "token_label",
     "top_token_report", "vocab_report", "parse_concept_token",
 ]
+
+
+def select_patient(tokens: DataFrame, person_id: int) -> DataFrame:
+    """One patient's tokens (an empty result means "not found")."""
+    return tokens.where(F.col("person_id") == F.lit(person_id))
+
+
+def first_patient_ids(tokens: DataFrame, n: int = 10) -> DataFrame:
+    """P19 helper: the first ``n`` patient ids, shown when a requested id is missing."""
+    return tokens.select("person_id").distinct().orderBy("person_id").limit(n)

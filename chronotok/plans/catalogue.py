@@ -1048,3 +1048,26 @@ def q_inpatient_mortality_prob(spark, sf_dir):
     c = _ctx(spark, sf_dir)
     p = EV.first_of(c.sims, ["EVENT_DEATH"], ["EVENT_DISCHARGE"], None, N_SIMS, seq=c.sim_seq)
     return p.select("person_id", r6("prob").alias("prob"))
+
+
+@register("tte_predictions", _ev(f"""
+SELECT i.person_id, strftime(i.index_time, '%Y-%m-%dT%H:%M:%S') AS index_time, s.label, round(s.score, 6) AS prob,
+       CAST(coalesce(h.n, 0) + 1 AS INTEGER) AS history_len
+FROM idx_cur i JOIN tte_scored s ON i.person_id = s.person_id
+LEFT JOIN (SELECT person_id, count(*) AS n FROM (
+    SELECT person_id, row_number() OVER (PARTITION BY person_id ORDER BY ts DESC NULLS LAST, table_rank DESC NULLS LAST,
+           ev_id DESC NULLS LAST, cid DESC NULLS LAST, value_as_number DESC NULLS LAST, unit_concept_id DESC NULLS LAST) AS from_end,
+           {CLINICAL_PREFIX_CASE_SQL} || CAST(cid AS VARCHAR) AS name
+    FROM ev_cur WHERE person_id IN (SELECT person_id FROM overlap))
+  WHERE from_end <= {K.HISTORY_TAIL_EVENTS} AND name IN (SELECT token FROM vocab) GROUP BY person_id) h ON i.person_id = h.person_id"""))
+def q_tte_predictions(spark, sf_dir):
+    """K7/F16: per-patient index time (ISO), label, probability and history length."""
+    c = _ctx(spark, sf_dir)
+    cur = c.current.join(c.overlap, "person_id", "left_semi")
+    idx = cur.groupBy("person_id").agg(F.max("ts").alias("index_time"))
+    lab = L.label_in_window(c.future, idx, EVAL_H, target_tokens=c.targets, include_start=True)
+    k = c.sim_ev.where(F.col("token").isin(c.targets)).groupBy("person_id").agg(F.countDistinct("sim_id").alias("_k"))
+    probs = c.overlap.join(k, "person_id", "left").select(
+        "person_id", F.round(F.coalesce("_k", F.lit(0)) / F.lit(float(N_SIMS)), 6).alias("prob"))
+    hl = L.history_tail(cur, idx, c.b.vocab).groupBy("person_id").agg(F.count(F.lit(1)).alias("history_len"))
+    return EV.predictions_table(idx, lab, probs, hl)

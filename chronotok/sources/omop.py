@@ -184,3 +184,13 @@ def read_omop_dir(spark: SparkSession, root: str, tables: list[str] | None = Non
             except Exception:  # noqa: BLE001 - a missing table is simply absent
                 continue
     return out
+
+
+SAFE_NAME_PARTS = ["id", "concept", "value", "count", "type"]
+
+
+def salvage_columns(df: DataFrame) -> DataFrame:
+    """Keep only the "safe" columns of a damaged table (name contains id, concept,
+    value, count or type); used together with ``ignoreCorruptFiles`` reads."""
+    keep = [c for c in df.columns if any(p in c.lower() for p in SAFE_NAME_PARTS)]
+    return df.select(*keep)

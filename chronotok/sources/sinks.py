@@ -83,3 +83,8 @@ def has_output(spark, path: str) -> bool:
         return spark.read.parquet(path).limit(1).count() > 0
     except Exception:  # noqa: BLE001 - absent or unreadable output means "rebuild"
         return False
+
+
+def load_processed(spark, path: str, name: str) -> DataFrame:
+    """Reload a saved artifact (sequences, vocabulary, decile cuts, splits)."""
+    return spark.read.parquet(os.path.join(path, name))
