@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from .datasets import hash_key
+from .datasets import hash_int, hash_key
 from .labels import sequence_minutes, sim_events, target_table
 
 
@@ -214,3 +214,57 @@ def predictions_table(index: DataFrame, labels: DataFrame, probs: DataFrame, his
     return (index.join(labels, "person_id").join(probs, "person_id").join(history_len, "person_id", "left")
             .select("person_id", F.date_format("index_time", "yyyy-MM-dd'T'HH:mm:ss").alias("index_time"),
                     "label", "prob", F.coalesce("history_len", F.lit(0)).cast("int").alias("history_len")))
+
+
+def poisson_cdf(n_terms: int = 12) -> list[float]:
+    """CDF of Poisson(1) at 0..n_terms-1 (the bootstrap weight distribution)."""
+    import math
+
+    out, acc, term = [], 0.0, math.exp(-1.0)
+    for k in range(n_terms):
+        acc += term
+        out.append(acc)
+        term /= (k + 1)
+    return out
+
+
+def bootstrap_auroc(scored: DataFrame, keys: list[str], n_boot: int = 20, seed: int = K.SPLIT_SEED,
+                    level: float = 0.95) -> DataFrame:
+    """O3: Poisson-bootstrap confidence interval of the AUROC per key.
+
+    Each (replicate, person) gets a Poisson(1) weight from md5(seed|b|person), so
+    replicates are reproducible without a driver RNG. Rows are pre-aggregated to
+    weighted (key, replicate, score) -> (pos, neg) before the rank sums.
+    """
+    cdf = F.array(*[F.lit(c) for c in poisson_cdf()])
+    b = scored.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+    u = hash_int(seed, "b", "person_id") / F.lit(4294967296.0)
+    b = b.withColumn("w", F.size(F.filter(cdf, lambda c: c < u)))
+    g = b.groupBy(*keys, "b", "score").agg(F.sum(F.col("w") * F.col("label")).alias("pos"),
+                                           F.sum(F.col("w") * (1 - F.col("label"))).alias("neg"))
+    asc = Window.partitionBy(*keys, "b").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    g = g.withColumn("neg_below", F.coalesce(F.sum("neg").over(asc), F.lit(0)))
+    per = g.groupBy(*keys, "b").agg(
+        F.sum(F.col("pos") * (F.col("neg_below") + 0.5 * F.col("neg"))).alias("_num"),
+        F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    per = per.select(*keys, "b", F.when((F.col("P") > 0) & (F.col("N") > 0), F.col("_num") / (F.col("P") * F.col("N"))).alias("a"))
+    lo, hi = (1 - level) / 2, 1 - (1 - level) / 2
+    ci = per.groupBy(*keys).agg(F.percentile("a", F.lit(lo)).alias("ci_low"), F.percentile("a", F.lit(hi)).alias("ci_high"),
+                                F.count("a").alias("n_boot"))
+    return auroc(scored, keys).join(ci, keys, "left")
+
+
+def top_k_accuracy(ranked_pred: DataFrame, truth: DataFrame, ks: tuple[int, ...] = (1, 2, 3, 5)) -> DataFrame:
+    """Share of persons whose true token is among their top-k predicted tokens.
+
+    ``ranked_pred`` is ``(person_id, token, rank)`` (1 = best); ``truth`` is
+    ``(person_id, token)`` with one true token per person."""
+    j = truth.join(ranked_pred, ["person_id", "token"], "left")
+    return j.agg(F.count(F.lit(1)).alias("n_patients"),
+                 *[F.avg(F.coalesce((F.col("rank") <= k).cast("int"), F.lit(0))).alias(f"top{k}") for k in ks])
+
+
+def mean_absolute_error(pred: DataFrame, truth: DataFrame, value: str) -> DataFrame:
+    """Mean |prediction - truth| over persons present in both tables."""
+    j = pred.select("person_id", F.col(value).alias("_p")).join(truth.select("person_id", F.col(value).alias("_t")), "person_id")
+    return j.agg(F.count(F.lit(1)).alias("n_patients"), F.avg(F.abs(F.col("_p") - F.col("_t"))).alias("mae"))

@@ -1071,3 +1071,57 @@ def q_tte_predictions(spark, sf_dir):
         "person_id", F.round(F.coalesce("_k", F.lit(0)) / F.lit(float(N_SIMS)), 6).alias("prob"))
     hl = L.history_tail(cur, idx, c.b.vocab).groupBy("person_id").agg(F.count(F.lit(1)).alias("history_len"))
     return EV.predictions_table(idx, lab, probs, hl)
+
+
+# --------------------------------------------------------------------------- optional paper rows
+N_BOOT = 20
+
+
+def _boot_sql(src: str) -> str:
+    cdf = "[" + ", ".join(f"{c!r}::DOUBLE" for c in EV.poisson_cdf()) + "]"
+    u = f"(CAST(('0x' || substr(md5('42|' || CAST(b AS VARCHAR) || '|' || CAST(person_id AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0)"
+    return f"""
+SELECT a.target, a.auroc, round(c.ci_low, 6) AS ci_low, round(c.ci_high, 6) AS ci_high, c.n_boot
+FROM ({metric_sql(src, 'auroc')}) a LEFT JOIN (
+  SELECT target, quantile_cont(a, 0.025) AS ci_low, quantile_cont(a, 0.975) AS ci_high, count(a) AS n_boot FROM (
+    SELECT target, b, CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN sum(pos * (neg_below + 0.5 * neg)) / (sum(pos) * sum(neg)) END AS a
+    FROM (SELECT *, coalesce(sum(neg) OVER (PARTITION BY target, b ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_below
+          FROM (SELECT target, b, score, sum(w * label) AS pos, sum(w * (1 - label)) AS neg FROM (
+                  SELECT s.*, b, len(list_filter({cdf}, lambda c: c < {u})) AS w
+                  FROM {src} s CROSS JOIN range(0, {N_BOOT}) r(b))
+                GROUP BY 1, 2, 3))
+    GROUP BY target, b)
+  GROUP BY target) c ON a.target = c.target"""
+
+
+@register("auroc_bootstrap", _ev(_boot_sql("scored")))
+def q_auroc_bootstrap(spark, sf_dir):
+    """O3: AUROC with a 95 % Poisson-bootstrap interval per target."""
+    df = EV.bootstrap_auroc(_ctx(spark, sf_dir).scored, ["target"], n_boot=N_BOOT, seed=42)
+    return df.select("target", r6("auroc").alias("auroc"), r6("ci_low").alias("ci_low"), r6("ci_high").alias("ci_high"),
+                     "n_boot")
+
+
+@register("next_condition_topk", _ev("""
+SELECT count(*) AS n_patients,
+       round(avg(CASE WHEN p.rk <= 1 THEN 1 ELSE 0 END), 6) AS top1, round(avg(CASE WHEN p.rk <= 2 THEN 1 ELSE 0 END), 6) AS top2,
+       round(avg(CASE WHEN p.rk <= 3 THEN 1 ELSE 0 END), 6) AS top3, round(avg(CASE WHEN p.rk <= 5 THEN 1 ELSE 0 END), 6) AS top5
+FROM (SELECT person_id, arg_min(token, ts) AS token FROM (
+        SELECT person_id, token, ts, row_number() OVER (PARTITION BY person_id ORDER BY ts, token) AS r FROM truth
+        WHERE starts_with(token, 'CONDITION_OCCURRENCE_')) WHERE r = 1 GROUP BY person_id) t
+LEFT JOIN (SELECT person_id, token, row_number() OVER (PARTITION BY person_id ORDER BY prob DESC, token) AS rk FROM (
+             SELECT person_id, token, count(DISTINCT sim_id) / 10.0 AS prob FROM sim_ev
+             WHERE starts_with(token, 'CONDITION_OCCURRENCE_') GROUP BY 1, 2)) p
+  ON p.person_id = t.person_id AND p.token = t.token"""))
+def q_next_condition_topk(spark, sf_dir):
+    """Top-1/2/3/5 accuracy of the first true future condition among the simulated
+    condition tokens ranked by probability (ties by token)."""
+    from pyspark.sql import Window as W
+
+    c = _ctx(spark, sf_dir)
+    tr = c.truth.where(F.col("token").startswith("CONDITION_OCCURRENCE_"))
+    first = tr.withColumn("_r", F.row_number().over(W.partitionBy("person_id").orderBy("ts", "token"))).where("_r = 1")
+    prob = EV.sim_token_prob(c.sim_ev.where(F.col("token").startswith("CONDITION_OCCURRENCE_")), N_SIMS)
+    ranked = prob.withColumn("rank", F.row_number().over(W.partitionBy("person_id").orderBy(F.col("prob").desc(), "token")))
+    acc = EV.top_k_accuracy(ranked.select("person_id", "token", "rank"), first.select("person_id", "token"))
+    return acc.select("n_patients", *[r6(f"top{k}").alias(f"top{k}") for k in (1, 2, 3, 5)])
