@@ -69,8 +69,10 @@ def decile_index(value, cuts) -> Column:
 
 
 def gap_minutes(prev_ts, ts) -> Column:
-    """Minutes between two timestamps (NULL when either is NULL)."""
-    micros = F.unix_micros(_c(ts).cast("timestamp")) - F.unix_micros(_c(prev_ts).cast("timestamp"))
+    """Minutes between two wall-clock timestamps (NULL when either is NULL).
+
+    ``timestampdiff`` on TIMESTAMP_NTZ does not depend on the session time zone."""
+    micros = F.timestamp_diff("MICROSECOND", _c(prev_ts).cast("timestamp_ntz"), _c(ts).cast("timestamp_ntz"))
     return micros / 60_000_000.0
 
 

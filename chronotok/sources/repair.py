@@ -51,7 +51,8 @@ STRATEGIES = ["days", "seconds", "millis", "string"]
 def _epoch(num: Column, unit: str) -> Column:
     ok = num.isNotNull() & (F.abs(num * _UNIT_NS[unit]) < _NS_LIMIT)
     micros = (num * _UNIT_MICROS[unit]).cast("bigint")
-    return F.when(ok, F.timestamp_micros(micros).cast("timestamp_ntz"))
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.when(ok, F.timestamp_add("MICROSECOND", micros, epoch))  # wall clock, no session time zone
 
 
 def readings(c: Column) -> dict[str, Column]:
@@ -67,7 +68,7 @@ def readings(c: Column) -> dict[str, Column]:
 
 
 def _try_ts(s: Column) -> Column:
-    return F.try_to_timestamp(s).cast("timestamp_ntz")
+    return s.cast("string").try_cast("timestamp_ntz")
 
 
 def repair_dates(df: DataFrame, columns: list[str]) -> DataFrame:
