@@ -23,21 +23,37 @@ def concept_frequency(events: DataFrame) -> DataFrame:
     )
 
 
+# Distinct values one percentile aggregation buffer may hold for one concept.
+MAX_DISTINCT_PER_CONCEPT = 2_000_000
+
+
 def measurement_deciles(events: DataFrame, min_values: int = K.MIN_VALUES_FOR_QUANTILES,
-                        num_partitions: int | None = None) -> DataFrame:
+                        num_partitions: int | None = None, max_distinct: int = MAX_DISTINCT_PER_CONCEPT,
+                        two_phase: bool | None = None) -> DataFrame:
     """A2: exact linear-interpolation deciles p0, p10, .., p90 per measurement concept
     with at least ``min_values`` non-null values -> ``(cid, n, cuts array<double>)``.
 
-    Values are first collapsed to ``(cid, value) -> freq`` (map-side combine), then
-    ranked with a skew-proof running sum, so a concept holding most of the
-    measurements is spread over many tasks. Only the rows that sit at the 20
-    needed ranks per concept survive the filter.
+    Values are first collapsed to ``(cid, value) -> freq`` (map-side combine). One
+    distributed count finds the largest number of distinct values of any concept:
+    under ``max_distinct`` a single ``percentile(value, ps, freq)`` aggregate is
+    bounded and used; beyond it (or with ``two_phase=True``) the values are ranked
+    with the skew-proof running sum, so a concept holding most of the measurements
+    is spread over many tasks and only the rows at the 20 needed ranks survive.
     """
     vals = (
         events.where((F.col("et") == "measurement") & F.col("value_as_number").isNotNull())
         .groupBy("cid", F.col("value_as_number").alias("v"))
         .agg(F.count(F.lit(1)).alias("freq"))
     )
+    if two_phase is None:
+        widest = vals.groupBy("cid").count().agg(F.max("count")).first()[0] or 0
+        two_phase = widest > max_distinct
+    if not two_phase:
+        ps = [i / K.N_QUANTILES for i in range(K.N_QUANTILES)]
+        agg = vals.groupBy("cid").agg(
+            F.sum("freq").alias("n"), F.percentile("v", F.array(*[F.lit(p) for p in ps]), F.col("freq")).alias("_q"))
+        return agg.where(F.col("n") >= min_values).select(
+            "cid", "n", F.transform("_q", lambda q: F.round(q, CUT_DECIMALS)).alias("cuts"))
     ranked = exclusive_running_sum(vals, ["cid"], ["v"], "freq", out="before", total="n",
                                    num_partitions=num_partitions)
     ranked = ranked.where(F.col("n") >= min_values)

@@ -40,9 +40,10 @@ def test_deciles_match_numpy(spark):
         rows += [(cid, "measurement", float(v)) for v in vals]
     rows += [(2, "measurement", None)]
     df = spark.createDataFrame(rows, "cid long, et string, value_as_number double")
-    got = {r["cid"]: r["cuts"] for r in measurement_deciles(df, num_partitions=4).collect()}
-    assert 1 not in got  # fewer than 10 values
-    for cid in (2, 3, 4, 5):
-        vals = np.array([v for c, _, v in rows if c == cid and v is not None])
-        expect = np.round(np.percentile(vals, np.arange(0, 100, 10)), 6)
-        assert np.allclose(got[cid], expect), cid
+    for two_phase in (True, False):
+        got = {r["cid"]: r["cuts"] for r in measurement_deciles(df, num_partitions=4, two_phase=two_phase).collect()}
+        assert 1 not in got  # fewer than 10 values
+        for cid in (2, 3, 4, 5):
+            vals = np.array([v for c, _, v in rows if c == cid and v is not None])
+            expect = np.round(np.percentile(vals, np.arange(0, 100, 10)), 6)
+            assert np.allclose(got[cid], expect), (cid, two_phase)
