@@ -92,3 +92,35 @@ def distinct_categories(events: DataFrame, demo: DataFrame) -> DataFrame:
         F.lit("VISIT_TYPE").alias("category"),
         F.coalesce(F.col("visit_type").cast("string"), F.lit("None")).alias("value"))
     return g.unionByName(r).unionByName(y).unionByName(u).unionByName(v).distinct()
+
+
+def top_concepts(events: DataFrame, et: str = "measurement", k: int = 200) -> DataFrame:
+    """O2: the ``k`` most frequent concepts of one event type (count desc, id asc)."""
+    return (events.where(F.col("et") == et).groupBy("cid").agg(F.count(F.lit(1)).alias("n"))
+            .orderBy(F.col("n").desc(), F.col("cid").asc()).limit(k))
+
+
+def keep_top_concepts(events: DataFrame, et: str = "measurement", k: int = 200) -> DataFrame:
+    """O2: drop events of type ``et`` whose concept is outside the top ``k`` (semi join
+    against the broadcast top-k list, which is bounded by ``k``)."""
+    top = F.broadcast(top_concepts(events, et, k).select("cid"))
+    other = events.where(F.col("et") != et)
+    kept = events.where(F.col("et") == et).join(top, "cid", "left_semi")
+    return other.unionByName(kept.select(*events.columns))
+
+
+def stay_summary(events: DataFrame) -> DataFrame:
+    """Per stay (admission to its discharge, same visit id), min / q1 / median / q3 /
+    max of the measurement values recorded during the stay, per concept."""
+    adm = events.where(F.col("et") == "admission").select("person_id", F.col("ev_id").alias("visit_id"), F.col("ts").alias("start"))
+    dis = events.where(F.col("et") == "discharge").select(F.col("ev_id").alias("visit_id"), F.col("ts").alias("end"))
+    stays = adm.join(dis, "visit_id").where(F.col("end") >= F.col("start"))
+    meas = events.where((F.col("et") == "measurement") & F.col("value_as_number").isNotNull()).select(
+        "person_id", "ts", "cid", "value_as_number")
+    j = meas.join(stays, "person_id").where((F.col("ts") >= F.col("start")) & (F.col("ts") <= F.col("end")))
+    q = F.percentile("value_as_number", F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)]))
+    return j.groupBy("visit_id", "cid").agg(
+        F.count(F.lit(1)).alias("n"), F.min("value_as_number").alias("min"), q.alias("_q"),
+        F.max("value_as_number").alias("max")).select(
+        "visit_id", "cid", "n", F.round("min", 6).alias("min"), F.round(F.col("_q")[0], 6).alias("q1"),
+        F.round(F.col("_q")[1], 6).alias("median"), F.round(F.col("_q")[2], 6).alias("q3"), F.round("max", 6).alias("max"))

@@ -1125,3 +1125,30 @@ def q_next_condition_topk(spark, sf_dir):
     ranked = prob.withColumn("rank", F.row_number().over(W.partitionBy("person_id").orderBy(F.col("prob").desc(), "token")))
     acc = EV.top_k_accuracy(ranked.select("person_id", "token", "rank"), first.select("person_id", "token"))
     return acc.select("n_patients", *[r6(f"top{k}").alias(f"top{k}") for k in (1, 2, 3, 5)])
+
+
+@register("top_lab_events", assemble(B1, """
+SELECT cid, count(*) AS n FROM ev_known
+WHERE et = 'measurement' AND cid IN (SELECT cid FROM (SELECT cid, count(*) AS n FROM ev_known WHERE et = 'measurement'
+                                                     GROUP BY cid ORDER BY n DESC, cid LIMIT 100))
+GROUP BY cid"""))
+def q_top_lab_events(spark, sf_dir):
+    """O2: measurement events restricted to the most frequent lab concepts (top 100 here),
+    counted per kept concept."""
+    kept = stats.keep_top_concepts(build_for(spark, sf_dir, B1).known_events, "measurement", 100)
+    return kept.where(F.col("et") == "measurement").groupBy("cid").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("stay_summary", assemble(B2, """
+SELECT s.visit_id, m.cid, count(*) AS n, round(min(m.value_as_number), 6) AS min,
+       round(quantile_cont(m.value_as_number, 0.25), 6) AS q1, round(quantile_cont(m.value_as_number, 0.5), 6) AS median,
+       round(quantile_cont(m.value_as_number, 0.75), 6) AS q3, round(max(m.value_as_number), 6) AS max
+FROM (SELECT a.person_id, a.ev_id AS visit_id, a.ts AS start_ts, d.ts AS end_ts
+      FROM ev_known a JOIN ev_known d ON a.ev_id = d.ev_id AND d.et = 'discharge'
+      WHERE a.et = 'admission' AND d.ts >= a.ts) s
+JOIN ev_known m ON m.person_id = s.person_id AND m.et = 'measurement' AND m.value_as_number IS NOT NULL
+ AND m.ts >= s.start_ts AND m.ts <= s.end_ts
+GROUP BY s.visit_id, m.cid"""))
+def q_stay_summary(spark, sf_dir):
+    """Per-stay summary (min, quartiles, max) of measurement values."""
+    return stats.stay_summary(build_for(spark, sf_dir, B2).known_events)
