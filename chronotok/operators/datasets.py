@@ -79,7 +79,13 @@ def next_token_examples(arrays: DataFrame, max_seq_len: int, seed: int = K.SPLIT
 
 
 def next_token_pairs(tokens: DataFrame) -> DataFrame:
-    """W10 on the long form: (person, pos, input token, next token) via ``lead``."""
+    """W10 on the long form: (person, pos, input token, next token).
+
+    The tokenizer already emits each token's successor (``next_token_id``), so this
+    is a filter; other token tables fall back to ``lead`` over the person."""
+    if "next_token_id" in tokens.columns:
+        return tokens.where(F.col("next_token_id").isNotNull()).select(
+            "person_id", "pos", "token_id", F.col("next_token_id").alias("target_id"))
     w = Window.partitionBy("person_id").orderBy("pos")
     return tokens.select("person_id", "pos", "token_id", F.lead("token_id").over(w).alias("target_id")).where(
         F.col("target_id").isNotNull())

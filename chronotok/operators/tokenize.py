@@ -125,17 +125,31 @@ def timeline_tokens(
     rows = rows.withColumn(
         "_off",
         F.coalesce(F.sum(F.size("_toks")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-    )
+    ).withColumn("_next_first", F.lead(F.try_element_at("_toks", F.lit(1))).over(w))
     long = rows.select(
-        "person_id", "ev_seq", "ts", "_off", F.posexplode("_toks").alias("_slot", "token")
+        "person_id", "ev_seq", "ts", "_off", "_toks", "_next_first", F.posexplode("_toks").alias("_slot", "token")
     ).select(
         "person_id",
         (F.col("_off") + F.col("_slot")).cast("int").alias("pos"),
         "token",
         F.when(F.col("ev_seq") > 0, F.col("ts")).alias("ts"),
         "ev_seq",
+        _next_in_row(),
     )
-    return encode(long, vocab)
+    return _encode_pair(long, vocab)
+
+
+def _next_in_row() -> Column:
+    """W10 without a second pass: the next token is the following slot of the same row,
+    or the first token of the next row (``_next_first``); NULL after EOS."""
+    inside = F.col("_slot") + 1 < F.size("_toks")
+    return F.when(inside, F.try_element_at("_toks", F.col("_slot") + 2)).otherwise(F.col("_next_first")).alias("next_token")
+
+
+def _encode_pair(long: DataFrame, vocab: DataFrame) -> DataFrame:
+    """J3 for the token and its successor (both against the broadcast vocabulary)."""
+    out = encode(encode(long, vocab), vocab, token_col="next_token", out="next_token_id")
+    return out.withColumn("next_token_id", F.when(F.col("next_token").isNotNull(), F.col("next_token_id"))).drop("next_token")
 
 
 def timeline_tokens_skew_safe(
@@ -169,22 +183,29 @@ def timeline_tokens_skew_safe(
     toks = F.concat(gap_tokens(gap_minutes("_prev_ts", "ts")), _event_tokens())
     toks = F.when(F.col("_k") == F.col("_n") - 1, F.concat(toks, F.array(F.lit(K.EOS)))).otherwise(toks)
     seq = seq.withColumn("_toks", toks).withColumn("_size", F.size("_toks"))
-    seq = exclusive_running_sum(seq.select("person_id", "_k", "ts", "_toks", "_size"), ["person_id"], ["_k"], "_size",
-                                out="_off")
+    # successor of a row's last token: the first token of the next event (join on (person, k))
+    first = seq.select("person_id", "_k", F.try_element_at("_toks", F.lit(1)).alias("_first"))
+    nxt = first.select("person_id", (F.col("_k") - 1).alias("_k"), F.col("_first").alias("_next_first"))
+    seq = seq.join(nxt, ["person_id", "_k"], "left")
+    seq = exclusive_running_sum(seq.select("person_id", "_k", "ts", "_toks", "_size", "_next_first"), ["person_id"],
+                                ["_k"], "_size", out="_off")
     ev_long = seq.select(
         "person_id", (F.col("_k") + 1).cast("int").alias("ev_seq"), "ts", (F.col("_off") + 4).alias("_off"),
-        F.posexplode("_toks").alias("_slot", "token"),
-    ).select("person_id", (F.col("_off") + F.col("_slot")).cast("int").alias("pos"), "token", "ts", "ev_seq")
+        "_toks", "_next_first", F.posexplode("_toks").alias("_slot", "token"),
+    ).select("person_id", (F.col("_off") + F.col("_slot")).cast("int").alias("pos"), "token", "ts", "ev_seq",
+             _next_in_row())
     has_events = events.select("person_id").distinct()
     p = persons.join(has_events.withColumn("_has", F.lit(True)), "person_id", "left")
     if require_events:
         p = p.where(F.col("_has"))
+    p = p.join(first.where(F.col("_k") == 0).select("person_id", F.col("_first").alias("_next_first")), "person_id", "left")
     static = _static_tokens()
     static = F.when(F.col("_has").isNull(), F.concat(static, F.array(F.lit(K.EOS)))).otherwise(static)
-    st_long = p.select("person_id", F.posexplode(static).alias("pos", "token")).select(
-        "person_id", F.col("pos").cast("int"), "token", F.lit(None).cast("timestamp_ntz").alias("ts"),
-        F.lit(0).alias("ev_seq"))
-    return encode(st_long.unionByName(ev_long), vocab)
+    st_long = p.select("person_id", static.alias("_toks"), "_next_first").select(
+        "person_id", "_toks", "_next_first", F.posexplode("_toks").alias("_slot", "token")).select(
+        "person_id", F.col("_slot").cast("int").alias("pos"), "token", F.lit(None).cast("timestamp_ntz").alias("ts"),
+        F.lit(0).alias("ev_seq"), _next_in_row())
+    return _encode_pair(st_long.unionByName(ev_long), vocab)
 
 
 def timeline_arrays(tokens: DataFrame) -> DataFrame:

@@ -101,7 +101,12 @@ def test_skew_safe_matches_fast_path_with_hot_person(spark):
     b = TimelineBuild(t, as_of_year=2025)
     fast = timeline_tokens(b.events, b.demo, b.vocab, b.cuts, 2025)
     safe = timeline_tokens_skew_safe(b.events, b.demo, b.vocab, b.cuts, 2025)
-    cols = ["person_id", "pos", "token", "token_id"]
+    cols = ["person_id", "pos", "token", "token_id", "next_token_id"]
     a = sorted(tuple(r) for r in fast.select(*cols).collect())
     c = sorted(tuple(r) for r in safe.select(*cols).collect())
     assert a == c and len(a) > 6000
+    # the emitted successor equals the token at pos + 1 (NULL only after EOS)
+    by = {(r[0], r[1]): r[3] for r in a}
+    for pid, pos, tok, _tid, nxt in a:
+        assert nxt == by.get((pid, pos + 1)), (pid, pos, tok)
+        assert (nxt is None) == (tok == K.EOS)
