@@ -127,23 +127,25 @@ def timeline_tokens(
         F.coalesce(F.sum(F.size("_toks")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
     ).withColumn("_next_first", F.lead(F.try_element_at("_toks", F.lit(1))).over(w))
     long = rows.select(
-        "person_id", "ev_seq", "ts", "_off", "_toks", "_next_first", F.posexplode("_toks").alias("_slot", "token")
+        "person_id", "ev_seq", "ts", "_off", F.posexplode(_with_next()).alias("_slot", "_p")
     ).select(
         "person_id",
         (F.col("_off") + F.col("_slot")).cast("int").alias("pos"),
-        "token",
+        F.col("_p.token").alias("token"),
         F.when(F.col("ev_seq") > 0, F.col("ts")).alias("ts"),
         "ev_seq",
-        _next_in_row(),
+        F.col("_p.next_token").alias("next_token"),
     )
     return _encode_pair(long, vocab)
 
 
-def _next_in_row() -> Column:
-    """W10 without a second pass: the next token is the following slot of the same row,
-    or the first token of the next row (``_next_first``); NULL after EOS."""
-    inside = F.col("_slot") + 1 < F.size("_toks")
-    return F.when(inside, F.try_element_at("_toks", F.col("_slot") + 2)).otherwise(F.col("_next_first")).alias("next_token")
+def _with_next() -> Column:
+    """W10 without a second pass: pair each slot with its successor -- the following
+    slot of the same row, else the first token of the next row (``_next_first``);
+    NULL after EOS. Built before the explode so no exploded row carries the array."""
+    return F.transform("_toks", lambda x, i: F.struct(
+        x.alias("token"),
+        F.coalesce(F.try_element_at(F.col("_toks"), i + 2), F.col("_next_first")).alias("next_token")))
 
 
 def _encode_pair(long: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -191,9 +193,9 @@ def timeline_tokens_skew_safe(
                                 ["_k"], "_size", out="_off")
     ev_long = seq.select(
         "person_id", (F.col("_k") + 1).cast("int").alias("ev_seq"), "ts", (F.col("_off") + 4).alias("_off"),
-        "_toks", "_next_first", F.posexplode("_toks").alias("_slot", "token"),
-    ).select("person_id", (F.col("_off") + F.col("_slot")).cast("int").alias("pos"), "token", "ts", "ev_seq",
-             _next_in_row())
+        F.posexplode(_with_next()).alias("_slot", "_p"),
+    ).select("person_id", (F.col("_off") + F.col("_slot")).cast("int").alias("pos"), F.col("_p.token").alias("token"),
+             "ts", "ev_seq", F.col("_p.next_token").alias("next_token"))
     has_events = events.select("person_id").distinct()
     p = persons.join(has_events.withColumn("_has", F.lit(True)), "person_id", "left")
     if require_events:
@@ -202,9 +204,9 @@ def timeline_tokens_skew_safe(
     static = _static_tokens()
     static = F.when(F.col("_has").isNull(), F.concat(static, F.array(F.lit(K.EOS)))).otherwise(static)
     st_long = p.select("person_id", static.alias("_toks"), "_next_first").select(
-        "person_id", "_toks", "_next_first", F.posexplode("_toks").alias("_slot", "token")).select(
-        "person_id", F.col("_slot").cast("int").alias("pos"), "token", F.lit(None).cast("timestamp_ntz").alias("ts"),
-        F.lit(0).alias("ev_seq"), _next_in_row())
+        "person_id", F.posexplode(_with_next()).alias("_slot", "_p")).select(
+        "person_id", F.col("_slot").cast("int").alias("pos"), F.col("_p.token").alias("token"),
+        F.lit(None).cast("timestamp_ntz").alias("ts"), F.lit(0).alias("ev_seq"), F.col("_p.next_token").alias("next_token"))
     return _encode_pair(st_long.unionByName(ev_long), vocab)
 
 
