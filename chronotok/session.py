@@ -52,7 +52,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return conf_dir
-    local = tempfile.mkdtemp(prefix="chronotok-ckpt-", dir="/tmp")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder: checkpoints must survive executor loss")
+    local = tempfile.mkdtemp(prefix="chronotok-ckpt-", dir="/tmp")  # local mode only (tests)
     sc.setCheckpointDir(local)
     return local
 
