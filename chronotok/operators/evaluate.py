@@ -184,7 +184,7 @@ def first_of(sims: DataFrame, hit_tokens: list[str], stop_tokens: list[str], max
     first = s.where(is_hit | is_stop | over).groupBy("person_id", "sim_id").agg(
         F.min(F.struct("pos", (is_hit & ~over).alias("hit"))).alias("_f"))
     hits = first.where(F.col("_f.hit")).groupBy("person_id").agg(F.countDistinct("sim_id").alias("_k"))
-    persons = sims.select("person_id").distinct()
+    persons = (seq if seq is not None else sims).select("person_id").distinct()
     return persons.join(hits, "person_id", "left").select(
         "person_id", (F.coalesce("_k", F.lit(0)) / F.lit(float(num_samples))).alias("prob"))
 

@@ -70,7 +70,8 @@ class EvalContext:
         body = self.future_tokens.where(F.col("pos") >= 4).select(
             F.col("person_id").alias("src_person"), (F.col("pos") - 4).alias("pos"), "token_id")
         s = grid.join(src, "src_r").join(body, "src_person").select("person_id", "sim_id", "pos", "token_id")
-        return cut_lineage(decode(s, self.b.vocab).select("person_id", "sim_id", "pos", "token"))
+        # not materialised itself: every score reads the materialised running-minutes table
+        return decode(s, self.b.vocab).select("person_id", "sim_id", "pos", "token")
 
     @cached_property
     def targets(self) -> list[str]:
@@ -96,7 +97,8 @@ class EvalContext:
 
     @cached_property
     def sim_tprob(self) -> DataFrame:
-        return cut_lineage(EV.sim_target_prob(self.sim_ev, self.sims, self.targets, self.n))
+        persons = self.future_tokens.select("person_id")  # the persons that have simulations
+        return cut_lineage(EV.sim_target_prob(self.sim_ev, persons, self.targets, self.n))
 
     @cached_property
     def truth(self) -> DataFrame:
