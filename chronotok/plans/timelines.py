@@ -109,3 +109,29 @@ def build_for(spark: SparkSession, sf_dir: str, source: str, **kw) -> TimelineBu
         b = TimelineBuild(bridge.load_bridge(spark, sf_dir, source), **kw)
         _CACHE[key] = b
     return b
+
+
+def write_outputs(build: TimelineBuild, out_dir: str, tag: str | None = None, seed: int = K.SPLIT_SEED,
+                  train_ratio: float = K.TRAIN_RATIO, mode: str = "overwrite") -> str:
+    """Write the processed dataset the way the original pipeline lays it out (K1-K6, K8):
+    partitioned events, token sequences per split, vocabulary, decile cuts, split
+    lists, the tokenization spec and the vocabulary report. Returns the folder."""
+    import os
+
+    from ..operators import datasets as D
+    from ..operators import profile as P
+    from ..sources import sinks as S
+
+    root = S.dataset_path(out_dir, tag)
+    S.write_events_partitioned(build.known_events, os.path.join(root, "events_partitioned"), mode=mode)
+    splits = D.person_split(build.demo, train_ratio, seed)
+    S.write_table(splits, os.path.join(root, "splits"), mode=mode)
+    S.write_sequences(build.arrays, splits, os.path.join(root, "sequences"), mode=mode)
+    S.write_table(build.vocab.select("token", "token_id"), os.path.join(root, "vocabulary"), mode=mode)
+    S.write_table(build.cuts, os.path.join(root, "quantiles"), mode=mode)
+    S.write_spec(build.vocab, os.path.join(root, "tokenization_spec"), mode=mode)
+    report = P.vocab_report(build.vocab, build.tokens)
+    S.write_csv(report, os.path.join(root, "vocabulary_report_tsv"), sep="\t", mode=mode)
+    S.write_vocab_text(report, os.path.join(root, "vocabulary_report_txt"), mode=mode)
+    S.write_csv(P.lengths(build.tokens), os.path.join(root, "timeline_lengths_csv"), mode=mode)
+    return root

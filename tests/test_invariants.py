@@ -56,3 +56,22 @@ def test_remap_preserves_length(build):
     assert out.count() == build.tokens.count()
     st = stats.first()
     assert st["total"] == build.tokens.count() and 0 <= st["replaced"] <= st["total"]
+
+
+def test_write_outputs_read_back(spark, build):
+    import tempfile
+
+    from chronotok.plans.timelines import write_outputs
+    from chronotok.sources.sinks import has_output, load_processed
+
+    root = write_outputs(build, tempfile.mkdtemp(prefix="chronotok-out-", dir="/tmp"), tag="t")
+    seqs = load_processed(spark, root, "sequences")
+    assert seqs.count() == build.demo.count()
+    assert set(r[0] for r in seqs.select("split").distinct().collect()) == {"train", "test"}
+    back = {r["person_id"]: list(r["tokens"]) for r in seqs.collect()}
+    mine = {r["person_id"]: list(r["tokens"]) for r in build.arrays.collect()}
+    assert back == mine
+    ev = load_processed(spark, root, "events_partitioned")
+    assert ev.count() == build.known_events.count()
+    assert ev.where("pid_bucket <> pmod(person_id, 1024)").count() == 0
+    assert has_output(spark, f"{root}/vocabulary") and has_output(spark, f"{root}/quantiles")
