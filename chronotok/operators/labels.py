@@ -128,14 +128,15 @@ def truth_events(current: DataFrame, future: DataFrame, horizon_days: int) -> Da
         "person_id", "ts", concept_token("et", "cid").alias("token")).where(F.col("token").isNotNull())
 
 
-def sequence_minutes(seq: DataFrame, keys: list[str]) -> DataFrame:
-    """Running TIME_* minutes (inclusive) and EOS-before flag per sequence."""
-    w = Window.partitionBy(*keys).orderBy("pos")
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    return (seq.withColumn("_dm", time_token_minutes("token"))
-            .withColumn("cum_minutes", F.sum("_dm").over(run))
-            .withColumn("_eos_before", F.coalesce(F.sum((F.col("token") == K.EOS).cast("int")).over(before), F.lit(0))))
+def sequence_minutes(seq: DataFrame, keys: list[str], skew_safe: bool | None = None) -> DataFrame:
+    """Running TIME_* minutes (inclusive) and EOS-before count per sequence
+    (window per sequence, or the two-phase running sum when one sequence is hot)."""
+    from .ranking import running_sums
+
+    s = seq.withColumn("_dm", time_token_minutes("token")).withColumn("_is_eos", (F.col("token") == K.EOS).cast("int"))
+    s = running_sums(s, keys, ["pos"], ["_dm", "_is_eos"], ["cum_minutes", "_eos_before"], [True, False],
+                     skew_safe=skew_safe)
+    return s.drop("_is_eos")
 
 
 def sim_events(sims: DataFrame, horizon_days: int, seq: DataFrame | None = None) -> DataFrame:
@@ -166,12 +167,15 @@ def label_from_sequence(seqs: DataFrame, targets: list[str], horizon_days: int =
     ``seqs`` is ``(person_id, pos, token)``. Returns ``(person_id, target, label)``
     for every person and target.
     """
+    from .ranking import running_sums
+
     h = horizon_days * 24 * 60
-    w = Window.partitionBy("person_id").orderBy("pos")
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     named = F.when(F.col("token") != "", F.col("token"))
-    s = (seqs.withColumn("_started", F.max((~is_structural_leading(named)).cast("int")).over(run))
-         .withColumn("_cum", F.sum(F.when(F.col("_started") == 1, time_token_minutes("token")).otherwise(0)).over(run)))
+    # the walk starts at the first non-structural token: one row per person, no window
+    start = seqs.where(~is_structural_leading(named)).groupBy("person_id").agg(F.min("pos").alias("_start"))
+    s = seqs.join(start, "person_id").withColumn("_started", (F.col("pos") >= F.col("_start")).cast("int"))
+    s = s.withColumn("_dm", F.when(F.col("_started") == 1, time_token_minutes("token")).otherwise(0))
+    s = running_sums(s, ["person_id"], ["pos"], ["_dm"], ["_cum"], [True])
     kept = s.where((F.col("_started") == 1) & ~F.col("token").startswith("TIME_") & (F.col("_cum") <= h))
     tv = target_table(seqs.sparkSession, targets)
     hits = kept.join(F.broadcast(tv), kept["token"] == tv["variant"]).select("person_id", "target").distinct()

@@ -32,15 +32,18 @@ def exclusive_running_sum(
     df: DataFrame,
     group_cols: list[str],
     order_cols: list[str | Column],
-    weight: str,
-    out: str = "offset",
+    weight: str | list[str],
+    out: str | list[str] = "offset",
     total: str | None = None,
     num_partitions: int | None = None,
 ) -> DataFrame:
     """Add ``out`` = sum of ``weight`` over rows of the same group strictly before
     this row in ``order_cols`` order (0 for the first), and optionally ``total``
-    = the group's full sum. ``order_cols`` must make rows unique within a group.
+    = the group's full sum (of the first weight). ``order_cols`` must make rows
+    unique within a group. Several weights may be summed in the same pass.
     """
+    if isinstance(weight, list):
+        return _multi_running_sum(df, group_cols, order_cols, weight, out, num_partitions)
     n = _n_parts(df, num_partitions)
     order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     keyed = cut_lineage(
@@ -74,3 +77,51 @@ def global_rank(df: DataFrame, order_cols: list[str | Column], out: str = "rank"
     return exclusive_running_sum(
         df.withColumn("_one", F.lit(1)), [], order_cols, "_one", out=out, num_partitions=num_partitions
     ).drop("_one")
+
+
+def _multi_running_sum(df, group_cols, order_cols, weights, outs, num_partitions):
+    n = _n_parts(df, num_partitions)
+    order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
+    keyed = cut_lineage(
+        df.repartitionByRange(n, *[F.col(g) for g in group_cols], *order).withColumn("_slice", F.spark_partition_id()))
+    w_in = Window.partitionBy("_slice", *group_cols).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    within = keyed
+    for wt, o in zip(weights, outs):
+        within = within.withColumn(f"_in_{o}", F.coalesce(F.sum(wt).over(w_in), F.lit(0)))
+    slices = keyed.groupBy("_slice", *group_cols).agg(*[F.sum(wt).alias(f"_t_{o}") for wt, o in zip(weights, outs)])
+    w_sl = (Window.partitionBy(*group_cols) if group_cols else Window.partitionBy(F.lit(0))).orderBy("_slice") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    for o in outs:
+        slices = slices.withColumn(f"_p_{o}", F.coalesce(F.sum(f"_t_{o}").over(w_sl), F.lit(0)))
+    res = within.join(slices.select("_slice", *group_cols, *[f"_p_{o}" for o in outs]), ["_slice", *group_cols])
+    for o in outs:
+        res = res.withColumn(o, F.col(f"_p_{o}") + F.col(f"_in_{o}")).drop(f"_p_{o}", f"_in_{o}")
+    return res.drop("_slice")
+
+
+# Rows one task may hold for one group before the two-phase path is used.
+HOT_GROUP_ROWS = 5_000_000
+
+
+def running_sums(df: DataFrame, group_cols: list[str], order_cols: list[str], weights: list[str], outs: list[str],
+                 inclusive: list[bool], hot_rows: int = HOT_GROUP_ROWS, skew_safe: bool | None = None) -> DataFrame:
+    """Running sums of several weights within groups, choosing the plan by group size.
+
+    One distributed count finds the largest group. Up to ``hot_rows`` rows a window
+    per group is used (one shuffle); beyond it the two-phase running sum spreads a
+    hot group over many tasks. ``inclusive[i]`` adds the row's own weight.
+    """
+    if skew_safe is None:
+        top = df.groupBy(*group_cols).count().agg(F.max("count")).first()[0] or 0
+        skew_safe = top > hot_rows
+    if skew_safe:
+        r = exclusive_running_sum(df, group_cols, order_cols, list(weights), list(outs))
+        for wt, o, inc in zip(weights, outs, inclusive):
+            if inc:
+                r = r.withColumn(o, F.col(o) + F.col(wt))
+        return r
+    w = Window.partitionBy(*group_cols).orderBy(*order_cols)
+    for wt, o, inc in zip(weights, outs, inclusive):
+        frame = w.rowsBetween(Window.unboundedPreceding, Window.currentRow if inc else -1)
+        df = df.withColumn(o, F.coalesce(F.sum(wt).over(frame), F.lit(0)))
+    return df

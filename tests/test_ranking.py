@@ -47,3 +47,17 @@ def test_deciles_match_numpy(spark):
             vals = np.array([v for c, _, v in rows if c == cid and v is not None])
             expect = np.round(np.percentile(vals, np.arange(0, 100, 10)), 6)
             assert np.allclose(got[cid], expect), (cid, two_phase)
+
+
+def test_running_sums_paths_agree(spark):
+    from chronotok.operators.ranking import running_sums
+
+    rows = [(0, i, i % 3, int(i % 7 == 0)) for i in range(2000)] + [(g, i, 1, 0) for g in range(1, 10) for i in range(15)]
+    df = spark.createDataFrame(rows, "g int, pos int, a int, b int")
+    res = []
+    for safe in (False, True):
+        out = running_sums(df, ["g"], ["pos"], ["a", "b"], ["ca", "cb"], [True, False], skew_safe=safe)
+        res.append(sorted((r["g"], r["pos"], r["ca"], r["cb"]) for r in out.collect()))
+    assert res[0] == res[1]
+    got = {(g, p): (ca, cb) for g, p, ca, cb in res[0]}
+    assert got[(0, 0)] == (0, 0) and got[(0, 1)] == (1, 1) and got[(0, 8)] == (sum(i % 3 for i in range(9)), 2)
