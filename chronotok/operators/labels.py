@@ -28,17 +28,21 @@ def event_span(events: DataFrame) -> DataFrame:
         F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("n_events"))
 
 
-def index_time_end_minus_horizon(events: DataFrame, horizon_days: int) -> DataFrame:
-    """``last - h``; when that is not after the first event, the event at ``n // 2``."""
+def _indexed(events: DataFrame) -> DataFrame:
+    """Events with their 0-based position per person and the person's first/last time
+    and count (aggregates joined back; the position is size-adaptive)."""
     from .events import EVENT_ORDER
+    from .ranking import row_index
+
+    e = row_index(events.select("person_id", *EVENT_ORDER), ["person_id"], EVENT_ORDER, out="_rn")
+    span = events.groupBy("person_id").agg(F.count(F.lit(1)).alias("_n"), F.min("ts").alias("_first"),
+                                           F.max("ts").alias("_last"))
+    return e.join(span, "person_id")
+
 
-    w_all = Window.partitionBy("person_id")
-    w = w_all.orderBy(*EVENT_ORDER)
-    e = (events.select("person_id", *EVENT_ORDER)
-         .withColumn("_rn", F.row_number().over(w) - 1)
-         .withColumn("_n", F.count(F.lit(1)).over(w_all))
-         .withColumn("_first", F.min("ts").over(w_all))
-         .withColumn("_last", F.max("ts").over(w_all)))
+def index_time_end_minus_horizon(events: DataFrame, horizon_days: int) -> DataFrame:
+    """``last - h``; when that is not after the first event, the event at ``n // 2``."""
+    e = _indexed(events)
     mid = e.where(F.col("_rn") == F.floor(F.col("_n") / 2)).select(
         "person_id", F.col("ts").alias("_mid"), "_first", "_last")
     cand = F.col("_last") - days(horizon_days)
@@ -47,20 +51,14 @@ def index_time_end_minus_horizon(events: DataFrame, horizon_days: int) -> DataFr
 
 def index_time_random(events: DataFrame, horizon_days: int, seed: int = K.SPLIT_SEED) -> DataFrame:
     """An md5-chosen event time with at least ``h`` after it before the last event;
-    the first event time when there is none."""
-    from .events import EVENT_ORDER
-
-    w_all = Window.partitionBy("person_id")
-    w = w_all.orderBy(*EVENT_ORDER)
-    e = (events.select("person_id", *EVENT_ORDER)
-         .withColumn("_rn", F.row_number().over(w) - 1)
-         .withColumn("_first", F.min("ts").over(w_all))
-         .withColumn("_last", F.max("ts").over(w_all)))
+    the first event time when there is none. The pick is a ``min`` over (hash, position),
+    a plain aggregate, so no per-person window is needed."""
+    e = _indexed(events)
     viable = e.where(F.col("ts") + days(horizon_days) <= F.col("_last"))
-    pick_w = Window.partitionBy("person_id").orderBy(hash_key(seed, "person_id", "_rn"), "_rn")
-    picked = viable.withColumn("_p", F.row_number().over(pick_w)).where("_p = 1").select(
-        "person_id", F.col("ts").alias("_pick"))
-    firsts = e.select("person_id", "_first").distinct()
+    picked = viable.groupBy("person_id").agg(
+        F.min(F.struct(hash_key(seed, "person_id", "_rn").alias("h"), F.col("_rn").alias("rn"), F.col("ts").alias("ts")))
+        .alias("_p")).select("person_id", F.col("_p.ts").alias("_pick"))
+    firsts = events.groupBy("person_id").agg(F.min("ts").alias("_first"))
     return firsts.join(picked, "person_id", "left").select(
         "person_id", F.coalesce("_pick", "_first").alias("index_time"))
 

@@ -125,3 +125,11 @@ def running_sums(df: DataFrame, group_cols: list[str], order_cols: list[str], we
         frame = w.rowsBetween(Window.unboundedPreceding, Window.currentRow if inc else -1)
         df = df.withColumn(o, F.coalesce(F.sum(wt).over(frame), F.lit(0)))
     return df
+
+
+def row_index(df: DataFrame, group_cols: list[str], order_cols: list[str], out: str = "_rn",
+              skew_safe: bool | None = None) -> DataFrame:
+    """0-based position of each row within its group (size-adaptive, see :func:`running_sums`)."""
+    r = running_sums(df.withColumn("_one_", F.lit(1)), group_cols, order_cols, ["_one_"], [out], [False],
+                     skew_safe=skew_safe)
+    return r.drop("_one_")
