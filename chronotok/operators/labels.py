@@ -40,6 +40,15 @@ def _indexed(events: DataFrame) -> DataFrame:
     return e.join(span, "person_id")
 
 
+def _indexed_full(events: DataFrame) -> DataFrame:
+    """All event columns plus ``_rn`` (0-based position) and ``_n`` (count) per person."""
+    from .events import EVENT_ORDER
+    from .ranking import row_index
+
+    e = row_index(events, ["person_id"], EVENT_ORDER, out="_rn")
+    return e.join(events.groupBy("person_id").agg(F.count(F.lit(1)).alias("_n")), "person_id")
+
+
 def index_time_end_minus_horizon(events: DataFrame, horizon_days: int) -> DataFrame:
     """``last - h``; when that is not after the first event, the event at ``n // 2``."""
     e = _indexed(events)
@@ -76,13 +85,13 @@ def events_until(events: DataFrame, index: DataFrame) -> DataFrame:
 
 def history_tail(events: DataFrame, index: DataFrame, vocab: DataFrame, n_events: int = K.HISTORY_TAIL_EVENTS) -> DataFrame:
     """Last ``n_events`` clinical events up to the index time, concept tokens in the
-    vocabulary only, then ``<EOS>`` -> ``(person_id, pos, token, token_id)``."""
-    from .events import EVENT_ORDER
+    vocabulary only, then ``<EOS>`` -> ``(person_id, pos, token, token_id)``.
+    The final numbering window holds at most ``n_events`` rows per person."""
     from .vocab import bounded_broadcast
 
     e = events_until(events, index)
-    w = Window.partitionBy("person_id").orderBy(*[F.col(c).desc_nulls_last() if c == "ts" else F.col(c).desc() for c in EVENT_ORDER])
-    tail = e.withColumn("_from_end", F.row_number().over(w)).where(F.col("_from_end") <= n_events)
+    # position from the end = count - position (size-adaptive); the tail is then a filter
+    tail = _indexed_full(e).withColumn("_from_end", F.col("_n") - F.col("_rn")).where(F.col("_from_end") <= n_events)
     v = bounded_broadcast(vocab.select("token", "token_id"))
     named = tail.withColumn("token", concept_token("et", "cid")).join(v, "token")  # inner: only known tokens
     w2 = Window.partitionBy("person_id").orderBy(F.col("_from_end").desc())
