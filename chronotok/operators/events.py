@@ -67,13 +67,28 @@ def events_of_known_persons(events: DataFrame, person: DataFrame) -> DataFrame:
     return events.join(person.select("person_id"), "person_id", "left_semi")
 
 
-def ordered_events(events: DataFrame) -> DataFrame:
-    """Per-person sequence number and minutes since the previous event."""
-    from ..functions.tokens import gap_minutes
+def ordered_events(events: DataFrame, skew_safe: bool | None = None, hot_rows: int | None = None) -> DataFrame:
+    """Per-person sequence number (1-based) and minutes since the previous event.
 
-    w = Window.partitionBy("person_id").orderBy(*EVENT_ORDER)
-    return (
-        events.withColumn("ev_seq", F.row_number().over(w))
-        .withColumn("prev_ts", F.lag("ts").over(w))
-        .withColumn("gap_minutes", gap_minutes("prev_ts", "ts"))
-    )
+    Small persons use one window; when the largest person exceeds ``hot_rows`` (one
+    distributed count decides), the position comes from the two-phase running sum
+    and the previous time from a join on ``(person_id, position)``.
+    """
+    from ..functions.tokens import gap_minutes
+    from .ranking import HOT_GROUP_ROWS, row_index
+
+    if skew_safe is None:
+        top = events.groupBy("person_id").count().agg(F.max("count")).first()[0] or 0
+        skew_safe = top > (hot_rows or HOT_GROUP_ROWS)
+    if not skew_safe:
+        w = Window.partitionBy("person_id").orderBy(*EVENT_ORDER)
+        return (
+            events.withColumn("ev_seq", F.row_number().over(w))
+            .withColumn("prev_ts", F.lag("ts").over(w))
+            .withColumn("gap_minutes", gap_minutes("prev_ts", "ts"))
+        )
+    e = row_index(events, ["person_id"], EVENT_ORDER, out="_rn", skew_safe=True)
+    prev = e.select("person_id", (F.col("_rn") + 1).alias("_rn"), F.col("ts").alias("prev_ts"))
+    return (e.join(prev, ["person_id", "_rn"], "left")
+            .withColumn("ev_seq", (F.col("_rn") + 1).cast("int")).drop("_rn")
+            .withColumn("gap_minutes", gap_minutes("prev_ts", "ts")))

@@ -61,3 +61,17 @@ def test_running_sums_paths_agree(spark):
     assert res[0] == res[1]
     got = {(g, p): (ca, cb) for g, p, ca, cb in res[0]}
     assert got[(0, 0)] == (0, 0) and got[(0, 1)] == (1, 1) and got[(0, 8)] == (sum(i % 3 for i in range(9)), 2)
+
+
+def test_ordered_events_paths_agree(spark):
+    import datetime as dt
+
+    from chronotok.operators.events import ordered_events
+
+    rows = [(1, dt.datetime(2020, 1, 1) + dt.timedelta(minutes=3 * i), 2, i, 5, None, None) for i in range(1500)]
+    rows += [(2, dt.datetime(2020, 1, 1) + dt.timedelta(days=i), 3, i, 7, None, None) for i in range(5)]
+    df = spark.createDataFrame(rows, "person_id long, ts timestamp_ntz, table_rank int, ev_id long, cid long, "
+                                     "value_as_number double, unit_concept_id long")
+    a = sorted(tuple(r) for r in ordered_events(df, skew_safe=False).select("person_id", "ev_seq", "gap_minutes").collect())
+    b = sorted(tuple(r) for r in ordered_events(df, skew_safe=True).select("person_id", "ev_seq", "gap_minutes").collect())
+    assert a == b and a[0] == (1, 1, None) and a[1] == (1, 2, 3.0)
