@@ -61,8 +61,8 @@ def demographics(person: DataFrame) -> DataFrame:
 def events_of_known_persons(events: DataFrame, person: DataFrame) -> DataFrame:
     """Events of persons absent from ``person`` are dropped (left semi join).
 
-    The join shuffles both sides on ``person_id``; a later person window reuses
-    that partitioning. AQE splits a skewed person partition.
+    A shuffled join on ``person_id`` (AQE broadcasts the person side when it is
+    measured small, and splits a skewed person partition otherwise).
     """
     return events.join(person.select("person_id"), "person_id", "left_semi")
 
