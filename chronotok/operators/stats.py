@@ -124,3 +124,21 @@ def stay_summary(events: DataFrame) -> DataFrame:
         F.max("value_as_number").alias("max")).select(
         "visit_id", "cid", "n", F.round("min", 6).alias("min"), F.round(F.col("_q")[0], 6).alias("q1"),
         F.round(F.col("_q")[1], 6).alias("median"), F.round(F.col("_q")[2], 6).alias("q3"), F.round("max", 6).alias("max"))
+
+
+def los_decile_tokens(events: DataFrame) -> DataFrame:
+    """Length of stay (admission to the discharge of the same visit, in days) and its
+    decile token among all stays, with the measurement decile rules (first cut not below
+    the value; above p90 -> 0). Stays whose discharge precedes the admission are skipped."""
+    from ..functions.tokens import decile_index
+
+    adm = events.where(F.col("et") == "admission").select("person_id", F.col("ev_id").alias("visit_id"), F.col("ts").alias("start"))
+    dis = events.where(F.col("et") == "discharge").select(F.col("ev_id").alias("visit_id"), F.col("ts").alias("end"))
+    stays = adm.join(dis, "visit_id").where(F.col("end") >= F.col("start")).select(
+        "visit_id", (F.timestamp_diff("MICROSECOND", F.col("start"), F.col("end")) / 86_400_000_000.0).alias("los_days"))
+    as_values = stays.select(F.lit(0).cast("bigint").alias("cid"), F.lit("measurement").alias("et"),
+                             F.col("los_days").alias("value_as_number"))
+    cuts = measurement_deciles(as_values).select("cuts")  # one row (all stays share cid 0)
+    j = stays.withColumn("_k", F.lit(0)).join(F.broadcast(cuts.withColumn("_k", F.lit(0))), "_k").drop("_k")
+    return j.select("visit_id", F.round("los_days", 6).alias("los_days"),
+                    F.concat(F.lit("LOS_Q"), decile_index("los_days", "cuts").cast("string")).alias("los_token"))

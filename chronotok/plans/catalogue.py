@@ -1152,3 +1152,19 @@ GROUP BY s.visit_id, m.cid"""))
 def q_stay_summary(spark, sf_dir):
     """Per-stay summary (min, quartiles, max) of measurement values."""
     return stats.stay_summary(build_for(spark, sf_dir, B2).known_events)
+
+
+@register("los_decile_tokens", assemble(B2, """
+SELECT s.visit_id, round(s.los_days, 6) AS los_days,
+       'LOS_Q' || CAST(CASE WHEN len(list_filter(c.cuts, lambda x: x < s.los_days)) >= 10 THEN 0
+                            ELSE len(list_filter(c.cuts, lambda x: x < s.los_days)) END AS VARCHAR) AS los_token
+FROM (SELECT a.ev_id AS visit_id, (epoch_us(d.ts) - epoch_us(a.ts)) / 86400000000.0 AS los_days
+      FROM ev_known a JOIN ev_known d ON a.ev_id = d.ev_id AND d.et = 'discharge'
+      WHERE a.et = 'admission' AND d.ts >= a.ts) s
+CROSS JOIN (SELECT list_transform(quantile_cont(los_days, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]::DOUBLE[]), lambda c: round(c, 6)) AS cuts
+            FROM (SELECT (epoch_us(d.ts) - epoch_us(a.ts)) / 86400000000.0 AS los_days
+                  FROM ev_known a JOIN ev_known d ON a.ev_id = d.ev_id AND d.et = 'discharge'
+                  WHERE a.et = 'admission' AND d.ts >= a.ts)) c"""))
+def q_los_decile_tokens(spark, sf_dir):
+    """Per-stay length of stay and its decile token."""
+    return stats.los_decile_tokens(build_for(spark, sf_dir, B2).known_events)
