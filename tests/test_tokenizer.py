@@ -110,3 +110,16 @@ def test_skew_safe_matches_fast_path_with_hot_person(spark):
     for pid, pos, tok, _tid, nxt in a:
         assert nxt == by.get((pid, pos + 1)), (pid, pos, tok)
         assert (nxt is None) == (tok == K.EOS)
+
+
+def test_tokenizer_plan_has_one_shuffle(spark):
+    """Regression guard: events are shuffled once (on person_id); vocabulary and cuts
+    are broadcast, and one sort serves every window."""
+    from chronotok.operators.tokenize import timeline_tokens
+
+    b = TimelineBuild(tables(spark), as_of_year=2025)
+    df = timeline_tokens(b.events, b.demo, b.vocab, b.cuts, 2025)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(person_id") == 1, plan
+    assert plan.count("Exchange hashpartitioning") == 1, plan
+    assert plan.count("Sort [person_id") == 1, plan
