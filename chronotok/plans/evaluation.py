@@ -80,11 +80,20 @@ class EvalContext:
                 .groupBy("token").count().orderBy(F.col("count").desc(), F.col("token")).limit(self.n_targets).collect())
         return [r["token"] for r in rows]
 
+    @cached_property
+    def hot(self) -> bool:
+        """Whether one future sequence exceeds the per-task bound. Every simulation is a
+        copy of a future sequence, so this one count decides the plan of every walk."""
+        from ..operators.ranking import HOT_GROUP_ROWS
+
+        top = self.future_tokens.groupBy("person_id").count().agg(F.max("count")).first()[0] or 0
+        return top > HOT_GROUP_ROWS
+
     @cached_property
     def sim_seq(self) -> DataFrame:
         """Simulations up to the first EOS with running minutes (W4/W8), materialised once
         because every simulation-based score reads it."""
-        s = L.sequence_minutes(self.sims, ["person_id", "sim_id"]).where(F.col("_eos_before") == 0)
+        s = L.sequence_minutes(self.sims, ["person_id", "sim_id"], skew_safe=self.hot).where(F.col("_eos_before") == 0)
         return cut_lineage(s.select("person_id", "sim_id", "pos", "token", "cum_minutes", "_eos_before"))
 
     @cached_property
@@ -93,7 +102,7 @@ class EvalContext:
 
     @cached_property
     def seq_labels(self) -> DataFrame:
-        return cut_lineage(L.label_from_sequence(self.future_named, self.targets, self.h))
+        return cut_lineage(L.label_from_sequence(self.future_named, self.targets, self.h, skew_safe=self.hot))
 
     @cached_property
     def sim_tprob(self) -> DataFrame:
