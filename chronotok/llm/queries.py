@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from chronotok.llm import quality_rules
+from chronotok.llm import quality_rules, sharding, simhash
 
 QUERIES = {
+    "op2_histogram_sort": sharding.query,
     "op3_quality_rules": quality_rules.query,
+    "op10_simhash_pigeonring": simhash.query,
 }
 
+# DuckDB has no crc32; the whole-text checksum and the constant columns are left to the tests.
 ORACLE: dict[str, str] = {}
