@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from chronotok.llm import quality_rules, sharding, simhash
+from chronotok.llm import packing, quality_rules, sharding, simhash
 
 QUERIES = {
+    "op1_best_fit_packing": packing.query,
     "op2_histogram_sort": sharding.query,
     "op3_quality_rules": quality_rules.query,
     "op10_simhash_pigeonring": simhash.query,
