@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from chronotok.llm import packing, quality_rules, sharding, simhash
+from chronotok.llm import html_extract, language_id, packing, quality_classifier, quality_rules, sharding, simhash
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
     "op2_histogram_sort": sharding.query,
     "op3_quality_rules": quality_rules.query,
+    "op4_quality_classifier": quality_classifier.query,
+    "op6_html_extraction": html_extract.query,
+    "op7_language_id": language_id.query,
     "op10_simhash_pigeonring": simhash.query,
 }
 
