@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chronotok.llm import html_extract, language_id, packing, quality_classifier, quality_rules, sharding, simhash
+from chronotok.llm import html_extract, language_id, packing, pii, quality_classifier, quality_rules, sharding, simhash
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_quality_classifier": quality_classifier.query,
     "op6_html_extraction": html_extract.query,
     "op7_language_id": language_id.query,
+    "op9_pii": pii.query,
     "op10_simhash_pigeonring": simhash.query,
 }
 
