@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from chronotok.llm import html_extract, language_id, packing, pii, quality_classifier, quality_rules, sharding, simhash
+from chronotok.llm import decontaminate, html_extract, language_id, packing, pii, quality_classifier, quality_rules, sharding, simhash
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
     "op2_histogram_sort": sharding.query,
     "op3_quality_rules": quality_rules.query,
     "op4_quality_classifier": quality_classifier.query,
+    "op5_benchmark_decontamination": decontaminate.query,
     "op6_html_extraction": html_extract.query,
     "op7_language_id": language_id.query,
     "op9_pii": pii.query,
