@@ -51,14 +51,16 @@ def terms(text: str | None) -> list[str]:
 
 
 def question_and_answer(text: str) -> tuple[list[str], list[str]]:
-    """The last sentence or line is the answer, if it has the words of an n-gram; otherwise the last third is."""
+    """The last sentence or line is the answer; where one of the two has fewer words than an n-gram, the last third
+    is, and both take at least an n-gram."""
     parts = [terms(p) for p in re.split(r"(?<=[.!?])\s+|\n", text)]
     parts = [p for p in parts if p]
-    if len(parts) > 1 and len(parts[-1]) >= NGRAM:
-        return [w for p in parts[:-1] for w in p], parts[-1]
+    question = [w for p in parts[:-1] for w in p]
+    if parts and min(len(question), len(parts[-1])) >= NGRAM:
+        return question, parts[-1]
     words = terms(text)
-    cut = len(words) - max(NGRAM, len(words) // 3)
-    return words[:max(cut, 1)], words[max(cut, 1):] or words
+    last = max(NGRAM, len(words) // 3)
+    return words[:max(NGRAM, len(words) - last)], words[-last:]
 
 
 def ngrams(words: list[str]) -> set[tuple[str, ...]]:
