@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chronotok.llm import decontaminate, html_extract, language_id, packing, pii, quality_classifier, quality_rules, sharding, simhash
+from chronotok.llm import decontaminate, html_extract, language_id, packing, pii, quality_classifier, quality_rules, sharding, simhash, substring_dedup
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_benchmark_decontamination": decontaminate.query,
     "op6_html_extraction": html_extract.query,
     "op7_language_id": language_id.query,
+    "op8_substring_dedup": substring_dedup.query,
     "op9_pii": pii.query,
     "op10_simhash_pigeonring": simhash.query,
 }
