@@ -260,6 +260,18 @@ def item_blocks(benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str
 _CLASS = f"cast(greatest({MIN_PASSAGE}, power(2, ceil(log2(n)))) as int)"
 
 
+def _blocks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[list[str]]]]:
+    """(first row, terms of each text) for stretches of a batch with about ``BATCH_WORDS`` words."""
+    at = 0
+    while at < batch.num_rows:
+        first, words, held = at, [], 0
+        while at < batch.num_rows and held < BATCH_WORDS:
+            words.append(terms(batch.column(column)[at].as_py()))
+            held += len(words[-1])
+            at += 1
+        yield first, words
+
+
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
                       text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row for each document and test item that it contains."""
@@ -272,13 +284,7 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
             names = [c.split()[0] for c in schema.split(", ")]
             for b in batches:
-                at = 0
-                while at < b.num_rows:
-                    first, words, held = at, [], 0
-                    while at < b.num_rows and held < BATCH_WORDS:
-                        words.append(terms(b.column(1)[at].as_py()))
-                        held += len(words[-1])
-                        at += 1
+                for first, words in _blocks(b, 1):
                     found = [(b.column(0)[first + m[0]].as_py(), *m[1:]) for x in indexes for m in x.matches(words)]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)], names)
@@ -291,5 +297,25 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, text_col: str = "text",
+                      item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that contain no test item."""
+    at = docs.columns.index(text_col)
+
+    def cleaner(indexes: list[Index]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                keep = np.ones(b.num_rows, bool)
+                for first, words in _blocks(b, at):
+                    for x in indexes:
+                        keep[[first + m[0] for m in x.matches(words)]] = False
+                yield b.filter(pa.array(keep))
+        return run
+
+    for indexes in item_blocks(benchmark, threshold, item_col, item_text_col):
+        docs = docs.mapInArrow(cleaner(indexes), docs.schema)
+    return docs
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

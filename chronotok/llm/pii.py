@@ -406,6 +406,19 @@ def find(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
     return rows.mapInArrow(run, schema + ", masked string" * with_text)
 
 
+def mask_documents(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
+    """All rows and columns of ``docs`` with the spans in the text masked."""
+    weights, at = field.weights, docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Field(weights)
+        for b in batches:
+            texts = [t and mask(t, all_spans(t, own)[1]) for t in b.column(at).to_pylist()]
+            yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return find(docs, fit(docs), with_text=False)

@@ -7,7 +7,7 @@ characters is rejected. Everything is evaluated inside one row, so there is no s
 key could fill.
 
 Defined results: a null or empty text has no words, fails the base rule and is rejected; rows are judged one by
-one, so repeated rows and ties give repeated results; extra columns are ignored; an empty table gives no rows.
+one, so repeated rows and ties give repeated results; extra columns stay inside ``row``; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -58,9 +58,10 @@ def _repeated_words(n: Column, hashes: Column) -> Column:
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, text, cleaned text, the counted features and the lines and characters lost."""
+    """One row per document: the whole input ``row``, its id, the cleaned text, the counted features and what was
+    lost."""
     nothing = F.array().cast("array<bigint>")
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
+    d = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col(id_col).alias("doc_id"),
                     F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
     d = d.withColumn("_words", words(F.col("_t"))).withColumn("_low", F.transform(F.split("_t", "\n"), F.lower))
     d = d.withColumn("_lines", F.zip_with(F.split("_t", "\n"), "_low", measured))
@@ -68,7 +69,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     n = F.size("_w")
     shifted = [F.slice("_w", j + 1, n - (WINDOW - 1)).alias(f"w{j}") for j in range(WINDOW)]
     d = d.select(
-        "doc_id", "text", "_t", F.size("_w").cast("long").alias("n_words"),
+        "row", "doc_id", "_t", F.size("_w").cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         F.when(n >= WINDOW, F.transform(F.arrays_zip(*shifted), lambda z: F.xxhash64(z))).otherwise(nothing).alias("_h"),
         F.transform(F.filter("_lines", lambda x: x["n"] > 0), lambda x: x["line"]).alias("_spoken"),
@@ -91,7 +92,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     text = F.when(whole, F.col("_t")).otherwise(F.array_join("_kept", "\n"))
     left = F.when(whole, F.col("word_chars")).otherwise(F.length(F.translate(text, WHITE, "")).cast("long"))
     return d.select(
-        "doc_id", "text", text.alias("clean_text"), "n_words", "word_chars",
+        "row", "doc_id", text.alias("clean_text"), "n_words", "word_chars",
         F.regexp_count("_t", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("_spoken") - F.size(F.array_distinct("_spoken"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
@@ -106,6 +107,15 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_l
     return f.withColumn("base_failed", failed).withColumn("kept", ~failed & ~lost)
 
 
+def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_lost: float = MAX_LOST) -> DataFrame:
+    """The kept rows with all columns of ``docs`` and the text without its failing lines."""
+    judged = judge(docs, id_col, text_col, max_lost)
+    row = F.struct(*(F.col("clean_text").alias(c) if c == text_col else F.col("row")[c].alias(c)
+                     for c in docs.columns))
+    # A filter would be pushed below the columns it needs, which would then be computed for it once more.
+    return judged.select(F.explode(F.when(F.col("kept"), F.array(row))).alias("row")).select("row.*")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     from chronotok.llm.text import table
 

@@ -56,14 +56,20 @@ def fingerprint(text: str | None, k: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, k: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and ``fp`` (the fingerprint's bits as a signed long) of every row."""
+    """``doc_id``, ``rid`` (hash of the row's id and text) and ``fp`` (the fingerprint as a signed long) of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t.as_py(), k) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t.as_py(), k) for t in b.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64())],
+                                             ["doc_id", "rid", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_id(id_col, text_col).alias("rid"),
+                       F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, rid long, fp long")
+
+
+def row_id(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
 
 
 def _segments(m: int) -> list[tuple[int, int]]:
@@ -126,18 +132,30 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, bucket: int = BUCKET) -> Dat
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``fp`` and ``component_id`` (least id reachable over links of at most ``max_bits``) of every row."""
+    """``doc_id``, ``rid``, ``fp``, ``component_id`` (least id reachable over links of at most ``max_bits``) and
+    ``keeper`` (whether the row is the first of its component by id, then ``rid``) of every row."""
     rows = cut_lineage(fingerprints(docs, k, id_col, text_col))
-    classes = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    nodes = components(links(classes.select("fp"), max_bits)) if max_bits else None
-    if nodes is not None:
-        labelled = classes.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-            "label", F.coalesce("label", "fp"))
-        least = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
-        classes = labelled.join(least, "label").select("fp", "component_id")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")  # a row with an id comes first
+    classes = cut_lineage(rows.groupBy("fp").agg(F.min(row).alias("first")))
+    if max_bits:
+        nodes = components(links(classes.select("fp"), max_bits)).withColumnRenamed("node", "fp")
+        labelled = classes.join(nodes, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+        least = labelled.groupBy("label").agg(F.min("first").alias("least"))
+        classes = labelled.join(least, "label").select("fp", "least")
     else:
-        classes = classes.withColumnRenamed("first_id", "component_id")
-    return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
+        classes = classes.withColumnRenamed("first", "least")
+    return rows.join(classes, "fp").select("doc_id", "rid", "fp", F.col("least.doc_id").alias("component_id"),
+                                           row.eqNullSafe(F.col("least")).alias("keeper"))
+
+
+def drop_near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, id_col: str = "doc_id",
+                         text_col: str = "text") -> DataFrame:
+    """One row of each component, with all columns of ``docs``; of rows equal in id and text one stays."""
+    kept = near_duplicates(docs, k, max_bits, id_col, text_col).filter("keeper").select(
+        F.col("rid").alias("__rid")).distinct()
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), row_id(id_col, text_col).alias("__rid"))
+    one = rows.join(kept, "__rid", "left_semi").dropDuplicates(["__rid"])
+    return one.select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,19 +1,72 @@
-"""Corpus pipeline over ``documents``: each stage reads what its predecessor kept."""
+"""Corpus pipeline over ``documents``: quality rules, near-duplicates, decontamination, personal data, packing.
+
+Each stage calls one operator of ``chronotok.llm`` on all that its predecessor kept:
+
+* quality rules: rejected documents go, and the others lose their failing lines;
+* SimHash near-dedup: the first document of each component stays;
+* decontamination: documents that contain a test item go;
+* personal data: every span is replaced by its kind;
+* packing: the remaining documents become sequences of tokens (the result).
+
+All stages but the last return the columns of ``documents``; ``n_chars`` follows the text. SQL cannot express the
+field and the tokenizer, so the pipeline has no oracle SQL and is tested stage by stage.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chronotok.llm import quality_rules
+from chronotok.llm import decontaminate, packing, pii, quality_rules, simhash
 from chronotok.llm.text import table
+from chronotok.session import ensure_checkpoint_dir
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """``n_chars`` of the text as it is now."""
+    if "n_chars" not in docs.columns:
+        return docs
+    kind = docs.schema["n_chars"].dataType
+    return docs.withColumn("n_chars", F.length("text").cast(kind))
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _counted(quality_rules.clean(docs))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.drop_near_duplicates(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _counted(pii.mask_documents(docs, pii.fit(docs)))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, packing.public_paths()).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
 
-STAGES = []
+STAGES = [
+    ("quality_rules", keep_quality),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("benchmark_decontamination", drop_contaminated),
+    ("pii", mask_personal_data),
+    ("best_fit_packing", pack),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents`` one after another."""
+    """Apply the stages to ``documents``; what each returns is written to the shared folder and read again."""
+    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
