@@ -118,12 +118,12 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
     bins, offsets = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
     never = np.iinfo(np.int64).max
     for at, s in enumerate(lengths.tolist()):
-        # Change of the sum of squares, halved: a gap g >= s turns into g - s; a gap of 0 is closed and counts none.
-        change = np.where(count[s:] > 0, count[:capacity + 1 - s] - count[s:] + 1, never)
+        # Change of the sum of squares: a gap g >= s turns into g - s; a gap of 0 is closed and counts none.
+        change = np.where(count[s:] > 0, 2 * (count[:capacity + 1 - s] - count[s:]) + 2, never)
         if change[0] != never:
-            change[0] = -count[s]  # closes a bin
+            change[0] = 1 - 2 * count[s]  # closes a sequence
         g = int(change.argmin()) + s
-        fresh = int(count[capacity - s]) if s < capacity else -1
+        fresh = 2 * int(count[capacity - s]) + 1 if s < capacity else 0
         if change[g - s] <= fresh:
             b = stacks[g].pop()
             count[g] -= 1

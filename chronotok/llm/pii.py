@@ -100,6 +100,10 @@ LOOSE = {
     "phone": re.compile(r"(?:\+|\(|[0-9])(?:[ ()./-]{0,2}[0-9]){6,14}"),
     "secret": re.compile(r"(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])[A-Za-z0-9+/_=-]{12,512}"),
 }
+# A number is no candidate where it is only part of a longer one.
+NUMBER_KINDS = ("ip", "card", "phone")
+CUT_NUMBER_AFTER = re.compile(r"[./-]?[0-9]")
+CUT_NUMBER_BEFORE = re.compile(r"[0-9][./-]?$")
 BEFORE = {
     "email": re.compile(r"(?i)(?:mail|contact|write)\W*(?:\w+\W+){0,2}$"),
     "ip": re.compile(r"(?i)\b(?:ip|host|server|address|addr)\W*(?:\w+\W+){0,2}$"),
@@ -177,8 +181,9 @@ def _lattice(text: str, a: int, b: int) -> tuple[list[tuple[int, int]], list[lis
             span = text[x:y]
             if not any(c in "0123456789@[(tT" for c in span):
                 continue
+            partial = CUT_NUMBER_AFTER.match(text, y) or CUT_NUMBER_BEFORE.search(text[max(0, x - 2):x])
             for kind in KINDS:
-                if LOOSE[kind].fullmatch(span):
+                if not (partial and kind in NUMBER_KINDS) and LOOSE[kind].fullmatch(span):
                     ends[j].append((i, kind, _features(kind, text, x, y)))
     return tokens, ends
 
