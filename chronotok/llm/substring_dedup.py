@@ -2,23 +2,26 @@
 
 Words are tokens and a window of ``k`` words is an edge of the De Bruijn graph, from its first k - 1 words to its
 last. An edge matters where it starts in a document with a smaller id too; its canonical occurrence, the first by
-(id, row, position), is its source coordinate.
+(id, position), is its source coordinate.
 
 1. Candidates. Equal windows have equal minimizers (the least hash of their ``m``-word parts), so a window whose
    minimizer occurs in one document only cannot repeat. Each document sends its distinct minimizers, a fifth of its
    words; those found in two documents come back to it.
-2. Edges. Candidate windows meet by hash and learn their source coordinate.
-3. Compaction. Consecutive edges of a document whose source coordinates are consecutive too form a path that does
-   not branch; each such path becomes one row (document, start, length, source, source start). A path ends where the
-   graph branches, because there the coordinates jump.
-4. Verification. Paths are joined to their source documents, which return a 128-bit digest of the words at the
+2. Runs. Consecutive candidate windows with one minimizer are compacted to one row each before anything is sent.
+   Equal runs meet by hash: all but the first document's know their source at once.
+3. Edges. Only the first occurrence of each different run is opened into its windows, which meet by hash in turn;
+   so a window that different runs hold still learns the smallest document that has it.
+4. Compaction. Runs and edges that follow one another in a document and in its source form a path that does not
+   branch; each such path becomes one row (document, start, length, source, source start). A path ends where the
+   graph branches, because there the source coordinates jump.
+5. Verification. Paths are joined to their source documents, which return a 128-bit digest of the words at the
    source coordinates; only a path whose own words have that digest is removed, so a collision of 64-bit hashes
    removes nothing.
 
-Hot windows: a task first settles what it can see itself. Of the rows with one hash in a block of texts, only the
-one of the smallest document has to meet the other tasks; the rest already know a smaller document and travel
-under a salt. So a hash gets at most one row for each block, however many documents hold it. The texts cross the
-cluster once, and the three joins with them reuse that exchange.
+Hot windows: a task first settles what it can see itself. Of the rows with one hash in a block of texts, only those
+of the smallest document have to meet the other tasks; the rest already know a smaller document and travel under a
+salt. So a hash gets at most one document's rows for each block, however many documents hold it. The texts cross
+the cluster once, and the four joins with them reuse that exchange.
 
 Defined results: words are runs between ASCII white space, unchanged; a null, empty or short text has no window and
 keeps its words; rows with a null id take no part and keep their words; rows with one id count as one document, so
@@ -41,6 +44,7 @@ WINDOW_WORDS = 13
 MINIMIZER_WORDS = 5
 BLOCK_WORDS = 500_000
 SALTS = 1 << 12
+ROW_SHIFT = 40  # a position is the word within its row, with 23 bits of the row's text hash above
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -73,134 +77,181 @@ def sliding_min(g: np.ndarray, width: int) -> np.ndarray:
 class _Block:
     """Some texts' words and hashes side by side, with what belongs to which text."""
 
-    def __init__(self, texts: list[list[bytes]], k: int) -> None:
+    def __init__(self, raw: list[str | None], texts: list[list[bytes]], docs: np.ndarray, k: int) -> None:
         sizes = np.array([len(t) for t in texts], np.int64)
+        self.k, self.docs = k, docs
         self.hashes = word_hashes([w for t in texts for w in t])
         n = np.maximum(sizes - k + 1, 0)
-        first = np.cumsum(sizes) - sizes
+        self.first = np.cumsum(sizes) - sizes
         self.owner = np.repeat(np.arange(len(texts)), n)  # of each window
-        self.start = np.arange(len(self.owner)) - np.repeat(np.cumsum(n) - n, n)  # its word within the text
-        self.at = np.repeat(first, n) + self.start  # its word within the block
+        self.word = np.arange(len(self.owner)) - np.repeat(np.cumsum(n) - n, n)  # its word within the text
+        self.at = self.first[self.owner] + self.word  # its word within the block
+        self.pos = np.array([row_part(t) for t in raw], np.int64)[self.owner] + self.word
 
-    def windows(self, k: int) -> np.ndarray:
-        return gram_hashes(self.hashes, k)[self.at] if len(self.at) else np.empty(0, np.uint64)
+    def windows(self) -> np.ndarray:
+        return gram_hashes(self.hashes, self.k)[self.at] if len(self.at) else np.empty(0, np.uint64)
 
-    def minimizers(self, k: int, m: int) -> np.ndarray:
+    def minimizers(self, m: int) -> np.ndarray:
         if not len(self.at):
             return np.empty(0, np.uint64)
-        return sliding_min(gram_hashes(self.hashes, m), k - m + 1)[self.at]
+        return sliding_min(gram_hashes(self.hashes, m), self.k - m + 1)[self.at]
 
 
-def _blocks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, list[list[bytes]]]]:
-    """(first row, number of rows, words of each) for stretches of a batch with about ``BLOCK_WORDS`` words."""
+def row_part(text: str | None) -> int:
+    """What a row adds to its positions, so that rows with one id and different texts keep apart."""
+    return (xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass")) >> 41) << ROW_SHIFT
+
+
+def _blocks(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, int, _Block]]:
+    """(first row, number of rows, block) for stretches of a batch with about ``BLOCK_WORDS`` words."""
+    ids, column = (batch.column(batch.schema.names.index(c)) for c in ("doc_id", "text"))
     at = 0
     while at < batch.num_rows:
-        first, texts, held = at, [], 0
+        first, raw, texts, held = at, [], [], 0
         while at < batch.num_rows and held < BLOCK_WORDS:
-            texts.append(split_words(batch.column(column)[at].as_py()))
+            raw.append(column[at].as_py())
+            texts.append(split_words(raw[-1]))
             held += len(texts[-1])
             at += 1
-        yield first, at - first, texts
+        docs = ids.slice(first, at - first).to_numpy(zero_copy_only=False)
+        yield first, at - first, _Block(raw, texts, docs, k)
 
 
-def _salts(n: int) -> np.ndarray:
-    return (1 + np.arange(n) % SALTS).astype(np.int32)
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Whether a row differs from the one before it."""
+    out = np.ones(len(columns[0]), bool)
+    if len(out):
+        out[1:] = False
+        for c in columns:
+            out[1:] |= c[1:] != c[:-1]
+    return out
 
 
-def _numbers(batch: pa.RecordBatch, column: int, first: int, n: int) -> np.ndarray:
-    return batch.column(column).slice(first, n).to_numpy(zero_copy_only=False)
+def _salts(n: int) -> np.ndarray:
+    return (1 + np.arange(n) % SALTS).astype(np.int32)
 
 
 def _repeated_minimizers(rows: DataFrame, k: int, m: int) -> DataFrame:
-    """``rid`` and ``ms``: the minimizers of the row that documents with two different ids have."""
+    """``doc_id`` and ``ms``: the minimizers of the document that a document with another id has too."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, n, texts in _blocks(b, 2):
-                block = _Block(texts, k)
-                mins = block.minimizers(k, m).view(np.int64)
-                new = np.ones(len(mins), bool)
-                new[1:] = (mins[1:] != mins[:-1]) | (block.owner[1:] != block.owner[:-1])
-                mins, owner = mins[new], block.owner[new]
-                docs, rids = _numbers(b, 0, first, n)[owner], _numbers(b, 1, first, n)[owner]
-                order = np.lexsort((rids, docs, mins))
-                mins, docs, rids = mins[order], docs[order], rids[order]
-                fresh = np.ones(len(mins), bool)
-                fresh[1:] = (mins[1:] != mins[:-1]) | (rids[1:] != rids[:-1]) | (docs[1:] != docs[:-1])
-                mins, docs, rids = mins[fresh], docs[fresh], rids[fresh]
-                head = np.flatnonzero(np.concatenate([[True], mins[1:] != mins[:-1]])) if len(mins) else np.empty(0, int)
+            for _, _, block in _blocks(b, k):
+                mins = block.minimizers(m).view(np.int64)
+                new = _changes(mins, block.owner)
+                mins, docs = mins[new], block.docs[block.owner[new]]
+                order = np.lexsort((docs, mins))
+                mins, docs = mins[order], docs[order]
+                fresh = _changes(mins, docs)
+                mins, docs = mins[fresh], docs[fresh]
+                head = np.flatnonzero(_changes(mins))
                 tail = np.append(head[1:], len(mins)) - 1 if len(head) else head
                 shared = docs[head] != docs[tail]  # found in two documents of this block
-                known = np.repeat(shared, tail - head + 1)
-                salt = np.where(known, _salts(len(mins)), 0).astype(np.int32)
-                probes = np.concatenate([head[shared], tail[shared]])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([x, x[probes]])) for x in (mins,)]
-                    + [pa.array(np.concatenate([salt, np.zeros(len(probes), np.int32)]))]
-                    + [pa.array(np.concatenate([x, x[probes]])) for x in (docs, rids)], ["m", "salt", "doc_id", "rid"])
-
-    found = rows.mapInArrow(run, "m long, salt int, doc_id long, rid long")
+                salt = np.where(np.repeat(shared, tail - head + 1), _salts(len(mins)), 0).astype(np.int32)
+                probes = np.concatenate([head[shared], tail[shared]])  # stand for all of the block at other tasks
+                mins, docs = np.concatenate([mins, mins[probes]]), np.concatenate([docs, docs[probes]])
+                salt = np.concatenate([salt, np.zeros(len(probes), np.int32)])
+                near = np.argsort(docs, kind="stable")  # rows of one document in a row compress best
+                yield pa.RecordBatch.from_arrays([pa.array(x[near]) for x in (mins, salt, docs)],
+                                                 ["m", "salt", "doc_id"])
+
+    found = rows.mapInArrow(run, "m long, salt int, doc_id long")
     same = Window.partitionBy("m", "salt")
     shared = (found.withColumn("lo", F.min("doc_id").over(same)).withColumn("hi", F.max("doc_id").over(same))
               .filter("salt > 0 or lo < hi"))
-    return shared.select("rid", "m").groupBy("rid").agg(F.collect_set("m").alias("ms"))
-
-
-def _repeated_edges(candidates: DataFrame, k: int, m: int) -> DataFrame:
-    """(rid, pos, src_rid, src_pos) of the windows, first of their hash in the row, that a smaller id has too.
-
-    ``candidates`` holds rid, doc_id, text and the row's repeated minimizers ``ms``.
-    """
-    names = ["h", "salt", "doc_id", "rid", "pos", "src_rid", "src_pos"]
-
+    return shared.select("doc_id", "m").groupBy("doc_id").agg(F.collect_set("m").alias("ms"))
+
+
+_SEEN = "h long, salt int, doc_id long, pos long, n int, src_doc long, src_pos long"
+
+
+def _settle(h: np.ndarray, docs: np.ndarray, pos: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Rows of ``_SEEN``: the first of each hash in a row of the table; those after the block's smallest document
+    already have their source."""
+    order = np.lexsort((pos, docs, h))
+    h, docs, pos, n = h[order], docs[order], pos[order], n[order]
+    fresh = _changes(h, docs, pos >> ROW_SHIFT)
+    h, docs, pos, n = h[fresh], docs[fresh], pos[fresh], n[fresh]
+    source = np.maximum.accumulate(np.where(_changes(h), np.arange(len(h)), 0)) if len(h) else np.empty(0, np.int64)
+    known = docs > docs[source]
+    salt = np.where(known, _salts(len(h)), 0).astype(np.int32)
+    near = np.lexsort((pos, docs))  # rows of one document in a row compress best
+    mask = ~known[near]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(x[near]) for x in (h, salt, docs, pos, n.astype(np.int32))]
+        + [pa.array(docs[source][near], mask=mask), pa.array(pos[source][near], mask=mask)],
+        [c.split()[0] for c in _SEEN.split(", ")])
+
+
+def _first_seen(rows: DataFrame) -> DataFrame:
+    """Rows of ``_SEEN`` with the first occurrence of their hash as (src_doc, src_pos)."""
+    first = Window.partitionBy("h", "salt").orderBy("doc_id", "pos")
+    for c in ("doc_id", "pos"):
+        rows = rows.withColumn(f"first_{c}", F.first(c).over(first))
+    return rows.select("doc_id", "pos", "n", F.coalesce("src_doc", "first_doc_id").alias("src_doc"),
+                       F.coalesce("src_pos", "first_pos").alias("src_pos"))
+
+
+def _in_lists(values: np.ndarray, owner: np.ndarray, lists: pa.ListArray) -> np.ndarray:
+    """Whether each value is in its owner's list."""
+    with np.errstate(over="ignore"):
+        mix = lambda x, o: x ^ (o.astype(np.int64) * np.int64(0x5851F42D4C957F2D))
+        wanted = lists.flatten().to_numpy(zero_copy_only=False)
+        lengths = np.diff(lists.offsets.to_numpy())
+        return np.isin(mix(values, owner), mix(wanted, np.repeat(np.arange(len(lists)), lengths)))
+
+
+def _runs(candidates: DataFrame, k: int, m: int) -> DataFrame:
+    """Runs of consecutive candidate windows with one minimizer, with their sources; ``candidates`` has ``ms``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = {c: i for i, c in enumerate(b.schema.names)}
-            for first, n, texts in _blocks(b, at["text"]):
-                block = _Block(texts, k)
-                lists = b.column(at["ms"]).slice(first, n)
-                sizes = np.diff(lists.offsets.to_numpy())
-                values = lists.flatten().to_numpy(zero_copy_only=False)
-                mix = lambda x, o: x ^ (o.astype(np.int64) * np.int64(0x5851F42D4C957F2D))
-                with np.errstate(over="ignore"):
-                    wanted = mix(values, np.repeat(np.arange(n), sizes))
-                    keep = np.isin(mix(block.minimizers(k, m).view(np.int64), block.owner), wanted)
-                h = block.windows(k).view(np.int64)[keep]
-                owner, pos = block.owner[keep], block.start[keep].astype(np.int32)
-                docs, rids = (_numbers(b, at[c], first, n)[owner] for c in ("doc_id", "rid"))
-                order = np.lexsort((pos, rids, docs, h))
-                h, docs, rids, pos = h[order], docs[order], rids[order], pos[order]
-                fresh = np.ones(len(h), bool)
-                fresh[1:] = (h[1:] != h[:-1]) | (rids[1:] != rids[:-1]) | (docs[1:] != docs[:-1])
-                h, docs, rids, pos = h[fresh], docs[fresh], rids[fresh], pos[fresh]
-                new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.empty(0, bool)
-                source = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0)) if len(h) else np.empty(0, int)
-                known = docs > docs[source]
-                salt = np.where(known, _salts(len(h)), 0).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h), pa.array(salt), pa.array(docs), pa.array(rids), pa.array(pos),
-                     pa.array(rids[source], mask=~known), pa.array(pos[source], mask=~known)], names)
-
-    edges = candidates.mapInArrow(run, "h long, salt int, doc_id long, rid long, pos int, src_rid long, src_pos int")
-    first = Window.partitionBy("h", "salt").orderBy("doc_id", "rid", "pos")
-    for c in ("doc_id", "rid", "pos"):
-        edges = edges.withColumn(f"first_{c}", F.first(c).over(first))
-    return edges.filter("salt > 0 or first_doc_id < doc_id").select(
-        "rid", "pos", F.coalesce("src_rid", "first_rid").alias("src_rid"),
-        F.coalesce("src_pos", "first_pos").alias("src_pos"))
-
-
-def _paths(edges: DataFrame, k: int) -> DataFrame:
-    """Edges compacted: (rid, start, n words, src_rid, src_start) of each path that does not branch."""
-    along = Window.partitionBy("rid").orderBy("pos")
-    before = F.lag("pos").over(along)
-    joins_on = ((before == F.col("pos") - 1) & (F.lag("src_rid").over(along) == F.col("src_rid"))
-                & (F.lag("src_pos").over(along) == F.col("src_pos") - 1))
-    again = before == F.col("pos")  # rows equal in id and text give every edge again
-    numbered = (edges.withColumn("fresh", F.when(joins_on | again, 0).otherwise(1))
+            for first, size, block in _blocks(b, k):
+                mins = block.minimizers(m).view(np.int64)
+                keep = np.flatnonzero(_in_lists(mins, block.owner, b.column(b.schema.names.index("ms")).slice(first, size)))
+                h, pos, owner = block.windows()[keep], block.pos[keep], block.owner[keep]
+                start = np.flatnonzero(_changes(mins[keep], owner, pos - np.arange(len(pos))))
+                n = np.diff(np.append(start, len(pos)))
+                inside = (np.arange(len(pos)) - np.repeat(start, n)).astype(np.uint64)
+                with np.errstate(over="ignore"):  # order matters: each window is mixed with its place
+                    mixed = (h ^ (inside * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
+                    mixed ^= mixed >> np.uint64(32)
+                    key = np.add.reduceat(mixed, start) if len(start) else mixed
+                yield _settle(key.view(np.int64), block.docs[owner[start]], pos[start], n)
+
+    return _first_seen(candidates.mapInArrow(run, _SEEN))
+
+
+def _edges(opened: DataFrame, k: int) -> DataFrame:
+    """The windows of the runs in ``opened`` (structs of pos and n in the column ``runs``), with their sources."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, size, block in _blocks(b, k):
+                lists = b.column(b.schema.names.index("runs")).slice(first, size)
+                spans = lists.flatten()
+                pos, n = (spans.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+                wanted = np.repeat(pos, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                per_list = np.diff(lists.offsets.to_numpy())
+                per_row = np.bincount(np.repeat(np.arange(size), per_list), n, size).astype(np.int64)
+                offsets = np.concatenate([[0], np.cumsum(per_row)])
+                asked = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(wanted))
+                keep = np.flatnonzero(_in_lists(block.pos, block.owner, asked))
+                yield _settle(block.windows()[keep].view(np.int64), block.docs[block.owner[keep]], block.pos[keep],
+                              np.ones(len(keep), np.int64))
+
+    return _first_seen(opened.mapInArrow(run, _SEEN))
+
+
+def _paths(pieces: DataFrame, k: int) -> DataFrame:
+    """Pieces (pos, n windows, source) compacted: (doc_id, start, n words, src_doc, src_start) of each path."""
+    along = Window.partitionBy("doc_id").orderBy("pos")
+    before = {c: F.lag(c).over(along) for c in ("pos", "n", "src_doc", "src_pos")}
+    joins_on = ((before["pos"] + before["n"] == F.col("pos")) & (before["src_doc"] == F.col("src_doc"))
+                & (before["src_pos"] + before["n"] == F.col("src_pos")))
+    again = before["pos"] == F.col("pos")  # rows equal in id and text give every piece again
+    numbered = (pieces.withColumn("fresh", F.when(joins_on | again, 0).otherwise(1))
                 .withColumn("path", F.sum("fresh").over(along)))
-    return numbered.groupBy("rid", "path").agg(
-        F.min("pos").alias("start"), (F.max("pos") - F.min("pos") + k).cast("int").alias("n"),
-        F.min("src_rid").alias("src_rid"), F.min("src_pos").alias("src_start")).drop("path")
+    return numbered.groupBy("doc_id", "path").agg(
+        F.min("pos").alias("start"), (F.max(F.col("pos") + F.col("n")) - F.min("pos") + (k - 1)).cast("int").alias("n"),
+        F.min("src_doc").alias("src_doc"), F.min("src_pos").alias("src_start")).drop("path")
 
 
 def span_digest(words: list[bytes], start: int, n: int) -> bytes:
@@ -208,23 +259,26 @@ def span_digest(words: list[bytes], start: int, n: int) -> bytes:
 
 
 def _source_digests(texts: DataFrame, paths: DataFrame) -> DataFrame:
-    """(src_rid, src_start, n, digest) of every span that some path names as its source."""
-    asked = (paths.groupBy("src_rid").agg(F.collect_set(F.struct("src_start", "n")).alias("asked"))
-             .withColumnRenamed("src_rid", "rid"))
+    """(src_doc, src_start, n, digest) of every span that some path names as its source."""
+    asked = (paths.groupBy("src_doc").agg(F.collect_set(F.struct("src_start", "n")).alias("asked"))
+             .withColumnRenamed("src_doc", "doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = {c: i for i, c in enumerate(b.schema.names)}
             rows: list[tuple[int, int, int, bytes]] = []
-            for rid, text, spans in zip(*(b.column(at[c]) for c in ("rid", "text", "asked"))):
-                words = split_words(text.as_py())
-                rows += [(rid.as_py(), s["src_start"], s["n"], span_digest(words, s["src_start"], s["n"]))
-                         for s in spans.as_py()]
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+            for doc, text, spans in zip(*(b.column(at[c]) for c in ("doc_id", "text", "asked"))):
+                words, own, doc = split_words(text.as_py()), row_part(text.as_py()), doc.as_py()
+                for s in spans.as_py():
+                    start, n = s["src_start"] - own, s["n"]
+                    if 0 <= start < 1 << ROW_SHIFT:
+                        rows.append((doc, s["src_start"], n, span_digest(words, start, n)))
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)],
-                                             ["src_rid", "src_start", "n", "digest"])
+                                             ["src_doc", "src_start", "n", "digest"])
 
-    return texts.join(asked, "rid").mapInArrow(run, "src_rid long, src_start int, n int, digest binary").distinct()
+    found = texts.join(asked, "doc_id").mapInArrow(run, "src_doc long, src_start long, n int, digest binary")
+    return found.distinct()
 
 
 def _cut(rows: DataFrame, k: int) -> DataFrame:
@@ -234,14 +288,17 @@ def _cut(rows: DataFrame, k: int) -> DataFrame:
             at = {c: i for i, c in enumerate(b.schema.names)}
             n_words, n_removed, kept = [], [], []
             for text, spans in zip(b.column(at["text"]), b.column(at["spans"])):
-                words, spans = split_words(text.as_py()), spans.as_py()
+                text, spans = text.as_py(), spans.as_py()
+                words = split_words(text)
                 gone = np.zeros(len(words), bool)
                 if spans:
+                    own = row_part(text)
                     h = gram_hashes(word_hashes(words), k)
                     hit = np.zeros(len(h), bool)
                     for s in spans:
-                        if span_digest(words, s["start"], s["n"]) == s["digest"]:
-                            hit[s["start"]:s["start"] + s["n"] - k + 1] = True
+                        start = s["start"] - own
+                        if 0 <= start < 1 << ROW_SHIFT and span_digest(words, start, s["n"]) == s["digest"]:
+                            hit[start:start + s["n"] - k + 1] = True
                     hit = np.isin(h, h[hit])
                     edge = np.zeros(len(words) + 1, np.int64)
                     edge[:len(h)] += hit
@@ -259,24 +316,26 @@ def _cut(rows: DataFrame, k: int) -> DataFrame:
 
 
 def repeated_paths(texts: DataFrame, rows: DataFrame, k: int = WINDOW_WORDS, m: int = MINIMIZER_WORDS) -> DataFrame:
-    """Compacted paths of repeated windows; ``texts`` is ``rows`` (doc_id, rid, text) dealt by rid."""
-    minimizers = _repeated_minimizers(rows, k, m)
-    return _paths(_repeated_edges(texts.join(minimizers, "rid"), k, m), k)
+    """Compacted paths of repeated windows; ``texts`` is ``rows`` (doc_id, text; no null ids) dealt by doc_id."""
+    runs = _runs(texts.join(_repeated_minimizers(rows, k, m), "doc_id"), k, m)
+    first = (runs.filter("src_doc >= doc_id").groupBy("doc_id")
+             .agg(F.collect_list(F.struct("pos", "n")).alias("runs")))
+    edges = _edges(texts.join(first, "doc_id"), k)
+    return _paths(runs.filter("src_doc < doc_id").unionByName(edges.filter("src_doc < doc_id")), k)
 
 
 def deduplicate(docs: DataFrame, k: int = WINDOW_WORDS, m: int = MINIMIZER_WORDS, id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
     """``doc_id``, ``n_words``, ``n_removed`` and ``kept_text`` (kept words joined by one space) of every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.withColumn("rid", F.xxhash64("doc_id", "text")).select("doc_id", "rid", "text")
     own = rows.filter("doc_id is not null")
-    texts = own.repartition("rid")
+    texts = own.repartition("doc_id")
     paths = repeated_paths(texts, own, k, m)
     digests = _source_digests(texts, paths)
-    spans = (paths.join(digests, ["src_rid", "src_start", "n"])
-             .groupBy("rid").agg(F.collect_list(F.struct("start", "n", "digest")).alias("spans")))
-    none = F.lit(None).cast("array<struct<start:int,n:int,digest:binary>>")
-    return (_cut(texts.join(spans, "rid", "left"), k)
+    spans = (paths.join(digests, ["src_doc", "src_start", "n"])
+             .groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "digest")).alias("spans")))
+    none = F.lit(None).cast("array<struct<start:bigint,n:int,digest:binary>>")
+    return (_cut(texts.join(spans, "doc_id", "left"), k)
             .unionByName(_cut(rows.filter("doc_id is null").withColumn("spans", none), k)))
 
 
