@@ -68,12 +68,19 @@ def decile_index(value, cuts) -> Column:
     return F.when(n_below >= K.N_QUANTILES, F.lit(0)).otherwise(n_below)
 
 
-def gap_minutes(prev_ts, ts) -> Column:
-    """Minutes between two wall-clock timestamps (NULL when either is NULL).
+def wall_micros(ts) -> Column:
+    """Microseconds of a wall-clock timestamp since 1970-01-01 00:00, from its own fields.
+
+    ``timestampdiff`` reads both sides in the session time zone, where an hour may be missing
+    or come twice; the fields of a TIMESTAMP_NTZ do not depend on it."""
+    t = _c(ts).cast("timestamp_ntz")
+    seconds = F.unix_date(t.cast("date")).cast("bigint") * 86_400 + F.hour(t) * 3_600 + F.minute(t) * 60
+    return seconds * 1_000_000 + (F.extract(F.lit("SECOND"), t) * 1_000_000).cast("bigint")
+
 
-    ``timestampdiff`` on TIMESTAMP_NTZ does not depend on the session time zone."""
-    micros = F.timestamp_diff("MICROSECOND", _c(prev_ts).cast("timestamp_ntz"), _c(ts).cast("timestamp_ntz"))
-    return micros / 60_000_000.0
+def gap_minutes(prev_ts, ts) -> Column:
+    """Minutes between two wall-clock timestamps (NULL when either is NULL)."""
+    return (wall_micros(ts) - wall_micros(prev_ts)) / 60_000_000.0
 
 
 def gap_tokens(minutes) -> Column:
@@ -114,16 +121,6 @@ def token_category(token) -> Column:
     return expr.otherwise(F.lit(K.OTHER_CATEGORY))
 
 
-def parse_concept_token(token) -> tuple[Column, Column]:
-    """(prefix, concept id) of a concept token; strips a ``__TABLE_`` suffix; non-integer -> NULL."""
-    t = F.regexp_replace(_c(token), r"__TABLE_.*$", "")
-    prefix_alt = "|".join(sorted(K.CONCEPT_PREFIX.values(), key=len, reverse=True))
-    prefix = F.regexp_extract(t, rf"^({prefix_alt})", 1)
-    rest = F.regexp_extract(t, rf"^(?:{prefix_alt})(.*)$", 1)
-    cid = F.when(rest.rlike(r"^-?[0-9]+$"), rest.cast("bigint"))
-    return F.when(prefix != "", prefix), cid
-
-
 def target_variants(token) -> Column:
     """distinct names of one target: a long prefix also gives the short name and
     a short prefix also gives the long name (both rules apply independently)."""

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from .profile import lengths
 from .ranking import exclusive_running_sum, global_rank
-from .vocab import bounded_broadcast, id_remap
+from ..session import cut_lineage
+from .vocab import id_remap, special_id
 
 
 def hash_key(seed, *parts) -> Column:
@@ -30,9 +31,8 @@ def remap_tokens(tokens: DataFrame, old_vocab: DataFrame, new_vocab: DataFrame)
     """Ids re-mapped under a shrunk vocabulary (dropped -> ``<UNK>``), and the
     one-row statistics ``(replaced, total, pct_replaced)``."""
     m = id_remap(old_vocab, new_vocab)
-    unk_row = new_vocab.where(F.col("token") == K.UNK).select("token_id").first()
-    unk = unk_row[0] if unk_row else 0
-    mb = bounded_broadcast(m)
+    unk = special_id(new_vocab, K.UNK)
+    mb = m
     out = tokens.join(mb, tokens["token_id"] == mb["old_id"], "left").withColumn(
         "new_id", F.coalesce(F.col("new_id"), F.lit(unk)).cast("int")).drop("old_id")
     replaced = F.sum(((F.col("new_id") == unk) & (F.col("token_id") != unk)).cast("long"))
@@ -56,13 +56,17 @@ def person_split(persons: DataFrame, ratio: float = K.TRAIN_RATIO, seed: int = K
     return ranked.select("person_id", F.when(F.col("_rank") < cut, F.lit(names[0])).otherwise(F.lit(names[1])).alias("split"))
 
 
-def filter_min_length(arrays: DataFrame, min_tokens: int = 10) -> DataFrame:
-    """Keep sequences with more than ``min_tokens`` tokens."""
-    return arrays.where(F.col("n_tokens") > min_tokens)
+def filter_min_length(lens: DataFrame, min_tokens: int = 10) -> DataFrame:
+    """Keep sequences with more than ``min_tokens`` tokens (any table with ``n_tokens``)."""
+    return lens.where(F.col("n_tokens") > min_tokens)
 
 
-def next_token_examples(arrays: DataFrame, max_seq_len: int, seed: int = K.SPLIT_SEED, epoch: int = 0) -> DataFrame:
-    """(input_ids, target_ids) per person.
+def next_token_examples(tokens: DataFrame, lens: DataFrame, max_seq_len: int, seed: int = K.SPLIT_SEED,
+                        epoch: int = 0) -> DataFrame:
+    """(input_ids, target_ids) per person of ``lens`` (:func:`profile.lengths`).
+
+    Only the rows of the slice leave the long token table, so at most ``max_seq_len`` tokens
+    of a person are ever collected.
 
     len <= L: input = t[:-1], target = t[1:]; len > L: a window of L tokens at a
     start drawn from md5(seed|person|epoch) in [0, len-L-1].
@@ -70,11 +74,14 @@ def next_token_examples(arrays: DataFrame, max_seq_len: int, seed: int = K.SPLIT
     n = F.col("n_tokens")
     start = F.when(n > max_seq_len, F.pmod(hash_int(seed, "person_id", F.lit(epoch)), n - max_seq_len)).otherwise(F.lit(0))
     length = F.least(n, F.lit(max_seq_len))
-    a = arrays.withColumn("start", start.cast("int")).withColumn("_len", length)
-    return a.select(
+    a = lens.select("person_id", "n_tokens", start.cast("int").alias("start"), length.alias("_len"))
+    part = tokens.select("person_id", "pos", "token_id").join(a, "person_id").where(
+        (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("start") + F.col("_len")))
+    ids = F.transform(F.sort_array(F.collect_list(F.struct("pos", "token_id"))), lambda x: x["token_id"])
+    return part.groupBy("person_id", "n_tokens", "start", "_len").agg(ids.alias("_t")).select(
         "person_id", "n_tokens", "start",
-        F.slice("tokens", F.col("start") + 1, F.col("_len") - 1).alias("input_ids"),
-        F.slice("tokens", F.col("start") + 2, F.col("_len") - 1).alias("target_ids"),
+        F.slice("_t", F.lit(1), F.col("_len") - 1).alias("input_ids"),
+        F.slice("_t", F.lit(2), F.col("_len") - 1).alias("target_ids"),
     )
 
 
@@ -119,23 +126,18 @@ def sliding_windows(corpus: DataFrame, window: int, stride: int = 1) -> DataFram
     Built from chunks of ``window`` tokens: the window starting in chunk k lies
     in chunks k and k+1, so each token is copied twice (not ``window`` times).
     """
-    n_total = corpus.count()
-    n_windows = max(0, n_total - window)
-    ch = corpus_chunks(corpus, window)
+    ch = cut_lineage(corpus_chunks(corpus, window).withColumn("_n", F.size("tokens")))
+    n_windows = max(0, (ch.agg(F.sum("_n")).first()[0] or 0) - window)
     nxt = ch.select((F.col("chunk_id") - 1).alias("chunk_id"), F.col("tokens").alias("_next"))
     both = ch.join(nxt, "chunk_id", "left").withColumn(
         "_buf", F.concat("tokens", F.coalesce("_next", F.array().cast("array<int>"))))
-    starts = both.select(
-        "chunk_id", "_buf",
-        F.explode(F.sequence(F.lit(0), F.lit(window - 1))).alias("_o"),
-    ).withColumn("start", F.col("chunk_id") * window + F.col("_o"))
-    starts = starts.where((F.col("start") < n_windows) & (F.pmod(F.col("start"), F.lit(stride)) == 0))
-    seq = F.slice("_buf", F.col("_o") + 1, window)
-    return starts.select(
-        F.col("start").cast("bigint").alias("start"),
-        F.slice(seq, 1, window - 1).alias("input_ids"),
-        F.slice(seq, 2, window - 1).alias("target_ids"),
-    )
+    base = F.col("chunk_id") * window
+    offsets = F.filter(F.sequence(F.lit(0), F.lit(window - 1)),
+                       lambda o: (base + o < n_windows) & (F.pmod(base + o, F.lit(stride)) == 0))
+    cut = F.transform(offsets, lambda o: F.struct(  # cut before the explode: no exploded row carries the buffer
+        (base + o).cast("bigint").alias("start"), F.slice("_buf", o + 1, window - 1).alias("input_ids"),
+        F.slice("_buf", o + 2, window - 1).alias("target_ids")))
+    return both.select(F.explode(cut).alias("_w")).select("_w.*")
 
 
 def batches(examples: DataFrame, batch_size: int, seed: int = K.SPLIT_SEED, shuffle: bool = True,

@@ -1,9 +1,9 @@
 """Scoring simulated futures against what happened.
 
 Simulated futures are an input table ``sims(person_id, sim_id, pos, token)``
-(the generator itself is not table work). Rank metrics group by score first:
-scores are ``k / num_samples`` so each target has at most ``num_samples + 1``
-score rows, and the cumulative windows run over that small table.
+(the generator itself is not table work). Rank metrics group by score first and take
+cumulative counts from the two-phase running sum, so a target with a distinct score for
+every person is spread over many tasks too.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from .datasets import hash_int, hash_key
-from .labels import sequence_minutes, sim_events, target_table
+from .labels import sequence_minutes, target_table
+from .ranking import exclusive_running_sum
 
 
 def sim_token_prob(sim_ev: DataFrame, num_samples: int) -> DataFrame:
@@ -75,13 +76,8 @@ def _score_table(scored: DataFrame, keys: list[str]) -> DataFrame:
     """Per (keys, score): positives and negatives, plus cumulative counts above/below."""
     g = scored.groupBy(*keys, "score").agg(
         F.sum(F.col("label")).alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
-    asc = Window.partitionBy(*keys).orderBy("score")
-    desc = Window.partitionBy(*keys).orderBy(F.col("score").desc())
-    every = Window.partitionBy(*keys)
-    return (g.withColumn("neg_below", F.coalesce(F.sum("neg").over(asc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-            .withColumn("tp_cum", F.sum("pos").over(desc.rowsBetween(Window.unboundedPreceding, 0)))
-            .withColumn("fp_cum", F.sum("neg").over(desc.rowsBetween(Window.unboundedPreceding, 0)))
-            .withColumn("P", F.sum("pos").over(every)).withColumn("N", F.sum("neg").over(every)))
+    r = exclusive_running_sum(g, keys, ["score"], ["pos", "neg"], ["pos_below", "neg_below"], total=["P", "N"])
+    return r.withColumn("tp_cum", F.col("P") - F.col("pos_below")).withColumn("fp_cum", F.col("N") - F.col("neg_below"))
 
 
 def auroc(scored: DataFrame, keys: list[str]) -> DataFrame:
@@ -139,12 +135,10 @@ def roc_points(scored: DataFrame, keys: list[str]) -> DataFrame:
                    (F.col("tp_cum") / F.col("P")).alias("tpr"))
     origin = t.select(*keys).distinct().select(*keys, F.lit(None).cast("double").alias("threshold"),
                                                F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
-    allp = pts.unionByName(origin)
-    w = Window.partitionBy(*keys).orderBy(F.col("fpr"), F.col("tpr"))
-    allp = allp.withColumn("_pf", F.lag("fpr").over(w)).withColumn("_pt", F.lag("tpr").over(w))
-    area = F.coalesce((F.col("fpr") - F.col("_pf")) * (F.col("tpr") + F.col("_pt")) / 2, F.lit(0.0))
-    auc = allp.groupBy(*keys).agg(F.sum(area).alias("auc"))
-    return allp.drop("_pf", "_pt").join(auc, keys)
+    # a threshold's step is neg / N wide and lies between the true-positive rates before and after it
+    area = F.col("neg") / F.col("N") * (2 * F.col("tp_cum") - F.col("pos")) / (2 * F.col("P"))
+    auc = t.groupBy(*keys).agg(F.sum(area).alias("auc"))
+    return pts.unionByName(origin).join(auc, keys)
 
 
 def balanced_cohort(labels: DataFrame, targets: list[str], want: int, seed: int = K.SPLIT_SEED) -> DataFrame:
@@ -206,18 +200,17 @@ def cohort_summary(pred: DataFrame, value_col: str = "prob") -> DataFrame:
                     F.stddev_pop(value_col).alias("std"))
 
 
-__all__ = ["sim_events"]
+def predictions_table(index: DataFrame, scored: DataFrame, history: DataFrame) -> DataFrame:
+    """K7/F16: per-patient predictions (label, prob) with the index time as an ISO string and the
+    history's length."""
+    return index.join(scored, "person_id").join(history, "person_id").select(
+        "person_id", F.date_format("index_time", "yyyy-MM-dd'T'HH:mm:ss").alias("index_time"), "label", "prob",
+        "history_len")
 
 
-def predictions_table(index: DataFrame, labels: DataFrame, probs: DataFrame, history_len: DataFrame) -> DataFrame:
-    """K7/F16: per-patient predictions with the index time as an ISO string."""
-    return (index.join(labels, "person_id").join(probs, "person_id").join(history_len, "person_id", "left")
-            .select("person_id", F.date_format("index_time", "yyyy-MM-dd'T'HH:mm:ss").alias("index_time"),
-                    "label", "prob", F.coalesce("history_len", F.lit(0)).cast("int").alias("history_len")))
-
-
-def poisson_cdf(n_terms: int = 12) -> list[float]:
-    """CDF of Poisson(1) at 0..n_terms-1 (the bootstrap weight distribution)."""
+def poisson_cdf(n_terms: int = 13) -> list[float]:
+    """CDF of Poisson(1) at 0..n_terms-1 (the bootstrap weight distribution). The rest has
+    a probability below 2**-32, the step of the hash that draws a weight."""
     import math
 
     out, acc, term = [], 0.0, math.exp(-1.0)
@@ -242,8 +235,7 @@ def bootstrap_auroc(scored: DataFrame, keys: list[str], n_boot: int = 20, seed:
     b = b.withColumn("w", F.size(F.filter(cdf, lambda c: c < u)))
     g = b.groupBy(*keys, "b", "score").agg(F.sum(F.col("w") * F.col("label")).alias("pos"),
                                            F.sum(F.col("w") * (1 - F.col("label"))).alias("neg"))
-    asc = Window.partitionBy(*keys, "b").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    g = g.withColumn("neg_below", F.coalesce(F.sum("neg").over(asc), F.lit(0)))
+    g = exclusive_running_sum(g, [*keys, "b"], ["score"], "neg", "neg_below")
     per = g.groupBy(*keys, "b").agg(
         F.sum(F.col("pos") * (F.col("neg_below") + 0.5 * F.col("neg"))).alias("_num"),
         F.sum("pos").alias("P"), F.sum("neg").alias("N"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from ..sources import omop
 
 # Order of events of one person on equal timestamps: rows still
@@ -67,28 +68,24 @@ def events_of_known_persons(events: DataFrame, person: DataFrame) -> DataFrame:
     return events.join(person.select("person_id"), "person_id", "left_semi")
 
 
-def ordered_events(events: DataFrame, skew_safe: bool | None = None, hot_rows: int | None = None) -> DataFrame:
+def ordered_events(events: DataFrame) -> DataFrame:
     """Per-person sequence number (1-based) and minutes since the previous event.
 
-    Small persons use one window; when the largest person exceeds ``hot_rows`` (one
-    distributed count decides), the position comes from the two-phase running sum
-    and the previous time from a join on ``(person_id, position)``.
+    Windows run inside slices of the (person, order) range, so a person with most of all events
+    is spread over many tasks; the first event of a later slice takes the last time of the
+    slice before it from the small table of spanning persons.
     """
     from ..functions.tokens import gap_minutes
-    from .ranking import HOT_GROUP_ROWS, row_index
-
-    if skew_safe is None:
-        top = events.groupBy("person_id").count().agg(F.max("count")).first()[0] or 0
-        skew_safe = top > (hot_rows or HOT_GROUP_ROWS)
-    if not skew_safe:
-        w = Window.partitionBy("person_id").orderBy(*EVENT_ORDER)
-        return (
-            events.withColumn("ev_seq", F.row_number().over(w))
-            .withColumn("prev_ts", F.lag("ts").over(w))
+    from .ranking import Slices
+
+    s = Slices(events, ["person_id"], EVENT_ORDER)
+    spans = s.spanning(F.count(F.lit(1)).alias("_rows"), F.max("ts").alias("_last_ts"))
+    spans = (spans.withColumn("_before", F.coalesce(F.sum("_rows").over(s.earlier), F.lit(0)))
+             .withColumn("_prev_slice_ts", F.lag("_last_ts").over(s.along)).drop("_rows", "_last_ts"))
+    rows = (s.rows.withColumn("_rn", F.row_number().over(s.window))
+            .withColumn("_lag_ts", F.lag("ts").over(s.window)))
+    rows = s.join(rows, cut_lineage(spans))
+    return (rows.withColumn("ev_seq", (F.col("_rn") + F.coalesce("_before", F.lit(0))).cast("int"))
+            .withColumn("prev_ts", F.when(F.col("_rn") == 1, F.col("_prev_slice_ts")).otherwise(F.col("_lag_ts")))
             .withColumn("gap_minutes", gap_minutes("prev_ts", "ts"))
-        )
-    e = row_index(events, ["person_id"], EVENT_ORDER, out="_rn", skew_safe=True)
-    prev = e.select("person_id", (F.col("_rn") + 1).alias("_rn"), F.col("ts").alias("prev_ts"))
-    return (e.join(prev, ["person_id", "_rn"], "left")
-            .withColumn("ev_seq", (F.col("_rn") + 1).cast("int")).drop("_rn")
-            .withColumn("gap_minutes", gap_minutes("prev_ts", "ts")))
+            .drop("_slice", "_rn", "_lag_ts", "_before", "_prev_slice_ts"))

@@ -16,6 +16,8 @@ from .datasets import hash_key
 
 # Token-name prefixes recorded as clinical events in a simulated future.
 SIM_EVENT_PREFIXES = ["CONDITION_", "DRUG_", "PROCEDURE_", "MEASUREMENT_", "OBSERVATION_"]
+# Event types a horizon label looks at.
+LABEL_TYPES = ["condition", "medication", "procedure", "measurement"]
 
 
 def days(n: int) -> Column:
@@ -40,15 +42,6 @@ def _indexed(events: DataFrame) -> DataFrame:
     return e.join(span, "person_id")
 
 
-def _indexed_full(events: DataFrame) -> DataFrame:
-    """All event columns plus ``_rn`` (0-based position) and ``_n`` (count) per person."""
-    from .events import EVENT_ORDER
-    from .ranking import row_index
-
-    e = row_index(events, ["person_id"], EVENT_ORDER, out="_rn")
-    return e.join(events.groupBy("person_id").agg(F.count(F.lit(1)).alias("_n")), "person_id")
-
-
 def index_time_end_minus_horizon(events: DataFrame, horizon_days: int) -> DataFrame:
     """``last - h``; when that is not after the first event, the event at ``n // 2``."""
     e = _indexed(events)
@@ -87,20 +80,21 @@ def history_tail(events: DataFrame, index: DataFrame, vocab: DataFrame, n_events
     """Last ``n_events`` clinical events up to the index time, concept tokens in the
     vocabulary only, then ``<EOS>`` -> ``(person_id, pos, token, token_id)``.
     The final numbering window holds at most ``n_events`` rows per person."""
-    from .vocab import bounded_broadcast
+    from .events import EVENT_ORDER
+    from .vocab import special_id
 
     e = events_until(events, index)
-    # position from the end = count - position (size-adaptive); the tail is then a filter
-    tail = _indexed_full(e).withColumn("_from_end", F.col("_n") - F.col("_rn")).where(F.col("_from_end") <= n_events)
-    v = bounded_broadcast(vocab.select("token", "token_id"))
+    # the filter on a descending row number becomes a limit per person before the shuffle
+    last = Window.partitionBy("person_id").orderBy(*[F.col(c).desc_nulls_last() for c in EVENT_ORDER])
+    tail = e.withColumn("_from_end", F.row_number().over(last)).where(F.col("_from_end") <= n_events)
+    v = vocab.select("token", "token_id")
     named = tail.withColumn("token", concept_token("et", "cid")).join(v, "token")  # inner: only known tokens
     w2 = Window.partitionBy("person_id").orderBy(F.col("_from_end").desc())
     body = named.select("person_id", (F.row_number().over(w2) - 1).alias("pos"), "token", "token_id")
     lens = body.groupBy("person_id").agg(F.count(F.lit(1)).alias("_n"))
     persons = index.select("person_id").join(lens, "person_id", "left")
-    eos_row = vocab.where(F.col("token") == K.EOS).select("token_id").first()
     eos = persons.select("person_id", F.coalesce("_n", F.lit(0)).alias("pos"), F.lit(K.EOS).alias("token"),
-                         F.lit(eos_row[0] if eos_row else 0).alias("token_id"))
+                         F.lit(special_id(vocab, K.EOS)).alias("token_id"))
     return body.select("person_id", F.col("pos").cast("int"), "token", "token_id").unionByName(
         eos.select("person_id", F.col("pos").cast("int"), "token", F.col("token_id").cast("int")))
 
@@ -110,8 +104,10 @@ def label_in_window(events: DataFrame, index: DataFrame, horizon_days: int, targ
     """1 when a target clinical event lies in the horizon window.
 
     ``include_start=True``: ``index <= ts <= index + h`` (time-to-event rule);
-    ``False``: ``index < ts <= index + h``.
+    ``False``: ``index < ts <= index + h``. Only conditions, medications, procedures and
+    measurements can be a target; observations and deaths never are.
     """
+    events = events.where(F.col("et").isin(LABEL_TYPES))
     name = concept_token("et", "cid")
     j = events.join(index.select("person_id", "index_time"), "person_id")
     lo = (F.col("ts") >= F.col("index_time")) if include_start else (F.col("ts") > F.col("index_time"))
@@ -135,14 +131,12 @@ def truth_events(current: DataFrame, future: DataFrame, horizon_days: int) -> Da
         "person_id", "ts", concept_token("et", "cid").alias("token")).where(F.col("token").isNotNull())
 
 
-def sequence_minutes(seq: DataFrame, keys: list[str], skew_safe: bool | None = None) -> DataFrame:
-    """Running TIME_* minutes (inclusive) and EOS-before count per sequence
-    (window per sequence, or the two-phase running sum when one sequence is hot)."""
+def sequence_minutes(seq: DataFrame, keys: list[str]) -> DataFrame:
+    """Running TIME_* minutes (inclusive) and EOS-before count per sequence."""
     from .ranking import running_sums
 
     s = seq.withColumn("_dm", time_token_minutes("token")).withColumn("_is_eos", (F.col("token") == K.EOS).cast("int"))
-    s = running_sums(s, keys, ["pos"], ["_dm", "_is_eos"], ["cum_minutes", "_eos_before"], [True, False],
-                     skew_safe=skew_safe)
+    s = running_sums(s, keys, ["pos"], ["_dm", "_is_eos"], ["cum_minutes", "_eos_before"], [True, False])
     return s.drop("_is_eos")
 
 
@@ -167,8 +161,7 @@ def target_table(spark, targets: list[str]) -> DataFrame:
     return t.select("target", F.explode(target_variants("target")).alias("variant"))
 
 
-def label_from_sequence(seqs: DataFrame, targets: list[str], horizon_days: int = 365,
-                        skew_safe: bool | None = None) -> DataFrame:
+def label_from_sequence(seqs: DataFrame, targets: list[str], horizon_days: int = 365) -> DataFrame:
     """Skip leading structural tokens, accumulate TIME_* minutes, and
     flag a target seen while the running minutes are at most the horizon (``>`` stops).
 
@@ -183,7 +176,7 @@ def label_from_sequence(seqs: DataFrame, targets: list[str], horizon_days: int =
     start = seqs.where(~is_structural_leading(named)).groupBy("person_id").agg(F.min("pos").alias("_start"))
     s = seqs.join(start, "person_id").withColumn("_started", (F.col("pos") >= F.col("_start")).cast("int"))
     s = s.withColumn("_dm", F.when(F.col("_started") == 1, time_token_minutes("token")).otherwise(0))
-    s = running_sums(s, ["person_id"], ["pos"], ["_dm"], ["_cum"], [True], skew_safe=skew_safe)
+    s = running_sums(s, ["person_id"], ["pos"], ["_dm"], ["_cum"], [True])
     kept = s.where((F.col("_started") == 1) & ~F.col("token").startswith("TIME_") & (F.col("_cum") <= h))
     tv = target_table(seqs.sparkSession, targets)
     hits = kept.join(F.broadcast(tv), kept["token"] == tv["variant"]).select("person_id", "target").distinct()

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.tokens import parse_concept_token, token_category
-from .vocab import bounded_broadcast, decode
+from ..functions.tokens import token_category
+from ..session import cut_lineage
+from .vocab import decode
 
 
 def lengths(tokens: DataFrame) -> DataFrame:
@@ -25,6 +26,13 @@ def token_frequency(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("token_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+def top_tokens(tokens: DataFrame, vocab: DataFrame, k: int = 20) -> DataFrame:
+    """The ``k`` most frequent tokens (ties by id) with their rank."""
+    top = token_frequency(tokens).orderBy(F.col("n").desc(), F.col("token_id")).limit(k)
+    w = Window.orderBy(F.col("n").desc(), F.col("token_id"))  # over k rows
+    return decode(top.withColumn("rank", F.row_number().over(w)), vocab).select("rank", "token_id", "token", "n")
+
+
 def _length_freq(lens: DataFrame) -> DataFrame:
     return lens.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("freq"))
 
@@ -131,14 +139,19 @@ def patient_top_tokens(tokens: DataFrame, vocab: DataFrame, k: int = 10) -> Data
 
 
 def example_timelines(tokens: DataFrame, vocab: DataFrame, min_len: int = 100,
-                      preview: int = 400, per_line: int = 8, n_examples: int = 2) -> DataFrame:
+                      preview: int = 400, per_line: int = 8, n_examples: int = 2, random_seed: int | None = None) -> DataFrame:
     """Decoded preview of up to two patients longer than ``min_len`` (lowest ids),
-    else the two longest; first ``preview`` tokens, ``per_line`` per line."""
+    else the two longest; first ``preview`` tokens, ``per_line`` per line. With ``random_seed``
+    (T5) the patients are the first of all in the order of md5(seed|id)."""
     lens = lengths(tokens)
     long_ones = lens.where(F.col("n_tokens") > min_len).orderBy("person_id").limit(n_examples)
     longest = lens.orderBy(F.col("n_tokens").desc(), F.col("person_id")).limit(n_examples)
     has_long = lens.where(F.col("n_tokens") > min_len).limit(1).count() > 0
     picked = (long_ones if has_long else longest).select("person_id")
+    if random_seed is not None:
+        from .datasets import hash_key
+
+        picked = lens.orderBy(hash_key(random_seed, "person_id"), "person_id").limit(n_examples).select("person_id")
     sel = tokens.join(F.broadcast(picked), "person_id", "left_semi").where(F.col("pos") < preview)
     dec = decode(sel, vocab)
     return dec.groupBy("person_id", F.floor(F.col("pos") / per_line).cast("int").alias("line_no")).agg(
@@ -195,7 +208,7 @@ def concept_dictionary(concept: DataFrame) -> DataFrame:
 
 def lookup_concepts(ids: DataFrame, concept: DataFrame, id_col: str = "concept_id") -> DataFrame:
     """Concept rows for a bounded id list (semi join against the broadcast ids)."""
-    wanted = bounded_broadcast(ids.select(F.col(id_col).alias("concept_id")).distinct())
+    wanted = ids.select(F.col(id_col).alias("concept_id")).distinct()
     return concept.join(wanted, "concept_id", "left_semi")
 
 
@@ -205,8 +218,8 @@ def top_token_report(tokens: DataFrame, vocab: DataFrame, concept: DataFrame,
 
     Percentages are over the tokens that pass the concept filter, before top-k.
     """
-    counts = token_frequency(tokens).withColumnRenamed("n", "raw_count")
-    rows = counts.join(bounded_broadcast(vocab.select("token_id", "token")), "token_id")
+    counts = cut_lineage(token_frequency(tokens).withColumnRenamed("n", "raw_count"))  # read twice below
+    rows = counts.join(vocab.select("token_id", "token"), "token_id")
     is_concept = None
     for p in K.REPORT_CONCEPT_PREFIXES:
         is_concept = F.col("token").startswith(p) if is_concept is None else is_concept | F.col("token").startswith(p)
@@ -258,18 +271,15 @@ def concept_name(concept: DataFrame, concept_id: int) -> DataFrame:
     return concept.where(F.col("concept_id") == F.lit(concept_id)).select("concept_id", "concept_name")
 
 
-__all__ = [
-    "dataset_profile", "example_timelines", "length_buckets", "length_histogram", "length_summary",
-    "lengths", "patient_top_tokens", "standard_concepts", "token_frequency", "token_label",
-    "top_token_report", "vocab_report", "parse_concept_token",
-]
-
-
-def select_patient(tokens: DataFrame, person_id: int) -> DataFrame:
-    """One patient's tokens (an empty result means "not found")."""
-    return tokens.where(F.col("person_id") == F.lit(person_id))
+def select_patient(tokens: DataFrame, person_id: int, shown: int = 10) -> DataFrame:
+    """One patient's tokens; for an unknown id an error that names the first known ids."""
+    own = tokens.where(F.col("person_id") == F.lit(person_id))
+    if own.isEmpty():
+        first = [r.person_id for r in first_patient_ids(tokens, shown).collect()]
+        raise LookupError(f"patient {person_id} not found; the first ids are {first}")
+    return own
 
 
 def first_patient_ids(tokens: DataFrame, n: int = 10) -> DataFrame:
-    """P19 helper: the first ``n`` patient ids, shown when a requested id is missing."""
+    """P19 helper: the first ``n`` patient ids."""
     return tokens.select("person_id").distinct().orderBy("person_id").limit(n)

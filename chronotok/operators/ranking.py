@@ -1,17 +1,17 @@
-"""Skew-proof running sums and ranks.
+"""Skew-proof running sums, positions and neighbours.
 
 A running sum over a group ordered by a key (``sum(w) over (partition by g
 order by k)``) puts a whole group into one task. When one group may hold a
-third of all rows -- one lab concept with most measurement values, or the
-global order of all persons -- that task never finishes. These helpers
-compute the same running sums in two phases:
-
-1. range-partition rows by ``(group, order)`` so a hot group spans many
-   partitions, and materialise that assignment with a reliable checkpoint;
-2. running sums inside each ``(partition, group)`` slice (bounded size), plus
-   an offset per slice from the small table of slice totals.
-
-The slice-total table has at most ``partitions + groups`` rows.
+third of all rows -- one lab concept with most measurement values, one person
+with most events, or the global order of all persons -- that task never
+finishes. Everything here works in two phases, at every size:
+
+1. rows are range-partitioned by ``(group, order)`` so a hot group spans many
+   slices, and written with their slice number;
+2. windows run inside each ``(slice, group)``, whose size is bounded, and the
+   few groups that span slices get what they need from other slices out of a
+   small table. That table has at most two rows per slice (a slice can share
+   only its first and its last group with others), so it is broadcast.
 """
 
 from __future__ import annotations
@@ -28,46 +28,77 @@ def _n_parts(df: DataFrame, num_partitions: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+class Slices:
+    """Rows of ``df`` cut into slices of the ``(group, order)`` range.
+
+    ``order_cols`` must make rows unique within a group, or ties must be interchangeable.
+    """
+
+    def __init__(self, df: DataFrame, group_cols: list[str], order_cols: list[str | Column],
+                 num_partitions: int | None = None):
+        order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
+        keys = [F.col(g) for g in group_cols]
+        self.groups = group_cols
+        self.rows = cut_lineage(df.repartitionByRange(_n_parts(df, num_partitions), *keys, *order)
+                                .withColumn("_slice", F.spark_partition_id()))
+        self.window = Window.partitionBy("_slice", *group_cols).orderBy(*order)
+        self.before = self.window.rowsBetween(Window.unboundedPreceding, -1)
+        self.whole = self.window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        over = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy(F.lit(0))
+        self.along = over.orderBy("_slice")  # over slices of one group, never over its rows
+        self.earlier = self.along.rowsBetween(Window.unboundedPreceding, -1)
+        self.all = self.along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+    def spanning(self, *aggregates: Column, rows: DataFrame | None = None) -> DataFrame:
+        """One row of aggregates for each slice of the groups that lie in several slices."""
+        per = (rows if rows is not None else self.rows).groupBy("_slice", *self.groups).agg(*aggregates)
+        n = F.count(F.lit(1)).over(self.all)
+        return per.withColumn("_n_slices", n).where(F.col("_n_slices") > 1).drop("_n_slices")
+
+    def join(self, rows: DataFrame, table: DataFrame, how: str = "left") -> DataFrame:
+        """Add a (materialised, small) table with one row per slice of a spanning group."""
+        t = table.select(*[F.col(c).alias(f"_k_{c}") for c in ("_slice", *self.groups)],
+                         *[c for c in table.columns if c not in ("_slice", *self.groups)])
+        on = None
+        for c in ("_slice", *self.groups):
+            same = rows[c].eqNullSafe(t[f"_k_{c}"])
+            on = same if on is None else on & same
+        out = rows.join(F.broadcast(t), on, how)  # at most two rows per slice
+        return out if how == "left_semi" else out.drop(*[f"_k_{c}" for c in ("_slice", *self.groups)])
+
+
 def exclusive_running_sum(
     df: DataFrame,
     group_cols: list[str],
     order_cols: list[str | Column],
     weight: str | list[str],
     out: str | list[str] = "offset",
-    total: str | None = None,
+    total: str | list[str] | None = None,
     num_partitions: int | None = None,
 ) -> DataFrame:
-    """Add ``out`` = sum of ``weight`` over rows of the same group strictly before
-    this row in ``order_cols`` order (0 for the first), and optionally ``total``
-    = the group's full sum (of the first weight). ``order_cols`` must make rows
-    unique within a group. Several weights may be summed in the same pass.
-    """
-    if isinstance(weight, list):
-        return _multi_running_sum(df, group_cols, order_cols, weight, out, num_partitions)
-    n = _n_parts(df, num_partitions)
-    order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    keyed = cut_lineage(
-        df.repartitionByRange(n, *[F.col(g) for g in group_cols], *order)
-        .withColumn("_slice", F.spark_partition_id())
-    )
-    w_in = (
-        Window.partitionBy("_slice", *group_cols)
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    within = keyed.withColumn("_in", F.coalesce(F.sum(weight).over(w_in), F.lit(0)))
-    slices = keyed.groupBy("_slice", *group_cols).agg(F.sum(weight).alias("_t"))
-    w_sl = Window.partitionBy(*group_cols).orderBy("_slice") if group_cols else Window.orderBy("_slice")
-    slice_off = slices.withColumn(
-        "_p", F.coalesce(F.sum("_t").over(w_sl.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    )
-    keep = ["_slice", *group_cols, "_p"]
-    if total:
-        w_all = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy(F.lit(0))
-        slice_off = slice_off.withColumn(total, F.sum("_t").over(w_all))
-        keep.append(total)
-    res = within.join(slice_off.select(*keep), ["_slice", *group_cols])
-    return res.withColumn(out, F.col("_p") + F.col("_in")).drop("_slice", "_in", "_p")
+    """Add ``out`` = sum of ``weight`` over rows of the same group strictly before this row in
+    ``order_cols`` order (0 for the first), and optionally ``total`` = the group's full sum.
+    Several weights (with as many ``out`` and ``total`` names) are summed in the same pass."""
+    weights = [weight] if isinstance(weight, str) else list(weight)
+    outs = [out] if isinstance(out, str) else list(out)
+    totals = [] if total is None else [total] if isinstance(total, str) else list(total)
+    s = Slices(df, group_cols, order_cols, num_partitions)
+    spans = s.spanning(*[F.sum(w).alias(f"_t_{i}") for i, w in enumerate(weights)])
+    for i in range(len(weights)):
+        spans = spans.withColumn(f"_p_{i}", F.coalesce(F.sum(f"_t_{i}").over(s.earlier), F.lit(0)))
+        spans = spans.withColumn(f"_a_{i}", F.sum(f"_t_{i}").over(s.all))
+    spans = cut_lineage(spans.drop(*[f"_t_{i}" for i in range(len(weights))]))
+    rows = s.rows
+    for i, w in enumerate(weights):
+        rows = rows.withColumn(f"_in_{i}", F.coalesce(F.sum(w).over(s.before), F.lit(0)))
+    for i, _ in enumerate(totals):
+        rows = rows.withColumn(f"_own_{i}", F.sum(weights[i]).over(s.whole))
+    rows = s.join(rows, spans)
+    for i, o in enumerate(outs):
+        rows = rows.withColumn(o, F.col(f"_in_{i}") + F.coalesce(f"_p_{i}", F.lit(0)))
+    for i, t in enumerate(totals):
+        rows = rows.withColumn(t, F.coalesce(f"_a_{i}", f"_own_{i}"))
+    return rows.drop("_slice", *[f"_{k}_{i}" for i in range(len(weights)) for k in ("in", "own", "p", "a")])
 
 
 def global_rank(df: DataFrame, order_cols: list[str | Column], out: str = "rank",
@@ -79,57 +110,16 @@ def global_rank(df: DataFrame, order_cols: list[str | Column], out: str = "rank"
     ).drop("_one")
 
 
-def _multi_running_sum(df, group_cols, order_cols, weights, outs, num_partitions):
-    n = _n_parts(df, num_partitions)
-    order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    keyed = cut_lineage(
-        df.repartitionByRange(n, *[F.col(g) for g in group_cols], *order).withColumn("_slice", F.spark_partition_id()))
-    w_in = Window.partitionBy("_slice", *group_cols).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    within = keyed
-    for wt, o in zip(weights, outs):
-        within = within.withColumn(f"_in_{o}", F.coalesce(F.sum(wt).over(w_in), F.lit(0)))
-    slices = keyed.groupBy("_slice", *group_cols).agg(*[F.sum(wt).alias(f"_t_{o}") for wt, o in zip(weights, outs)])
-    w_sl = (Window.partitionBy(*group_cols) if group_cols else Window.partitionBy(F.lit(0))).orderBy("_slice") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    for o in outs:
-        slices = slices.withColumn(f"_p_{o}", F.coalesce(F.sum(f"_t_{o}").over(w_sl), F.lit(0)))
-    res = within.join(slices.select("_slice", *group_cols, *[f"_p_{o}" for o in outs]), ["_slice", *group_cols])
-    for o in outs:
-        res = res.withColumn(o, F.col(f"_p_{o}") + F.col(f"_in_{o}")).drop(f"_p_{o}", f"_in_{o}")
-    return res.drop("_slice")
-
-
-# Rows one task may hold for one group before the two-phase path is used.
-HOT_GROUP_ROWS = 5_000_000
-
-
 def running_sums(df: DataFrame, group_cols: list[str], order_cols: list[str], weights: list[str], outs: list[str],
-                 inclusive: list[bool], hot_rows: int = HOT_GROUP_ROWS, skew_safe: bool | None = None) -> DataFrame:
-    """Running sums of several weights within groups, choosing the plan by group size.
-
-    One distributed count finds the largest group. Up to ``hot_rows`` rows a window
-    per group is used (one shuffle); beyond it the two-phase running sum spreads a
-    hot group over many tasks. ``inclusive[i]`` adds the row's own weight.
-    """
-    if skew_safe is None:
-        top = df.groupBy(*group_cols).count().agg(F.max("count")).first()[0] or 0
-        skew_safe = top > hot_rows
-    if skew_safe:
-        r = exclusive_running_sum(df, group_cols, order_cols, list(weights), list(outs))
-        for wt, o, inc in zip(weights, outs, inclusive):
-            if inc:
-                r = r.withColumn(o, F.col(o) + F.col(wt))
-        return r
-    w = Window.partitionBy(*group_cols).orderBy(*order_cols)
+                 inclusive: list[bool]) -> DataFrame:
+    """Running sums of several weights within groups; ``inclusive[i]`` adds the row's own weight."""
+    r = exclusive_running_sum(df, group_cols, order_cols, list(weights), list(outs))
     for wt, o, inc in zip(weights, outs, inclusive):
-        frame = w.rowsBetween(Window.unboundedPreceding, Window.currentRow if inc else -1)
-        df = df.withColumn(o, F.coalesce(F.sum(wt).over(frame), F.lit(0)))
-    return df
+        if inc:
+            r = r.withColumn(o, F.col(o) + F.col(wt))
+    return r
 
 
-def row_index(df: DataFrame, group_cols: list[str], order_cols: list[str], out: str = "_rn",
-              skew_safe: bool | None = None) -> DataFrame:
-    """0-based position of each row within its group (size-adaptive, see :func:`running_sums`)."""
-    r = running_sums(df.withColumn("_one_", F.lit(1)), group_cols, order_cols, ["_one_"], [out], [False],
-                     skew_safe=skew_safe)
-    return r.drop("_one_")
+def row_index(df: DataFrame, group_cols: list[str], order_cols: list[str], out: str = "_rn") -> DataFrame:
+    """0-based position of each row within its group."""
+    return running_sums(df.withColumn("_one_", F.lit(1)), group_cols, order_cols, ["_one_"], [out], [False]).drop("_one_")

@@ -10,8 +10,6 @@ from .. import constants as K
 from ..functions.tokens import concept_token, year_band
 from .ranking import exclusive_running_sum
 
-CUT_DECIMALS = 6
-
 
 def concept_frequency(events: DataFrame) -> DataFrame:
     """A1: ``count(*)`` by (et, cid) for clinical events, with the concept token."""
@@ -23,37 +21,21 @@ def concept_frequency(events: DataFrame) -> DataFrame:
     )
 
 
-# Distinct values one percentile aggregation buffer may hold for one concept.
-MAX_DISTINCT_PER_CONCEPT = 2_000_000
-
-
 def measurement_deciles(events: DataFrame, min_values: int = K.MIN_VALUES_FOR_QUANTILES,
-                        num_partitions: int | None = None, max_distinct: int = MAX_DISTINCT_PER_CONCEPT,
-                        two_phase: bool | None = None) -> DataFrame:
+                        num_partitions: int | None = None) -> DataFrame:
     """A2: exact linear-interpolation deciles p0, p10, .., p90 per measurement concept
     with at least ``min_values`` non-null values -> ``(cid, n, cuts array<double>)``.
 
-    Values are first collapsed to ``(cid, value) -> freq`` (map-side combine). One
-    distributed count finds the largest number of distinct values of any concept:
-    under ``max_distinct`` a single ``percentile(value, ps, freq)`` aggregate is
-    bounded and used; beyond it (or with ``two_phase=True``) the values are ranked
-    with the skew-proof running sum, so a concept holding most of the measurements
-    is spread over many tasks and only the rows at the 20 needed ranks survive.
+    Values are first collapsed to ``(cid, value) -> freq`` (map-side combine) and then
+    ranked with the skew-proof running sum, so a concept holding most of the measurements
+    is spread over many tasks and only the rows at the 20 needed ranks survive. The cuts
+    keep full precision.
     """
     vals = (
         events.where((F.col("et") == "measurement") & F.col("value_as_number").isNotNull())
         .groupBy("cid", F.col("value_as_number").alias("v"))
         .agg(F.count(F.lit(1)).alias("freq"))
     )
-    if two_phase is None:
-        widest = vals.groupBy("cid").count().agg(F.max("count")).first()[0] or 0
-        two_phase = widest > max_distinct
-    if not two_phase:
-        ps = [i / K.N_QUANTILES for i in range(K.N_QUANTILES)]
-        agg = vals.groupBy("cid").agg(
-            F.sum("freq").alias("n"), F.percentile("v", F.array(*[F.lit(p) for p in ps]), F.col("freq")).alias("_q"))
-        return agg.where(F.col("n") >= min_values).select(
-            "cid", "n", F.transform("_q", lambda q: F.round(q, CUT_DECIMALS)).alias("cuts"))
     ranked = exclusive_running_sum(vals, ["cid"], ["v"], "freq", out="before", total="n",
                                    num_partitions=num_partitions)
     ranked = ranked.where(F.col("n") >= min_values)
@@ -73,7 +55,7 @@ def measurement_deciles(events: DataFrame, min_values: int = K.MIN_VALUES_FOR_QU
     per_j = lo_rows.join(hi_rows, ["cid", "j"])
     frac = h(F.col("j")) - F.floor(h(F.col("j")))
     q = F.col("v_lo") + frac * (F.col("v_hi") - F.col("v_lo"))
-    per_j = per_j.select("cid", "n", "j", F.round(q, CUT_DECIMALS).alias("q"))
+    per_j = per_j.select("cid", "n", "j", q.alias("q"))
     return per_j.groupBy("cid").agg(
         F.max("n").alias("n"),
         F.transform(F.sort_array(F.collect_list(F.struct("j", "q"))), lambda s: s["q"]).alias("cuts"),
@@ -109,15 +91,26 @@ def keep_top_concepts(events: DataFrame, et: str = "measurement", k: int = 200)
     return other.unionByName(kept.select(*events.columns))
 
 
+def stays(events: DataFrame) -> DataFrame:
+    """Stays (admission to the discharge of the same visit, not before it) with their length in days."""
+    from ..functions.tokens import wall_micros
+
+    adm = events.where(F.col("et") == "admission").select(
+        "person_id", F.col("ev_id").alias("visit_id"), F.col("ts").alias("start"))
+    dis = events.where(F.col("et") == "discharge").select(F.col("ev_id").alias("visit_id"), F.col("ts").alias("end"))
+    return adm.join(dis, "visit_id").where(F.col("end") >= F.col("start")).withColumn(
+        "los_days", (wall_micros("end") - wall_micros("start")) / 86_400_000_000.0)
+
+
 def stay_summary(events: DataFrame) -> DataFrame:
     """Per stay (admission to its discharge, same visit id), min / q1 / median / q3 /
     max of the measurement values recorded during the stay, per concept."""
-    adm = events.where(F.col("et") == "admission").select("person_id", F.col("ev_id").alias("visit_id"), F.col("ts").alias("start"))
-    dis = events.where(F.col("et") == "discharge").select(F.col("ev_id").alias("visit_id"), F.col("ts").alias("end"))
-    stays = adm.join(dis, "visit_id").where(F.col("end") >= F.col("start"))
     meas = events.where((F.col("et") == "measurement") & F.col("value_as_number").isNotNull()).select(
         "person_id", "ts", "cid", "value_as_number")
-    j = meas.join(stays, "person_id").where((F.col("ts") >= F.col("start")) & (F.col("ts") <= F.col("end")))
+    # one row per day of a stay, so a measurement meets only the stays of its own day
+    days = stays(events).select("person_id", "visit_id", "start", "end").withColumn("_day", F.explode(F.sequence(F.col("start").cast("date"), F.col("end").cast("date"))))
+    j = meas.withColumn("_day", F.col("ts").cast("date")).join(days, ["person_id", "_day"]).where(
+        (F.col("ts") >= F.col("start")) & (F.col("ts") <= F.col("end")))
     q = F.percentile("value_as_number", F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)]))
     return j.groupBy("visit_id", "cid").agg(
         F.count(F.lit(1)).alias("n"), F.min("value_as_number").alias("min"), q.alias("_q"),
@@ -132,13 +125,10 @@ def los_decile_tokens(events: DataFrame) -> DataFrame:
     the value; above p90 -> 0). Stays whose discharge precedes the admission are skipped."""
     from ..functions.tokens import decile_index
 
-    adm = events.where(F.col("et") == "admission").select("person_id", F.col("ev_id").alias("visit_id"), F.col("ts").alias("start"))
-    dis = events.where(F.col("et") == "discharge").select(F.col("ev_id").alias("visit_id"), F.col("ts").alias("end"))
-    stays = adm.join(dis, "visit_id").where(F.col("end") >= F.col("start")).select(
-        "visit_id", (F.timestamp_diff("MICROSECOND", F.col("start"), F.col("end")) / 86_400_000_000.0).alias("los_days"))
-    as_values = stays.select(F.lit(0).cast("bigint").alias("cid"), F.lit("measurement").alias("et"),
+    each = stays(events).select("visit_id", "los_days")
+    as_values = each.select(F.lit(0).cast("bigint").alias("cid"), F.lit("measurement").alias("et"),
                              F.col("los_days").alias("value_as_number"))
     cuts = measurement_deciles(as_values).select("cuts")  # one row (all stays share cid 0)
-    j = stays.withColumn("_k", F.lit(0)).join(F.broadcast(cuts.withColumn("_k", F.lit(0))), "_k").drop("_k")
+    j = each.withColumn("_k", F.lit(0)).join(F.broadcast(cuts.withColumn("_k", F.lit(0))), "_k").drop("_k")
     return j.select("visit_id", F.round("los_days", 6).alias("los_days"),
                     F.concat(F.lit("LOS_Q"), decile_index("los_days", "cuts").cast("string")).alias("los_token"))

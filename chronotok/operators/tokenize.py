@@ -1,20 +1,19 @@
-"""The tokenizer (Z1-Z4, Z6, Z7, J2, J3) as one DataFrame plan.
-
-Plan shape: person rows (4 static slots) and event rows are unioned and
-hash-partitioned once on ``person_id``. One window pass over that partitioning
-gives the J1 filter (a partition without a person row is dropped), the
-previous timestamp (gap tokens) and the last-row flag (EOS). Each row builds
-its token array with built-in array expressions; a second window pass over
-the same partitioning and order gives each row's token offset, and a single
+"""The tokenizer (Z1-Z4, Z6, Z7, J2, J3) as one DataFrame plan, the same at every size.
+
+Person rows (4 static slots) and event rows are unioned and cut into slices of the
+(person, event order) range (:class:`ranking.Slices`), so a person with most of all events
+is spread over many tasks. Windows inside a slice give the J1 filter (a person without a
+person row is dropped), the previous time (gap tokens), the last-row flag (EOS), the event
+number, the token offset and the successor. Only persons that lie in several slices need
+anything from another slice; they get it from two broadcast tables of at most two rows per
+slice. Each row builds its token array with built-in array expressions, and a single
 ``posexplode`` produces the canonical long form
-``timeline_tokens(person_id, pos, token, token_id, ts, ev_seq)``. The
-vocabulary and the decile cuts are materialised, size-checked tables joined by
-broadcast.
+``timeline_tokens(person_id, pos, token, token_id, ts, ev_seq)``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -28,12 +27,10 @@ from ..functions.tokens import (
     gap_tokens,
     year_band,
 )
+from ..session import cut_lineage
 from .events import EVENT_ORDER
-from .ranking import exclusive_running_sum
-from .vocab import bounded_broadcast, encode
-
-# Rows one task may hold for one person before the skew-safe plan is used.
-HOT_PERSON_ROWS = 5_000_000
+from .ranking import Slices
+from .vocab import encode
 
 ROW_ORDER = ["_kind", *EVENT_ORDER]
 
@@ -50,10 +47,7 @@ def _static_tokens() -> Column:
 def _event_tokens() -> Column:
     et = F.col("et")
     unit = F.concat(F.lit("UNIT_"), F.coalesce(F.col("unit_concept_id").cast("string"), F.lit("None")))
-    q = F.when(
-        F.col("value_as_number").isNotNull() & F.col("cuts").isNotNull(),
-        F.concat(F.lit("Q"), decile_index("value_as_number", "cuts").cast("string")),
-    )
+    q = F.concat(F.lit("Q"), F.col("_decile").cast("string"))  # NULL without a decile
     head = event_token(et)
     visit = F.concat(F.lit("VISIT_TYPE_"), F.coalesce(F.col("visit_type").cast("string"), F.lit("None")))
     return (
@@ -72,8 +66,7 @@ def timeline_tokens(
     as_of_year: int = 2025,
     age: Column | None = None,
     require_events: bool = False,
-    skew_safe: bool | None = False,
-    hot_rows: int = HOT_PERSON_ROWS,
+    num_partitions: int | None = None,
 ) -> DataFrame:
     """Long-form token table for every person of ``demo``.
 
@@ -81,54 +74,59 @@ def timeline_tokens(
     ``cuts`` is ``(cid, cuts)`` from :func:`stats.measurement_deciles`;
     ``age`` overrides the static age expression (default F4 with ``as_of_year``;
     it may refer to columns of ``demo``). ``require_events=True`` drops persons
-    without events.
+    without events. Rows tied on every order key produce identical tokens, so any order
+    among them is fine.
     """
-    if skew_safe is None:  # decide from the largest person (one distributed count)
-        top = events.groupBy("person_id").count().agg(F.max("count")).first()[0] or 0
-        skew_safe = top > hot_rows
-    if skew_safe:
-        return timeline_tokens_skew_safe(events, demo, vocab, cuts, as_of_year, age, require_events)
     age_expr = age if age is not None else age_at(F.lit(as_of_year), F.col("birth_year"))
     static = demo.select(
         "person_id", F.lit(0).alias("_kind"), age_expr.alias("age"),
         "gender_concept_id", "race_concept_id", "birth_year",
     )
-    c = bounded_broadcast(cuts.select(F.col("cid").alias("_cut_cid"), "cuts"))
+    c = cuts.select(F.col("cid").alias("_cut_cid"), "cuts")
     ev = events.join(c, (F.col("cid") == F.col("_cut_cid")) & (F.col("et") == F.lit("measurement")), "left")
-    ev = ev.select(
-        "person_id", F.lit(1).alias("_kind"),
-        *[x for x in EVENT_ORDER], "et", "visit_type", "cuts",
-    )
-    rows = static.unionByName(ev, allowMissingColumns=True)
-
-    w = Window.partitionBy("person_id").orderBy(*ROW_ORDER)
-    # whole-partition aggregates on the same ordered spec, so one sort serves all windows
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = (
-        rows.withColumn("_has_person", F.max((F.col("_kind") == 0).cast("int")).over(whole))
-        .withColumn("_n_events", F.sum(F.col("_kind")).over(whole))
-        .withColumn("_prev_ts", F.lag("ts").over(w))
-        .withColumn("_last", F.lead("_kind").over(w).isNull())
-        .withColumn("ev_seq", (F.row_number().over(w) - 1).cast("int"))
-    )
-    cond = F.col("_has_person") == 1
-    if require_events:
-        cond = cond & (F.col("_n_events") > 0)
-    rows = rows.where(cond)
-    body = F.when(F.col("_kind") == 0, _static_tokens()).otherwise(
-        F.concat(gap_tokens(gap_minutes("_prev_ts", "ts")), _event_tokens())
-    )
-    rows = rows.withColumn(
-        "_toks",
-        F.when(F.col("_last"), F.concat(body, F.array(F.lit(K.EOS)))).otherwise(body),
-    )
-    rows = rows.withColumn(
-        "_off",
-        F.coalesce(F.sum(F.size("_toks")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-    ).withColumn("_next_first", F.lead(F.try_element_at("_toks", F.lit(1))).over(w))
-    long = rows.select(
-        "person_id", "ev_seq", "ts", "_off", F.posexplode(_with_next()).alias("_slot", "_p")
-    ).select(
+    decile = F.when(F.col("value_as_number").isNotNull() & F.col("cuts").isNotNull(),
+                    decile_index("value_as_number", "cuts"))
+    ev = ev.select("person_id", F.lit(1).alias("_kind"), *EVENT_ORDER, "et", "visit_type", decile.alias("_decile"))
+    s = Slices(static.unionByName(ev, allowMissingColumns=True), ["person_id"], ROW_ORDER, num_partitions)
+
+    is_person = (F.col("_kind") == 0).cast("int")
+    spans = s.spanning(F.count(F.lit(1)).alias("_rows"), F.max("ts").alias("_ts"), F.max(is_person).alias("_p"),
+                       F.sum("_kind").alias("_e"))
+    spans = cut_lineage(spans.select(
+        "_slice", "person_id", F.coalesce(F.sum("_rows").over(s.earlier), F.lit(0)).alias("_rows_before"),
+        F.lag("_ts").over(s.along).alias("_ts_before"), F.max("_p").over(s.all).alias("_any_person"),
+        F.sum("_e").over(s.all).alias("_all_events"), F.lead("_slice").over(s.along).isNull().alias("_last_slice")))
+    has_event = (lambda n: n > 0) if require_events else (lambda n: F.lit(True))
+
+    def with_tokens(rows: DataFrame) -> DataFrame:
+        rows = (rows.withColumn("_rn", F.row_number().over(s.window)).withColumn("_lag_ts", F.lag("ts").over(s.window))
+                .withColumn("_end", F.lead("_kind").over(s.window).isNull())
+                .withColumn("_has", F.max(is_person).over(s.whole)).withColumn("_n", F.sum("_kind").over(s.whole)))
+        rows = s.join(rows, spans)
+        rows = rows.where((F.coalesce("_any_person", "_has") == 1) & has_event(F.coalesce("_all_events", "_n")))
+        prev = F.when(F.col("_rn") == 1, F.col("_ts_before")).otherwise(F.col("_lag_ts"))
+        body = F.when(F.col("_kind") == 0, _static_tokens()).otherwise(
+            F.concat(gap_tokens(gap_minutes(prev, "ts")), _event_tokens()))
+        last = F.col("_end") & F.coalesce("_last_slice", F.lit(True))
+        return rows.select(
+            "_slice", "person_id", *ROW_ORDER, "_rn", "_end",
+            (F.col("_rn") - 1 + F.coalesce("_rows_before", F.lit(0))).cast("int").alias("ev_seq"),
+            F.when(last, F.concat(body, F.array(F.lit(K.EOS)))).otherwise(body).alias("_toks"))
+
+    first = F.try_element_at("_toks", F.lit(1))
+    hot = with_tokens(s.join(s.rows, spans.select("_slice", "person_id"), "left_semi"))
+    ends = s.spanning(F.sum(F.size("_toks")).alias("_len"), F.max(F.when(F.col("_rn") == 1, first)).alias("_first"),
+                      rows=hot)
+    ends = cut_lineage(ends.select("_slice", "person_id",
+                                   F.coalesce(F.sum("_len").over(s.earlier), F.lit(0)).alias("_off_before"),
+                                   F.lead("_first").over(s.along).alias("_first_after")))
+
+    rows = with_tokens(s.rows)
+    rows = (rows.withColumn("_off_in", F.coalesce(F.sum(F.size("_toks")).over(s.before), F.lit(0)))
+            .withColumn("_first_next", F.lead(first).over(s.window)))
+    rows = (s.join(rows, ends).withColumn("_off", F.col("_off_in") + F.coalesce("_off_before", F.lit(0)))
+            .withColumn("_next_first", F.when(F.col("_end"), F.col("_first_after")).otherwise(F.col("_first_next"))))
+    long = rows.select("person_id", "ev_seq", "ts", "_off", F.posexplode(_with_next()).alias("_slot", "_p")).select(
         "person_id",
         (F.col("_off") + F.col("_slot")).cast("int").alias("pos"),
         F.col("_p.token").alias("token"),
@@ -149,67 +147,11 @@ def _with_next() -> Column:
 
 
 def _encode_pair(long: DataFrame, vocab: DataFrame) -> DataFrame:
-    """J3 for the token and its successor (both against the broadcast vocabulary)."""
+    """J3 for the token and its successor."""
     out = encode(encode(long, vocab), vocab, token_col="next_token", out="next_token_id")
     return out.withColumn("next_token_id", F.when(F.col("next_token").isNotNull(), F.col("next_token_id"))).drop("next_token")
 
 
-def timeline_tokens_skew_safe(
-    events: DataFrame,
-    demo: DataFrame,
-    vocab: DataFrame,
-    cuts: DataFrame,
-    as_of_year: int = 2025,
-    age: Column | None = None,
-    require_events: bool = False,
-) -> DataFrame:
-    """Same output as :func:`timeline_tokens` without any per-person window.
-
-    A person may hold a large share of all events, so nothing is computed over a
-    whole person in one task: the event number and the count per person come from
-    the range-partitioned running sum, the previous timestamp from a join on
-    ``(person_id, ev_seq)`` (hashed on both keys, so a hot person spreads out),
-    and the token offsets from a second running sum over the event token counts.
-    """
-    age_expr = age if age is not None else age_at(F.lit(as_of_year), F.col("birth_year"))
-    persons = demo.select("person_id", age_expr.alias("age"), "gender_concept_id", "race_concept_id", "birth_year")
-    c = bounded_broadcast(cuts.select(F.col("cid").alias("_cut_cid"), "cuts"))
-    ev = (events.join(demo.select("person_id"), "person_id", "left_semi")  # J1; AQE splits skewed partitions
-          .join(c, (F.col("cid") == F.col("_cut_cid")) & (F.col("et") == F.lit("measurement")), "left")
-          .select("person_id", *EVENT_ORDER, "et", "visit_type", "cuts")
-          .withColumn("_one", F.lit(1)))
-    # rows tied on every order key produce identical tokens, so any order among them is fine
-    seq = exclusive_running_sum(ev, ["person_id"], EVENT_ORDER, "_one", out="_k", total="_n").drop("_one")
-    prev = seq.select("person_id", (F.col("_k") + 1).alias("_k"), F.col("ts").alias("_prev_ts"))
-    seq = seq.join(prev, ["person_id", "_k"], "left")
-    toks = F.concat(gap_tokens(gap_minutes("_prev_ts", "ts")), _event_tokens())
-    toks = F.when(F.col("_k") == F.col("_n") - 1, F.concat(toks, F.array(F.lit(K.EOS)))).otherwise(toks)
-    seq = seq.withColumn("_toks", toks).withColumn("_size", F.size("_toks"))
-    # successor of a row's last token: the first token of the next event (join on (person, k))
-    first = seq.select("person_id", "_k", F.try_element_at("_toks", F.lit(1)).alias("_first"))
-    nxt = first.select("person_id", (F.col("_k") - 1).alias("_k"), F.col("_first").alias("_next_first"))
-    seq = seq.join(nxt, ["person_id", "_k"], "left")
-    seq = exclusive_running_sum(seq.select("person_id", "_k", "ts", "_toks", "_size", "_next_first"), ["person_id"],
-                                ["_k"], "_size", out="_off")
-    ev_long = seq.select(
-        "person_id", (F.col("_k") + 1).cast("int").alias("ev_seq"), "ts", (F.col("_off") + 4).alias("_off"),
-        F.posexplode(_with_next()).alias("_slot", "_p"),
-    ).select("person_id", (F.col("_off") + F.col("_slot")).cast("int").alias("pos"), F.col("_p.token").alias("token"),
-             "ts", "ev_seq", F.col("_p.next_token").alias("next_token"))
-    has_events = events.select("person_id").distinct()
-    p = persons.join(has_events.withColumn("_has", F.lit(True)), "person_id", "left")
-    if require_events:
-        p = p.where(F.col("_has"))
-    p = p.join(first.where(F.col("_k") == 0).select("person_id", F.col("_first").alias("_next_first")), "person_id", "left")
-    static = _static_tokens()
-    static = F.when(F.col("_has").isNull(), F.concat(static, F.array(F.lit(K.EOS)))).otherwise(static)
-    st_long = p.select("person_id", static.alias("_toks"), "_next_first").select(
-        "person_id", F.posexplode(_with_next()).alias("_slot", "_p")).select(
-        "person_id", F.col("_slot").cast("int").alias("pos"), F.col("_p.token").alias("token"),
-        F.lit(None).cast("timestamp_ntz").alias("ts"), F.lit(0).alias("ev_seq"), F.col("_p.next_token").alias("next_token"))
-    return _encode_pair(st_long.unionByName(ev_long), vocab)
-
-
 def timeline_arrays(tokens: DataFrame) -> DataFrame:
     """A25 view: ``(person_id, tokens array<int>, n_tokens)`` ordered by position."""
     return tokens.groupBy("person_id").agg(

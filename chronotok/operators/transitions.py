@@ -47,11 +47,11 @@ def top_k_top_p(bi: DataFrame, k: int = 50, p: float = 1.0) -> DataFrame:
 
 def sequence_logprob(tokens: DataFrame, bi: DataFrame) -> DataFrame:
     """Per person ``sum(log p(next | prev))`` (log, not product, to avoid underflow)."""
-    pairs = next_token_pairs(tokens)
-    j = pairs.join(bi.select(F.col("prev_id").alias("token_id"), F.col("next_id").alias("target_id"), "prob"),
-                   ["token_id", "target_id"], "left")
+    counts = next_token_pairs(tokens).groupBy("person_id", "token_id", "target_id").agg(F.count(F.lit(1)).alias("_c"))
+    j = counts.join(bi.select(F.col("prev_id").alias("token_id"), F.col("next_id").alias("target_id"), "prob"),
+                    ["token_id", "target_id"], "left")
     return j.groupBy("person_id").agg(
-        F.sum(F.log(F.col("prob"))).alias("logprob"), F.count(F.lit(1)).alias("n_pairs"))
+        F.sum(F.col("_c") * F.log(F.col("prob"))).alias("logprob"), F.sum("_c").alias("n_pairs"))
 
 
 def greedy_next(bi: DataFrame) -> DataFrame:
@@ -71,9 +71,11 @@ def cross_entropy(eval_tokens: DataFrame, fit_tokens: DataFrame, vocab_size: int
     n_prev = fit.groupBy(F.col("token_id").alias("prev_id")).agg(F.count(F.lit(1)).alias("n_prev"))
     ev = next_token_pairs(eval_tokens).where(F.col("target_id") != pad_id).select(
         F.col("token_id").alias("prev_id"), F.col("target_id").alias("next_id"))
+    ev = ev.groupBy("prev_id", "next_id").agg(F.count(F.lit(1)).alias("_c"))  # vocabulary-sized from here on
     j = ev.join(n, ["prev_id", "next_id"], "left").join(n_prev, "prev_id", "left")
     prob = (F.coalesce("n", F.lit(0)) + F.lit(alpha)) / (F.coalesce("n_prev", F.lit(0)) + F.lit(alpha * vocab_size))
-    return j.agg(F.count(F.lit(1)).alias("n_pairs"), F.avg(-F.log(prob)).alias("cross_entropy"))
+    return j.agg(F.coalesce(F.sum("_c"), F.lit(0)).cast("bigint").alias("n_pairs"),
+                 (F.sum(-F.log(prob) * F.col("_c")) / F.sum("_c")).alias("cross_entropy"))
 
 
 def simulate(histories: DataFrame, scorer: Callable, num_samples: int, max_new_tokens: int) -> DataFrame:

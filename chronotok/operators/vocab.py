@@ -16,9 +16,6 @@ from .. import constants as K
 from ..functions.tokens import token_category
 from ..session import cut_lineage
 
-# Broadcast limit for vocabulary-sized tables (rows); beyond it joins shuffle.
-BROADCAST_ROWS = 2_000_000
-
 CATEGORY_GROUP_ORDER = ["GENDER", "RACE", "YEAR", "VISIT_TYPE", "UNIT"]
 
 
@@ -65,15 +62,9 @@ def build_vocabulary(categories: DataFrame, concept_counts: DataFrame,
     return cut_lineage(vocab.repartition(1))
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a materialised small table only after checking its row count."""
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def encode(tokens: DataFrame, vocab: DataFrame, token_col: str = "token", out: str = "token_id") -> DataFrame:
     """Token string -> id, default 0 (``<PAD>``) when absent."""
-    v = bounded_broadcast(vocab.select(F.col("token").alias("_tok"), F.col("token_id").alias("_tid")))
+    v = vocab.select(F.col("token").alias("_tok"), F.col("token_id").alias("_tid"))
     return (
         tokens.join(v, tokens[token_col] == v["_tok"], "left")
         .withColumn(out, F.coalesce(F.col("_tid"), F.lit(0)).cast("int"))
@@ -84,7 +75,7 @@ def encode(tokens: DataFrame, vocab: DataFrame, token_col: str = "token", out: s
 def decode(ids: DataFrame, vocab: DataFrame, id_col: str = "token_id", out: str = "token",
            unknown_prefix: str = "UNKNOWN_") -> DataFrame:
     """Id -> token string, default ``<unknown_prefix><id>``."""
-    v = bounded_broadcast(vocab.select(F.col("token_id").alias("_tid"), F.col("token").alias("_tok")))
+    v = vocab.select(F.col("token_id").alias("_tid"), F.col("token").alias("_tok"))
     return (
         ids.join(v, ids[id_col] == v["_tid"], "left")
         .withColumn(out, F.coalesce(F.col("_tok"), F.concat(F.lit(unknown_prefix), F.col(id_col).cast("string"))))
@@ -131,19 +122,34 @@ def shrink_vocabulary(vocab: DataFrame, token_counts: DataFrame, max_vocab_size:
 
 def id_remap(old_vocab: DataFrame, new_vocab: DataFrame) -> DataFrame:
     """Old id -> new id, tokens dropped by the shrink -> ``<UNK>``."""
-    unk_row = new_vocab.where(F.col("token") == K.UNK).select("token_id").first()
-    unk = unk_row[0] if unk_row else 0
+    unk = special_id(new_vocab, K.UNK)
     m = old_vocab.select("token", F.col("token_id").alias("old_id")).join(
         new_vocab.select("token", F.col("token_id").alias("new_id")), "token", "left")
     return m.select("old_id", F.coalesce("new_id", F.lit(unk)).cast("int").alias("new_id"))
 
 
-def resolve_targets(vocab: DataFrame, concept_targets: list[str] | None = None,
-                    regex: str | None = None) -> DataFrame:
-    """Distinct target ids from explicit token names and/or a regex over the vocabulary."""
+def special_id(vocab: DataFrame, token: str) -> int:
+    """Id of a special token; a vocabulary without it is an error."""
+    row = vocab.where(F.col("token") == token).select("token_id").first()
+    if row is None:
+        raise ValueError(f"the vocabulary has no {token}")
+    return row[0]
+
+
+def resolve_targets(vocab: DataFrame, concept_targets: list[str] | None = None, regex: str | None = None,
+                    event_type: str | None = None, concept_ids: list[int] | None = None) -> DataFrame:
+    """Distinct target ids from token names, an event type with concept ids, and/or a regex
+    over the vocabulary. No target at all is an error."""
     cond = F.lit(False)
-    if concept_targets:
-        cond = cond | F.col("token").isin(concept_targets)
+    names = list(concept_targets or [])
+    if event_type and concept_ids:
+        prefix = K.CONCEPT_PREFIX.get(event_type.lower())
+        names += [f"{prefix}{c}" for c in concept_ids] if prefix else []
+    if names:
+        cond = cond | F.col("token").isin(names)
     if regex:
         cond = cond | F.col("token").rlike(regex)
-    return vocab.where(cond).select("token", "token_id").distinct()
+    out = vocab.where(cond).select("token", "token_id").distinct()
+    if out.isEmpty():
+        raise ValueError("no target token resolved: give an event type with concept ids, names or a regex")
+    return out

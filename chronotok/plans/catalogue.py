@@ -16,6 +16,7 @@ from .. import constants as K
 from ..functions import tokens as T
 from ..operators import events as E
 from ..operators import stats
+from ..sources import bridge
 from .oracle_sql import CLINICAL_PREFIX_CASE as CLINICAL_PREFIX_CASE_SQL
 from .oracle_sql import assemble
 from .timelines import build_for
@@ -55,6 +56,34 @@ def q_events_valid_person(spark, sf_dir):
     return build_for(spark, sf_dir, B2).known_events.select(*EV_COLS)
 
 
+FOLDER_TABLES = ["person", "condition_occurrence", "drug_exposure", "procedure_occurrence", "measurement", "observation"]
+
+
+@register("folder_events", assemble(B1, """
+SELECT person_id, CASE WHEN et = 'observation' THEN CAST(CAST(ts AS DATE) AS TIMESTAMP) ELSE ts END AS ts, et, cid, value_as_number,
+       unit_concept_id, visit_type, table_rank, ev_id
+FROM ev_all WHERE et NOT IN ('admission', 'discharge', 'death')"""))
+def q_folder_events(spark, sf_dir):
+    """The bridge written as a folder of drifting parts and read back. One part of each table has
+    text ids, and observations have a date column only."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources.omop import read_omop_dir
+
+    root = f"{ensure_checkpoint_dir(spark)}/folder-{uuid.uuid4().hex}"
+    for name in FOLDER_TABLES:
+        df = bridge.load_bridge(spark, sf_dir, B1).get(name)
+        if df is None:
+            continue
+        if name == "observation":
+            df = df.withColumn("observation_date", F.col("observation_datetime").cast("date")).drop("observation_datetime")
+        odd = F.pmod(F.col("person_id"), F.lit(2)) == 1
+        df.where(~F.coalesce(odd, F.lit(False))).write.parquet(f"{root}/{name}/part=0")
+        df.where(odd).withColumn("person_id", F.col("person_id").cast("string")).write.parquet(f"{root}/{name}/part=1")
+    return E.build_events(read_omop_dir(spark, root)).select(*EV_COLS)
+
+
 @register("visit_events", assemble(B2, f"SELECT {EV_SQL} FROM ev_all WHERE et IN ('admission', 'discharge')"))
 def q_visit_events(spark, sf_dir):
     return build_for(spark, sf_dir, B2).events.where(F.col("et").isin("admission", "discharge")).select(*EV_COLS)
@@ -100,11 +129,9 @@ SELECT token, count(*) AS n_tokens, count(DISTINCT person_id || ':' || CAST(ev_s
 GROUP BY token"""))
 def q_gap_tokens(spark, sf_dir):
     o = E.ordered_events(build_for(spark, sf_dir, B2).known_events)
-    g = o.select("person_id", "ev_seq", F.explode(T.gap_tokens("gap_minutes")).alias("token"))
-    return g.groupBy("token").agg(
-        F.count(F.lit(1)).alias("n_tokens"),
-        F.countDistinct("person_id", "ev_seq").alias("n_events"),
-    )
+    g = T.gap_tokens("gap_minutes")  # repeats of one token at most, so an event counts once for its first
+    return o.select(F.try_element_at(g, F.lit(1)).alias("token"), F.size(g).alias("n")).where("n > 0").groupBy("token").agg(
+        F.sum("n").alias("n_tokens"), F.count(F.lit(1)).alias("n_events"))
 
 
 @register("age_year_tokens", assemble(B2, """
@@ -131,14 +158,14 @@ def q_concept_frequency(spark, sf_dir):
     return build_for(spark, sf_dir, B1).concept_counts.select("et", "cid", "token", "n")
 
 
-_Q_COLS_SQL = ", ".join(f"cuts[{i + 1}] AS q{i}" for i in range(K.N_QUANTILES))
+_Q_COLS_SQL = ", ".join(f"round(cuts[{i + 1}], 6) AS q{i}" for i in range(K.N_QUANTILES))
 
 
 @register("measurement_deciles", assemble(B1, f"SELECT cid, n, {_Q_COLS_SQL} FROM cuts"))
 def q_measurement_deciles(spark, sf_dir):
     c = build_for(spark, sf_dir, B1).cuts
     return c.select("cid", F.col("n").cast("bigint").alias("n"),
-                    *[F.col("cuts")[i].alias(f"q{i}") for i in range(K.N_QUANTILES)])
+                    *[r6(F.col("cuts")[i]).alias(f"q{i}") for i in range(K.N_QUANTILES)])
 
 
 @register("decile_assignment", assemble(B1, """
@@ -149,9 +176,7 @@ FROM ev_known e JOIN cuts c ON e.cid = c.cid
 WHERE e.et = 'measurement' AND e.value_as_number IS NOT NULL"""))
 def q_decile_assignment(spark, sf_dir):
     b = build_for(spark, sf_dir, B1)
-    from ..operators.vocab import bounded_broadcast
-
-    c = bounded_broadcast(b.cuts.select("cid", "cuts"))
+    c = b.cuts.select("cid", "cuts")
     e = b.known_events.where((F.col("et") == "measurement") & F.col("value_as_number").isNotNull())
     return e.join(c, "cid").select(
         "person_id", "ev_id", "cid", "value_as_number",
@@ -169,6 +194,17 @@ def q_vocabulary(spark, sf_dir):
     return build_for(spark, sf_dir, B1).vocab.select("token", "token_id")
 
 
+SMALL_VOCABULARY = 90
+
+
+@register("vocabulary_capped", assemble(B1, "SELECT token, token_id FROM vocab").replace(
+    f"SELECT {K.VOCAB_SIZE} - ", f"SELECT {SMALL_VOCABULARY} - "))
+def q_vocabulary_capped(spark, sf_dir):
+    """A capacity that binds, so only the most frequent concepts get an id."""
+    b = build_for(spark, sf_dir, B1)
+    return V.build_vocabulary(b.categories, b.concept_counts, SMALL_VOCABULARY).select("token", "token_id")
+
+
 @register("vocabulary_orders", assemble(B2, "SELECT token, token_id FROM vocab"))
 def q_vocabulary_orders(spark, sf_dir):
     return build_for(spark, sf_dir, B2).vocab.select("token", "token_id")
@@ -182,11 +218,12 @@ def q_timeline_tokens(spark, sf_dir):
 
 @register("timeline_tokens_skew_safe", assemble(B2, "SELECT person_id, pos, token, token_id FROM tokens"))
 def q_timeline_tokens_skew_safe(spark, sf_dir):
-    """Z1-Z4 through the skew-safe plan (no per-person window); same result as timeline_tokens."""
+    """Z1-Z4 with four times as many slices, so that many persons lie in several; same result as timeline_tokens."""
     b = build_for(spark, sf_dir, B2)
-    from ..operators.tokenize import timeline_tokens_skew_safe
+    from ..operators.tokenize import timeline_tokens
 
-    t = timeline_tokens_skew_safe(b.events, b.demo, b.vocab, b.cuts, as_of_year=b.as_of_year)
+    n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    t = timeline_tokens(b.events, b.demo, b.vocab, b.cuts, as_of_year=b.as_of_year, num_partitions=n)
     return t.select("person_id", "pos", "token", "token_id")
 
 
@@ -231,6 +268,16 @@ def q_dataset_profile(spark, sf_dir):
                       else F.col(c) for c in d.columns])
 
 
+@register("dataset_top_tokens", assemble(B2, """
+SELECT CAST(rk AS INTEGER) AS rank, f.token_id, coalesce(v.token, 'UNKNOWN_' || CAST(f.token_id AS VARCHAR)) AS token, f.n
+FROM (SELECT token_id, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, token_id) AS rk FROM tokens GROUP BY token_id) f
+LEFT JOIN vocab v ON v.token_id = f.token_id WHERE rk <= 20"""))
+def q_dataset_top_tokens(spark, sf_dir):
+    """The 20 most frequent tokens of the dataset profile."""
+    b = build_for(spark, sf_dir, B2)
+    return P.top_tokens(b.tokens, b.vocab, 20)
+
+
 @register("length_summary", assemble(B2, f"""
 SELECT count(*) AS patients, min(n_tokens) AS min_length, max(n_tokens) AS max_length,
        round(avg(n_tokens), 6) AS mean_length, round(quantile_cont(n_tokens, 0.5), 6) AS median_length,
@@ -499,7 +546,7 @@ def q_person_split(spark, sf_dir):
 
 
 def _val_split(b):
-    return D.person_split(b.arrays, K.VALIDATION_RATIO, "42|val", rounding="floor", names=("train", "val"))
+    return D.person_split(P.lengths(b.tokens), K.VALIDATION_RATIO, "42|val", rounding="floor", names=("train", "val"))
 
 
 @register("train_val_split", _ds("SELECT person_id, split FROM split90"))
@@ -517,7 +564,7 @@ SELECT person_id, n_tokens, start, array_to_string(input_ids, ',') AS input_ids,
 FROM examples"""))
 def q_capped_slices(spark, sf_dir):
     b = build_for(spark, sf_dir, B1)
-    ex = D.next_token_examples(D.filter_min_length(b.arrays), MAX_SEQ_LEN, seed=42, epoch=0)
+    ex = D.next_token_examples(b.tokens, D.filter_min_length(P.lengths(b.tokens)), MAX_SEQ_LEN, seed=42, epoch=0)
     return ex.select("person_id", "n_tokens", "start", _ids_str("input_ids").alias("input_ids"),
                      _ids_str("target_ids").alias("target_ids"))
 
@@ -554,7 +601,7 @@ FROM (
 def q_padded_batches(spark, sf_dir):
     b = build_for(spark, sf_dir, B1)
     train = _val_split(b).where(F.col("split") == "train").select("person_id")
-    ex = D.next_token_examples(D.filter_min_length(b.arrays).join(train, "person_id", "left_semi"),
+    ex = D.next_token_examples(b.tokens, D.filter_min_length(P.lengths(b.tokens)).join(train, "person_id", "left_semi"),
                                MAX_SEQ_LEN, seed=42, epoch=0)
     out = D.batches(ex, BATCH_SIZE, seed=42, shuffle=True, drop_last=True)
     return out.select("batch_id", "slot", "person_id", "n_real", _ids_str("input_ids").alias("input_ids"),
@@ -623,7 +670,7 @@ _EVAL_CTX: dict = {}
 
 
 def _ctx(spark, sf_dir) -> EvalContext:
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _EVAL_CTX:
         _EVAL_CTX[key] = EvalContext(build_for(spark, sf_dir, B2), EVAL_CUT, EVAL_H, N_SIMS, N_TARGETS,
                                      PATIENT_LIMIT, READMIT_DAYS)
@@ -734,6 +781,7 @@ def q_target_variants(spark, sf_dir):
 
 @register("label_inclusive", _ev(f"""
 SELECT i.person_id, CAST(max(CASE WHEN f.ts >= i.index_time AND f.ts <= i.index_time + INTERVAL {EVAL_H} DAY
+                                 AND f.et IN ('condition', 'medication', 'procedure', 'measurement')
                                  AND {CLINICAL_PREFIX_CASE_SQL.replace('CASE et', 'CASE f.et')} || CAST(f.cid AS VARCHAR) IN (SELECT target FROM targets)
                             THEN 1 ELSE 0 END) AS INTEGER) AS label
 FROM idx_cur i LEFT JOIN ev_future f ON f.person_id = i.person_id GROUP BY i.person_id"""))
@@ -845,20 +893,24 @@ def q_prevalence(spark, sf_dir):
     return EV.prevalence(c.seq_labels.join(c.cohort, "person_id", "left_semi"))
 
 
-def _metric(name, fn, col):
-    @register(name, _ev(metric_sql("scored", name if name != "roc_points" else "roc")))
+def _metric(name, fn, col, kind=None, src="scored"):
+    @register(name, _ev(metric_sql(src, kind or name)))
     def q(spark, sf_dir):
-        df = fn(_ctx(spark, sf_dir).scored, ["target"])
-        return df.select("target", *[r6(c).alias(c) if c != "threshold" else F.col(c) for c in col])
+        c = _ctx(spark, sf_dir)
+        df = fn(c.scored if src == "scored" else c.scored_all, ["target"])
+        return df.select("target", *[F.col(c).cast("int") if c == "bin" else F.col(c) if c == "threshold" else r6(c).alias(c)
+                                     for c in col])
 
     return q
 
 
+# rank metrics of the balanced cohort (E10); precision and calibration over every evaluated person
 _metric("auroc", EV.auroc, ["auroc"])
-_metric("auprc", EV.auprc, ["auprc"])
-_metric("brier", EV.brier, ["brier"])
-_metric("ece", EV.ece, ["ece"])
-_metric("roc_points", EV.roc_points, ["threshold", "fpr", "tpr", "auc"])
+_metric("roc_points", EV.roc_points, ["threshold", "fpr", "tpr", "auc"], "roc")
+_metric("auprc", EV.auprc, ["auprc"], src="scored_all")
+_metric("brier", EV.brier, ["brier"], src="scored_all")
+_metric("ece", EV.ece, ["ece"], src="scored_all")
+_metric("calibration_bins", EV.calibration_bins, ["bin", "accuracy", "confidence", "weight"], "bins", src="scored_all")
 
 
 @register("tte_metrics", _ev("""
@@ -868,14 +920,7 @@ JOIN (""" + metric_sql("tte_scored", "auprc") + """) p ON a.target = p.target
 JOIN (""" + metric_sql("tte_scored", "brier") + """) b ON a.target = b.target
 JOIN (""" + metric_sql("tte_scored", "ece") + """) e ON a.target = e.target"""))
 def q_tte_metrics(spark, sf_dir):
-    c = _ctx(spark, sf_dir)
-    cur = c.current.join(c.overlap, "person_id", "left_semi")
-    idx = cur.groupBy("person_id").agg(F.max("ts").alias("index_time"))
-    lab = L.label_in_window(c.future, idx, EVAL_H, target_tokens=c.targets, include_start=True)
-    k = c.sim_ev.where(F.col("token").isin(c.targets)).groupBy("person_id").agg(F.countDistinct("sim_id").alias("_k"))
-    scored = lab.join(k, "person_id", "left").select(
-        F.lit("any").alias("target"), "person_id", "label",
-        (F.coalesce("_k", F.lit(0)) / F.lit(float(N_SIMS))).alias("score"))
+    scored = _ctx(spark, sf_dir).tte_scored
     n = scored.agg(F.count(F.lit(1)).alias("n_patients"), F.lit("any").alias("target"))
     out = n.join(EV.auroc(scored, ["target"]), "target").join(EV.auprc(scored, ["target"]), "target").join(
         EV.brier(scored, ["target"]), "target").join(EV.ece(scored, ["target"]), "target")
@@ -909,6 +954,24 @@ def q_length_of_stay(spark, sf_dir):
     return p.select("person_id", r6("los_days").alias("los_days"), "n_sims")
 
 
+@register("los_mae", _ev("""
+SELECT count(*) AS n_patients, round(avg(abs(p.los - t.los)), 6) AS mae
+FROM (SELECT person_id, avg(m / 1440.0) AS los FROM (
+        SELECT person_id, sim_id, arg_min(token, pos) AS first_tok, arg_min(cum_minutes, pos) AS m
+        FROM sim_seq WHERE eos_before = 0 AND token IN ('EVENT_DISCHARGE', 'EVENT_DEATH') GROUP BY 1, 2)
+      WHERE first_tok = 'EVENT_DISCHARGE' GROUP BY person_id) p
+JOIN (SELECT a.person_id, avg((epoch_us(d.ts) - epoch_us(a.ts)) / 86400000000.0) AS los
+      FROM ev_future a JOIN ev_future d ON a.ev_id = d.ev_id AND d.et = 'discharge'
+      WHERE a.et = 'admission' AND d.ts >= a.ts GROUP BY a.person_id) t ON t.person_id = p.person_id"""))
+def q_los_mae(spark, sf_dir):
+    """Mean absolute error of the simulated length of stay against the person's own later stays."""
+    c = _ctx(spark, sf_dir)
+    pred = EV.length_of_stay(c.sims, seq=c.sim_seq)
+    truth = stats.stays(c.future).groupBy("person_id").agg(F.avg("los_days").alias("los_days"))
+    m = EV.mean_absolute_error(pred, truth, "los_days")
+    return m.select("n_patients", r6("mae").alias("mae"))
+
+
 @register("cohort_summary", _ev("SELECT count(*) AS n_patients, round(avg(prob), 6) AS mean, round(stddev_pop(prob), 6) AS std FROM mortality"))
 def q_cohort_summary(spark, sf_dir):
     p = EV.first_of(_ctx(spark, sf_dir).sims, ["EVENT_DEATH"], [], None, N_SIMS, seq=_ctx(spark, sf_dir).sim_seq)
@@ -967,12 +1030,12 @@ def q_date_repair(spark, sf_dir):
 
 
 @register("type_coercion", """
-SELECT TRY_CAST(CAST(l_orderkey * 10 + l_linenumber AS VARCHAR) AS DOUBLE) AS measurement_id,
-       TRY_CAST(CAST(l_orderkey AS VARCHAR) AS DOUBLE) AS person_id,
+SELECT TRY_CAST(CAST(l_orderkey * 10 + l_linenumber AS VARCHAR) AS BIGINT) AS measurement_id,
+       TRY_CAST(CAST(l_orderkey AS VARCHAR) AS BIGINT) AS person_id,
        TRY_CAST(strftime(l_shipdate, '%Y-%m-%d') AS TIMESTAMP) AS measurement_date,
        TRY_CAST(CASE WHEN l_linenumber = 7 THEN 'x' ELSE CAST(l_extendedprice AS VARCHAR) END AS DOUBLE) AS value_as_number,
        'SRC-' || CAST(l_partkey AS VARCHAR) AS measurement_source_value,
-       TRY_CAST(CAST(l_suppkey AS VARCHAR) AS DOUBLE) AS unit_concept_id,
+       TRY_CAST(CAST(l_suppkey AS VARCHAR) AS BIGINT) AS unit_concept_id,
        l_returnflag AS range_flag
 FROM lineitem""")
 def q_type_coercion(spark, sf_dir):
@@ -1050,27 +1113,21 @@ def q_inpatient_mortality_prob(spark, sf_dir):
     return p.select("person_id", r6("prob").alias("prob"))
 
 
-@register("tte_predictions", _ev(f"""
+_TTE_TOKENS = assemble(
+    B2, "SELECT person_id, count(*) AS n FROM tokens GROUP BY person_id", extra=_IDX_SQL, tok_events="ev_hist",
+    tok_demo="demo_idx", age_expr="CASE WHEN birth_year IS NULL THEN 50 ELSE greatest(0, year(index_time) - birth_year) END")
+
+
+@register("tte_predictions", _ev("""
 SELECT i.person_id, strftime(i.index_time, '%Y-%m-%dT%H:%M:%S') AS index_time, s.label, round(s.score, 6) AS prob,
-       CAST(coalesce(h.n, 0) + 1 AS INTEGER) AS history_len
-FROM idx_cur i JOIN tte_scored s ON i.person_id = s.person_id
-LEFT JOIN (SELECT person_id, count(*) AS n FROM (
-    SELECT person_id, row_number() OVER (PARTITION BY person_id ORDER BY ts DESC NULLS LAST, table_rank DESC NULLS LAST,
-           ev_id DESC NULLS LAST, cid DESC NULLS LAST, value_as_number DESC NULLS LAST, unit_concept_id DESC NULLS LAST) AS from_end,
-           {CLINICAL_PREFIX_CASE_SQL} || CAST(cid AS VARCHAR) AS name
-    FROM ev_cur WHERE person_id IN (SELECT person_id FROM overlap))
-  WHERE from_end <= {K.HISTORY_TAIL_EVENTS} AND name IN (SELECT token FROM vocab) GROUP BY person_id) h ON i.person_id = h.person_id"""))
+       CAST(h.n AS INTEGER) AS history_len
+FROM tte_idx i JOIN tte_scored s ON i.person_id = s.person_id JOIN (""" + _TTE_TOKENS + """) h ON h.person_id = i.person_id"""))
 def q_tte_predictions(spark, sf_dir):
-    """K7/F16: per-patient index time (ISO), label, probability and history length."""
+    """K7/F16: per-patient index time (ISO), label, probability and length of the full history."""
     c = _ctx(spark, sf_dir)
-    cur = c.current.join(c.overlap, "person_id", "left_semi")
-    idx = cur.groupBy("person_id").agg(F.max("ts").alias("index_time"))
-    lab = L.label_in_window(c.future, idx, EVAL_H, target_tokens=c.targets, include_start=True)
-    k = c.sim_ev.where(F.col("token").isin(c.targets)).groupBy("person_id").agg(F.countDistinct("sim_id").alias("_k"))
-    probs = c.overlap.join(k, "person_id", "left").select(
-        "person_id", F.round(F.coalesce("_k", F.lit(0)) / F.lit(float(N_SIMS)), 6).alias("prob"))
-    hl = L.history_tail(cur, idx, c.b.vocab).groupBy("person_id").agg(F.count(F.lit(1)).alias("history_len"))
-    return EV.predictions_table(idx, lab, probs, hl)
+    probs = c.tte_scored.select("person_id", "label", r6("score").alias("prob"))
+    lens = c.tte_history.groupBy("person_id").agg(F.count(F.lit(1)).cast("int").alias("history_len"))
+    return EV.predictions_table(c.tte_index, probs, lens)
 
 
 # --------------------------------------------------------------------------- optional paper rows
@@ -1094,10 +1151,10 @@ FROM ({metric_sql(src, 'auroc')}) a LEFT JOIN (
   GROUP BY target) c ON a.target = c.target"""
 
 
-@register("auroc_bootstrap", _ev(_boot_sql("scored")))
+@register("auroc_bootstrap", _ev(_boot_sql("scored_all")))
 def q_auroc_bootstrap(spark, sf_dir):
-    """O3: AUROC with a 95 % Poisson-bootstrap interval per target."""
-    df = EV.bootstrap_auroc(_ctx(spark, sf_dir).scored, ["target"], n_boot=N_BOOT, seed=42)
+    """O3: AUROC with a 95 % Poisson-bootstrap interval per target, over every evaluated person."""
+    df = EV.bootstrap_auroc(_ctx(spark, sf_dir).scored_all, ["target"], n_boot=N_BOOT, seed=42)
     return df.select("target", r6("auroc").alias("auroc"), r6("ci_low").alias("ci_low"), r6("ci_high").alias("ci_high"),
                      "n_boot")
 
@@ -1154,17 +1211,25 @@ def q_stay_summary(spark, sf_dir):
     return stats.stay_summary(build_for(spark, sf_dir, B2).known_events)
 
 
+_LOS_SQL = """
+los_stays AS (
+  SELECT a.ev_id AS visit_id, (epoch_us(d.ts) - epoch_us(a.ts)) / 86400000000.0 AS los_days
+  FROM ev_known a JOIN ev_known d ON a.ev_id = d.ev_id AND d.et = 'discharge'
+  WHERE a.et = 'admission' AND d.ts >= a.ts
+),
+los_rank AS (SELECT los_days AS v, row_number() OVER (ORDER BY los_days) - 1 AS rk, count(*) OVER () AS n FROM los_stays),
+los_cuts AS (
+  SELECT list(a.v + (h.h - floor(h.h)) * (b.v - a.v) ORDER BY h.j) AS cuts
+  FROM (SELECT j, n, (j::DOUBLE / 10.0::DOUBLE) * (n - 1)::DOUBLE AS h FROM (SELECT DISTINCT n FROM los_rank), range(0, 10) r(j)) h
+  JOIN los_rank a ON a.rk = floor(h.h)::BIGINT JOIN los_rank b ON b.rk = least(floor(h.h)::BIGINT + 1, h.n - 1)
+)"""
+
+
 @register("los_decile_tokens", assemble(B2, """
 SELECT s.visit_id, round(s.los_days, 6) AS los_days,
        'LOS_Q' || CAST(CASE WHEN len(list_filter(c.cuts, lambda x: x < s.los_days)) >= 10 THEN 0
                             ELSE len(list_filter(c.cuts, lambda x: x < s.los_days)) END AS VARCHAR) AS los_token
-FROM (SELECT a.ev_id AS visit_id, (epoch_us(d.ts) - epoch_us(a.ts)) / 86400000000.0 AS los_days
-      FROM ev_known a JOIN ev_known d ON a.ev_id = d.ev_id AND d.et = 'discharge'
-      WHERE a.et = 'admission' AND d.ts >= a.ts) s
-CROSS JOIN (SELECT list_transform(quantile_cont(los_days, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]::DOUBLE[]), lambda c: round(c, 6)) AS cuts
-            FROM (SELECT (epoch_us(d.ts) - epoch_us(a.ts)) / 86400000000.0 AS los_days
-                  FROM ev_known a JOIN ev_known d ON a.ev_id = d.ev_id AND d.et = 'discharge'
-                  WHERE a.et = 'admission' AND d.ts >= a.ts)) c"""))
+FROM los_stays s CROSS JOIN los_cuts c""", extra=_LOS_SQL))
 def q_los_decile_tokens(spark, sf_dir):
     """Per-stay length of stay and its decile token."""
     return stats.los_decile_tokens(build_for(spark, sf_dir, B2).known_events)

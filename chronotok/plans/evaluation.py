@@ -60,17 +60,22 @@ class EvalContext:
             "token", F.when(F.col("token") == F.col("token_id").cast("string"), F.lit("")).otherwise(F.col("token")))
 
     @cached_property
-    def sims(self) -> DataFrame:
+    def sim_sources(self) -> DataFrame:
+        """Which future sequence each simulation of a person copies."""
         persons = self.future_tokens.select("person_id").distinct()
         ranked = global_rank(persons, ["person_id"], out="r")
         n_persons = persons.count()
         grid = ranked.select("person_id", "r", F.explode(F.sequence(F.lit(0), F.lit(self.n - 1))).alias("sim_id"))
         grid = grid.withColumn("src_r", F.pmod(F.col("r") + F.col("sim_id") + 1, F.lit(n_persons)))
         src = ranked.select(F.col("r").alias("src_r"), F.col("person_id").alias("src_person"))
+        return grid.join(src, "src_r").select("person_id", "sim_id", "src_person")
+
+    @cached_property
+    def sims(self) -> DataFrame:
+        """The simulated futures themselves: ``(person_id, sim_id, pos, token)``."""
         body = self.future_tokens.where(F.col("pos") >= 4).select(
             F.col("person_id").alias("src_person"), (F.col("pos") - 4).alias("pos"), "token_id")
-        s = grid.join(src, "src_r").join(body, "src_person").select("person_id", "sim_id", "pos", "token_id")
-        # not materialised itself: every score reads the materialised running-minutes table
+        s = self.sim_sources.join(body, "src_person").select("person_id", "sim_id", "pos", "token_id")
         return decode(s, self.b.vocab).select("person_id", "sim_id", "pos", "token")
 
     @cached_property
@@ -81,20 +86,19 @@ class EvalContext:
         return [r["token"] for r in rows]
 
     @cached_property
-    def hot(self) -> bool:
-        """Whether one future sequence exceeds the per-task bound. Every simulation is a
-        copy of a future sequence, so this one count decides the plan of every walk."""
-        from ..operators.ranking import HOT_GROUP_ROWS
-
-        top = self.future_tokens.groupBy("person_id").count().agg(F.max("count")).first()[0] or 0
-        return top > HOT_GROUP_ROWS
+    def future_seq(self) -> DataFrame:
+        """Future sequences without their static tokens up to the first EOS, with running minutes
+        (W4/W8). Every simulation is a copy of one of them, so the walk runs once, before the copies."""
+        body = self.future_tokens.where(F.col("pos") >= 4).select("person_id", (F.col("pos") - 4).alias("pos"), "token_id")
+        s = L.sequence_minutes(decode(body, self.b.vocab), ["person_id"]).where(F.col("_eos_before") == 0)
+        return cut_lineage(s.select("person_id", "pos", "token", "cum_minutes", "_eos_before"))
 
     @cached_property
     def sim_seq(self) -> DataFrame:
-        """Simulations up to the first EOS with running minutes (W4/W8), materialised once
-        because every simulation-based score reads it."""
-        s = L.sequence_minutes(self.sims, ["person_id", "sim_id"], skew_safe=self.hot).where(F.col("_eos_before") == 0)
-        return cut_lineage(s.select("person_id", "sim_id", "pos", "token", "cum_minutes", "_eos_before"))
+        """Simulations up to the first EOS with running minutes, written once because every
+        simulation-based score reads them."""
+        src = self.future_seq.withColumnRenamed("person_id", "src_person")
+        return cut_lineage(self.sim_sources.join(src, "src_person").drop("src_person"))
 
     @cached_property
     def sim_ev(self) -> DataFrame:
@@ -102,7 +106,7 @@ class EvalContext:
 
     @cached_property
     def seq_labels(self) -> DataFrame:
-        return cut_lineage(L.label_from_sequence(self.future_named, self.targets, self.h, skew_safe=self.hot))
+        return cut_lineage(L.label_from_sequence(self.future_named, self.targets, self.h))
 
     @cached_property
     def sim_tprob(self) -> DataFrame:
@@ -119,11 +123,54 @@ class EvalContext:
         return cut_lineage(EV.balanced_cohort(self.seq_labels, self.targets, self.limit))
 
     @cached_property
-    def scored(self) -> DataFrame:
-        lab = self.seq_labels.join(self.cohort, "person_id", "left_semi")
-        return lab.join(self.sim_tprob, ["person_id", "target"]).select(
+    def scored_all(self) -> DataFrame:
+        """Labels and scores of every evaluated person."""
+        return self.seq_labels.join(self.sim_tprob, ["person_id", "target"]).select(
             "target", "person_id", "label", F.col("prob").alias("score"))
 
+    @cached_property
+    def scored(self) -> DataFrame:
+        """Labels and scores of the balanced cohort."""
+        return self.scored_all.join(self.cohort, "person_id", "left_semi")
+
+    @cached_property
+    def tte_index(self) -> DataFrame:
+        """Index time per person, the last event less the horizon (W13), for persons with simulations."""
+        idx = L.index_time_end_minus_horizon(self.b.known_events, self.h)
+        return cut_lineage(idx.join(self.future_tokens.select("person_id").distinct(), "person_id", "left_semi"))
+
+    @cached_property
+    def tte_scored(self) -> DataFrame:
+        """Label from the person's events after the index time, score from the simulations."""
+        lab = L.label_in_window(self.b.known_events, self.tte_index, self.h, target_tokens=self.targets)
+        k = self.sim_ev.where(F.col("token").isin(self.targets)).groupBy("person_id").agg(
+            F.countDistinct("sim_id").alias("_k"))
+        return cut_lineage(lab.join(k, "person_id", "left").select(
+            F.lit("any").alias("target"), "person_id", "label",
+            (F.coalesce("_k", F.lit(0)) / F.lit(float(self.n))).alias("score")))
+
+    @cached_property
+    def tte_history(self) -> DataFrame:
+        """The full history up to the index time as tokens."""
+        from ..functions.tokens import age_at_index
+
+        demo = self.b.demo.join(self.tte_index, "person_id")
+        return self.b.tokens_for(L.events_until(self.b.events, self.tte_index), demo=demo,
+                                 age=age_at_index(F.col("index_time"), F.col("birth_year")))
+
+    def write_results(self, out_dir: str) -> None:
+        """K7: predictions and metrics of the time-to-event job as JSON lines."""
+        from ..sources.sinks import write_json
+
+        lens = self.tte_history.groupBy("person_id").agg(F.count(F.lit(1)).cast("int").alias("history_len"))
+        scored = self.tte_scored.select("person_id", "label", F.col("score").alias("prob"))
+        write_json(EV.predictions_table(self.tte_index, scored, lens), f"{out_dir}/tte_predictions")
+        m = self.tte_scored
+        n = m.agg(F.count(F.lit(1)).alias("n_patients"), F.lit("any").alias("target"))
+        for f in (EV.auroc, EV.auprc, EV.brier, EV.ece):
+            n = n.join(f(m, ["target"]), "target")
+        write_json(n.withColumnRenamed("ece", "ece_10"), f"{out_dir}/tte_metrics")
+
 
 # --------------------------------------------------------------------------- oracle SQL
 
@@ -220,20 +267,31 @@ cohort AS (
     FROM (SELECT DISTINCT person_id FROM seq_labels) WHERE person_id NOT IN (SELECT person_id FROM picked))
   WHERE r <= {limit} - (SELECT count(*) FROM picked)
 ),
-scored AS (
+scored_all AS (
   SELECT l.target, l.person_id, l.label, p.prob AS score
   FROM seq_labels l JOIN sim_tprob p ON p.person_id = l.person_id AND p.target = l.target
-  WHERE l.person_id IN (SELECT person_id FROM cohort)
+),
+scored AS (SELECT * FROM scored_all WHERE person_id IN (SELECT person_id FROM cohort)),
+tte_rows AS (
+  SELECT *, row_number() OVER w - 1 AS rn, count(*) OVER (PARTITION BY person_id) AS n,
+         min(ts) OVER (PARTITION BY person_id) AS first_ts, max(ts) OVER (PARTITION BY person_id) AS last_ts
+  FROM ev_known WINDOW w AS (PARTITION BY person_id ORDER BY ts NULLS FIRST, table_rank NULLS FIRST, ev_id NULLS FIRST,
+                             cid NULLS FIRST, value_as_number NULLS FIRST, unit_concept_id NULLS FIRST)
+),
+tte_idx AS (
+  SELECT person_id, CASE WHEN last_ts - INTERVAL {horizon_days} DAY <= first_ts THEN ts ELSE last_ts - INTERVAL {horizon_days} DAY END AS index_time
+  FROM tte_rows WHERE rn = n // 2 AND person_id IN (SELECT person_id FROM sims)
 ),
 tte_scored AS (
-  SELECT o.person_id, 'any' AS target,
-         CAST(CASE WHEN o.person_id IN (
-           SELECT f.person_id FROM ev_future f JOIN idx_cur i ON f.person_id = i.person_id
-           WHERE f.ts >= i.index_time AND f.ts <= i.index_time + INTERVAL {horizon_days} DAY
+  SELECT i.person_id, 'any' AS target,
+         CAST(CASE WHEN i.person_id IN (
+           SELECT f.person_id FROM ev_known f JOIN tte_idx x ON f.person_id = x.person_id
+           WHERE f.ts >= x.index_time AND f.ts <= x.index_time + INTERVAL {horizon_days} DAY
+             AND f.et IN ('condition', 'medication', 'procedure', 'measurement')
              AND {CLINICAL_PREFIX_CASE_F} || CAST(f.cid AS VARCHAR) IN (SELECT target FROM targets)) THEN 1 ELSE 0 END AS INTEGER) AS label,
          coalesce(k.k, 0) / {float(num_samples)} AS score
-  FROM overlap o LEFT JOIN (SELECT person_id, count(DISTINCT sim_id) AS k FROM sim_ev WHERE token IN (SELECT target FROM targets)
-                            GROUP BY person_id) k ON k.person_id = o.person_id
+  FROM tte_idx i LEFT JOIN (SELECT person_id, count(DISTINCT sim_id) AS k FROM sim_ev WHERE token IN (SELECT target FROM targets)
+                            GROUP BY person_id) k ON k.person_id = i.person_id
 ),
 first_hits AS (
   SELECT person_id, sim_id,
@@ -272,6 +330,13 @@ FROM {tab} GROUP BY target"""
 FROM {tab} GROUP BY target"""
     if kind == "brier":
         return f"SELECT target, round(avg(power(score - label, 2)), 6) AS brier FROM {src} GROUP BY target"
+    if kind == "bins":
+        return f"""SELECT g.target, CAST(g.bin AS INTEGER) AS bin, round(coalesce(b.acc, 0.0), 6) AS accuracy,
+       round(coalesce(b.conf, 0.0), 6) AS confidence, round(coalesce(b.c, 0) / g.n, 6) AS weight
+FROM (SELECT target, count(*) AS n, unnest(range(0, {K.ECE_BINS})) AS bin FROM {src} GROUP BY target) g
+LEFT JOIN (SELECT target, bin, avg(label) AS acc, avg(score) AS conf, count(*) AS c FROM (
+    SELECT *, len(list_filter(list_transform(range(0, {K.ECE_BINS + 1}), lambda i: i * {1.0 / K.ECE_BINS}::DOUBLE), lambda e: e <= score)) - 1 AS bin
+    FROM {src}) WHERE bin >= 0 AND bin < {K.ECE_BINS} GROUP BY 1, 2) b ON g.target = b.target AND g.bin = b.bin"""
     if kind == "ece":
         return f"""SELECT g.target, round(sum(coalesce(b.c, 0) / g.n * abs(coalesce(b.acc, 0.0) - coalesce(b.conf, 0.0))), 6) AS ece
 FROM (SELECT target, count(*) AS n, unnest(range(0, {K.ECE_BINS})) AS bin FROM {src} GROUP BY target) g

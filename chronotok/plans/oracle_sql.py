@@ -23,7 +23,6 @@ CLINICAL_PREFIX_CASE = (
 CLINICAL_LIST = ", ".join(f"'{et}'" for et in K.CLINICAL_TYPES)
 FIXED_VALUES = ", ".join(f"('{t}', {i})" for i, t in enumerate(K.fixed_vocab_tokens()))
 N_FIXED = len(K.fixed_vocab_tokens())
-PCTS = "[" + ", ".join(f"{i / 10:.1f}" for i in range(10)) + "]::DOUBLE[]"
 
 
 def _gap_case(m: str) -> str:
@@ -150,11 +149,19 @@ concept_counts AS (
   SELECT et, cid, count(*) AS n, {CLINICAL_PREFIX_CASE} || CAST(cid AS VARCHAR) AS token
   FROM ev_known WHERE et IN ({CLINICAL_LIST}) GROUP BY et, cid
 ),
-cuts AS (
-  SELECT cid, count(*) AS n,
-         list_transform(quantile_cont(value_as_number, {PCTS}), lambda c: round(c, 6)) AS cuts
+cut_vals AS (
+  SELECT cid, value_as_number AS v, row_number() OVER (PARTITION BY cid ORDER BY value_as_number) - 1 AS rk,
+         count(*) OVER (PARTITION BY cid) AS n
   FROM ev_known WHERE et = 'measurement' AND value_as_number IS NOT NULL
-  GROUP BY cid HAVING count(*) >= {K.MIN_VALUES_FOR_QUANTILES}
+),
+cuts AS (
+  SELECT cid, n, list(q ORDER BY j) AS cuts FROM (
+    SELECT h.cid, h.n, h.j, a.v + (h.h - floor(h.h)) * (b.v - a.v) AS q
+    FROM (SELECT cid, n, j, (j::DOUBLE / 10.0::DOUBLE) * (n - 1)::DOUBLE AS h
+          FROM (SELECT DISTINCT cid, n FROM cut_vals WHERE n >= {K.MIN_VALUES_FOR_QUANTILES}), range(0, {K.N_QUANTILES}) r(j)) h
+    JOIN cut_vals a ON a.cid = h.cid AND a.rk = floor(h.h)::BIGINT
+    JOIN cut_vals b ON b.cid = h.cid AND b.rk = least(floor(h.h)::BIGINT + 1, h.n - 1))
+  GROUP BY cid, n
 ),
 cat_values AS (
   SELECT DISTINCT category, value FROM (

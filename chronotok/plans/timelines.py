@@ -23,8 +23,14 @@ from ..sources import bridge
 class TimelineBuild:
     def __init__(self, tables: dict[str, DataFrame], as_of_year: int = 2025,
                  vocab_size: int = K.VOCAB_SIZE, include_visits: bool = True,
-                 include_death: bool = True):
+                 include_death: bool = True, fit_on: str = "all", split_seed: int = K.SPLIT_SEED,
+                 train_ratio: float = K.TRAIN_RATIO):
+        if fit_on not in ("all", "train"):
+            raise ValueError("fit_on is 'all' or 'train'")
         self.tables = tables
+        self.fit_on = fit_on
+        self.split_seed = split_seed
+        self.train_ratio = train_ratio
         self.as_of_year = as_of_year
         self.vocab_size = vocab_size
         self.include_visits = include_visits
@@ -38,10 +44,8 @@ class TimelineBuild:
     def events(self) -> DataFrame:
         """Unified events (T6), before the person filter.
 
-        Materialised once (K1: the event table): every later plan starts from this
-        table instead of re-deriving the union of all event tables. The scan of a
-        checkpoint reports no partitioning, so it is written as produced (no
-        extra shuffle); the tokenizer's single person shuffle follows.
+        Written once (K1: the event table): every later plan scans this table, with the
+        columns and filters it needs, instead of re-deriving the union of all event tables.
         """
         ev = E.build_events(self.tables, self.include_visits, self.include_death)
         return cut_lineage(ev)
@@ -50,25 +54,35 @@ class TimelineBuild:
     def demo(self) -> DataFrame:
         return cut_lineage(E.demographics(self.tables["person"]))
 
-    def _parts(self) -> int:
-        return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-
     @cached_property
     def known_events(self) -> DataFrame:
         """Events of persons in the person table."""
         return E.events_of_known_persons(self.events, self.demo)
 
+    @cached_property
+    def splits(self) -> DataFrame:
+        """train/test split of the persons."""
+        from ..operators.datasets import person_split
+
+        return cut_lineage(person_split(self.demo, self.train_ratio, self.split_seed))
+
+    def _fitted(self, df: DataFrame) -> DataFrame:
+        """The rows that vocabulary and deciles are learned from: all, or the training persons'."""
+        if self.fit_on == "all":
+            return df
+        return df.join(self.splits.where(F.col("split") == "train").select("person_id"), "person_id", "left_semi")
+
     @cached_property
     def concept_counts(self) -> DataFrame:
-        return stats.concept_frequency(self.known_events)
+        return stats.concept_frequency(self._fitted(self.known_events))
 
     @cached_property
     def cuts(self) -> DataFrame:
-        return cut_lineage(stats.measurement_deciles(self.known_events).repartition(1))
+        return cut_lineage(stats.measurement_deciles(self._fitted(self.known_events)).repartition(1))
 
     @cached_property
     def categories(self) -> DataFrame:
-        return stats.distinct_categories(self.known_events, self.demo)
+        return stats.distinct_categories(self._fitted(self.known_events), self._fitted(self.demo))
 
     @cached_property
     def vocab(self) -> DataFrame:
@@ -84,7 +98,7 @@ class TimelineBuild:
     @cached_property
     def tokens(self) -> DataFrame:
         """Long token table of every person (Z1-Z4), materialised once (K2: the saved
-        sequences) and kept hash-partitioned on ``person_id``."""
+        sequences)."""
         return cut_lineage(self.tokens_for(self.events))
 
     @cached_property
@@ -103,7 +117,7 @@ _CACHE: dict[tuple, TimelineBuild] = {}
 
 def build_for(spark: SparkSession, sf_dir: str, source: str, **kw) -> TimelineBuild:
     """Memoised build over a bridge of the driver tables (one per session, dir and bridge)."""
-    key = (id(spark), sf_dir, source, tuple(sorted(kw.items())))
+    key = (spark.sparkContext.applicationId, sf_dir, source, tuple(sorted(kw.items())))
     b = _CACHE.get(key)
     if b is None:
         b = TimelineBuild(bridge.load_bridge(spark, sf_dir, source), **kw)
@@ -111,27 +125,39 @@ def build_for(spark: SparkSession, sf_dir: str, source: str, **kw) -> TimelineBu
     return b
 
 
+def clear_builds() -> None:
+    """Forget all builds, for example after the input tables have changed."""
+    _CACHE.clear()
+
+
 def write_outputs(build: TimelineBuild, out_dir: str, tag: str | None = None, seed: int = K.SPLIT_SEED,
-                  train_ratio: float = K.TRAIN_RATIO, mode: str = "overwrite") -> str:
+                  train_ratio: float = K.TRAIN_RATIO, force: bool = True, concept: DataFrame | None = None) -> str:
     """Write the processed dataset the way the original pipeline lays it out (K1-K6, K8):
     partitioned events, token sequences per split, vocabulary, decile cuts, split
-    lists, the tokenization spec and the vocabulary report. Returns the folder."""
-    import os
+    lists, the tokenization spec and the reports. Returns the folder.
 
+    With ``force=False`` a dataset that is there and whose sequences hold rows is kept as it
+    is (K9); one without patients is built anew."""
     from ..operators import datasets as D
     from ..operators import profile as P
     from ..sources import sinks as S
 
     root = S.dataset_path(out_dir, tag)
-    S.write_events_partitioned(build.known_events, os.path.join(root, "events_partitioned"), mode=mode)
+    if not force and S.has_output(build.spark, f"{root}/sequences"):
+        return root
+    S.write_events_partitioned(build.known_events, f"{root}/events_partitioned")
     splits = D.person_split(build.demo, train_ratio, seed)
-    S.write_table(splits, os.path.join(root, "splits"), mode=mode)
-    S.write_sequences(build.arrays, splits, os.path.join(root, "sequences"), mode=mode)
-    S.write_table(build.vocab.select("token", "token_id"), os.path.join(root, "vocabulary"), mode=mode)
-    S.write_table(build.cuts, os.path.join(root, "quantiles"), mode=mode)
-    S.write_spec(build.vocab, os.path.join(root, "tokenization_spec"), mode=mode)
+    S.write_table(splits, f"{root}/splits")
+    S.write_sequences(build.arrays, splits, f"{root}/sequences")
+    S.write_table(build.vocab.select("token", "token_id"), f"{root}/vocabulary")
+    S.write_table(build.cuts, f"{root}/quantiles")
+    S.write_spec(build.vocab, f"{root}/tokenization_spec")
     report = P.vocab_report(build.vocab, build.tokens)
-    S.write_csv(report, os.path.join(root, "vocabulary_report_tsv"), sep="\t", mode=mode)
-    S.write_vocab_text(report, os.path.join(root, "vocabulary_report_txt"), mode=mode)
-    S.write_csv(P.lengths(build.tokens), os.path.join(root, "timeline_lengths_csv"), mode=mode)
+    S.write_vocab_report(report, f"{root}/vocabulary_report_tsv")
+    S.write_vocab_text(report, f"{root}/vocabulary_report_txt")
+    S.write_csv(P.lengths(build.tokens), f"{root}/timeline_lengths_csv")
+    if concept is not None:
+        S.write_csv(P.top_token_report(build.tokens, build.vocab, concept), f"{root}/top_tokens_csv")
+    else:
+        S.write_csv(P.top_tokens(build.tokens, build.vocab, K.REPORT_TOP_K), f"{root}/top_tokens_csv")
     return root

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Vocabulary-sized tables (at most a few 10k rows) are broadcast explicitly.
 # Other small-looking sides are left to AQE, which converts a join to a
@@ -60,6 +62,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the session's checkpoint directory."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows of ``df`` as a Parquet table in the shared folder, read back.
+
+    Later plans scan the files, so columns are pruned and filters pushed down, and a lost
+    executor costs a re-read instead of a recomputation.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    void = [F.col(f.name).cast("string").alias(f.name) if f.dataType.typeName() == "void" else F.col(f.name)
+            for f in df.schema.fields]
+    df.select(*void).write.parquet(path)
+    return spark.read.parquet(path)

@@ -84,18 +84,22 @@ OMOP_TABLES = ["person", "visit_occurrence", *[t.table for t in CLINICAL_TABLES]
 
 
 def _opt(df: DataFrame, name: str | None, typ: str) -> Column:
-    """The column if present, else a typed NULL."""
+    """The column if present, else a typed NULL; text that is no such value is NULL."""
     if name and name in df.columns:
-        return F.col(name).cast(typ)
+        return _as(df, name, typ)
     return F.lit(None).cast(typ)
 
 
+def _as(df: DataFrame, name: str, typ: str) -> Column:
+    return F.col(name).try_cast(typ) if dict(df.dtypes)[name] == "string" else F.col(name).cast(typ)
+
+
 def _ts_source(df: DataFrame, ts: str, date: str | None) -> Column:
     """Column-level choice: the datetime column if it exists, else the date column."""
     if ts in df.columns:
-        return F.col(ts).cast("timestamp_ntz")
+        return _as(df, ts, "timestamp_ntz")
     if date and date in df.columns:
-        return F.col(date).cast("timestamp_ntz")
+        return _as(df, date, "timestamp_ntz")
     return F.lit(None).cast("timestamp_ntz")
 
 
@@ -109,12 +113,12 @@ def _unified(cols: dict[str, Column]) -> list[Column]:
 
 def scan_clinical(df: DataFrame, spec: ClinicalTable) -> DataFrame:
     """S2/S3/P1-P6 for one clinical table: rename, fallback, pad, cast, filter."""
-    cid = F.col(spec.cid).cast("bigint") if spec.cid in df.columns else F.lit(None).cast("bigint")
+    cid = _opt(df, spec.cid, "bigint")
     if spec.source in df.columns:
-        src = F.col(spec.source).cast("bigint")
+        src = _opt(df, spec.source, "bigint")
         cid = F.when(cid.isNull() | (cid == 0), src).otherwise(cid)
     cols = {
-        "person_id": F.col("person_id"),
+        "person_id": _opt(df, "person_id", "bigint"),
         "ts": _ts_source(df, spec.ts, spec.date),
         "et": F.lit(spec.et),
         "cid": cid,
@@ -125,7 +129,7 @@ def scan_clinical(df: DataFrame, spec: ClinicalTable) -> DataFrame:
     }
     for src_col, alias in spec.extras.items():
         if src_col in df.columns:
-            cols[alias] = F.col(src_col)
+            cols[alias] = _opt(df, src_col, "bigint")
     out = df.select(*_unified(cols))
     return out.where(F.col("ts").isNotNull() & F.col("cid").isNotNull() & (F.col("cid") > 0))
 
@@ -134,7 +138,7 @@ def scan_visits(df: DataFrame) -> DataFrame:
     """One admission at the visit start and one discharge at its end, each only when set."""
     start = _ts_source(df, "visit_start_datetime", "visit_start_date")
     end = _ts_source(df, "visit_end_datetime", "visit_end_date")
-    common = {"person_id": F.col("person_id"), "ev_id": _opt(df, "visit_occurrence_id", "bigint")}
+    common = {"person_id": _opt(df, "person_id", "bigint"), "ev_id": _opt(df, "visit_occurrence_id", "bigint")}
     adm = df.select(*_unified({
         **common, "ts": start, "et": F.lit("admission"),
         "visit_type": _opt(df, "visit_type_concept_id", "bigint"),
@@ -150,7 +154,7 @@ def scan_visits(df: DataFrame) -> DataFrame:
 def scan_death(df: DataFrame) -> DataFrame:
     """One death event per row with a death time."""
     return df.select(*_unified({
-        "person_id": F.col("person_id"),
+        "person_id": _opt(df, "person_id", "bigint"),
         "ts": _ts_source(df, "death_datetime", "death_date"),
         "et": F.lit("death"),
         "table_rank": F.lit(TABLE_RANK["death"]),
@@ -159,30 +163,108 @@ def scan_death(df: DataFrame) -> DataFrame:
 
 def scan_person(df: DataFrame) -> DataFrame:
     """Person columns present in the table, missing ones as typed NULLs."""
-    return df.select(*[_opt(df, n, t).alias(n) if n != "person_id" else F.col(n).cast(t).alias(n)
-                       for n, t in PERSON_COLUMNS])
+    return df.select(*[_opt(df, n, t).alias(n) for n, t in PERSON_COLUMNS])
 
 
-def read_omop_dir(spark: SparkSession, root: str, tables: list[str] | None = None,
-                  ignore_corrupt: bool = True) -> dict[str, DataFrame]:
-    """Each OMOP table is a directory of Parquet parts; drifting parts are merged.
+@dataclass
+class PartReport:
+    """What a folder read saw: part files, the distinct schemas among them, and files left out on request."""
 
-    Unreadable parts are skipped by Spark (``ignoreCorruptFiles``) instead of a
-    per-file retry ladder.
+    table: str
+    files: int = 0
+    schemas: int = 1
+    skipped: list[str] = field(default_factory=list)
+    dropped_columns: list[str] = field(default_factory=list)
+
+
+_INTEGRAL = {"tinyint": 0, "smallint": 1, "int": 2, "bigint": 3}
+_FRACTIONAL = {"float": 0, "double": 1}
+
+
+def widened(types: set[str]) -> str:
+    """The type that holds every value of the given ones: wider integer, double, timestamp, else string."""
+    types = types - {"void"}
+    if len(types) <= 1:
+        return next(iter(types), "string")
+    if types <= set(_INTEGRAL):
+        return max(types, key=_INTEGRAL.get)
+    if types <= {*_INTEGRAL, *_FRACTIONAL} and "bigint" not in types:  # a double loses ids above 2^53
+        return "double"
+    if types <= {"date", "timestamp_ntz", "timestamp"}:
+        return "timestamp_ntz"
+    return "string"
+
+
+def part_files(spark: SparkSession, path: str) -> list[str]:
+    """Paths of the Parquet parts below ``path``; an absent folder has none. Only names are read."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        found = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+                 .option("pathGlobFilter", "*.parquet").load(path).select("path"))
+        return sorted(r.path for r in found.collect())  # one row per part file
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e.getCondition()) or "UNABLE_TO_INFER_SCHEMA" in str(e.getCondition()):
+            return []
+        raise
+
+
+def read_parts(spark: SparkSession, path: str, skip_unreadable: bool = False,
+               report: PartReport | None = None) -> DataFrame | None:
+    """Every Parquet part below ``path`` as one table, or None where there is none.
+
+    Parts are grouped by schema; a column is the widest of its types and missing columns
+    are NULL. A part that cannot be opened raises an error; with ``skip_unreadable`` it is
+    left out and named in ``report``.
     """
-    import os
+    report = report if report is not None else PartReport(path)
+    files = part_files(spark, path)
+    by_schema: dict[str, list[str]] = {}
+    kinds: dict[str, set[str]] = {}
+    for f in files:
+        try:
+            fields = spark.read.parquet(f).schema.fields  # the part's footer
+        except Exception as e:  # noqa: BLE001 - told apart by the caller's choice, never silent
+            if not skip_unreadable:
+                raise ValueError(f"cannot read {f}: {str(e).splitlines()[0]}") from e
+            report.skipped.append(f)
+            continue
+        by_schema.setdefault(str([(x.name, x.dataType.simpleString()) for x in fields]), []).append(f)
+        for x in fields:
+            kinds.setdefault(x.name, set()).add(x.dataType.simpleString())
+    report.files, report.schemas = len(files), len(by_schema)
+    if not by_schema:
+        return None
+    reader = spark.read.option("ignoreCorruptFiles", str(skip_unreadable).lower())
+    out = None
+    for group in by_schema.values():
+        part = reader.parquet(*group)
+        part = part.select(*[(F.col(c).cast(widened(t)) if c in part.columns else F.lit(None).cast(widened(t))).alias(c)
+                             for c, t in kinds.items()])
+        out = part if out is None else out.unionByName(part)
+    return out
 
+
+def read_omop_dir(spark: SparkSession, root: str, tables: list[str] | None = None, skip_unreadable: bool = False,
+                  salvage: bool = False, reports: list[PartReport] | None = None) -> dict[str, DataFrame]:
+    """Each OMOP table is a folder of Parquet parts; an absent folder is an absent table.
+
+    Drifting parts are widened (:func:`read_parts`). Anything unreadable is an error unless
+    ``skip_unreadable`` is set; with ``salvage`` a table that had unreadable parts keeps only
+    its safe columns. ``reports`` receives one report per table.
+    """
     out: dict[str, DataFrame] = {}
-    reader = spark.read.option("mergeSchema", "true")
-    if ignore_corrupt:
-        reader = reader.option("ignoreCorruptFiles", "true")
     for name in tables or OMOP_TABLES + ["concept", "concept_relationship"]:
-        path = os.path.join(root, name)
-        if os.path.exists(path) or "://" in root:
-            try:
-                out[name] = reader.parquet(path)
-            except Exception:  # noqa: BLE001 - a missing table is simply absent
-                continue
+        report = PartReport(name)
+        df = read_parts(spark, f"{root.rstrip('/')}/{name}", skip_unreadable, report)
+        if df is not None:
+            if salvage and report.skipped:
+                safe = salvage_columns(df)
+                report.dropped_columns = [c for c in df.columns if c not in safe.columns]
+                df = safe
+            out[name] = df
+        if reports is not None and (df is not None or report.skipped):
+            reports.append(report)
     return out
 
 
@@ -191,6 +273,6 @@ SAFE_NAME_PARTS = ["id", "concept", "value", "count", "type"]
 
 def salvage_columns(df: DataFrame) -> DataFrame:
     """Keep only the "safe" columns of a damaged table (name contains id, concept,
-    value, count or type); used together with ``ignoreCorruptFiles`` reads."""
+    value, count or type)."""
     keep = [c for c in df.columns if any(p in c.lower() for p in SAFE_NAME_PARTS)]
     return df.select(*keep)

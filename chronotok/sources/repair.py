@@ -10,12 +10,12 @@ never collected to the driver.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .omop import PartReport, part_files, read_parts
+
 # Source-value columns kept as strings by the coercion rule (fixed list).
 PRESERVE_AS_STRINGS = [
     "person_source_value",
@@ -92,14 +92,10 @@ def repair_dates(df: DataFrame, columns: list[str]) -> DataFrame:
     return out
 
 
-def chosen_strategies(df: DataFrame, columns: list[str]) -> dict[str, str | None]:
-    """The reading :func:`repair_dates` picks for each column (None = unchanged)."""
-    aggs = []
-    for c in columns:
-        r = readings(F.col(c))
-        aggs += [F.count(r[k]).alias(f"{c}__{k}") for k in STRATEGIES]
-    counts = df.agg(*aggs).first().asDict()
-    return {c: next((k for k in STRATEGIES if counts[f"{c}__{k}"] > 0), None) for c in columns}
+def _is_integer(c: Column) -> Column:
+    """True for the text of an integer that a bigint holds, False for another number, NULL for no number."""
+    whole = c.rlike(r"^\s*[-+]?[0-9]+\s*$") & F.trim(c).try_cast("bigint").isNotNull()
+    return F.when(F.trim(c).try_cast("double").isNotNull(), whole)
 
 
 def coerce_types(df: DataFrame, table: str | None = None) -> DataFrame:
@@ -107,9 +103,19 @@ def coerce_types(df: DataFrame, table: str | None = None) -> DataFrame:
 
     * names in :data:`PRESERVE_AS_STRINGS` stay strings;
     * a name containing date/time/start/end -> timestamp (bad values NULL);
-    * else a name containing id/concept/value/count and not ``source`` -> double (bad NULL);
+    * else a name containing id/concept/value/count and not ``source`` -> a number (bad NULL):
+      bigint where every value that is a number is an integer in range, else double. One
+      aggregate pass over the columns concerned decides, so ids above 2^53 stay exact;
     * ``person.birth_datetime`` and the date/time columns of event tables are always timestamps.
     """
+    numeric = [f.name for f in df.schema.fields
+               if isinstance(f.dataType, T.StringType) and f.name not in PRESERVE_AS_STRINGS
+               and not any(k in f.name.lower() for k in DATE_KEYWORDS)
+               and any(k in f.name.lower() for k in NUMERIC_KEYWORDS) and "source" not in f.name.lower()]
+    integral: dict[str, bool] = {}
+    if numeric:  # one row of flags
+        flags = df.agg(*[F.coalesce(F.bool_and(_is_integer(F.col(c))), F.lit(False)).alias(c) for c in numeric]).first()
+        integral = flags.asDict()
     out = []
     for f in df.schema.fields:
         name, low = f.name, f.name.lower()
@@ -120,30 +126,48 @@ def coerce_types(df: DataFrame, table: str | None = None) -> DataFrame:
         if is_str and name not in PRESERVE_AS_STRINGS:
             if datey:
                 c = _try_ts(c)
-            elif any(k in low for k in NUMERIC_KEYWORDS) and "source" not in low:
-                c = F.expr(f"try_cast(`{name}` AS double)")
+            elif name in integral:
+                c = F.trim(c).try_cast("bigint" if integral[name] else "double")
         elif forced and not isinstance(f.dataType, T.TimestampNTZType):
             c = _try_ts(c.cast("string")) if not isinstance(f.dataType, (T.DateType, T.TimestampType)) else c.cast("timestamp_ntz")
         out.append(c.alias(name))
     return df.select(*out)
 
 
-def convert_tables(spark: SparkSession, input_root: str, output_root: str, tables: list[str],
-                   date_columns: dict[str, list[str]] | None = None, mode: str = "overwrite") -> list[str]:
-    """Read each table directory, repair dates, coerce types, apply the column
-    renames and write it back as Parquet under the same layout."""
+def table_folders(spark: SparkSession, root: str) -> list[str]:
+    """The folders below ``root`` that hold Parquet parts, relative to it."""
+    base = root.rstrip("/")
+    names = set()
+    for f in part_files(spark, base):
+        inside = f.split(base.split("://")[-1], 1)[-1].strip("/")
+        names.add(inside.rpartition("/")[0])
+    return sorted(n for n in names if n)
+
+
+def convert_tables(spark: SparkSession, input_root: str, output_root: str, tables: list[str] | None = None,
+                   date_columns: dict[str, list[str]] | None = None, mode: str = "overwrite",
+                   skip_unreadable: bool = False, reports: list[PartReport] | None = None) -> list[str]:
+    """Read each table folder (all that ``input_root`` holds unless ``tables`` names some),
+    repair dates, coerce types, apply the column renames and write it under the same layout.
+    A part that cannot be read is an error unless ``skip_unreadable`` is set."""
     done = []
-    for t in tables:
-        src = os.path.join(input_root, t)
-        df = spark.read.option("mergeSchema", "true").option("ignoreCorruptFiles", "true").parquet(src)
+    for t in tables if tables is not None else table_folders(spark, input_root):
+        report = PartReport(t)
+        df = read_parts(spark, f"{input_root.rstrip('/')}/{t}", skip_unreadable, report)
+        if reports is not None:
+            reports.append(report)
+        if df is None:
+            if tables is not None and not report.skipped:
+                raise ValueError(f"no Parquet parts in {input_root}/{t}")
+            continue
         for old, new in RENAMES.items():
             if old in df.columns:
                 df = df.withColumnRenamed(old, new)
         cols = (date_columns or {}).get(t) or [c for c in df.columns
                                                if any(k in c.lower() for k in ("date", "time"))
                                                and isinstance(df.schema[c].dataType, (T.StringType, T.LongType, T.IntegerType, T.DoubleType))]
-        df = coerce_types(repair_dates(df, cols), t)
-        df.write.mode(mode).parquet(os.path.join(output_root, t))
+        df = coerce_types(repair_dates(df, cols), t.rpartition("/")[2])
+        df.write.mode(mode).parquet(f"{output_root.rstrip('/')}/{t}")
         done.append(t)
     return done
 
@@ -152,13 +176,17 @@ def read_concepts(spark: SparkSession, omop_dir: str) -> DataFrame:
     """Every concept part; six columns if present; one row per concept id."""
     from ..operators.profile import concept_dictionary
 
-    df = spark.read.option("mergeSchema", "true").parquet(os.path.join(omop_dir, "concept"))
+    df = read_parts(spark, f"{omop_dir.rstrip('/')}/concept")
+    if df is None:
+        raise ValueError(f"no concept table in {omop_dir}")
     return concept_dictionary(df)
 
 
 def read_relationships(spark: SparkSession, omop_dir: str) -> DataFrame:
     """Concept relationships; the three columns are required."""
-    df = spark.read.option("mergeSchema", "true").parquet(os.path.join(omop_dir, "concept_relationship"))
+    df = read_parts(spark, f"{omop_dir.rstrip('/')}/concept_relationship")
+    if df is None:
+        raise ValueError(f"no concept_relationship table in {omop_dir}")
     missing = {"concept_id_1", "concept_id_2", "relationship_id"} - set(df.columns)
     if missing:
         raise ValueError(f"concept_relationship lacks {sorted(missing)}")

@@ -61,9 +61,20 @@ def write_csv(df: DataFrame, path: str, sep: str = ",", mode: str = "overwrite")
     df.write.mode(mode).option("header", True).option("sep", sep).csv(path)
 
 
+def write_vocab_report(report: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """K6: the vocabulary report as one TSV file with a header, ordered by category and id.
+    The vocabulary is bounded, so it is ordered in one partition."""
+    rows = report.select("category", "token_id", "token", "count").coalesce(1).sortWithinPartitions("category", "token_id")
+    write_csv(rows, path, sep="\t", mode=mode)
+
+
 def write_vocab_text(report: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """K6: text variant of the vocabulary report, ``id<TAB>token<TAB>count`` lines."""
-    report.select(F.concat_ws("\t", F.col("token_id").cast("string"), "token", F.col("count").cast("string")).alias("value")) \
+    """K6: text variant in ``[category]`` sections of ``id<TAB>token<TAB>count`` lines."""
+    line = F.concat_ws("\t", F.col("token_id").cast("string"), "token", F.col("count").cast("string"))
+    rows = report.select("category", "token_id", line.alias("value"))
+    heads = report.select("category").distinct().select(
+        "category", F.lit(-1).alias("token_id"), F.concat(F.lit("["), "category", F.lit("]")).alias("value"))
+    rows.unionByName(heads).coalesce(1).sortWithinPartitions("category", "token_id").select("value") \
         .write.mode(mode).text(path)
 
 
@@ -78,11 +89,11 @@ def dataset_path(base: str, tag: str | None) -> str:
 
 
 def has_output(spark, path: str) -> bool:
-    """K9: reuse an existing output unless it is missing or holds no rows."""
-    try:
-        return spark.read.parquet(path).limit(1).count() > 0
-    except Exception:  # noqa: BLE001 - absent or unreadable output means "rebuild"
-        return False
+    """K9: whether an output is there and holds rows. Only absence counts as "no"; a table that
+    cannot be read raises."""
+    from .omop import part_files
+
+    return bool(part_files(spark, path)) and not spark.read.parquet(path).isEmpty()
 
 
 def load_processed(spark, path: str, name: str) -> DataFrame:

@@ -4,8 +4,9 @@ reference behaviour).
 New Parquet parts landing in an OMOP table folder are scanned with the same
 schema-adaptive projection as the batch path and appended, per micro-batch,
 to the partitioned event table (K1). ``availableNow`` processes what is there
-and stops, which suits scheduled runs; the checkpoint location makes restarts
-exactly-once for the file source.
+and stops, which suits scheduled runs. Each micro-batch overwrites a folder of
+its own (``ingest_batch=N``), so a batch that is replayed after a failure
+replaces its rows instead of adding them again.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ def stream_table_into_events(spark: SparkSession, table_dir: str, table: str, sc
     else:
         raise ValueError(f"not an event table: {table}")
 
-    def append(batch, _epoch_id):
-        write_events_partitioned(batch, events_path, n_buckets=n_buckets, mode="append")
+    def append(batch, batch_id):
+        write_events_partitioned(batch, f"{events_path}/ingest_batch={batch_id}", n_buckets=n_buckets)
 
     writer = ev.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint_location)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")

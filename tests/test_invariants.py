@@ -75,3 +75,59 @@ def test_write_outputs_read_back(spark, build):
     assert ev.count() == build.known_events.count()
     assert ev.where("pid_bucket <> pmod(person_id, 1024)").count() == 0
     assert has_output(spark, f"{root}/vocabulary") and has_output(spark, f"{root}/quantiles")
+
+
+def test_reuse_and_force(spark, build):
+    import os as _os
+    import tempfile
+
+    from chronotok.plans.timelines import write_outputs
+
+    out = tempfile.mkdtemp(prefix="chronotok-reuse-", dir="/tmp")
+    root = write_outputs(build, out, tag="r")
+    made = _os.path.getmtime(f"{root}/vocabulary/_SUCCESS")
+    top = spark.read.option("header", True).csv(f"{root}/top_tokens_csv")
+    assert top.count() > 0 and "token" in top.columns
+    assert write_outputs(build, out, tag="r", force=False) == root
+    assert _os.path.getmtime(f"{root}/vocabulary/_SUCCESS") == made
+    spark.read.parquet(f"{root}/sequences").limit(0).write.mode("overwrite").parquet(f"{root}/sequences_empty")
+    from chronotok.sources.sinks import has_output
+
+    assert not has_output(spark, f"{root}/sequences_empty")  # no patients: built anew
+    write_outputs(build, out, tag="r", force=True)
+    assert _os.path.getmtime(f"{root}/vocabulary/_SUCCESS") > made
+
+
+def test_single_patient_and_examples(build):
+    from chronotok.operators import datasets as D
+    from chronotok.operators import profile as P
+
+    first = P.first_patient_ids(build.tokens, 3).collect()
+    assert P.select_patient(build.tokens, first[0].person_id).count() > 4
+    with pytest.raises(LookupError, match=str(first[0].person_id)):
+        P.select_patient(build.tokens, -5)
+    a, b = (sorted({r.person_id for r in P.example_timelines(build.tokens, build.vocab, random_seed=s).collect()}) for s in (1, 2))
+    assert len(a) == len(b) == 2 and a != b
+    longest = P.example_timelines(build.tokens, build.vocab, min_len=10 ** 9)
+    want = {r.person_id for r in P.lengths(build.tokens).orderBy(F.col("n_tokens").desc(), "person_id").limit(2).collect()}
+    assert {r.person_id for r in longest.collect()} == want
+    tail = {r.person_id: list(r.tokens) for r in D.tail_tokens(build.arrays, 5).collect()}
+    assert all(tail[r.person_id] == list(r.tokens)[-5:] for r in build.arrays.collect())
+
+
+def test_results_as_json(spark, build):
+    import tempfile
+
+    from chronotok.plans.evaluation import EvalContext
+
+    out = tempfile.mkdtemp(prefix="chronotok-results-", dir="/tmp")
+    EvalContext(build, "2000-01-01 00:00:00", 365).write_results(out)
+    m = spark.read.json(f"{out}/tte_metrics").first()
+    p = spark.read.json(f"{out}/tte_predictions")
+    assert m.n_patients == p.count() and {"index_time", "label", "prob", "history_len"} <= set(p.columns)
+
+
+def test_artifacts_are_scanned_with_pruned_columns(build):
+    plan = build.events.where(F.col("et") == "death").select("person_id")._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "ReadSchema: struct<person_id:bigint,et:string>" in plan
+    assert "PushedFilters: [IsNotNull(et), EqualTo(et,death)]" in plan

@@ -89,37 +89,51 @@ def test_length_formula(spark):
     assert set(n_ev) == {1, 2}
 
 
-def test_skew_safe_matches_fast_path_with_hot_person(spark):
-    from chronotok.operators.tokenize import timeline_tokens, timeline_tokens_skew_safe
+def test_hot_person_in_many_slices_equals_one_slice(spark):
+    """A person with 90 % of the rows lies in most slices, and the tokens are those of one slice."""
+    import random
 
-    t = tables(spark)
-    hot = spark.createDataFrame(
-        [(1000 + i, 1, dt.datetime(2020, 2, 1) + dt.timedelta(minutes=7 * i), 40 + i % 5, None) for i in range(3000)],
+    from chronotok.operators.tokenize import timeline_tokens
+
+    rng = random.Random(0)
+    n = 1500
+    cond = spark.createDataFrame(
+        [(i, 1 if i % 10 else 2 + i % 2, ts(1) + dt.timedelta(minutes=rng.randrange(2_000_000)), 5 + i % 9, None) for i in range(n)],
         "condition_occurrence_id long, person_id long, condition_start_datetime timestamp_ntz, "
         "condition_concept_id long, condition_source_concept_id long")
-    t["condition_occurrence"] = t["condition_occurrence"].unionByName(hot)
-    b = TimelineBuild(t, as_of_year=2025)
-    fast = timeline_tokens(b.events, b.demo, b.vocab, b.cuts, 2025)
-    safe = timeline_tokens_skew_safe(b.events, b.demo, b.vocab, b.cuts, 2025)
-    cols = ["person_id", "pos", "token", "token_id", "next_token_id"]
-    a = sorted(tuple(r) for r in fast.select(*cols).collect())
-    c = sorted(tuple(r) for r in safe.select(*cols).collect())
-    assert a == c and len(a) > 6000
-    # the emitted successor equals the token at pos + 1 (NULL only after EOS)
-    by = {(r[0], r[1]): r[3] for r in a}
-    for pid, pos, tok, _tid, nxt in a:
-        assert nxt == by.get((pid, pos + 1)), (pid, pos, tok)
-        assert (nxt is None) == (tok == K.EOS)
-
-
-def test_tokenizer_plan_has_one_shuffle(spark):
-    """Regression guard: events are shuffled once (on person_id); vocabulary and cuts
-    are broadcast, and one sort serves every window."""
-    from chronotok.operators.tokenize import timeline_tokens
+    b = TimelineBuild({**tables(spark), "condition_occurrence": cond}, as_of_year=2025)
+    key = ("person_id", "pos", "token", "token_id", "ts", "ev_seq", "next_token_id")
+    one, many = (sorted(map(tuple, timeline_tokens(b.events, b.demo, b.vocab, b.cuts, 2025, num_partitions=k).select(*key)
+                            .collect()), key=str) for k in (1, 13))
+    assert one == many
+    for require in (False, True):
+        got = timeline_tokens(b.events, b.demo, b.vocab, b.cuts, 2025, require_events=require, num_partitions=13)
+        assert {r[0] for r in got.select("person_id").distinct().collect()} == ({1, 2} if require else {1, 2, 3})
+    chain = {}
+    for r in one:
+        chain.setdefault(r[0], {})[r[1]] = (r[3], r[6])
+    for toks in chain.values():
+        assert all(toks[p][1] == (toks[p + 1][0] if p + 1 in toks else None) for p in toks)
+
+
+def test_vocabulary_learned_from_training_persons(spark):
+    t = tables(spark)
+    b = TimelineBuild(t, fit_on="train", train_ratio=0.34)
+    train = {r.person_id for r in b.splits.where("split = 'train'").collect()}
+    assert len(train) == 1
+    seen = {r.cid for r in b.known_events.where(F.col("person_id").isin(train) & F.col("cid").isNotNull()).collect()}
+    assert {r.cid for r in b.concept_counts.collect()} <= seen
+    assert {r.token for r in b.vocab.collect() if r.token.startswith("GENDER_")} == {
+        f"GENDER_{r.gender_concept_id}" for r in b.demo.where(F.col("person_id").isin(train)).collect()}
+
+
 
+def test_tokenizer_plan(spark):
+    """Over the written slices the tokens take one exchange, by slice and person, and broadcast the rest."""
     b = TimelineBuild(tables(spark), as_of_year=2025)
-    df = timeline_tokens(b.events, b.demo, b.vocab, b.cuts, 2025)
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning(person_id") == 1, plan
-    assert plan.count("Exchange hashpartitioning") == 1, plan
-    assert plan.count("Sort [person_id") == 1, plan
+    from chronotok.operators.tokenize import timeline_tokens
+
+    plan = timeline_tokens(b.events, b.demo, b.vocab, b.cuts, 2025)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(_slice") == 1 and plan.count("Exchange hashpartitioning") == 1
+    assert "Exchange rangepartitioning" not in plan and "CartesianProduct" not in plan
+    assert all("_slice" in line for line in plan.split("\n") if " Window [" in line)
