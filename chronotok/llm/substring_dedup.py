@@ -5,7 +5,7 @@ last. An edge matters where it starts in a document with a smaller id too; its c
 (id, position), is its source coordinate.
 
 1. Candidates. Equal windows have equal minimizers (the least hash of their ``m``-word parts), so a window whose
-   minimizer occurs in one document only cannot repeat. Each document sends its distinct minimizers, a fifth of its
+   minimizer occurs in one document only cannot repeat. Each document sends its distinct minimizers, a sixth of its
    words; those found in two documents come back to it.
 2. Runs. Consecutive candidate windows with one minimizer are compacted to one row each before anything is sent.
    Equal runs meet by hash: all but the first document's know their source at once.
@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from chronotok.llm.text import table
 
 WINDOW_WORDS = 13
-MINIMIZER_WORDS = 5
+MINIMIZER_WORDS = 4
 BLOCK_WORDS = 500_000
 SALTS = 1 << 12
 ROW_SHIFT = 40  # a position is the word within its row, with 23 bits of the row's text hash above
