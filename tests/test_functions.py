@@ -3,7 +3,6 @@
 import math
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from chronotok import constants as K
 from chronotok.functions import tokens as T
