@@ -1177,7 +1177,7 @@ def q_next_condition_topk(spark, sf_dir):
 
     c = _ctx(spark, sf_dir)
     tr = c.truth.where(F.col("token").startswith("CONDITION_OCCURRENCE_"))
-    first = tr.withColumn("_r", F.row_number().over(W.partitionBy("person_id").orderBy("ts", "token"))).where("_r = 1")
+    first = tr.groupBy("person_id").agg(F.min(F.struct("ts", "token")).alias("_f")).select("person_id", "_f.token")
     prob = EV.sim_token_prob(c.sim_ev.where(F.col("token").startswith("CONDITION_OCCURRENCE_")), N_SIMS)
     ranked = prob.withColumn("rank", F.row_number().over(W.partitionBy("person_id").orderBy(F.col("prob").desc(), "token")))
     acc = EV.top_k_accuracy(ranked.select("person_id", "token", "rank"), first.select("person_id", "token"))
