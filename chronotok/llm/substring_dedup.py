@@ -9,8 +9,9 @@ last. An edge matters where it starts in a document with a smaller id too; its c
    words; those found in two documents come back to it.
 2. Runs. Consecutive candidate windows with one minimizer are compacted to one row each before anything is sent.
    Equal runs meet by hash: all but the first document's know their source at once.
-3. Edges. Only the first occurrence of each different run is opened into its windows, which meet by hash in turn;
-   so a window that different runs hold still learns the smallest document that has it.
+3. Edges. Where different runs have one minimizer, the first occurrence of each is opened into its windows, which
+   meet by hash in turn; so a window that different runs hold still learns the smallest document that has it. Row
+   counts tell: a run that as many rows hold as hold its minimizer is the only one, or lies beside the others.
 4. Compaction. Runs and edges that follow one another in a document and in its source form a path that does not
    branch; each such path becomes one row (document, start, length, source, source start). A path ends where the
    graph branches, because there the source coordinates jump.
@@ -44,6 +45,7 @@ WINDOW_WORDS = 13
 MINIMIZER_WORDS = 4
 BLOCK_WORDS = 500_000
 SALTS = 1 << 12
+UNCOUNTED = (1 << 31) - 1
 ROW_SHIFT = 40  # a position is the word within its row, with 23 bits of the row's text hash above
 
 
@@ -132,72 +134,105 @@ def _salts(n: int) -> np.ndarray:
 
 
 def _repeated_minimizers(rows: DataFrame, k: int, m: int) -> DataFrame:
-    """``doc_id`` and ``ms``: the minimizers of the document that a document with another id has too."""
+    """``doc_id``, ``ms`` and ``ns``: the minimizers of the document that a document with another id has too, and
+    the number of rows that have each (``UNCOUNTED`` where the task knew at once that it is shared)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, _, block in _blocks(b, k):
                 mins = block.minimizers(m).view(np.int64)
                 new = _changes(mins, block.owner)
-                mins, docs = mins[new], block.docs[block.owner[new]]
+                mins, owner = mins[new], block.owner[new]
+                order = np.lexsort((owner, mins))
+                mins, owner = mins[order], owner[order]
+                once = _changes(mins, owner)
+                mins, docs = mins[once], block.docs[owner[once]]  # one for each row of the table
                 order = np.lexsort((docs, mins))
                 mins, docs = mins[order], docs[order]
-                fresh = _changes(mins, docs)
-                mins, docs = mins[fresh], docs[fresh]
+                at = np.flatnonzero(_changes(mins, docs))
+                count = np.diff(np.append(at, len(mins)))
+                mins, docs = mins[at], docs[at]
                 head = np.flatnonzero(_changes(mins))
                 tail = np.append(head[1:], len(mins)) - 1 if len(head) else head
+                total = np.add.reduceat(count, head) if len(head) else count
                 shared = docs[head] != docs[tail]  # found in two documents of this block
                 salt = np.where(np.repeat(shared, tail - head + 1), _salts(len(mins)), 0).astype(np.int32)
-                probes = np.concatenate([head[shared], tail[shared]])  # stand for all of the block at other tasks
+                # the block's first and last document stand for all of the block at other tasks
+                probes = np.concatenate([head[shared], tail[shared]])
+                count = np.concatenate([count, total[shared], np.zeros(int(shared.sum()), np.int64)]).astype(np.int32)
                 mins, docs = np.concatenate([mins, mins[probes]]), np.concatenate([docs, docs[probes]])
                 salt = np.concatenate([salt, np.zeros(len(probes), np.int32)])
                 near = np.argsort(docs, kind="stable")  # rows of one document in a row compress best
-                yield pa.RecordBatch.from_arrays([pa.array(x[near]) for x in (mins, salt, docs)],
-                                                 ["m", "salt", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[near]) for x in (mins, salt, docs, count)],
+                                                 ["m", "salt", "doc_id", "n"])
 
-    found = rows.mapInArrow(run, "m long, salt int, doc_id long")
+    found = rows.mapInArrow(run, "m long, salt int, doc_id long, n int")
     same = Window.partitionBy("m", "salt")
     shared = (found.withColumn("lo", F.min("doc_id").over(same)).withColumn("hi", F.max("doc_id").over(same))
-              .filter("salt > 0 or lo < hi"))
-    return shared.select("doc_id", "m").groupBy("doc_id").agg(F.collect_set("m").alias("ms"))
+              .withColumn("all", F.sum("n").over(same)).filter("salt > 0 or lo < hi"))
+    n = F.when(F.col("salt") > 0, F.lit(UNCOUNTED)).otherwise(F.least("all", F.lit(UNCOUNTED - 1))).cast("int")
+    return (shared.select("doc_id", "m", n.alias("n")).groupBy("doc_id")
+            .agg(F.collect_list("m").alias("ms"), F.collect_list("n").alias("ns")))
 
 
-_SEEN = "h long, salt int, doc_id long, pos long, n int, src_doc long, src_pos long"
+_SEEN = "h long, salt int, doc_id long, pos long, n int, rows int, among int, src_doc long, src_pos long"
 
 
-def _settle(h: np.ndarray, docs: np.ndarray, pos: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+def _settle(h: np.ndarray, docs: np.ndarray, pos: np.ndarray, n: np.ndarray, among: np.ndarray) -> pa.RecordBatch:
     """Rows of ``_SEEN``: the first of each hash in a row of the table; those after the block's smallest document
-    already have their source."""
+    already have their source. ``rows``, on the first of a hash, is the block's number of rows with it."""
     order = np.lexsort((pos, docs, h))
-    h, docs, pos, n = h[order], docs[order], pos[order], n[order]
+    h, docs, pos, n, among = h[order], docs[order], pos[order], n[order], among[order]
     fresh = _changes(h, docs, pos >> ROW_SHIFT)
-    h, docs, pos, n = h[fresh], docs[fresh], pos[fresh], n[fresh]
-    source = np.maximum.accumulate(np.where(_changes(h), np.arange(len(h)), 0)) if len(h) else np.empty(0, np.int64)
+    # rows equal in id and text share their first position: each counts
+    start = np.maximum.accumulate(np.where(fresh, np.arange(len(h)), 0)) if len(h) else np.empty(0, np.int64)
+    h_every = h[pos == pos[start]]
+    h, docs, pos, n, among = h[fresh], docs[fresh], pos[fresh], n[fresh], among[fresh]
+    new = _changes(h)
+    source = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0)) if len(h) else np.empty(0, np.int64)
+    rows = np.zeros(len(h), np.int32)
+    if len(h):
+        first = np.flatnonzero(new)
+        rows[first] = np.diff(np.append(np.flatnonzero(_changes(h_every)), len(h_every)))
     known = docs > docs[source]
     salt = np.where(known, _salts(len(h)), 0).astype(np.int32)
     near = np.lexsort((pos, docs))  # rows of one document in a row compress best
     mask = ~known[near]
     return pa.RecordBatch.from_arrays(
-        [pa.array(x[near]) for x in (h, salt, docs, pos, n.astype(np.int32))]
+        [pa.array(x[near]) for x in (h, salt, docs, pos, n.astype(np.int32), rows, among.astype(np.int32))]
         + [pa.array(docs[source][near], mask=mask), pa.array(pos[source][near], mask=mask)],
         [c.split()[0] for c in _SEEN.split(", ")])
 
 
 def _first_seen(rows: DataFrame) -> DataFrame:
-    """Rows of ``_SEEN`` with the first occurrence of their hash as (src_doc, src_pos)."""
-    first = Window.partitionBy("h", "salt").orderBy("doc_id", "pos")
+    """Rows of ``_SEEN`` with the first occurrence of their hash as (src_doc, src_pos), and in ``rows`` the number of
+    rows that hold it (of rows without a salt)."""
+    same = Window.partitionBy("h", "salt").orderBy("doc_id", "pos")
+    whole = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     for c in ("doc_id", "pos"):
-        rows = rows.withColumn(f"first_{c}", F.first(c).over(first))
-    return rows.select("doc_id", "pos", "n", F.coalesce("src_doc", "first_doc_id").alias("src_doc"),
-                       F.coalesce("src_pos", "first_pos").alias("src_pos"))
+        rows = rows.withColumn(f"first_{c}", F.first(c).over(same))
+    return rows.withColumn("all", F.sum("rows").over(whole)).select(
+        "doc_id", "pos", "n", F.coalesce("src_doc", "first_doc_id").alias("src_doc"),
+        F.coalesce("src_pos", "first_pos").alias("src_pos"), F.col("all").alias("rows"), "among")
 
 
-def _in_lists(values: np.ndarray, owner: np.ndarray, lists: pa.ListArray) -> np.ndarray:
-    """Whether each value is in its owner's list."""
+def _in_lists(values: np.ndarray, owner: np.ndarray, lists: pa.ListArray, numbers: pa.ListArray | None = None
+              ) -> np.ndarray:
+    """For each value the largest number beside it in its owner's list (1 without ``numbers``), 0 if it is not there."""
     with np.errstate(over="ignore"):
         mix = lambda x, o: x ^ (o.astype(np.int64) * np.int64(0x5851F42D4C957F2D))
         wanted = lists.flatten().to_numpy(zero_copy_only=False)
         lengths = np.diff(lists.offsets.to_numpy())
-        return np.isin(mix(values, owner), mix(wanted, np.repeat(np.arange(len(lists)), lengths)))
+        wanted = mix(wanted, np.repeat(np.arange(len(lists)), lengths))
+        beside = numbers.flatten().to_numpy(zero_copy_only=False) if numbers is not None else np.ones(len(wanted), int)
+        values = mix(values, owner)
+    out = np.zeros(len(values), np.int64)
+    if len(wanted):
+        order = np.lexsort((beside, wanted))  # the last of equal ones is the largest
+        wanted, beside = wanted[order], beside[order]
+        at = np.searchsorted(wanted, values, "right") - 1
+        hit = (at >= 0) & (wanted[np.maximum(at, 0)] == values)
+        out[hit] = beside[at[hit]]
+    return out
 
 
 def _runs(candidates: DataFrame, k: int, m: int) -> DataFrame:
@@ -206,7 +241,9 @@ def _runs(candidates: DataFrame, k: int, m: int) -> DataFrame:
         for b in batches:
             for first, size, block in _blocks(b, k):
                 mins = block.minimizers(m).view(np.int64)
-                keep = np.flatnonzero(_in_lists(mins, block.owner, b.column(b.schema.names.index("ms")).slice(first, size)))
+                lists = [b.column(b.schema.names.index(c)).slice(first, size) for c in ("ms", "ns")]
+                among = _in_lists(mins, block.owner, *lists)
+                keep = np.flatnonzero(among)
                 h, pos, owner = block.windows()[keep], block.pos[keep], block.owner[keep]
                 start = np.flatnonzero(_changes(mins[keep], owner, pos - np.arange(len(pos))))
                 n = np.diff(np.append(start, len(pos)))
@@ -215,7 +252,7 @@ def _runs(candidates: DataFrame, k: int, m: int) -> DataFrame:
                     mixed = (h ^ (inside * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
                     mixed ^= mixed >> np.uint64(32)
                     key = np.add.reduceat(mixed, start) if len(start) else mixed
-                yield _settle(key.view(np.int64), block.docs[owner[start]], pos[start], n)
+                yield _settle(key.view(np.int64), block.docs[owner[start]], pos[start], n, among[keep][start])
 
     return _first_seen(candidates.mapInArrow(run, _SEEN))
 
@@ -235,7 +272,7 @@ def _edges(opened: DataFrame, k: int) -> DataFrame:
                 asked = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(wanted))
                 keep = np.flatnonzero(_in_lists(block.pos, block.owner, asked))
                 yield _settle(block.windows()[keep].view(np.int64), block.docs[block.owner[keep]], block.pos[keep],
-                              np.ones(len(keep), np.int64))
+                              np.ones(len(keep), np.int64), np.ones(len(keep), np.int64))
 
     return _first_seen(opened.mapInArrow(run, _SEEN))
 
@@ -318,10 +355,12 @@ def _cut(rows: DataFrame, k: int) -> DataFrame:
 def repeated_paths(texts: DataFrame, rows: DataFrame, k: int = WINDOW_WORDS, m: int = MINIMIZER_WORDS) -> DataFrame:
     """Compacted paths of repeated windows; ``texts`` is ``rows`` (doc_id, text; no null ids) dealt by doc_id."""
     runs = _runs(texts.join(_repeated_minimizers(rows, k, m), "doc_id"), k, m)
-    first = (runs.filter("src_doc >= doc_id").groupBy("doc_id")
+    # A run that every row with its minimizer holds needs no opening: whatever row holds a part of it holds all of it.
+    first = (runs.filter("src_doc >= doc_id and rows < among").groupBy("doc_id")
              .agg(F.collect_list(F.struct("pos", "n")).alias("runs")))
     edges = _edges(texts.join(first, "doc_id"), k)
-    return _paths(runs.filter("src_doc < doc_id").unionByName(edges.filter("src_doc < doc_id")), k)
+    found = runs.unionByName(edges).filter("src_doc < doc_id").select("doc_id", "pos", "n", "src_doc", "src_pos")
+    return _paths(found, k)
 
 
 def deduplicate(docs: DataFrame, k: int = WINDOW_WORDS, m: int = MINIMIZER_WORDS, id_col: str = "doc_id",

@@ -50,6 +50,22 @@ def test_equals_brute_force(spark, monkeypatch, k, m, block):
     assert sorted(got, key=key) == sorted(brute(rows, k), key=key)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_few_words_many_overlaps(spark, monkeypatch, seed):
+    """Small alphabets give repeated rows, runs repeated within a row and every kind of partial overlap."""
+    monkeypatch.setattr(B, "BLOCK_WORDS", 40)
+    rng = random.Random(seed)
+    rows = []
+    for i in range(120):
+        base = [rng.choice("abcd") for _ in range(rng.randrange(3, 14))]
+        rows.append((rng.randrange(60), " ".join(base * rng.choice((1, 1, 2)))))
+    rows += rng.sample(rows, 30)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for k, m in ((4, 2), (6, 3)):
+        got = [tuple(r) for r in B.deduplicate(docs, k, m).collect()]
+        assert sorted(got, key=key) == sorted(brute(rows, k), key=key)
+
+
 def test_edge_rows(spark):
     docs, rows = documents(spark)
     got = [tuple(r) for r in B.deduplicate(docs).collect()]
