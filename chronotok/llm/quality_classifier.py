@@ -5,7 +5,7 @@ difference of the two sizes over the text's bytes, for the whole text and for it
 turned into a probability by a logistic fit on labelled texts that the dictionaries have not seen.
 
 The fit uses a bounded sample: at most ``per_class`` documents of each label, those with the smallest hash of the
-id, half for the dictionaries and half for the calibration. Scoring reads every whole text in one pass; the model
+id, half for the dictionaries and half for the calibration; one task fits the model. Scoring reads every whole text in one pass; the model
 (two dictionaries of at most ``DICT_BYTES`` and three numbers) is what the tasks receive.
 
 Defined results: a null or empty text scores as one whose sizes do not differ; a document with several labels
@@ -95,10 +95,26 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col:
     for y in (0, 1):
         some = marks.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class)
         sample = some if sample is None else sample.unionByName(some)
-    # The sample has at most 2 * per_class rows, so it is small enough to broadcast and its texts to collect.
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = (texts.join(F.broadcast(sample), "id").orderBy(F.xxhash64("id", F.lit(1)), "id", "text").collect())
-    by = {y: [(r.text or "").encode("utf-8", "surrogatepass") for r in rows if r.y == y] for y in (0, 1)}
+    # The sample has at most 2 * per_class ids, so it is small enough to broadcast, and its texts to fit in one task.
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = (texts.join(F.broadcast(sample), "id").repartition(1)
+            .sortWithinPartitions(F.xxhash64("id", F.lit(1)), "id", "text").select("text", F.col("y").cast("int").alias("y")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = _learn([(t or "", y) for b in batches for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([m.good], pa.binary()), pa.array([m.bad], pa.binary()), pa.array([list(m.weights)]),
+             pa.array([m.constant], pa.float64())], ["good", "bad", "weights", "constant"])
+
+    found = rows.mapInArrow(run, "good binary, bad binary, weights array<double>, constant double").collect()
+    if not found:
+        return Model(b"", b"", (0.0, 0.0, 0.0), 0.5)
+    m = found[0]
+    return Model(bytes(m.good), bytes(m.bad), tuple(m.weights), m.constant)
+
+
+def _learn(rows: list[tuple[str, int]]) -> Model:
+    by = {y: [t.encode("utf-8", "surrogatepass") for t, k in rows if k == y] for y in (0, 1)}
     if not by[0] or not by[1]:
         return Model(b"", b"", (0.0, 0.0, 0.0), len(by[1]) / len(rows) if rows else 0.5)
     half = {y: max(1, len(t) // 2) for y, t in by.items()}
