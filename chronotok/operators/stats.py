@@ -107,9 +107,11 @@ def stay_summary(events: DataFrame) -> DataFrame:
     max of the measurement values recorded during the stay, per concept."""
     meas = events.where((F.col("et") == "measurement") & F.col("value_as_number").isNotNull()).select(
         "person_id", "ts", "cid", "value_as_number")
-    # one row per day of a stay, so a measurement meets only the stays of its own day
-    days = stays(events).select("person_id", "visit_id", "start", "end").withColumn("_day", F.explode(F.sequence(F.col("start").cast("date"), F.col("end").cast("date"))))
-    j = meas.withColumn("_day", F.col("ts").cast("date")).join(days, ["person_id", "_day"]).where(
+    # one row per four weeks of a stay, so a measurement meets only the stays around its own day
+    weeks = lambda c: F.floor(F.unix_date(F.col(c).cast("date")) / 28)
+    spread = stays(events).select("person_id", "visit_id", "start", "end").withColumn(
+        "_weeks", F.explode(F.sequence(weeks("start"), weeks("end"))))
+    j = meas.withColumn("_weeks", weeks("ts")).join(spread, ["person_id", "_weeks"]).where(
         (F.col("ts") >= F.col("start")) & (F.col("ts") <= F.col("end")))
     q = F.percentile("value_as_number", F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)]))
     return j.groupBy("visit_id", "cid").agg(
