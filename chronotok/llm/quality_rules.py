@@ -122,3 +122,45 @@ def query(spark, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "n_lines_removed", "kept_chars")
+
+
+_NOTICE = " OR ".join(f"contains(lower(l), '{phrase}')" for phrase in BOILERPLATE)
+_WORDS = "[^\\x20\\x09-\\x0D]+"
+
+# The same rules in DuckDB SQL.
+ORACLE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, regexp_extract_all(t, '{_WORDS}') AS ws FROM d),
+grams AS (
+  SELECT r, i, array_to_string(ws[i:i + {WINDOW - 1}], ' ') AS g
+  FROM (SELECT r, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM w WHERE len(ws) >= {WINDOW})
+),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM grams) WHERE c > 1),
+covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + {WINDOW})) AS p FROM twice) GROUP BY r),
+measured AS (
+  SELECT r, l, len(regexp_extract_all(l, '{_WORDS}')) AS n, len(regexp_extract_all(l, '[#*$%&|<>]')) AS symbols,
+         len(regexp_extract_all(l, '{MARK_RUN}')) AS runs, len(regexp_extract_all(l, '[|»›•·]')) AS separators,
+         regexp_matches(l, '[.!?…。！？]') AS sentence, regexp_matches(l, '{MENU_LINE}') AS menu, ({_NOTICE}) AS notice,
+         length(regexp_replace(l, '[\\x20\\x09-\\x0D]+', '', 'g')) AS chars
+  FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d)
+),
+judged AS (
+  SELECT *, n > 0 AND (symbols * 5 > n OR runs * 5 > n OR (n >= 12 AND NOT sentence) OR separators * 5 > n OR menu OR notice) AS fails
+  FROM measured
+),
+per AS (
+  SELECT r, CAST(count(*) FILTER (n > 0) - count(DISTINCT l) FILTER (n > 0) AS BIGINT) AS n_dup_lines,
+         CAST(count(*) FILTER (fails) AS BIGINT) AS n_lines_removed,
+         CAST(coalesce(sum(chars) FILTER (NOT fails), 0) AS BIGINT) AS kept_chars
+  FROM judged GROUP BY r
+),
+f AS (
+  SELECT d.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words, CAST(length(array_to_string(w.ws, '')) AS BIGINT) AS word_chars,
+         CAST(len(regexp_extract_all(d.t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, per.n_dup_lines,
+         CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words, per.n_lines_removed, per.kept_chars
+  FROM d JOIN w USING (r) JOIN per USING (r) LEFT JOIN covered USING (r)
+),
+b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT (word_chars - kept_chars > word_chars * {MAX_LOST}) AS kept, n_lines_removed, kept_chars
+FROM b"""
