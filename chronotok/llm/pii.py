@@ -1,11 +1,11 @@
 """Personal data (operator 9): base patterns, and a semi-Markov conditional random field that adds spans.
 
 The field scores whole candidate segments: a run of at most ``MAX_TOKENS`` tokens that one of the loose shapes
-fits gets features of the whole span (digit counts, check sums, group sizes, separators, words before it), and
-dynamic programming over segments and single other tokens chooses boundaries and kinds jointly. It finds what
-the base patterns miss: addresses written with "at" and "dot", phone and card numbers with other separators, and
-secrets. Weights are trained by maximum likelihood on a bounded sample: windows of about ``SAMPLE_DOCS`` documents
-with the base matches as labels, their rewritten variants, and fixed example lines.
+fits, or a whole address or longer key, gets features of the whole span (digit counts, check sums, group sizes,
+separators, words before it), and dynamic programming over segments and single other tokens chooses boundaries and
+kinds jointly. It finds what the base patterns miss: addresses written with "at" and "dot", phone and card numbers
+with other separators, and secrets. Weights are trained by maximum likelihood on a bounded sample: windows of about
+``SAMPLE_DOCS`` documents with the base matches as labels, their rewritten variants, and fixed example lines.
 
 Texts are scanned in one pass without a shuffle. A base match always stays; a segment of the field is added where
 it overlaps none. All patterns run in time linear in the text, except that a window of tokens costs
@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -90,7 +91,8 @@ def base_spans(text: str) -> list[Span]:
 TOKEN = re.compile(r"\w+|[^\w\s]")
 # Places worth a window: an @ or its spelling, digit groups, and long runs of key characters (with a digit inside).
 TRIGGER = re.compile(r"@|[\[(](?:at|AT)[\])]|(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{11,}|\d[\d ().+/-]{5,}\d", re.A)
-WORTH_A_LOOK = re.compile(r"[0-9@]|[\[(](?:at|AT)[\])]")
+SPELLED = re.compile(r"[\[(](?:at|AT|dot|DOT)[\])]| (?:dot|DOT) ")
+WORTH_A_LOOK = re.compile(rf"[0-9@]|{SPELLED.pattern}")
 AT = r"(?:@| ?[\[(](?:at|AT)[\])] ?| (?:at|AT) )"
 DOT = r"(?:\.| ?[\[(](?:dot|DOT)[\])] ?| (?:dot|DOT) )"
 LOOSE = {
@@ -98,12 +100,21 @@ LOOSE = {
     "ip": re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"),
     "card": re.compile(r"[0-9](?:[ ./-]{0,2}[0-9]){12,18}"),
     "phone": re.compile(r"(?:\+|\(|[0-9])(?:[ ()./-]{0,2}[0-9]){6,14}"),
-    "secret": re.compile(r"(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])[A-Za-z0-9+/_=-]{12,512}"),
+    "secret": re.compile(r"(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])[A-Za-z0-9+/_=-]{12,}"),
 }
+# The loose address around one AT: the name after it, and the text before it read backwards.
+AT_PLACE = re.compile(r"@| ?[\[(](?:at|AT)[\])] ?| (?:at|AT)(?= )")
+NAME_AFTER = re.compile(rf"[A-Za-z0-9-]++(?:{DOT}[A-Za-z0-9-]++)++")
+LOCAL_BACKWARDS = re.compile(r"[A-Za-z0-9_%+-]++(?:(?:\.| ?[\])](?:tod|TOD)[\[(] ?| (?:tod|TOD) )[A-Za-z0-9_%+-]++)*+")
+KEY_RUN = re.compile(r"[\w+/_=-]+")
+LONG_KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{12,}")
+USUAL_ENDING = re.compile(r"(?i)(?:com|org|net|edu|gov|mil|int|info|biz|name|[a-z]{2})(?![A-Za-z0-9])")
 # A number is no candidate where it is only part of a longer one.
 NUMBER_KINDS = ("ip", "card", "phone")
 CUT_NUMBER_AFTER = re.compile(r"[./-]?[0-9]")
 CUT_NUMBER_BEFORE = re.compile(r"[0-9][./-]?$")
+# A key ends where its run does.
+CUT_KEY_AFTER = re.compile(r"[+/_=-]*[A-Za-z0-9]")
 BEFORE = {
     "email": re.compile(r"(?i)(?:mail|contact|write)\W*(?:\w+\W+){0,2}$"),
     "ip": re.compile(r"(?i)\b(?:ip|host|server|address|addr)\W*(?:\w+\W+){0,2}$"),
@@ -129,7 +140,8 @@ def _features(kind: str, text: str, a: int, b: int) -> list[float]:
         last = re.split(r"[^A-Za-z0-9]+", span)[-1]
         own = [float("@" in span), float(bool(re.search(r"(?i)[\[(](?:at|dot)[\])]", span))),
                float(last.isalpha() and 2 <= len(last) <= 6), word, float(" " in span and "[" not in span
-                                                                         and "(" not in span), 0.0]
+                                                                         and "(" not in span),
+               float(bool(USUAL_ENDING.fullmatch(last)))]
     elif kind == "ip":
         parts = span.split(".")
         own = [float(_byte_parts(parts)), float(any(len(p) > 1 and p[0] == "0" for p in parts)), word, 0.0, 0.0, 0.0]
@@ -148,23 +160,57 @@ def _features(kind: str, text: str, a: int, b: int) -> list[float]:
     return common + own
 
 
+def _addresses(text: str) -> Iterator[tuple[int, int]]:
+    """The longest loose address around each AT, in time linear in the text."""
+    backwards = None
+    for m in AT_PLACE.finditer(text):
+        name = NAME_AFTER.match(text, m.end() + (m[0][-1] in "tT"))
+        if name:
+            backwards = text[::-1] if backwards is None else backwards
+            local = LOCAL_BACKWARDS.match(backwards, len(text) - m.start())
+            if local:
+                yield len(text) - local.end(), name.end()
+
+
+def _spelled(text: str) -> list[tuple[int, int]]:
+    """Addresses with a spelled mark; "at" alone is too common a word."""
+    return [(a, b) for a, b in _addresses(text) if SPELLED.search(text, a, b)] if SPELLED.search(text) else []
+
+
+def _joined(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Stretches joined where they meet."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(places):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
 def _windows(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches around the triggers, joined where they meet."""
-    start = stop = None
+    """Stretches around the triggers, joined where they meet; no edge cuts a token, a key run or an address."""
     if not WORTH_A_LOOK.search(text):
         return
-    for m in TRIGGER.finditer(text):
-        if not re.search("[0-9@\\[(]", m[0]):
-            continue
-        a, b = max(0, m.start() - 2 * CONTEXT), min(len(text), m.end() + 2 * CONTEXT)
-        if stop is not None and a <= stop:
-            stop = max(stop, b)
-            continue
-        if stop is not None:
-            yield start, stop
-        start, stop = a, b
-    if stop is not None:
-        yield start, stop
+    places = [m.span() for m in TRIGGER.finditer(text) if re.search("[0-9@\\[(]", m[0])] + _spelled(text)
+    near = _joined([(max(0, a - 2 * CONTEXT), min(len(text), b + 2 * CONTEXT)) for a, b in places])
+    if not near:
+        return
+    starts, shapes = [a for a, _ in near], list(_addresses(text))
+    # Key runs are looked up at the edges only; an edge inside one goes to its end.
+    for a, b in near:
+        for edge in (a, b):
+            if 0 < edge < len(text) and KEY_RUN.fullmatch(text, edge - 1, edge + 1):
+                first = edge
+                while first and (text[first - 1].isalnum() or text[first - 1] in "+/_=-"):
+                    first -= 1
+                shapes.append((first, KEY_RUN.match(text, edge).end()))
+    touching = []
+    for a, b in shapes:
+        at = bisect_right(starts, b) - 1
+        if at >= 0 and near[at][1] > a:
+            touching.append((a, b))
+    yield from _joined(near + touching)
 
 
 def _lattice(text: str, a: int, b: int) -> tuple[list[tuple[int, int]], list[list[tuple[int, str, list[float]]]]]:
@@ -179,15 +225,38 @@ def _lattice(text: str, a: int, b: int) -> tuple[list[tuple[int, int]], list[lis
             if not text[y - 1].isalnum():
                 continue
             span = text[x:y]
-            if not any(c in "0123456789@[(tT" for c in span):
+            if not any(c in "0123456789" for c in span):
                 continue
             partial = CUT_NUMBER_AFTER.match(text, y) or CUT_NUMBER_BEFORE.search(text[max(0, x - 2):x])
-            for kind in KINDS:
-                if not (partial and kind in NUMBER_KINDS) and LOOSE[kind].fullmatch(span):
+            for kind in NUMBER_KINDS:
+                if not partial and LOOSE[kind].fullmatch(span):
                     ends[j].append((i, kind, _features(kind, text, x, y)))
+            if LOOSE["secret"].fullmatch(span) and not CUT_KEY_AFTER.match(text, y):
+                ends[j].append((i, "secret", _features("secret", text, x, y)))
+    for i, j, kind in _whole(text, a, b, tokens):
+        ends[j].append((i, kind, _features(kind, text, tokens[i][0], tokens[j][1])))
     return tokens, ends
 
 
+def _whole(text: str, a: int, b: int, tokens: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
+    """Candidates of any length: the whole addresses, and the key runs of more than ``MAX_TOKENS`` tokens, whole and
+    from behind their first "="."""
+    shapes = [(x, y, "email") for x, y in _addresses(text[a:b])]
+    for m in LONG_KEY.finditer(text[a:b]) if len(tokens) > MAX_TOKENS else ():
+        x, y = m.span()
+        sign = m[0].find("=")
+        shapes += [(x, y, "secret")] + [(x + sign + 1, y, "secret")] * (sign >= 0)
+    firsts, lasts = [x for x, _ in tokens], [y for _, y in tokens]
+    for x, y, kind in shapes:
+        i, j = bisect_left(firsts, a + x), bisect_right(lasts, a + y) - 1
+        while i < j and not text[tokens[i][0]].isalnum():
+            i += 1
+        while i < j and not text[tokens[j][1] - 1].isalnum():
+            j -= 1
+        if (kind == "email" or j - i >= MAX_TOKENS) and LOOSE[kind].fullmatch(text, tokens[i][0], tokens[j][1]):
+            yield i, j, kind
+
+
 class Field:
     """Weights by kind; other tokens score 0."""
 
@@ -289,6 +358,7 @@ order 1234567890123456 shipped, isbn 978-3-16-148410-0
 build 1.10.300.4000 of part X7-99A and 300.400.500.600
 the year 2020-2021 had 1 000 000 000 of them
 meet me at noon or at example park (at) night
+they looked at polka dot dress patterns and at matrix dot paper
 http://example.org/2024/05/item-00012345-page
 """
 
@@ -328,12 +398,13 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id",
     n = docs.count()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     bound = min(1 << 30, (sample_docs << 30) // max(1, n))
-    some = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < bound).filter(F.col("text").rlike("[0-9@]"))
+    some = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < bound).filter(F.col("text").rlike(WORTH_A_LOOK.pattern))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [x for t in b.column(1).to_pylist() for x in _variants(t, _labelled(t))]
-            quiet = [(t[x:y], []) for t in b.column(1).to_pylist() for x, y in _windows(t) if not _labelled(t[x:y])]
+            quiet = [(t[x:y], []) for t in b.column(1).to_pylist() for x, y in _windows(t)
+                     if not _labelled(t[x:y]) and not _unsettled(t[x:y])]
             rows = [(t, json_spans(s)) for t, s in found + quiet]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)],
                                              ["text", "spans"])
@@ -356,6 +427,11 @@ def _labelled(text: str) -> list[Span]:
     return out
 
 
+def _unsettled(text: str) -> bool:
+    """True with a spelled address of a usual ending: without a label it is no example of quiet text either."""
+    return any(USUAL_ENDING.fullmatch(re.split(r"[^A-Za-z0-9]+", text[a:b])[-1]) for a, b in _spelled(text))
+
+
 def json_spans(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1], s[2])))
 

@@ -104,3 +104,45 @@ def test_table(spark):
     masked = P.mask_documents(docs, field)
     assert masked.columns == docs.columns and masked.count() == len(rows)
     assert P.find(empty(spark), P.fit(empty(spark))).count() == 0
+
+
+LONG_KEY = "+".join(f"aB{i}xY9" for i in range(120))
+
+
+@pytest.mark.parametrize("text, want", [
+    ("mail info at example dot org for it", [("email", "info at example dot org")]),
+    ("contact anna dot berg at example dot org today", [("email", "anna dot berg at example dot org")]),
+    ("write to info at mail.example dot com please", [("email", "info at mail.example dot com")]),
+    ("contact user [at] sub [dot] department [dot] university-name [dot] example [dot] org now",
+     [("email", "user [at] sub [dot] department [dot] university-name [dot] example [dot] org")]),
+    ("contact user [at] a [dot] b [dot] c [dot] d [dot] e [dot] f [dot] g [dot] h [dot] example [dot] org now",
+     [("email", "user [at] a [dot] b [dot] c [dot] d [dot] e [dot] f [dot] g [dot] h [dot] example [dot] org")]),
+    ("token=" + "a1B2c3D4" * 100 + " is out", [("secret", "a1B2c3D4" * 100)]),
+    ("token: " + LONG_KEY + " is out", [("secret", LONG_KEY)]),
+    ("token: " + LONG_KEY[:62] + " is out", [("secret", LONG_KEY[:62])]),
+    ("they looked at polka dot dress patterns", []), ("look at example.com for it", []),
+])
+def test_whole_addresses_and_keys_without_a_number_nearby(field, text, want):
+    assert [(k, text[a:b]) for k, a, b in P.all_spans(text, field)[1]] == want
+
+
+def test_windows_cut_no_token_and_no_address():
+    rng = random.Random(3)
+    parts = ["word ", "info at example dot org ", "a [at] b [dot] c ", "x" * 60 + " ", "a1-" * 20 + " ", "a@b.co ", "1234567 "]
+    for _ in range(500):
+        text = "".join(rng.choices(parts, k=12))
+        for a, b in P._windows(text):
+            for edge in (a, b):
+                assert not any(x < edge < y for x, y in P._addresses(text))
+                assert not (0 < edge < len(text) and P.KEY_RUN.fullmatch(text, edge - 1, edge + 1))
+
+
+@pytest.mark.parametrize("text", ["a at " * 50_000, " dot a" * 50_000 + " at b.c", "a at b dot " * 30_000,
+                                  "a1+" * 50_000, "a1=" * 50_000, "a[at]b[dot]" * 20_000])
+def test_long_shapes_take_linear_time(text):
+    import time
+
+    field = P.train(P._example_lines(), rounds=2)
+    began = time.process_time()
+    P.all_spans(text, field)
+    assert time.process_time() - began < 20
