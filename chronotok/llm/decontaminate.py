@@ -3,7 +3,8 @@
 The items are indexed (term -> items with impacts), documents are cut into overlapping passages of the items'
 length, and every passage is a query. An item's score is its BM25 score for the passage's terms over its score for
 its own terms, so one threshold fits items of every length. All items at or above the threshold are retrieved and
-then verified: enough word n-grams of the item's question and of its answer must occur around the passage.
+then verified, each passage on its own: enough word n-grams of the item's question and of its answer must occur
+around the passage.
 
 Most passages are settled before a search: the most frequent terms together can give an item at most some share of
 its own score, so an item that a passage's other terms do not give the rest stays below the threshold. These sums
@@ -17,7 +18,7 @@ them is shuffled.
 
 Defined results: null and empty texts have no passages; an item with fewer than ``MIN_ITEM_WORDS`` words identifies
 no passage and is left out; items equal in text are reported each; a document is reported once for an item, with
-its best passage, and repeated rows are reported each; empty tables give no rows; other columns are not read.
+its best verified passage, and repeated rows are reported each; empty tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -189,7 +190,7 @@ class Index:
         return out
 
     def matches(self, words: list[list[str]]) -> Iterator[tuple[int, int, float, float, float, int]]:
-        """(text, item, score, question overlap, answer overlap, first word of the passage): verified, best passage."""
+        """(text, item, score, question overlap, answer overlap, first word of the passage): best verified passage."""
         size, step, none = self.passage, self.passage // 2, len(self.vocabulary)
         place = self.vocabulary.get
         lengths = np.array([len(w) for w in words], np.int64)
@@ -198,7 +199,7 @@ class Index:
         halves = -(-lengths // step) + 1  # one number is left out between texts
         blocks = np.cumsum(halves) - halves
         inside = np.arange(len(numbers)) - np.repeat(firsts, lengths)
-        best: dict[tuple[int, int], tuple[float, int]] = {}
+        best: dict[tuple[int, int], tuple[float, float, float, int]] = {}
         for block in self.open_passages(numbers, np.repeat(blocks, lengths) + inside // step):
             text = int(np.searchsorted(blocks, block, "right")) - 1
             start = int(block - blocks[text]) * step
@@ -206,14 +207,17 @@ class Index:
                 continue
             begin = int(firsts[text]) + start
             query = np.unique(numbers[begin:min(begin + size, int(firsts[text] + lengths[text]))])
+            around = None
             for item, score in self.search([int(t) for t in query if t != none]):
-                if score > best.get((text, item), (0.0, 0))[0]:
-                    best[text, item] = (score, start)
-        for (text, item), (score, where) in best.items():
-            around = ngrams(words[text][max(0, where - size):where + 2 * size])
-            q, a = (len(part & around) / len(part) for part in self.parts[item])
-            if q >= QUESTION_OVERLAP and a >= ANSWER_OVERLAP:
-                yield text, self.ids[item], score, q, a, where
+                if score <= best.get((text, item), (0.0,))[0]:
+                    continue
+                if around is None:
+                    around = ngrams(words[text][max(0, start - size):start + 2 * size])
+                q, a = (len(part & around) / len(part) for part in self.parts[item])
+                if q >= QUESTION_OVERLAP and a >= ANSWER_OVERLAP:
+                    best[text, item] = (score, q, a, start)
+        for (text, item), found in best.items():
+            yield text, self.ids[item], *found
 
 
 def item_blocks(benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "item_id",

@@ -76,3 +76,20 @@ def test_empty_tables(spark):
     assert D.find_contaminated(empty(spark), frame).count() == 0
     assert D.find_contaminated(documents(spark)[0], none).count() == 0
     assert D.drop_contaminated(documents(spark)[0], none).count() == len(documents(spark)[1])
+
+
+def test_a_better_but_false_passage_hides_no_copy(spark):
+    frame, items = bench(spark)
+    rng = random.Random(8)
+    rows = []
+    for i in range(20):
+        words = items[i].split()
+        shuffled = rng.sample(words, len(words))
+        far = sentence(rng, 200)
+        # The shuffled item fills one passage; the copy lies across a seam.
+        rows.append((i, " ".join(shuffled) + " " + far + " " + sentence(rng, i) + " " + items[i]))
+        rows.append((100 + i, " ".join(shuffled) + " " + far))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in D.find_contaminated(docs, frame).collect()}
+    assert {(i, i) for i in range(20)} <= got
+    assert all(doc < 100 for doc, _ in got)
