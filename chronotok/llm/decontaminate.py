@@ -201,6 +201,8 @@ class Index:
         inside = np.arange(len(numbers)) - np.repeat(firsts, lengths)
         best: dict[tuple[int, int], tuple[float, float, float, int]] = {}
         for block in self.open_passages(numbers, np.repeat(blocks, lengths) + inside // step):
+            if block < 0:  # opened as the passage before the first text's first half
+                continue
             text = int(np.searchsorted(blocks, block, "right")) - 1
             start = int(block - blocks[text]) * step
             if start >= lengths[text]:

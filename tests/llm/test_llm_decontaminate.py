@@ -93,3 +93,14 @@ def test_a_better_but_false_passage_hides_no_copy(spark):
     got = {(r.doc_id, r.item_id) for r in D.find_contaminated(docs, frame).collect()}
     assert {(i, i) for i in range(20)} <= got
     assert all(doc < 100 for doc, _ in got)
+
+
+def test_a_short_contaminated_first_text_touches_no_neighbour(spark):
+    frame, items = bench(spark)
+    for some in D.item_blocks(frame):
+        for index in some:
+            own = [D.terms(items[index.ids[0]])]
+            for texts_ in (own, own + [D.terms("nothing of the kind")], own + own):
+                found = list(index.matches(texts_))
+                assert {(m[0], m[5] >= 0) for m in found} == {(t, True) for t in range(len(texts_)) if texts_[t] == own[0]}
+                assert len({(m[0], m[1]) for m in found}) == len(found)
