@@ -1,7 +1,7 @@
 """Benchmark decontamination (operator 5): BM25 over an inverted index of test items, queried by block-max WAND.
 
-The items are indexed (term -> items with impacts), documents are cut into overlapping passages of the items'
-length, and every passage is a query. An item's score is its BM25 score for the passage's terms over its score for
+The items are indexed (term -> items with impacts), documents are cut into passages of twice the items'
+length that overlap by half, and every passage is a query. An item's score is its BM25 score for the passage's terms over its score for
 its own terms, so one threshold fits items of every length. All items at or above the threshold are retrieved and
 then verified, each passage on its own: enough word n-grams of the item's question and of its answer must occur
 around the passage.
@@ -70,7 +70,7 @@ def ngrams(words: list[str]) -> set[tuple[str, ...]]:
 
 
 def passage_class(n_words: int) -> int:
-    """Length of the passages that look for an item of so many words: a power of two."""
+    """Stride of the passages that look for an item of so many words: a power of two that is no shorter."""
     size = MIN_PASSAGE
     while size < n_words:
         size *= 2
@@ -85,7 +85,7 @@ class Index:
         self.ids = [i for i, _ in items]
         self.threshold = threshold
         words = [terms(t) for _, t in items]
-        self.passage = passage_class(max(map(len, words)))
+        self.passage = 2 * passage_class(max(map(len, words)))  # every item lies whole in some passage
         self.parts = [tuple(map(ngrams, question_and_answer(t))) for _, t in items]
         self.vocabulary: dict[str, int] = {}
         lists: list[list[tuple[int, float]]] = []
@@ -214,7 +214,7 @@ class Index:
                 if score <= best.get((text, item), (0.0,))[0]:
                     continue
                 if around is None:
-                    around = ngrams(words[text][max(0, start - size):start + 2 * size])
+                    around = ngrams(words[text][max(0, start - step):start + size + step])
                 q, a = (len(part & around) / len(part) for part in self.parts[item])
                 if q >= QUESTION_OVERLAP and a >= ANSWER_OVERLAP:
                     best[text, item] = (score, q, a, start)

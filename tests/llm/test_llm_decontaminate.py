@@ -104,3 +104,15 @@ def test_a_short_contaminated_first_text_touches_no_neighbour(spark):
                 found = list(index.matches(texts_))
                 assert {(m[0], m[5] >= 0) for m in found} == {(t, True) for t in range(len(texts_)) if texts_[t] == own[0]}
                 assert len({(m[0], m[1]) for m in found}) == len(found)
+
+
+def test_the_score_does_not_depend_on_where_an_item_lies(spark):
+    frame, items = bench(spark)
+    for some in D.item_blocks(frame):
+        for index in some:
+            for item in (0, 5, 9):
+                if item in index.ids:
+                    own = D.terms(items[item])
+                    texts_ = [["x"] * k + own + ["x"] * 100 for k in range(index.passage)]
+                    scores = [m[2] for m in index.matches(texts_) if m[1] == item]
+                    assert len(scores) == len(texts_) and min(scores) > 1 - 1e-9
