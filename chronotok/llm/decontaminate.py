@@ -16,8 +16,8 @@ on average. Indexes of at most that size together are sent to the tasks at a tim
 passes and not larger tasks. Document frequencies are counted over all items. Documents are read in place; nothing of
 them is shuffled.
 
-Defined results: null and empty texts have no passages; an item with fewer than ``MIN_ITEM_WORDS`` words identifies
-no passage and is left out; items equal in text are reported each; a document is reported once for an item, with
+Defined results: null and empty texts have no passages; an item with fewer than ``MIN_ITEM_WORDS`` words is
+found where exactly its words follow one another, and one without any word nowhere; items equal in text are reported each; a document is reported once for an item, with
 its best verified passage, and repeated rows are reported each; empty tables give no rows; other columns are not read.
 """
 
@@ -26,6 +26,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,10 +46,22 @@ BLOCK_ITEMS, BLOCK_CHARS = 5_000, 8_000_000
 BATCH_WORDS = 500_000
 
 _WORD = re.compile(r"\w+").findall
+# Letters and marks of scripts written without spaces: Thai, Lao, Myanmar, Khmer, Kana, Han.
+_UNSPACED = ("\u0E01-\u0E3A\u0E40-\u0E4E\u0E81-\u0EBD\u0EC0-\u0ECD\u1000-\u103F\u1050-\u108F\u1780-\u17D3\u3005-\u3007"
+             "\u3041-\u3096\u309D-\u309F\u30A1-\u30FA\u30FC-\u30FF\u31F0-\u31FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF"
+             "\uFF66-\uFF9F\U00020000-\U0003FFFF")
+_HAS_UNSPACED = re.compile(f"[{_UNSPACED}]").search
+_RUN = re.compile(f"[{_UNSPACED}]+|[^\\W{_UNSPACED}]+").findall
 
 
 def terms(text: str | None) -> list[str]:
-    return _WORD(text.lower()) if text else []
+    """Words, and pairs of neighbouring characters of scripts written without spaces."""
+    if not text:
+        return []
+    if text.isascii() or not _HAS_UNSPACED(text):
+        return _WORD(text.lower())
+    return [w for run in _RUN(text.lower())
+            for w in ([run[i:i + 2] for i in range(len(run) - 1)] if len(run) > 1 and _HAS_UNSPACED(run) else [run])]
 
 
 def question_and_answer(text: str) -> tuple[list[str], list[str]]:
@@ -222,6 +235,45 @@ class Index:
             yield text, self.ids[item], *found
 
 
+class ShortItems:
+    """Items of too few words for a score; a text contains one where all its words follow one another."""
+
+    def __init__(self, items: list[tuple[int, str]]) -> None:
+        self.ids: dict[tuple[str, ...], list[int]] = {}
+        for i, text in items:
+            self.ids.setdefault(tuple(terms(text)), []).append(i)
+        self.sizes = sorted({len(k) for k in self.ids})
+
+    def matches(self, words: list[list[str]]) -> Iterator[tuple[int, int, float, float, float, int]]:
+        """As of an index: (text, item, 1, 1, 1, first word)."""
+        for text, own in enumerate(words):
+            first: dict[tuple[str, ...], int] = {}
+            for n in self.sizes:
+                for at, key in enumerate(zip(*(own[k:] for k in range(n)))):
+                    if key in self.ids:
+                        first.setdefault(key, at)
+            for key, at in first.items():
+                for i in self.ids[key]:
+                    yield text, i, 1.0, 1.0, 1.0, at
+
+
+def short_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[list[ShortItems]]:
+    """The items below ``MIN_ITEM_WORDS`` words, in blocks of bounded size."""
+    rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([0 < len(terms(t)) < MIN_ITEM_WORDS for t in b.column(1).to_pylist()], pa.bool_()))
+
+    items = rows.mapInArrow(short, "id long, text string")
+    n, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    blocks = max(-(-n // BLOCK_ITEMS), -(-chars // BLOCK_CHARS))
+    for k in range(blocks):
+        own = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).orderBy("id", "text").collect()
+        if own:  # bounded by the block's size
+            yield [ShortItems([tuple(x) for x in own])]
+
+
 def item_blocks(benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "item_id",
                 text_col: str = "text") -> Iterator[list[Index]]:
     """Indexes of the items, one list of bounded size after another."""
@@ -285,7 +337,7 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
               "passage_word long")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
-    def searcher(indexes: list[Index]):
+    def searcher(indexes: list[Index] | list[ShortItems]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
             names = [c.split()[0] for c in schema.split(", ")]
@@ -297,7 +349,8 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
         return run
 
     out = None
-    for indexes in item_blocks(benchmark, threshold, item_col, item_text_col):
+    for indexes in chain(item_blocks(benchmark, threshold, item_col, item_text_col),
+                         short_blocks(benchmark, item_col, item_text_col)):
         part = rows.mapInArrow(searcher(indexes), schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
@@ -308,7 +361,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
     """The rows of ``docs``, with all their columns, that contain no test item."""
     at = docs.columns.index(text_col)
 
-    def cleaner(indexes: list[Index]):
+    def cleaner(indexes: list[Index] | list[ShortItems]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 keep = np.ones(b.num_rows, bool)
@@ -318,7 +371,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
                 yield b.filter(pa.array(keep))
         return run
 
-    for indexes in item_blocks(benchmark, threshold, item_col, item_text_col):
+    for indexes in chain(item_blocks(benchmark, threshold, item_col, item_text_col),
+                         short_blocks(benchmark, item_col, item_text_col)):
         docs = docs.mapInArrow(cleaner(indexes), docs.schema)
     return docs
 

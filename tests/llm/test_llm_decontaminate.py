@@ -116,3 +116,17 @@ def test_the_score_does_not_depend_on_where_an_item_lies(spark):
                     texts_ = [["x"] * k + own + ["x"] * 100 for k in range(index.passage)]
                     scores = [m[2] for m in index.matches(texts_) if m[1] == item]
                     assert len(scores) == len(texts_) and min(scores) > 1 - 1e-9
+
+
+def test_short_items_and_scripts_without_spaces_are_searched(spark):
+    rng = random.Random(1)
+    chinese = "世界上最高的山峰叫什么名字它位于哪个国家的边境。珠穆朗玛峰位于中国和尼泊尔边境"
+    items = spark.createDataFrame([(0, chinese), (1, "Too few words"), (2, "..."), (3, "ยังไม่มีคำตอบสำหรับคำถามนี้เลย")],
+                                  "item_id long, text string")
+    docs = spark.createDataFrame(
+        [(10, "前面的文字" + chinese + "后面的文字"), (11, sentence(rng, 60) + " too few WORDS, " + sentence(rng, 9)),
+         (12, "few words too, words"), (13, "今天天气很好我们去公园散步然后回家吃饭看书睡觉"), (14, None),
+         (15, "ก่อนยังไม่มีคำตอบสำหรับคำถามนี้เลยหลัง")], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in D.find_contaminated(docs, items).collect()}
+    assert got == {(10, 0), (11, 1), (15, 3)}
+    assert {r.doc_id for r in D.drop_contaminated(docs, items).collect()} == {12, 13, 14}
