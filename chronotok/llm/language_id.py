@@ -16,6 +16,7 @@ repeated rows are labelled one by one; an empty table gives no rows; other colum
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,7 +37,7 @@ UNKNOWN = "und"
 
 # First code points of runs of one script (Unicode blocks); the script number of each run follows.
 # 0 other, 1 Latin, 2 Greek, 3 Cyrillic, 4 Armenian, 5 Hebrew, 6 Arabic, 7 Indic, 8 Thai and Lao, 9 Georgian,
-# 10 Hangul, 11 Kana, 12 Han
+# 10 Hangul, 11 Kana, 12 Han; a letter in a run of 0 is of script 13, other letters
 SCRIPT_STARTS = np.array([0x0, 0x41, 0x5B, 0x61, 0x7B, 0xAA, 0xAB, 0xB5, 0xB6, 0xBA, 0xBB, 0xC0, 0x2B0, 0x370, 0x400,
                           0x530, 0x590, 0x600, 0x900, 0xE00, 0xF00, 0x10A0, 0x1100, 0x1200, 0x1E00, 0x1F00, 0x2000,
                           0x3040, 0x3100, 0x3400, 0xA000, 0xAC00, 0xD7B0, 0xF900, 0xFB00, 0xFB1D, 0xFB50, 0xFE00,
@@ -45,7 +46,13 @@ SCRIPT_OF_RUN = np.array([0, 1, 0, 1, 0, 1, 0, 1, 0, 1, 0, 1, 0, 2, 3,
                           4, 5, 6, 7, 8, 0, 9, 10, 0, 1, 2, 0,
                           11, 0, 12, 0, 10, 0, 12, 1, 5, 6, 0,
                           6, 0, 1, 0, 1, 0, 11, 10, 0, 12, 0], np.int8)
-N_SCRIPTS = 13
+OTHER_LETTERS, N_SCRIPTS = 13, 14
+# Blocks of whole scripts among the runs of number 0, whose marks belong to their words.
+OTHER_BLOCKS = ((0xF00, 0x10A0), (0x1200, 0x1AB0), (0x1B00, 0x1DC0), (0x2C00, 0x2E00), (0xA000, 0xAC00), (0x10000, 0x1D000),
+                (0x1E000, 0x1F000))
+# Letters that no run has, by code point: all of them are script ``OTHER_LETTERS``.
+IS_OTHER = np.array([(kind := unicodedata.category(chr(c))[0]) == "L" or kind == "M" and any(a <= c < b for a, b in OTHER_BLOCKS)
+                     for c in range(0x20000)] + [False])
 
 
 @dataclass(frozen=True)
@@ -67,6 +74,8 @@ def _words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, n
     codes = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
     script = SCRIPT_OF_RUN[np.searchsorted(SCRIPT_STARTS, codes, "right") - 1]
     script[(codes == 0xD7) | (codes == 0xF7)] = 0
+    rest = np.flatnonzero((script == 0) & (codes >= 0x2B0))
+    script[rest[IS_OTHER[np.minimum(codes[rest], len(IS_OTHER) - 1)]]] = OTHER_LETTERS
     edge = np.flatnonzero(np.diff(np.concatenate([[0], script != 0, [0]]).astype(np.int8)))
     starts, stops = edge[::2], edge[1::2]
     return codes, starts, stops, script[starts], script

@@ -75,3 +75,14 @@ def test_held_out_accuracy_on_the_tables(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
     got = L.query(spark, sf).join(docs, "doc_id").filter("held_out")
     assert got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.98
+
+
+@pytest.mark.parametrize("text", ["བོད་སྐད", "မြန်မာဘာသာ", "አማርኛ ቋንቋ", "ᏣᎳᎩ", "ᐃᓄᒃᑎᑐᑦ", "ភាសាខ្មែរ", "ᠮᠣᠩᠭᠣᠯ", "ㄅㄆㄇ", "ꆈꌠ", "ꯃꯤꯇꯩ", "ⵜⴰⵎⴰⵣⵉⵖⵜ", "𐌲𐌿𐍄", "𞤀𞤁"])
+def test_letters_of_any_script_get_a_language(model, text):
+    lang, score, spans = L.label_texts([text], model)[0]
+    assert lang in SAMPLES and score > 0 and spans[0][0] == 0 and spans[-1][1] == len(text)
+
+
+@pytest.mark.parametrize("text", ["😀 👍🏽 🇩🇪", "༡༢ ༔", "123 ፠", "①② ㈱ ℃", "♪𝄞", "🀄"])
+def test_signs_without_a_letter_are_unknown(model, text):
+    assert L.label_texts([text], model)[0] == (L.UNKNOWN, 0.0, [])
