@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from chronotok.llm import decontaminate, html_extract, language_id, packing, pii, quality_classifier, quality_rules, sharding, simhash, substring_dedup
+from chronotok.llm import (
+    decontaminate, html_extract, language_id, nearest_neighbours, packing, pii, quality_classifier, quality_rules, sharding,
+    simhash, spelling_variants, substring_dedup, token_alignment)
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -15,6 +17,9 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.query,
     "op9_pii": pii.query,
     "op10_simhash_pigeonring": simhash.query,
+    "op11_spelling_variants": spelling_variants.query,
+    "op12_nearest_neighbours": nearest_neighbours.query,
+    "op13_token_alignment": token_alignment.query,
 }
 
 # DuckDB has no crc32, xxhash64 with a seed, tokenizer or zstandard; the other operators are held against brute force
