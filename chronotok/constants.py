@@ -248,3 +248,11 @@ def fixed_vocab_tokens() -> list[str]:
         + [f"TIME_{label}" for label, _ in TIME_INTERVALS]
         + [f"Q{i}" for i in range(N_QUANTILES)]
     )
+
+
+# Hierarchical code systems: characters of each level of a code, 0 for all that is left.
+CODE_LEVELS = {
+    "ATC": [3, 1, 0],
+    "ICD10CM": [3, 2, 0],
+    "ICD10PCS": [1, 1, 1, 1, 1, 1, 0],
+}

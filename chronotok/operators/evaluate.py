@@ -8,10 +8,11 @@ every person is spread over many tasks too.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..session import cut_lineage
 from .datasets import hash_int, hash_key
 from .labels import sequence_minutes, target_table
 from .ranking import exclusive_running_sum
@@ -221,29 +222,70 @@ def poisson_cdf(n_terms: int = 13) -> list[float]:
     return out
 
 
+BOOT_BLOCK = 50  # replicates whose sums are columns of one aggregate
+
+
+def _weights(n: int, first: int, seed: int) -> Column:
+    """Poisson(1) weights of the row's person in replicates ``first`` .. ``first + n - 1``, as an array: from
+    md5(seed|b|person), so that replicates are reproducible without a driver RNG."""
+    cdf = F.array(*[F.lit(c) for c in poisson_cdf()])
+    return F.transform(F.sequence(F.lit(first), F.lit(first + n - 1)), lambda b: F.size(F.filter(
+        cdf, lambda c: c < hash_int(seed, b, F.col("person_id")) / F.lit(4294967296.0))))
+
+
+def _blocks(n_boot: int) -> list[tuple[int, int]]:
+    return [(min(BOOT_BLOCK, n_boot - b), b) for b in range(0, n_boot, BOOT_BLOCK)]
+
+
+def _interval(per: DataFrame, keys: list[str], level: float) -> DataFrame:
+    """Percentile interval of the replicates' values, the array column ``a`` (NULLs are replicates without a value)."""
+    lo, hi = (1 - level) / 2, 1 - (1 - level) / 2
+    each = per.select(*keys, F.explode("a").alias("a"))
+    aggs = [F.percentile("a", F.lit(lo)).alias("ci_low"), F.percentile("a", F.lit(hi)).alias("ci_high"), F.count("a").alias("n_boot")]
+    return each.groupBy(*keys).agg(*aggs) if keys else each.agg(*aggs)
+
+
 def bootstrap_auroc(scored: DataFrame, keys: list[str], n_boot: int = 20, seed: int = K.SPLIT_SEED,
                     level: float = 0.95) -> DataFrame:
     """O3: Poisson-bootstrap confidence interval of the AUROC per key.
 
-    Each (replicate, person) gets a Poisson(1) weight from md5(seed|b|person), so
-    replicates are reproducible without a driver RNG. Rows are pre-aggregated to
-    weighted (key, replicate, score) -> (pos, neg) before the rank sums.
+    A row carries its weights in all replicates as one array, and rows of equal (key, score) are
+    added up element by element before anything is ordered. One rank pass over these sums serves
+    every replicate and the AUROC itself.
     """
-    cdf = F.array(*[F.lit(c) for c in poisson_cdf()])
-    b = scored.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    u = hash_int(seed, "b", "person_id") / F.lit(4294967296.0)
-    b = b.withColumn("w", F.size(F.filter(cdf, lambda c: c < u)))
-    g = b.groupBy(*keys, "b", "score").agg(F.sum(F.col("w") * F.col("label")).alias("pos"),
-                                           F.sum(F.col("w") * (1 - F.col("label"))).alias("neg"))
-    g = exclusive_running_sum(g, [*keys, "b"], ["score"], "neg", "neg_below")
-    per = g.groupBy(*keys, "b").agg(
-        F.sum(F.col("pos") * (F.col("neg_below") + 0.5 * F.col("neg"))).alias("_num"),
-        F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    per = per.select(*keys, "b", F.when((F.col("P") > 0) & (F.col("N") > 0), F.col("_num") / (F.col("P") * F.col("N"))).alias("a"))
-    lo, hi = (1 - level) / 2, 1 - (1 - level) / 2
-    ci = per.groupBy(*keys).agg(F.percentile("a", F.lit(lo)).alias("ci_low"), F.percentile("a", F.lit(hi)).alias("ci_high"),
-                                F.count("a").alias("n_boot"))
-    return auroc(scored, keys).join(ci, keys, "left")
+    per = None
+    for n, first in _blocks(n_boot):
+        w = scored.withColumn("w", _weights(n, first, seed))
+        label = F.col("label").cast("long")
+        sums = [F.sum(F.col("w")[i] * x).alias(f"{c}{i}") for i in range(n) for c, x in (("p", label), ("n", 1 - label))]
+        g = w.groupBy(*keys, "score").agg(F.sum(label).alias("p"), F.sum(1 - label).alias("n"), *sums)
+        names = ["", *map(str, range(n))]
+        g = exclusive_running_sum(g, keys, ["score"], [f"n{i}" for i in names], [f"below{i}" for i in names])
+        area = [F.sum(F.col(f"p{i}") * (F.col(f"below{i}") + 0.5 * F.col(f"n{i}"))) for i in names]
+        pos, neg = ([F.sum(f"{c}{i}") for i in names] for c in "pn")
+        auc = [F.when((x > 0) & (y > 0), z / (x * y)) for x, y, z in zip(pos, neg, area)]
+        block = g.groupBy(*keys).agg(auc[0].alias("auroc"), F.array(*auc[1:]).alias("a"))
+        per = block if per is None else per.unionByName(block)
+    per = cut_lineage(per)
+    whole = per.groupBy(*keys).agg(F.max("auroc").alias("auroc"))
+    return whole.join(_interval(per, keys, level), keys, "left")
+
+
+def bootstrap_mae(pred: DataFrame, truth: DataFrame, value: str, n_boot: int = 20, seed: int = K.SPLIT_SEED,
+                  level: float = 0.95) -> DataFrame:
+    """Mean |prediction - truth| over persons in both tables, with its Poisson-bootstrap interval. Every
+    replicate is a pair of weighted sums in one pass over the rows."""
+    j = pred.select("person_id", F.col(value).alias("_p")).join(truth.select("person_id", F.col(value).alias("_t")), "person_id")
+    j = j.select("person_id", F.abs(F.col("_p") - F.col("_t")).alias("e"))
+    per = None
+    for n, first in _blocks(n_boot):
+        w = j.withColumn("w", _weights(n, first, seed))
+        means = [F.sum(F.col("w")[i] * F.col("e")) / F.nullif(F.sum(F.col("w")[i]), F.lit(0)) for i in range(n)]
+        block = w.agg(F.count(F.lit(1)).alias("n_patients"), F.avg("e").alias("mae"), F.array(*means).alias("a"))
+        per = block if per is None else per.unionByName(block)
+    per = cut_lineage(per)
+    whole = per.agg(F.max("n_patients").alias("n_patients"), F.max("mae").alias("mae"))
+    return whole.withColumn("_k", F.lit(0)).join(_interval(per, [], level).withColumn("_k", F.lit(0)), "_k").drop("_k")
 
 
 def top_k_accuracy(ranked_pred: DataFrame, truth: DataFrame, ks: tuple[int, ...] = (1, 2, 3, 5)) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from ..sources import omop
+from .ranking import Slices
 
 # Order of events of one person on equal timestamps: rows still
 # tied after these keys produce identical tokens.
@@ -68,17 +69,50 @@ def events_of_known_persons(events: DataFrame, person: DataFrame) -> DataFrame:
     return events.join(person.select("person_id"), "person_id", "left_semi")
 
 
-def ordered_events(events: DataFrame) -> DataFrame:
+def clustered_events(events: DataFrame, num_partitions: int | None = None) -> Slices:
+    """K1: the events stored by person and order, in slices with a bucket each. Orders, positions and cuts at an index
+    time read them without a shuffle; a person with most of all events lies in many slices."""
+    return Slices(events, ["person_id"], EVENT_ORDER, num_partitions, clustered=True)
+
+
+def by_slice(s: Slices, per_person: DataFrame) -> DataFrame:
+    """A table of one row per person as ``(_slice, ...)``, one row for each slice that the person lies in, so that it
+    joins the clustered events on (slice, person): only this table moves."""
+    where = s.rows.select("_slice", "person_id").distinct()
+    return where.join(per_person, "person_id")
+
+
+def events_until(s: Slices, index: DataFrame) -> DataFrame:
+    """P20/J11 over clustered events: events with ``ts <= index_time``; persons without an index time drop out."""
+    j = s.rows.join(by_slice(s, index.select("person_id", "index_time")), ["_slice", "person_id"])
+    return j.where(F.col("ts") <= F.col("index_time")).drop("index_time")
+
+
+def positions(s: Slices) -> DataFrame:
+    """Clustered events with ``_rn`` (0-based position of the person's events), and the person's ``_n`` (events),
+    ``_first`` and ``_last`` time."""
+    spans = s.spanning(F.count(F.lit(1)).alias("_c"), F.min("ts").alias("_f"), F.max("ts").alias("_l"))
+    spans = cut_lineage(spans.select(
+        "_slice", "person_id", F.coalesce(F.sum("_c").over(s.earlier), F.lit(0)).alias("_before"),
+        F.sum("_c").over(s.all).alias("_c"), F.min("_f").over(s.all).alias("_f"), F.max("_l").over(s.all).alias("_l")))
+    rows = (s.rows.withColumn("_at", F.row_number().over(s.window)).withColumn("_own", F.count(F.lit(1)).over(s.whole))
+            .withColumn("_lo", F.min("ts").over(s.whole)).withColumn("_hi", F.max("ts").over(s.whole)))
+    rows = s.join(rows, spans)
+    return (rows.withColumn("_rn", F.col("_at") - 1 + F.coalesce("_before", F.lit(0)))
+            .withColumn("_n", F.coalesce("_c", "_own")).withColumn("_first", F.coalesce("_f", "_lo"))
+            .withColumn("_last", F.coalesce("_l", "_hi")).drop("_at", "_own", "_lo", "_hi", "_before", "_c", "_f", "_l"))
+
+
+def ordered_events(events: DataFrame | Slices) -> DataFrame:
     """Per-person sequence number (1-based) and minutes since the previous event.
 
     Windows run inside slices of the (person, order) range, so a person with most of all events
     is spread over many tasks; the first event of a later slice takes the last time of the
-    slice before it from the small table of spanning persons.
+    slice before it from the small table of spanning persons. Clustered events take no shuffle.
     """
     from ..functions.tokens import gap_minutes
-    from .ranking import Slices
 
-    s = Slices(events, ["person_id"], EVENT_ORDER)
+    s = events if isinstance(events, Slices) else Slices(events, ["person_id"], EVENT_ORDER)
     spans = s.spanning(F.count(F.lit(1)).alias("_rows"), F.max("ts").alias("_last_ts"))
     spans = (spans.withColumn("_before", F.coalesce(F.sum("_rows").over(s.earlier), F.lit(0)))
              .withColumn("_prev_slice_ts", F.lag("_last_ts").over(s.along)).drop("_rows", "_last_ts"))

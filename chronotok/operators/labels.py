@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.tokens import concept_token, is_structural_leading, time_token_minutes
 from .datasets import hash_key
+from .ranking import Slices
 
 # Token-name prefixes recorded as clinical events in a simulated future.
 SIM_EVENT_PREFIXES = ["CONDITION_", "DRUG_", "PROCEDURE_", "MEASUREMENT_", "OBSERVATION_"]
@@ -30,19 +31,15 @@ def event_span(events: DataFrame) -> DataFrame:
         F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("n_events"))
 
 
-def _indexed(events: DataFrame) -> DataFrame:
-    """Events with their 0-based position per person and the person's first/last time
-    and count (aggregates joined back; the position is size-adaptive)."""
-    from .events import EVENT_ORDER
-    from .ranking import row_index
+def _indexed(events: DataFrame | Slices) -> DataFrame:
+    """Events with their 0-based position per person and the person's first/last time and count."""
+    from .events import EVENT_ORDER, positions
 
-    e = row_index(events.select("person_id", *EVENT_ORDER), ["person_id"], EVENT_ORDER, out="_rn")
-    span = events.groupBy("person_id").agg(F.count(F.lit(1)).alias("_n"), F.min("ts").alias("_first"),
-                                           F.max("ts").alias("_last"))
-    return e.join(span, "person_id")
+    s = events if isinstance(events, Slices) else Slices(events.select("person_id", *EVENT_ORDER), ["person_id"], EVENT_ORDER)
+    return positions(s).select("person_id", "ts", "_rn", "_n", "_first", "_last")
 
 
-def index_time_end_minus_horizon(events: DataFrame, horizon_days: int) -> DataFrame:
+def index_time_end_minus_horizon(events: DataFrame | Slices, horizon_days: int) -> DataFrame:
     """``last - h``; when that is not after the first event, the event at ``n // 2``."""
     e = _indexed(events)
     mid = e.where(F.col("_rn") == F.floor(F.col("_n") / 2)).select(
@@ -51,7 +48,7 @@ def index_time_end_minus_horizon(events: DataFrame, horizon_days: int) -> DataFr
     return mid.select("person_id", F.when(cand <= F.col("_first"), F.col("_mid")).otherwise(cand).alias("index_time"))
 
 
-def index_time_random(events: DataFrame, horizon_days: int, seed: int = K.SPLIT_SEED) -> DataFrame:
+def index_time_random(events: DataFrame | Slices, horizon_days: int, seed: int = K.SPLIT_SEED) -> DataFrame:
     """An md5-chosen event time with at least ``h`` after it before the last event;
     the first event time when there is none. The pick is a ``min`` over (hash, position),
     a plain aggregate, so no per-person window is needed."""
@@ -60,7 +57,7 @@ def index_time_random(events: DataFrame, horizon_days: int, seed: int = K.SPLIT_
     picked = viable.groupBy("person_id").agg(
         F.min(F.struct(hash_key(seed, "person_id", "_rn").alias("h"), F.col("_rn").alias("rn"), F.col("ts").alias("ts")))
         .alias("_p")).select("person_id", F.col("_p.ts").alias("_pick"))
-    firsts = events.groupBy("person_id").agg(F.min("ts").alias("_first"))
+    firsts = e.where(F.col("_rn") == 0).select("person_id", "_first")
     return firsts.join(picked, "person_id", "left").select(
         "person_id", F.coalesce("_pick", "_first").alias("index_time"))
 
@@ -76,6 +73,39 @@ def events_until(events: DataFrame, index: DataFrame) -> DataFrame:
         F.col("ts") <= F.col("index_time")).drop("index_time")
 
 
+def _history(tokens: DataFrame, index: DataFrame) -> DataFrame:
+    """Stored tokens of the static prefix and of events up to the index time, without EOS. Events are in time order,
+    so these are a prefix of the sequence, with the positions and ids it already has."""
+    j = tokens.join(index, "person_id")
+    return j.where(((F.col("ev_seq") == 0) | (F.col("ts") <= F.col("index_time"))) & (F.col("token") != K.EOS))
+
+
+def history_tokens(tokens: DataFrame, index: DataFrame, demo: DataFrame, vocab: DataFrame) -> DataFrame:
+    """The sequence of each person of ``index`` up to its index time, from the stored token table.
+
+    A history differs from the full sequence in the age at the index time (the first token) and in
+    where it ends, so nothing is tokenized again. Equal to tokenizing the events up to the index time.
+    """
+    from ..functions.tokens import age_at_index, age_band
+    from .vocab import encode, special_id
+
+    age = F.concat(F.lit("AGE_"), age_band(age_at_index("index_time", "birth_year")))
+    known = index.select("person_id", "index_time").join(demo.select("person_id", "birth_year"), "person_id").select(
+        "person_id", "index_time", age.alias("_age"))
+    body = _history(tokens, encode(known, vocab, token_col="_age", out="_age_id"))
+    first = F.col("pos") == 0
+    eos = body.groupBy("person_id").agg((F.max("pos") + 1).alias("pos")).select(
+        "person_id", "pos", F.lit(K.EOS).alias("token"), F.lit(special_id(vocab, K.EOS)).alias("token_id"))
+    return body.select("person_id", "pos", F.when(first, F.col("_age")).otherwise(F.col("token")).alias("token"),
+                       F.when(first, F.col("_age_id")).otherwise(F.col("token_id")).alias("token_id")).unionByName(eos)
+
+
+def history_lengths(tokens: DataFrame, index: DataFrame) -> DataFrame:
+    """``(person_id, history_len)``: tokens of :func:`history_tokens`, counted without building them."""
+    return _history(tokens.select("person_id", "token", "ev_seq", "ts"), index.select("person_id", "index_time")).groupBy(
+        "person_id").agg((F.count(F.lit(1)) + 1).cast("int").alias("history_len"))
+
+
 def history_tail(events: DataFrame, index: DataFrame, vocab: DataFrame, n_events: int = K.HISTORY_TAIL_EVENTS) -> DataFrame:
     """Last ``n_events`` clinical events up to the index time, concept tokens in the
     vocabulary only, then ``<EOS>`` -> ``(person_id, pos, token, token_id)``.

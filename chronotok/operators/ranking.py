@@ -12,6 +12,10 @@ finishes. Everything here works in two phases, at every size:
    few groups that span slices get what they need from other slices out of a
    small table. That table has at most two rows per slice (a slice can share
    only its first and its last group with others), so it is broadcast.
+
+Slices that are read more than once can be stored *clustered*: as a table bucketed by slice,
+one bucket each, so that Spark reads a slice as one partition and every window or aggregate
+by (slice, group) runs without a shuffle.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import bucket_labels, clustered_table, cut_lineage
 
 
 def _n_parts(df: DataFrame, num_partitions: int | None) -> int:
@@ -35,12 +39,19 @@ class Slices:
     """
 
     def __init__(self, df: DataFrame, group_cols: list[str], order_cols: list[str | Column],
-                 num_partitions: int | None = None):
+                 num_partitions: int | None = None, clustered: bool = False):
         order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
         keys = [F.col(g) for g in group_cols]
         self.groups = group_cols
-        self.rows = cut_lineage(df.repartitionByRange(_n_parts(df, num_partitions), *keys, *order)
-                                .withColumn("_slice", F.spark_partition_id()))
+        n = _n_parts(df, num_partitions)
+        dealt = df.repartitionByRange(n, *keys, *order)
+        if clustered:  # slices keep their order and have a bucket each
+            labels = ", ".join(map(str, bucket_labels(df.sparkSession, n)))
+            dealt = dealt.withColumn("_slice", F.expr(f"element_at(array({labels}), spark_partition_id() + 1)"))
+            names = [c for c in order_cols if isinstance(c, str)]
+            self.rows = clustered_table(dealt, "_slice", n, ["_slice", *group_cols, *names])
+        else:
+            self.rows = cut_lineage(dealt.withColumn("_slice", F.spark_partition_id()))
         self.window = Window.partitionBy("_slice", *group_cols).orderBy(*order)
         self.before = self.window.rowsBetween(Window.unboundedPreceding, -1)
         self.whole = self.window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

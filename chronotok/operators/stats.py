@@ -36,6 +36,12 @@ def measurement_deciles(events: DataFrame, min_values: int = K.MIN_VALUES_FOR_QU
         .groupBy("cid", F.col("value_as_number").alias("v"))
         .agg(F.count(F.lit(1)).alias("freq"))
     )
+    return deciles_of_counts(vals, min_values, num_partitions)
+
+
+def deciles_of_counts(vals: DataFrame, min_values: int = K.MIN_VALUES_FOR_QUANTILES,
+                      num_partitions: int | None = None) -> DataFrame:
+    """A2 from distinct values with their frequency ``(cid, v, freq)``."""
     ranked = exclusive_running_sum(vals, ["cid"], ["v"], "freq", out="before", total="n",
                                    num_partitions=num_partitions)
     ranked = ranked.where(F.col("n") >= min_values)
@@ -63,7 +69,12 @@ def measurement_deciles(events: DataFrame, min_values: int = K.MIN_VALUES_FOR_QU
 
 
 def distinct_categories(events: DataFrame, demo: DataFrame) -> DataFrame:
-    """A3/A4: (category, value) for genders, races, birth-year bands, units and visit types."""
+    """A3/A4: distinct (category, value) for genders, races, birth-year bands, units and visit types."""
+    return category_values(events, demo).distinct()
+
+
+def category_values(events: DataFrame, demo: DataFrame) -> DataFrame:
+    """(category, value) of every person and event that has one."""
     cat = lambda name, col: col.cast("string").alias("value")
     g = demo.where(F.col("gender_concept_id").isNotNull()).select(F.lit("GENDER").alias("category"), cat("g", F.col("gender_concept_id")))
     r = demo.where(F.col("race_concept_id").isNotNull()).select(F.lit("RACE").alias("category"), cat("r", F.col("race_concept_id")))
@@ -73,7 +84,7 @@ def distinct_categories(events: DataFrame, demo: DataFrame) -> DataFrame:
     v = events.where(F.col("et") == "admission").select(
         F.lit("VISIT_TYPE").alias("category"),
         F.coalesce(F.col("visit_type").cast("string"), F.lit("None")).alias("value"))
-    return g.unionByName(r).unionByName(y).unionByName(u).unionByName(v).distinct()
+    return g.unionByName(r).unionByName(y).unionByName(u).unionByName(v)
 
 
 def top_concepts(events: DataFrame, et: str = "measurement", k: int = 200) -> DataFrame:

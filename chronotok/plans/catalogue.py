@@ -16,6 +16,7 @@ from .. import constants as K
 from ..functions import tokens as T
 from ..operators import events as E
 from ..operators import stats
+from ..session import cut_lineage
 from ..sources import bridge
 from .oracle_sql import CLINICAL_PREFIX_CASE as CLINICAL_PREFIX_CASE_SQL
 from .oracle_sql import assemble
@@ -65,7 +66,7 @@ SELECT person_id, CASE WHEN et = 'observation' THEN CAST(CAST(ts AS DATE) AS TIM
 FROM ev_all WHERE et NOT IN ('admission', 'discharge', 'death')"""))
 def q_folder_events(spark, sf_dir):
     """The bridge written as a folder of drifting parts and read back. One part of each table has
-    text ids, and observations have a date column only."""
+    text ids, one stores every integer as a double, and observations have a date column only."""
     import uuid
 
     from ..session import ensure_checkpoint_dir
@@ -78,9 +79,11 @@ def q_folder_events(spark, sf_dir):
             continue
         if name == "observation":
             df = df.withColumn("observation_date", F.col("observation_datetime").cast("date")).drop("observation_datetime")
-        odd = F.pmod(F.col("person_id"), F.lit(2)) == 1
-        df.where(~F.coalesce(odd, F.lit(False))).write.parquet(f"{root}/{name}/part=0")
-        df.where(odd).withColumn("person_id", F.col("person_id").cast("string")).write.parquet(f"{root}/{name}/part=1")
+        turn = F.coalesce(F.pmod(F.col("person_id"), F.lit(3)), F.lit(0))
+        df.where(turn == 0).write.parquet(f"{root}/{name}/part=0")
+        df.where(turn == 1).withColumn("person_id", F.col("person_id").cast("string")).write.parquet(f"{root}/{name}/part=1")
+        df.where(turn == 2).select(*[F.col(c).cast("double") if t in ("int", "bigint") else F.col(c) for c, t in df.dtypes]) \
+            .write.parquet(f"{root}/{name}/part=2")
     return E.build_events(read_omop_dir(spark, root)).select(*EV_COLS)
 
 
@@ -111,7 +114,7 @@ SELECT person_id, CAST(ev_seq AS INTEGER) AS ev_seq, ts,
        round((epoch_us(ts) - epoch_us(prev_ts)) / 60000000.0, 6) AS gap_minutes
 FROM (SELECT *, row_number() OVER w AS ev_seq, lag(ts) OVER w AS prev_ts FROM ev_known WINDOW w AS ({_ORDER_SQL}))"""))
 def q_gap_minutes(spark, sf_dir):
-    o = E.ordered_events(build_for(spark, sf_dir, B1).known_events)
+    o = E.ordered_events(build_for(spark, sf_dir, B1).event_slices)
     return o.select("person_id", F.col("ev_seq").cast("int"), "ts", r6("gap_minutes").alias("gap_minutes"))
 
 
@@ -128,7 +131,7 @@ SELECT token, count(*) AS n_tokens, count(DISTINCT person_id || ':' || CAST(ev_s
     FROM (SELECT *, row_number() OVER w AS ev_seq, lag(ts) OVER w AS prev_ts FROM ev_known WINDOW w AS ({_ORDER_SQL}))))
 GROUP BY token"""))
 def q_gap_tokens(spark, sf_dir):
-    o = E.ordered_events(build_for(spark, sf_dir, B2).known_events)
+    o = E.ordered_events(build_for(spark, sf_dir, B2).event_slices)
     g = T.gap_tokens("gap_minutes")  # repeats of one token at most, so an event counts once for its first
     return o.select(F.try_element_at(g, F.lit(1)).alias("token"), F.size(g).alias("n")).where("n > 0").groupBy("token").agg(
         F.sum("n").alias("n_tokens"), F.count(F.lit(1)).alias("n_events"))
@@ -680,8 +683,8 @@ def _ctx(spark, sf_dir) -> EvalContext:
 _EVAL_EXTRA = eval_sql(EVAL_CUT, EVAL_H, N_SIMS, N_TARGETS, PATIENT_LIMIT, READMIT_DAYS)
 
 
-def _ev(final: str) -> str:
-    return assemble(B2, final, extra=_EVAL_EXTRA, tok_events="ev_future", tok_demo="demo_fut")
+def _ev(final: str, extra: str = "") -> str:
+    return assemble(B2, final, extra=_EVAL_EXTRA + ("," + extra if extra else ""), tok_events="ev_future", tok_demo="demo_fut")
 
 
 _IDX_SQL = f"""
@@ -705,12 +708,12 @@ demo_idx AS (SELECT d.*, i.index_time FROM demo d JOIN idx_end i ON d.person_id
 
 @register("index_time_end", assemble(B2, "SELECT person_id, index_time FROM idx_end", extra=_IDX_SQL))
 def q_index_time_end(spark, sf_dir):
-    return L.index_time_end_minus_horizon(build_for(spark, sf_dir, B2).known_events, EVAL_H)
+    return L.index_time_end_minus_horizon(build_for(spark, sf_dir, B2).event_slices, EVAL_H)
 
 
 @register("index_time_random", assemble(B2, "SELECT person_id, index_time FROM idx_random", extra=_IDX_SQL))
 def q_index_time_random(spark, sf_dir):
-    return L.index_time_random(build_for(spark, sf_dir, B2).known_events, EVAL_H, seed=42)
+    return L.index_time_random(build_for(spark, sf_dir, B2).event_slices, EVAL_H, seed=42)
 
 
 @register("index_time_first", assemble(B2, "SELECT person_id, min(ts) AS index_time FROM ev_known GROUP BY person_id"))
@@ -723,13 +726,8 @@ def q_index_time_first(spark, sf_dir):
     age_expr="CASE WHEN birth_year IS NULL THEN 50 ELSE greatest(0, year(index_time) - birth_year) END"))
 def q_history_tokens(spark, sf_dir):
     b = build_for(spark, sf_dir, B2)
-    idx = L.index_time_end_minus_horizon(b.known_events, EVAL_H)
-    ev = L.events_until(b.events, idx)
-    demo = b.demo.join(idx, "person_id")
-    from ..functions.tokens import age_at_index
-
-    t = b.tokens_for(ev, age=age_at_index(F.col("index_time"), F.col("birth_year")), demo=demo)
-    return t.select("person_id", "pos", "token", "token_id")
+    idx = L.index_time_end_minus_horizon(b.event_slices, EVAL_H)
+    return L.history_tokens(b.tokens, cut_lineage(idx), b.demo, b.vocab)
 
 
 @register("history_tail", _ev(f"""
@@ -1126,8 +1124,7 @@ def q_tte_predictions(spark, sf_dir):
     """K7/F16: per-patient index time (ISO), label, probability and length of the full history."""
     c = _ctx(spark, sf_dir)
     probs = c.tte_scored.select("person_id", "label", r6("score").alias("prob"))
-    lens = c.tte_history.groupBy("person_id").agg(F.count(F.lit(1)).cast("int").alias("history_len"))
-    return EV.predictions_table(c.tte_index, probs, lens)
+    return EV.predictions_table(c.tte_index, probs, c.tte_history_lengths)
 
 
 # --------------------------------------------------------------------------- optional paper rows
@@ -1233,3 +1230,6 @@ FROM los_stays s CROSS JOIN los_cuts c""", extra=_LOS_SQL))
 def q_los_decile_tokens(spark, sf_dir):
     """Per-stay length of stay and its decile token."""
     return stats.los_decile_tokens(build_for(spark, sf_dir, B2).known_events)
+
+
+from . import catalogue_more  # noqa: E402, F401 - registers further queries

@@ -136,7 +136,7 @@ class EvalContext:
     @cached_property
     def tte_index(self) -> DataFrame:
         """Index time per person, the last event less the horizon (W13), for persons with simulations."""
-        idx = L.index_time_end_minus_horizon(self.b.known_events, self.h)
+        idx = L.index_time_end_minus_horizon(self.b.event_slices, self.h)
         return cut_lineage(idx.join(self.future_tokens.select("person_id").distinct(), "person_id", "left_semi"))
 
     @cached_property
@@ -152,17 +152,17 @@ class EvalContext:
     @cached_property
     def tte_history(self) -> DataFrame:
         """The full history up to the index time as tokens."""
-        from ..functions.tokens import age_at_index
+        return L.history_tokens(self.b.tokens, self.tte_index, self.b.demo, self.b.vocab)
 
-        demo = self.b.demo.join(self.tte_index, "person_id")
-        return self.b.tokens_for(L.events_until(self.b.events, self.tte_index), demo=demo,
-                                 age=age_at_index(F.col("index_time"), F.col("birth_year")))
+    @cached_property
+    def tte_history_lengths(self) -> DataFrame:
+        return L.history_lengths(self.b.tokens, self.tte_index)
 
     def write_results(self, out_dir: str) -> None:
         """K7: predictions and metrics of the time-to-event job as JSON lines."""
         from ..sources.sinks import write_json
 
-        lens = self.tte_history.groupBy("person_id").agg(F.count(F.lit(1)).cast("int").alias("history_len"))
+        lens = self.tte_history_lengths
         scored = self.tte_scored.select("person_id", "label", F.col("score").alias("prob"))
         write_json(EV.predictions_table(self.tte_index, scored, lens), f"{out_dir}/tte_predictions")
         m = self.tte_scored

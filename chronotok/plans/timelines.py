@@ -40,6 +40,12 @@ class TimelineBuild:
     def spark(self) -> SparkSession:
         return self.tables["person"].sparkSession
 
+    @property
+    def parameters(self) -> dict:
+        """What a dataset of this build depends on besides its tables."""
+        return {k: getattr(self, k) for k in ("as_of_year", "vocab_size", "include_visits", "include_death", "fit_on",
+                                              "split_seed", "train_ratio")}
+
     @cached_property
     def events(self) -> DataFrame:
         """Unified events (T6), before the person filter.
@@ -59,6 +65,11 @@ class TimelineBuild:
         """Events of persons in the person table."""
         return E.events_of_known_persons(self.events, self.demo)
 
+    @cached_property
+    def event_slices(self):
+        """K1: the known events clustered by person; what orders or cuts them reads this without a shuffle."""
+        return E.clustered_events(self.known_events)
+
     @cached_property
     def splits(self) -> DataFrame:
         """train/test split of the persons."""
@@ -131,24 +142,30 @@ def clear_builds() -> None:
 
 
 def write_outputs(build: TimelineBuild, out_dir: str, tag: str | None = None, seed: int = K.SPLIT_SEED,
-                  train_ratio: float = K.TRAIN_RATIO, force: bool = True, concept: DataFrame | None = None) -> str:
+                  train_ratio: float = K.TRAIN_RATIO, force: bool = True, concept: DataFrame | None = None,
+                  input_root: str | None = None) -> str:
     """Write the processed dataset the way the original pipeline lays it out (K1-K6, K8):
     partitioned events, token sequences per split, vocabulary, decile cuts, split
     lists, the tokenization spec and the reports. Returns the folder.
 
-    With ``force=False`` a dataset that is there and whose sequences hold rows is kept as it
-    is (K9); one without patients is built anew."""
+    Sequences are written in chunks of bounded length (A25). With ``force=False`` a dataset that
+    its manifest calls finished, with the same parameters and (where ``input_root`` names their
+    folder) inputs, and whose tables hold the rows named there, is kept as it is (K9); anything
+    else, one without patients too, is built anew."""
     from ..operators import datasets as D
     from ..operators import profile as P
     from ..sources import sinks as S
 
-    root = S.dataset_path(out_dir, tag)
-    if not force and S.has_output(build.spark, f"{root}/sequences"):
+    root, spark = S.dataset_path(out_dir, tag), build.spark
+    parameters = {**build.parameters, "seed": seed, "split_ratio": train_ratio, "concepts": concept is not None}
+    inputs = S.folder_state(spark, input_root) if input_root else None
+    if not force and S.is_finished(spark, root, parameters, inputs):
         return root
+    S.write_manifest(spark, root, False, parameters, inputs)
     S.write_events_partitioned(build.known_events, f"{root}/events_partitioned")
     splits = D.person_split(build.demo, train_ratio, seed)
     S.write_table(splits, f"{root}/splits")
-    S.write_sequences(build.arrays, splits, f"{root}/sequences")
+    S.write_sequences(tokenize.timeline_chunks(build.tokens), splits, f"{root}/sequences")
     S.write_table(build.vocab.select("token", "token_id"), f"{root}/vocabulary")
     S.write_table(build.cuts, f"{root}/quantiles")
     S.write_spec(build.vocab, f"{root}/tokenization_spec")
@@ -160,4 +177,7 @@ def write_outputs(build: TimelineBuild, out_dir: str, tag: str | None = None, se
         S.write_csv(P.top_token_report(build.tokens, build.vocab, concept), f"{root}/top_tokens_csv")
     else:
         S.write_csv(P.top_tokens(build.tokens, build.vocab, K.REPORT_TOP_K), f"{root}/top_tokens_csv")
+    S.write_manifest(spark, root, True, parameters, inputs, [
+        "events_partitioned", "splits", "sequences", "vocabulary", "quantiles", "tokenization_spec",
+        "vocabulary_report_tsv", "vocabulary_report_txt", "timeline_lengths_csv", "top_tokens_csv"])
     return root

@@ -192,6 +192,28 @@ def concept_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     return concept, maps_to.unionByName(second).unionByName(is_a)
 
 
+CODE_LETTERS = "ABCDEFGHJKLMNPQRSTUVWXYZ0123456789"  # procedure codes have no I and O
+
+
+def code_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of the ``orders`` bridge's concepts, ``(et, cid, system, code)``, from ``part``: drugs have ATC codes of
+    3, 4, 5 or 7 characters, conditions ICD-10-CM codes of 3 to 7 with a dot, procedures ICD-10-PCS codes. Every
+    eleventh part has none."""
+    k = F.col("p_partkey").cast("bigint")
+    at = lambda letters, i: F.substring(F.lit(letters), (F.pmod(i, F.lit(len(letters))) + 1).cast("int"), F.lit(1))
+    two = lambda i: F.lpad(F.pmod(i, F.lit(100)).cast("string"), 2, "0")
+    atc = F.concat(at("ABCDGHJLMNPRSV", k), two(F.floor(k / 14)), at("ABCDEFGHIJ", F.floor(k / 50)), at("ABCDEFG", k), two(k))
+    cm = F.concat(at("ABCDEFGHJKLMNOPQRSTZ", F.floor(k / 3)), two(F.floor(k / 7)), F.lit("."), two(k), two(F.floor(k / 100)))
+    pcs = F.concat(*[at(CODE_LETTERS, F.floor(k / (j + 1)) + 5 * j) for j in range(7)])
+    cut = lambda c, lengths: F.substring(c, F.lit(1), F.element_at(
+        F.array(*[F.lit(n) for n in lengths]), (F.pmod(k, F.lit(len(lengths))) + 1).cast("int")))
+    each = [("medication", "ATC", cut(atc, (7, 7, 5, 4, 3))), ("condition", "ICD10CM", cut(cm, (3, 5, 6, 7, 8))),
+            ("procedure", "ICD10PCS", pcs)]
+    rows = F.array(*[F.struct(F.lit(et).alias("et"), k.alias("cid"), F.lit(s).alias("system"), c.alias("code"))
+                     for et, s, c in each])
+    return read_table(spark, sf_dir, "part").where(k % 11 != 0).select(F.explode(rows).alias("r")).select("r.*")
+
+
 BRIDGES = {"clickstream": clickstream, "orders": orders}
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import TABLE_RANK
+from .parts import PartReport, part_files, read_parts, widened  # noqa: F401 - part of this module's interface
 
 # Unified event schema: name -> Spark type.
 EVENT_SCHEMA = [
@@ -166,102 +167,19 @@ def scan_person(df: DataFrame) -> DataFrame:
     return df.select(*[_opt(df, n, t).alias(n) for n, t in PERSON_COLUMNS])
 
 
-@dataclass
-class PartReport:
-    """What a folder read saw: part files, the distinct schemas among them, and files left out on request."""
-
-    table: str
-    files: int = 0
-    schemas: int = 1
-    skipped: list[str] = field(default_factory=list)
-    dropped_columns: list[str] = field(default_factory=list)
-
-
-_INTEGRAL = {"tinyint": 0, "smallint": 1, "int": 2, "bigint": 3}
-_FRACTIONAL = {"float": 0, "double": 1}
-
-
-def widened(types: set[str]) -> str:
-    """The type that holds every value of the given ones: wider integer, double, timestamp, else string."""
-    types = types - {"void"}
-    if len(types) <= 1:
-        return next(iter(types), "string")
-    if types <= set(_INTEGRAL):
-        return max(types, key=_INTEGRAL.get)
-    if types <= {*_INTEGRAL, *_FRACTIONAL} and "bigint" not in types:  # a double loses ids above 2^53
-        return "double"
-    if types <= {"date", "timestamp_ntz", "timestamp"}:
-        return "timestamp_ntz"
-    return "string"
-
-
-def part_files(spark: SparkSession, path: str) -> list[str]:
-    """Paths of the Parquet parts below ``path``; an absent folder has none. Only names are read."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        found = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-                 .option("pathGlobFilter", "*.parquet").load(path).select("path"))
-        return sorted(r.path for r in found.collect())  # one row per part file
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" in str(e.getCondition()) or "UNABLE_TO_INFER_SCHEMA" in str(e.getCondition()):
-            return []
-        raise
-
-
-def read_parts(spark: SparkSession, path: str, skip_unreadable: bool = False,
-               report: PartReport | None = None) -> DataFrame | None:
-    """Every Parquet part below ``path`` as one table, or None where there is none.
-
-    Parts are grouped by schema; a column is the widest of its types and missing columns
-    are NULL. A part that cannot be opened raises an error; with ``skip_unreadable`` it is
-    left out and named in ``report``.
-    """
-    report = report if report is not None else PartReport(path)
-    files = part_files(spark, path)
-    by_schema: dict[str, list[str]] = {}
-    kinds: dict[str, set[str]] = {}
-    for f in files:
-        try:
-            fields = spark.read.parquet(f).schema.fields  # the part's footer
-        except Exception as e:  # noqa: BLE001 - told apart by the caller's choice, never silent
-            if not skip_unreadable:
-                raise ValueError(f"cannot read {f}: {str(e).splitlines()[0]}") from e
-            report.skipped.append(f)
-            continue
-        by_schema.setdefault(str([(x.name, x.dataType.simpleString()) for x in fields]), []).append(f)
-        for x in fields:
-            kinds.setdefault(x.name, set()).add(x.dataType.simpleString())
-    report.files, report.schemas = len(files), len(by_schema)
-    if not by_schema:
-        return None
-    reader = spark.read.option("ignoreCorruptFiles", str(skip_unreadable).lower())
-    out = None
-    for group in by_schema.values():
-        part = reader.parquet(*group)
-        part = part.select(*[(F.col(c).cast(widened(t)) if c in part.columns else F.lit(None).cast(widened(t))).alias(c)
-                             for c, t in kinds.items()])
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def read_omop_dir(spark: SparkSession, root: str, tables: list[str] | None = None, skip_unreadable: bool = False,
                   salvage: bool = False, reports: list[PartReport] | None = None) -> dict[str, DataFrame]:
     """Each OMOP table is a folder of Parquet parts; an absent folder is an absent table.
 
     Drifting parts are widened (:func:`read_parts`). Anything unreadable is an error unless
-    ``skip_unreadable`` is set; with ``salvage`` a table that had unreadable parts keeps only
-    its safe columns. ``reports`` receives one report per table.
+    ``skip_unreadable`` is set; with ``salvage`` the damaged parts of a table give the columns
+    that decode and its sound parts stay whole. ``reports`` receives one report per table.
     """
     out: dict[str, DataFrame] = {}
     for name in tables or OMOP_TABLES + ["concept", "concept_relationship"]:
         report = PartReport(name)
-        df = read_parts(spark, f"{root.rstrip('/')}/{name}", skip_unreadable, report)
+        df = read_parts(spark, f"{root.rstrip('/')}/{name}", skip_unreadable, report, salvage)
         if df is not None:
-            if salvage and report.skipped:
-                safe = salvage_columns(df)
-                report.dropped_columns = [c for c in df.columns if c not in safe.columns]
-                df = safe
             out[name] = df
         if reports is not None and (df is not None or report.skipped):
             reports.append(report)
@@ -272,7 +190,7 @@ SAFE_NAME_PARTS = ["id", "concept", "value", "count", "type"]
 
 
 def salvage_columns(df: DataFrame) -> DataFrame:
-    """Keep only the "safe" columns of a damaged table (name contains id, concept,
-    value, count or type)."""
+    """Only the "safe" columns of a table (name contains id, concept, value, count or type), for callers that
+    trust nothing else of a damaged one."""
     keep = [c for c in df.columns if any(p in c.lower() for p in SAFE_NAME_PARTS)]
     return df.select(*keep)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .omop import PartReport, part_files, read_parts
+from .parts import PartReport, part_paths, read_parts
 
 # Source-value columns kept as strings by the coercion rule (fixed list).
 PRESERVE_AS_STRINGS = [
@@ -137,11 +137,12 @@ def coerce_types(df: DataFrame, table: str | None = None) -> DataFrame:
 def table_folders(spark: SparkSession, root: str) -> list[str]:
     """The folders below ``root`` that hold Parquet parts, relative to it."""
     base = root.rstrip("/")
-    names = set()
-    for f in part_files(spark, base):
-        inside = f.split(base.split("://")[-1], 1)[-1].strip("/")
-        names.add(inside.rpartition("/")[0])
-    return sorted(n for n in names if n)
+    found = part_paths(spark, base)
+    if found is None:
+        return []
+    folders = found.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("f")).distinct().collect()  # one per folder
+    inside = {r.f.split(base.split("://")[-1], 1)[-1].strip("/") for r in folders}
+    return sorted(n for n in inside if n)
 
 
 def convert_tables(spark: SparkSession, input_root: str, output_root: str, tables: list[str] | None = None,

@@ -1,15 +1,20 @@
 """Sinks (K1-K9): partitioned events, sequences per split, vocabulary, splits,
 tokenization spec, CSV/TSV/text reports and JSON results.
 
+A dataset carries a manifest (K9): written first as unfinished and again as the last act, with
+the inputs' state, the parameters and the rows of every part. Reuse and reload look at it, so a
+dataset whose job died in between, or that was made from other inputs, counts as absent.
+
 All writers are DataFrame writers; nothing is collected to the driver. Output
 folders are plain paths (local, HDFS or object store) chosen by the caller.
 """
 
 from __future__ import annotations
 
+import json
 import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -31,9 +36,10 @@ def write_events_partitioned(events: DataFrame, path: str, n_buckets: int = 1024
      .write.mode(mode).partitionBy("pid_bucket").parquet(path))
 
 
-def write_sequences(arrays: DataFrame, splits: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """K2: token sequences partitioned by split (the combined set is the whole folder)."""
-    arrays.join(splits, "person_id").write.mode(mode).partitionBy("split").parquet(path)
+def write_sequences(sequences: DataFrame, splits: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """K2: token sequences (one row per person, or chunks of them) partitioned by split; the combined set is the whole
+    folder."""
+    sequences.join(splits, "person_id").write.mode(mode).partitionBy("split").parquet(path)
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -89,13 +95,78 @@ def dataset_path(base: str, tag: str | None) -> str:
 
 
 def has_output(spark, path: str) -> bool:
-    """K9: whether an output is there and holds rows. Only absence counts as "no"; a table that
+    """K9: whether a table is there and holds rows. Only absence counts as "no"; a table that
     cannot be read raises."""
-    from .omop import part_files
+    from .parts import part_paths
+
+    return part_paths(spark, path) is not None and not spark.read.parquet(path).isEmpty()
+
+
+MANIFEST = "manifest"
+
+
+def folder_state(spark: SparkSession, path: str) -> dict:
+    """Parquet parts below ``path``, their bytes and the newest change, as listed by Spark."""
+    found = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+             .option("pathGlobFilter", "*.parquet").load(path))
+    r = found.agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"),
+                  F.max(F.unix_micros("modificationTime")).alias("newest")).first()
+    return r.asDict()
+
+
+def row_counts(spark: SparkSession, root: str, names: list[str]) -> dict[str, int]:
+    """Rows of each Parquet table (from its footers) or lines of each report below ``root``."""
+    from .parts import part_paths
+
+    out = {}
+    for name in names:
+        path = f"{root}/{name}"
+        out[name] = spark.read.parquet(path).count() if part_paths(spark, path) is not None else spark.read.text(path).count()
+    return out
+
+
+def write_manifest(spark: SparkSession, root: str, finished: bool, parameters: dict, inputs: dict | None = None,
+                   names: list[str] | None = None) -> None:
+    """K9: ``finished=False`` before anything else is written; at the end with the rows of the parts ``names``."""
+    doc = {"finished": finished, "parameters": parameters, "inputs": inputs,
+           "rows": row_counts(spark, root, names or []) if finished else {}}
+    spark.createDataFrame([(json.dumps(doc, sort_keys=True),)], "value string").coalesce(1).write.mode(
+        "overwrite").text(f"{root}/{MANIFEST}")
+
+
+def read_manifest(spark: SparkSession, root: str) -> dict | None:
+    """The manifest of a dataset, or None where there is none."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        row = spark.read.text(f"{root}/{MANIFEST}").first()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e.getCondition()):
+            return None
+        raise
+    return json.loads(row[0]) if row is not None else None
+
 
-    return bool(part_files(spark, path)) and not spark.read.parquet(path).isEmpty()
+def is_finished(spark: SparkSession, root: str, parameters: dict | None = None, inputs: dict | None = None) -> bool:
+    """K9: whether the dataset below ``root`` was written to its end, from these parameters and inputs, has sequences
+    and still holds the rows its manifest names."""
+    m = read_manifest(spark, root)
+    if m is None or not m["finished"] or not m["rows"].get("sequences"):
+        return False
+    if parameters is not None and m["parameters"] != json.loads(json.dumps(parameters)):
+        return False
+    if inputs is not None and m["inputs"] != json.loads(json.dumps(inputs)):
+        return False
+    return row_counts(spark, root, list(m["rows"])) == m["rows"]
 
 
 def load_processed(spark, path: str, name: str) -> DataFrame:
-    """Reload a saved artifact (sequences, vocabulary, decile cuts, splits)."""
-    return spark.read.parquet(os.path.join(path, name))
+    """Reload a saved artifact (sequences, vocabulary, decile cuts, splits) of a finished dataset; one whose job
+    did not end, or that lacks rows, is an error."""
+    m = read_manifest(spark, path)
+    if m is None or not m["finished"]:
+        raise ValueError(f"{path} has no finished dataset")
+    table = spark.read.parquet(os.path.join(path, name))
+    if table.count() != m["rows"].get(name):
+        raise ValueError(f"{path}/{name} does not hold the {m['rows'].get(name)} rows of its manifest")
+    return table

@@ -42,7 +42,7 @@ def test_corrupt_part_is_loud(spark, tmp_path):
     t = omop.read_omop_dir(spark, root, skip_unreadable=True, salvage=True, reports=reports)
     drug = next(r for r in reports if r.table == "drug_exposure")
     assert [p.rsplit("/", 1)[1] for p in drug.skipped] == ["bad.parquet"] and drug.files == 3
-    assert drug.dropped_columns == ["drug_exposure_start_date"] and t["drug_exposure"].count() == 3
+    assert "drug_exposure_start_date" in t["drug_exposure"].columns and t["drug_exposure"].count() == 3  # sound parts stay whole
 
 
 @pytest.mark.parametrize("types, want", [

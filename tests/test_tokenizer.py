@@ -127,13 +127,59 @@ def test_vocabulary_learned_from_training_persons(spark):
         f"GENDER_{r.gender_concept_id}" for r in b.demo.where(F.col("person_id").isin(train)).collect()}
 
 
+def exchanges(df):
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().split("\n") if " Exchange " in line]
+
 
 def test_tokenizer_plan(spark):
-    """Over the written slices the tokens take one exchange, by slice and person, and broadcast the rest."""
+    """Over the clustered slices the tokens take no exchange at all; ids are joined before the explode."""
     b = TimelineBuild(tables(spark), as_of_year=2025)
     from chronotok.operators.tokenize import timeline_tokens
 
-    plan = timeline_tokens(b.events, b.demo, b.vocab, b.cuts, 2025)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning(_slice") == 1 and plan.count("Exchange hashpartitioning") == 1
-    assert "Exchange rangepartitioning" not in plan and "CartesianProduct" not in plan
+    df = timeline_tokens(b.events, b.demo, b.vocab, b.cuts, 2025)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not exchanges(df) and "CartesianProduct" not in plan and "SortMergeJoin" not in plan
     assert all("_slice" in line for line in plan.split("\n") if " Window [" in line)
+    above = plan.split("Generate posexplode")[0]
+    assert "Join" not in above and "Generate posexplode" in plan
+
+
+def test_clustered_events_plans(spark):
+    """Orders, positions and cuts at an index time read the clustered events without moving them."""
+    from chronotok.operators import events as E
+    from chronotok.operators import labels as L
+
+    b = TimelineBuild(tables(spark), as_of_year=2025)
+    assert not exchanges(E.ordered_events(b.event_slices)) and not exchanges(E.positions(b.event_slices))
+    index = b.spark.createDataFrame([(1, ts(3)), (2, ts(1))], "person_id long, index_time timestamp_ntz")
+    cut = E.events_until(b.event_slices, index)
+    assert all("person_id" not in line or "_slice" in line or "ts" not in line for line in exchanges(cut))
+    key = ("person_id", "ts", "et", "cid", "ev_id", "value_as_number")
+    rows = lambda df: sorted(map(tuple, df.select(*key).collect()), key=str)
+    assert rows(cut) == rows(L.events_until(b.known_events, index)) and cut.count() == 15
+
+
+def test_bucket_labels_have_a_bucket_each(spark):
+    from chronotok.session import bucket_labels
+
+    for n in (1, 2, 7, 64):
+        labels = bucket_labels(spark, n)
+        assert labels == sorted(set(labels)) and len(labels) == n
+        b = spark.createDataFrame([(x,) for x in labels], "x int").select(F.pmod(F.hash("x"), F.lit(n)).alias("b"))
+        assert b.distinct().count() == n
+
+
+def test_history_equals_tokenizing_the_events_up_to_the_index_time(spark):
+    from chronotok.functions.tokens import age_at_index
+    from chronotok.operators import labels as L
+
+    b = TimelineBuild(tables(spark), as_of_year=2025)
+    index = spark.createDataFrame([(1, ts(3)), (2, ts(1)), (3, ts(2))], "person_id long, index_time timestamp_ntz")
+    again = b.tokens_for(L.events_until(b.events, index), demo=b.demo.join(index, "person_id"),
+                         age=age_at_index(F.col("index_time"), F.col("birth_year")))
+    key = ("person_id", "pos", "token", "token_id")
+    rows = lambda df: sorted(map(tuple, df.select(*key).collect()))
+    got = L.history_tokens(b.tokens, index, b.demo, b.vocab)
+    assert rows(got) == rows(again)
+    lens = {r.person_id: r.history_len for r in L.history_lengths(b.tokens, index).collect()}
+    assert lens == {r["person_id"]: r["count"] for r in got.groupBy("person_id").count().collect()}
