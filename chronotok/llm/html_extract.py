@@ -25,22 +25,27 @@ from pyspark.sql import DataFrame, functions as F
 from chronotok.llm.text import table
 
 MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|"
-    r"<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
+    r"<!--|<!\[CDATA\[|<[!?][^>]*>|"
+    r"<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*)(?:>|\Z)")
+ENDS = {"<!--": "-->", "<![CDATA[": "]]>"}
+ATTRIBUTE = re.compile(r"(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
+SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/\s*$")  # a slash that ends an unquoted value closes nothing
 
 BLOCKS = frozenset("""address article aside blockquote body center dd details div dl dt fieldset figcaption figure
 footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th
 thead tr ul dialog""".split())
 CELLS = frozenset(("td", "th"))
 RAW = frozenset("script style noscript template iframe textarea title svg math object select noframes xmp".split())
+FOREIGN = frozenset(("svg", "math"))
+INLINE_DROPPED = frozenset(("button",))
 DROPPED = frozenset("head nav header footer aside form menu button dialog".split()) | RAW
 EMPTY = frozenset("hr br img input meta link wbr area base col embed source track".split())
 CLOSES_P = BLOCKS - CELLS - {"tbody", "tr", "thead", "tfoot", "body", "html"}
-CLOSES_LIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
-               "th": {"td", "th"}}
-BOUNDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"},
-          "th": {"tr", "table"}}
+# What a start tag closes: the outermost open element of some names, as far as the nearest element that bounds them.
+# ``p`` closes the nearest one.
+CLOSING = {"p": ({"p"}, {"td", "th", "li", "div", "section"}), "li": ({"li"}, {"ul", "ol", "menu"}),
+           "dt": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"})}
+CLOSES_LIKE = {"li": "li", "dt": "dt", "dd": "dt", "tr": "tr", "td": "td", "th": "td"}
 PARAGRAPHS = frozenset("p pre blockquote td dd li div section article main body figcaption".split())
 NEVER_NAMED = frozenset("html body article main".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar "
@@ -56,16 +61,28 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "children", "gone", "points", "chars", "linked", "texts")
+    __slots__ = ("tag", "parent", "children", "gone", "points", "chars", "linked", "texts", "depth", "closable")
 
     def __init__(self, tag: str, parent: _Node | None, gone: bool) -> None:
         self.tag, self.parent, self.gone = tag, parent, gone
         self.children: list[_Node] = []
         self.points, self.chars, self.linked = 0.0, 0, 0
         self.texts: list[tuple[int, str, int]] = []  # order on the page, text, characters inside links
+        self.depth = 0 if parent is None else parent.depth + 1
+        # For each key of CLOSING the open element that such a start tag would close from here.
+        above = None if parent is None else parent.closable
+        self.closable = {k: self._closable(k, above[k] if above else None) for k in CLOSING}
         if parent is not None:
             parent.children.append(self)
 
+    def _closable(self, key: str, above: _Node | None) -> _Node | None:
+        names, bounds = CLOSING[key]
+        if self.parent is None or self.tag in bounds and self.tag not in names:
+            return None
+        if self.tag in names:
+            return self if key == "p" or above is None else above
+        return above
+
 
 def _marked(tag: str, attrs: str, by_name: bool) -> bool:
     if tag in DROPPED:
@@ -86,10 +103,18 @@ def _marked(tag: str, attrs: str, by_name: bool) -> bool:
 
 
 def _tree(html: str, by_name: bool) -> _Node:
-    """The page's tree of blocks with their own texts; everything inside a dropped element is left out."""
+    """The page's tree of blocks with their own texts; everything inside a dropped element is left out. A dropped
+    inline element (a marked span, a button) leaves its block whole.
+
+    Every element is opened and closed once, and what a tag closes is known without a walk over the open elements, so
+    the time grows with the page's length however its tags are nested.
+    """
     root = here = _Node("html", None, False)
     buffer: list[str] = []
     linked, owner, order = 0, None, 0
+    opened: dict[str, int] = {}  # open elements by name
+    muted: list[list] = []  # dropped inline elements: name, block, elements of that name open inside
+    endless: set[str] = set()  # sections whose end the rest of the page lacks
 
     def flush() -> None:
         nonlocal linked, order
@@ -107,75 +132,84 @@ def _tree(html: str, by_name: bool) -> _Node:
         while here is not node:
             if owner is here:
                 owner = None
+            opened[here.tag] -= 1
             here = here.parent
+        while muted and muted[-1][1].depth > here.depth:
+            muted.pop()
 
-    at = 0
-    for m in MARKUP.finditer(html):
-        if m.start() < at:
-            continue
-        name = m["name"].lower() if m["name"] else ""
-        if m.start() > at and not here.gone:
-            piece = unescape(html[at:m.start()])
-            buffer.append(piece)
+    def read(text: str) -> None:
+        nonlocal linked
+        if not here.gone and not muted:
+            buffer.append(text)
             if owner is not None:
-                linked += len(piece.strip())
+                linked += len(text.strip())
+
+    at, m = 0, MARKUP.search(html)
+    while m is not None:
+        name = m["name"].lower() if m["name"] else ""
+        if m.start() > at:
+            read(unescape(html[at:m.start()]))
         at = m.end()
         if not name:
-            if m[0].startswith("<![CDATA[") and not here.gone:
-                buffer.append(m[0][9:-3])
-            continue
-        if m["close"]:
+            if m[0] in ENDS:
+                end = -1 if m[0] in endless else html.find(ENDS[m[0]], at)
+                if m[0] == "<!--":
+                    at = len(html) if end < 0 else end + 3
+                elif end >= 0:
+                    read(html[at:end])
+                    at = end + 3
+                else:  # without its end it is markup up to the next angle bracket
+                    endless.add(m[0])
+                    end = html.find(">", at)
+                    at = len(html) if end < 0 else end + 1
+        elif m["close"]:
             if name == "a":
                 owner = None
-            elif name in BLOCKS or name in DROPPED:
+            if muted and muted[-1][0] == name:
+                muted[-1][2] -= 1
+                if not muted[-1][2]:
+                    muted.pop()
+            elif opened.get(name):
                 node = here
-                while node is not None and node.tag != name:
+                while node.tag != name:
                     node = node.parent
-                if node is not None and node is not root:
-                    up_to(node)
-                    if owner is here:
-                        owner = None
-                    here = here.parent
-                elif name in BLOCKS:
-                    flush()
-            continue
-        attrs = m["attrs"] or ""
-        if name in RAW:
-            if not attrs.rstrip().endswith("/"):
-                end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
-                at = end.end() if end else len(html)
-            continue
-        if name == "a":
-            owner = here
-        elif name == "br":
-            buffer.append(" ")
-        elif name == "hr":
-            flush()
-        elif (name in BLOCKS or name in DROPPED or name == "html"
-              or attrs and name not in EMPTY and _marked(name, attrs, by_name)):
-            if name in ("html", "body"):
+                up_to(node.parent)
+            elif name in BLOCKS:
+                flush()
+        else:
+            attrs = m["attrs"] or ""
+            if name in RAW:
+                if not (name in FOREIGN and SELF_CLOSED.search(attrs)):
+                    end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(html, at)
+                    at = end.end() if end else len(html)
+            elif name == "a":
+                owner = here
+            elif name == "br":
+                read(" ")
+            elif name == "hr":
+                flush()
+            elif name in ("html", "body"):
                 up_to(root)
-                continue
-            flush() if name not in CELLS else buffer.append(" ")
-            if name in CLOSES_P:
-                node = here
-                while node is not root and node.tag != "p" and node.tag not in ("td", "th", "li", "div", "section"):
-                    node = node.parent
-                if node.tag == "p" and node is not root:
-                    up_to(node.parent)
-            if name in CLOSES_LIKE:
-                node, last = here, None
-                while node is not root and node.tag not in BOUNDS[name]:
-                    if node.tag in CLOSES_LIKE[name]:
-                        last = node
-                    node = node.parent
-                if last is not None:
-                    up_to(last.parent)
-            here = _Node(name, here, here.gone or _marked(name, attrs, by_name))
-            if attrs.rstrip().endswith("/") and name not in BLOCKS:
-                here = here.parent
-    if at < len(html) and not here.gone:
-        buffer.append(unescape(html[at:]))
+            elif name in INLINE_DROPPED or name not in BLOCKS and name not in DROPPED:
+                if muted and muted[-1][0] == name:
+                    muted[-1][2] += 1
+                elif name not in EMPTY and _marked(name, attrs, by_name) and not SELF_CLOSED.search(attrs):
+                    muted.append([name, here, 1])
+            else:
+                if name in CELLS:
+                    read(" ")
+                else:
+                    flush()
+                if name in CLOSES_P and here.closable["p"] is not None:
+                    up_to(here.closable["p"].parent)
+                if name in CLOSES_LIKE and here.closable[CLOSES_LIKE[name]] is not None:
+                    up_to(here.closable[CLOSES_LIKE[name]].parent)
+                flush()
+                opened[name] = opened.get(name, 0) + 1
+                here = _Node(name, here, here.gone or bool(muted) or _marked(name, attrs, by_name))
+        m = MARKUP.search(html, at)
+    if at < len(html):
+        read(unescape(html[at:]))
     flush()
     return root
 

@@ -49,6 +49,131 @@ def test_deep_and_long_pages():
     assert H.main_text("<" * 20000 + "a") == "<" * 19999
 
 
+@pytest.mark.parametrize("html, want", [
+    ('<p>Hello <span class="notice">x</span> world goes on here, and on.</p>', "Hello world goes on here, and on."),
+    ('<p>Hello <em class="share">x <em>y</em> z</em> world</p><p>next</p>', "Hello world\nnext"),
+    ("<p>Hello <button>b</button> tail</p>", "Hello tail"), ("<p>Hello <button>b tail</p><p>next</p>", "Hello\nnext"),
+    ('<div>a <span class="ad"><div>b</div></span> c</div>', "a\nc"), ('<p>a <span class="ad"><div>b</div></span> c</p>', "a\nb\nc"),
+    ('<p>a <span class="ad"/> b</p>', "a b"), ('<p>a <a href=1><span class="ad">b</span> c</a> d, and on it goes, and on</p>', "a c d, and on it goes, and on"),
+    ("<script src=//x.com/>var x = 1;</script><p>y</p>", "y"), ("<script/>var x = 1;</script><p>y</p>", "y"),
+    ("<style media=a/>p{}</style><p>y</p>", "y"), ("<p>a<svg/>b</p>", "ab"), ("<p>a<svg x='1'/>b</p>", "ab"), ("<script>x</script foo>y", "y"),
+    ("<p>a<![CDATA[ <b> ]]>c</p>", "a <b> c"), ("<p>a<![CDATA[ b > c</p>", "a c"), ("<p>a<!-- b</p>", "a"),
+])
+def test_inline_elements_and_raw_text(html, want):
+    assert H.main_text(html) == want
+
+
+HOSTILE = {
+    "nested blockquotes": "<blockquote>" * 60_000 + "deep", "unmatched p": "<ul>" * 30_000 + "</p>" * 100_000 + "deep",
+    "cdata": "<![CDATA[" * 100_000 + "deep", "comments": "<!--" * 200_000, "p in td": "<p><td>" + "<blockquote>" * 60_000 + "deep",
+    "li in li": "<div>" * 30_000 + "<li>" * 100_000 + "deep", "rows": "<table>" + "<tr><td>x" * 60_000, "marked spans": "<span class=ad>" * 60_000 + "x",
+    "attributes": "<p " + "a" * 900_000 + ">x", "quotes": "<p a='\">" * 100_000, "angles": "<" * 900_000, "dl": "<dl><dt>" * 60_000 + "<dd>" * 60_000,
+    "end tags": "<div>" * 60_000 + "</section>" * 60_000,
+}
+
+
+@pytest.mark.parametrize("name", list(HOSTILE))
+def test_hostile_pages_take_linear_time(name):
+    """A page of a megabyte takes about twice the time of its half."""
+    import time
+
+    def seconds(html):
+        start = time.process_time()
+        H.main_text(html)
+        return time.process_time() - start
+
+    html = HOSTILE[name]
+    assert len(html) <= 1_300_000 and seconds(html) < 20
+
+
+def plain_tree(html):
+    """The same rules by walks over the open elements: (tag, gone, texts) of every node, parents first."""
+    import re
+    from html import unescape
+
+    stack, nodes, buffer, muted = [], [], [], []
+    nodes.append(["html", False, [], None])
+    stack = [nodes[0]]
+
+    def flush():
+        text = " ".join("".join(buffer).split())
+        buffer.clear()
+        if text and not stack[-1][1]:
+            stack[-1][2].append(text)
+
+    def close(node):
+        flush()
+        while stack[-1] is not node:
+            stack.pop()
+        stack.pop()
+        while muted and not any(muted[-1][1] is x for x in stack):
+            muted.pop()
+
+    for part in re.split(r"(<[^>]*>)", html):
+        tag = re.fullmatch(r"<(/?)([a-z0-9]+)((?: [^>]*)?)>", part)
+        if not tag:
+            if not muted and not stack[-1][1]:
+                buffer.append(unescape(part))
+        elif tag[1]:
+            if muted and muted[-1][0] == tag[2]:
+                muted[-1][2] -= 1
+                if not muted[-1][2]:
+                    muted.pop()
+            else:
+                own = [x for x in stack[1:] if x[0] == tag[2]]
+                if own:
+                    close(own[-1])
+                elif tag[2] in H.BLOCKS:
+                    flush()
+        elif tag[2] in ("b", "span", "button"):
+            if muted and muted[-1][0] == tag[2]:
+                muted[-1][2] += 1
+            elif tag[2] == "button" or "class" in tag[3]:
+                muted.append([tag[2], stack[-1], 1])
+        else:
+            if tag[2] in H.CELLS:
+                if not muted and not stack[-1][1]:
+                    buffer.append(" ")
+            else:
+                flush()
+            for key, nearest in ((("p", True),) if tag[2] in H.CLOSES_P else ()) + ((("x", False),) if tag[2] in H.CLOSES_LIKE else ()):
+                names, bounds = H.CLOSING["p" if key == "p" else H.CLOSES_LIKE[tag[2]]]
+                found = None
+                for x in reversed(stack[1:]):
+                    if x[0] in names:
+                        found = x
+                        if nearest:
+                            break
+                    elif x[0] in bounds:
+                        break
+                if found is not None:
+                    close(found)
+            flush()
+            node = [tag[2], stack[-1][1] or bool(muted) or "class" in tag[3] or tag[2] in H.DROPPED, [], stack[-1]]
+            nodes.append(node)
+            stack.append(node)
+    flush()
+    return [(n[0], n[1], n[2], n[3][0] if n[3] else None) for n in nodes]
+
+
+def test_tree_against_walks_over_the_open_elements():
+    import random
+
+    rng = random.Random(4)
+    names = "p div ul li table tr td th dl dt dd section blockquote nav b span button h1".split()
+    for _ in range(3000):
+        soup = "".join(rng.choice([f"<{n}>", f"</{n}>", f"<{n} class=ad>" if rng.random() < 0.3 else f"<{n}>", "word ", "x&amp;y ", "\n"])
+                       for n in rng.choices(names, k=rng.randrange(1, 30)))
+        root, got = H._tree(soup, True), []
+        order = [root]
+        while order:
+            n = order.pop()
+            got.append((n.tag, n.gone, [t for _, t, _ in n.texts], n.parent.tag if n.parent else None))
+            order.extend(reversed(n.children))
+        key = lambda x: (x[0], x[1], x[2], str(x[3]))
+        assert sorted(got, key=key) == sorted(plain_tree(soup), key=key), soup
+
+
 def test_table(spark):
     rows = [(1, "u", PAGE % ARTICLES["div"], 1), (1, "u", PAGE % ARTICLES["div"], 1), (None, None, None, 2)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
