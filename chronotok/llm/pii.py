@@ -3,9 +3,10 @@
 The field scores whole candidate segments: a run of at most ``MAX_TOKENS`` tokens that one of the loose shapes
 fits, or a whole address or longer key, gets features of the whole span (digit counts, check sums, group sizes,
 separators, words before it), and dynamic programming over segments and single other tokens chooses boundaries and
-kinds jointly. It finds what the base patterns miss: addresses written with "at" and "dot", phone and card numbers
+kinds jointly. Numbers are scanned once from each place where one may start, so a candidate costs no search. It finds what the base patterns miss: addresses written with "at" and "dot", phone and card numbers
 with other separators, and secrets. Weights are trained by maximum likelihood on a bounded sample: windows of about
-``SAMPLE_DOCS`` documents with the base matches as labels, their rewritten variants, and fixed example lines.
+``SAMPLE_DOCS`` documents with the base matches as labels, their rewritten variants, and fixed example lines; at most
+``TRAIN_WINDOWS`` windows, each cut at ``TRAIN_CHARS`` characters.
 
 Texts are scanned in one pass without a shuffle. A base match always stays; a segment of the field is added where
 it overlaps none. All patterns run in time linear in the text, except that a window of tokens costs
@@ -22,6 +23,7 @@ import math
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,8 @@ KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
 MAX_TOKENS = 24
 SAMPLE_DOCS = 4000
+TRAIN_WINDOWS = 600
+TRAIN_CHARS = 400
 MARGIN = 1.0
 CONTEXT = 24
 
@@ -106,6 +110,9 @@ LOOSE = {
 AT_PLACE = re.compile(r"@| ?[\[(](?:at|AT)[\])] ?| (?:at|AT)(?= )")
 NAME_AFTER = re.compile(rf"[A-Za-z0-9-]++(?:{DOT}[A-Za-z0-9-]++)++")
 LOCAL_BACKWARDS = re.compile(r"[A-Za-z0-9_%+-]++(?:(?:\.| ?[\])](?:tod|TOD)[\[(] ?| (?:tod|TOD) )[A-Za-z0-9_%+-]++)*+")
+LETTER = re.compile("[A-Za-z]")
+KEY_CHARS = re.compile(r"[A-Za-z0-9+/_=-]+")
+DIGIT = re.compile("[0-9]")
 KEY_RUN = re.compile(r"[\w+/_=-]+")
 LONG_KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{12,}")
 USUAL_ENDING = re.compile(r"(?i)(?:com|org|net|edu|gov|mil|int|info|biz|name|[a-z]{2})(?![A-Za-z0-9])")
@@ -127,15 +134,24 @@ PREFIX = re.compile(r"AKIA[0-9A-Z]{12,}|(?:ghp|gho|ghs)_\w{20,}|sk-\w{16,}|xox[a
 N_FEATURES = 9
 
 
+def _free_before(text: str, a: int) -> float:
+    c = text[a - 1:a]
+    return float(not (c.isalnum() or c in ("-", ".", "+", "/", "_", "=")))
+
+
+def _free_after(text: str, b: int) -> float:
+    c = text[b:b + 1]
+    return float(not (c.isalnum() or c in ("-", "/", "_", "=")))
+
+
+def _word_before(kind: str, text: str, a: int) -> float:
+    context = text[max(0, a - CONTEXT):a]
+    return float(bool(LETTER.search(context) and BEFORE[kind].search(context)))
+
+
 def _features(kind: str, text: str, a: int, b: int) -> list[float]:
-    """Features of a whole span; the first three hold for every kind."""
-    span = text[a:b]
-    before, after = text[a - 1:a], text[b:b + 1]
-    digits = _digits(span)
-    common = [1.0, float(not (before.isalnum() or before in ("-", ".", "+", "/", "_", "="))),
-              float(not (after.isalnum() or after in ("-", "/", "_", "=")))]
-    word = float(bool(BEFORE[kind].search(text[max(0, a - CONTEXT):a])))
-    groups = re.findall(r"\d+", span)
+    """Features of a whole address, ip or secret; the first three hold for every kind."""
+    span, word = text[a:b], _word_before(kind, text, a)
     if kind == "email":
         last = re.split(r"[^A-Za-z0-9]+", span)[-1]
         own = [float("@" in span), float(bool(re.search(r"(?i)[\[(](?:at|dot)[\])]", span))),
@@ -145,19 +161,12 @@ def _features(kind: str, text: str, a: int, b: int) -> list[float]:
     elif kind == "ip":
         parts = span.split(".")
         own = [float(_byte_parts(parts)), float(any(len(p) > 1 and p[0] == "0" for p in parts)), word, 0.0, 0.0, 0.0]
-    elif kind == "card":
-        seps = {c for c in span if not c.isdigit()}
-        own = [float(luhn(digits)), float(len(digits) in (15, 16)), float(len(seps) <= 1),
-               float(all(3 <= len(g) for g in groups)), word, float("  " in span)]
-    elif kind == "phone":
-        own = [float(span[0] == "+"), float("(" in span and ")" in span), float(9 <= len(digits) <= 15),
-               float(len(groups) >= 3), word, float(len(groups) == 1)]
     else:
         freq = [span.count(c) / len(span) for c in set(span)]
         entropy = -sum(f * math.log2(f) for f in freq)
         own = [word, float(bool(PREFIX.match(span))), float(entropy >= 3.0), float(len(span) >= 20),
-               float(bool(re.fullmatch(r"[0-9a-fA-F]+", span))), float(len(digits) >= 3)]
-    return common + own
+               float(bool(re.fullmatch(r"[0-9a-fA-F]+", span))), float(len(_digits(span)) >= 3)]
+    return [1.0, _free_before(text, a), _free_after(text, b)] + own
 
 
 def _addresses(text: str) -> Iterator[tuple[int, int]]:
@@ -213,31 +222,127 @@ def _windows(text: str) -> Iterator[tuple[int, int]]:
     yield from _joined(near + touching)
 
 
-def _lattice(text: str, a: int, b: int) -> tuple[list[tuple[int, int]], list[list[tuple[int, str, list[float]]]]]:
+Segment = tuple[int, str, list[float]]
+
+
+def _lattice(text: str, a: int, b: int) -> tuple[list[tuple[int, int]], list[list[Segment]]]:
     """Tokens of a window and, by last token, candidate segments (first token, kind, features)."""
     tokens = [(m.start(), m.end()) for m in TOKEN.finditer(text, a, b)]
-    ends: list[list[tuple[int, str, list[float]]]] = [[] for _ in tokens]
+    ends: list[list[Segment]] = [[] for _ in tokens]
+    number = {y: j for j, (_, y) in enumerate(tokens)}
+    digits = _Digits(text, tokens, a, b)
+    key_stop, key_end = a, a  # the key run that the last start lay in, and the end of its last letter or digit
     for i, (x, _) in enumerate(tokens):
-        if not (text[x].isalnum() or text[x] in "+("):
+        c = text[x]
+        if not (c.isalnum() or c in "+("):
             continue
-        for j in range(i, min(len(tokens), i + MAX_TOKENS)):
-            y = tokens[j][1]
-            if not text[y - 1].isalnum():
-                continue
-            span = text[x:y]
-            if not any(c in "0123456789" for c in span):
-                continue
-            partial = CUT_NUMBER_AFTER.match(text, y) or CUT_NUMBER_BEFORE.search(text[max(0, x - 2):x])
-            for kind in NUMBER_KINDS:
-                if not partial and LOOSE[kind].fullmatch(span):
-                    ends[j].append((i, kind, _features(kind, text, x, y)))
-            if LOOSE["secret"].fullmatch(span) and not CUT_KEY_AFTER.match(text, y):
-                ends[j].append((i, "secret", _features("secret", text, x, y)))
+        if "0" <= c <= "9" or c in "+(":
+            if not CUT_NUMBER_BEFORE.search(text[max(0, x - 2):x]):
+                _numbers(text, tokens, ends, i, digits)
+                m = LOOSE["ip"].match(text, x, b)
+                j = number.get(m.end()) if m else None
+                if j is not None and j - i < MAX_TOKENS and not CUT_NUMBER_AFTER.match(text, m.end()):
+                    ends[j].append((i, "ip", _features("ip", text, x, m.end())))
+        if KEY_CHARS.match(c):
+            if x >= key_stop:
+                m = KEY_CHARS.match(text, x, b)
+                key_stop, key_end = m.end(), x + len(m[0].rstrip("+/_=-"))
+            j = number.get(key_end)
+            if (j is not None and key_end - x >= 12 and j - i < MAX_TOKENS and not CUT_KEY_AFTER.match(text, key_end)
+                    and LOOSE["secret"].fullmatch(text, x, key_end)):
+                ends[j].append((i, "secret", _features("secret", text, x, key_end)))
     for i, j, kind in _whole(text, a, b, tokens):
         ends[j].append((i, kind, _features(kind, text, tokens[i][0], tokens[j][1])))
     return tokens, ends
 
 
+class _Digits:
+    """The digits of a window, sums that give the check sum of any run of them, and of each token what a number that
+    ends there needs to know: whether it is only part of a longer one, and whether nothing is joined to it."""
+
+    def __init__(self, text: str, tokens: list[tuple[int, int]], a: int, b: int) -> None:
+        self.text, self.tokens = text, tokens
+        self.ending: dict[int, tuple[bool, float]] = {}
+        self.before: dict[int, int] = {}  # digits before a digit's place
+        self.sums = ([0], [0])  # by parity: with the digits of that parity doubled
+        n = 0
+        for m in DIGIT.finditer(text, a, b):
+            self.before[m.start()] = n
+            d = ord(m[0]) - 48
+            twice = 2 * d - 9 if d > 4 else 2 * d
+            self.sums[n % 2].append(self.sums[n % 2][-1] + twice)
+            self.sums[1 - n % 2].append(self.sums[1 - n % 2][-1] + d)
+            n += 1
+
+    def end(self, j: int) -> tuple[bool, float]:
+        if j not in self.ending:
+            y = self.tokens[j][1]
+            self.ending[j] = (bool(CUT_NUMBER_AFTER.match(self.text, y)), _free_after(self.text, y))
+        return self.ending[j]
+
+    def luhn(self, first: int, n: int) -> bool:
+        """Of the ``n`` digits from number ``first`` on; the last but one is doubled, and every second before it."""
+        sums = self.sums[(first + n) % 2]
+        return (sums[first + n] - sums[first]) % 10 == 0
+
+
+def _numbers(text: str, tokens: list[tuple[int, int]], ends: list[list[Segment]], i: int, digits: _Digits) -> None:
+    """Cards and phones that start with token ``i``: one pass over its digits and the separators between them."""
+    x = tokens[i][0]
+    plus, bracket = text[x] == "+", text[x] == "("
+    n = 0  # digits so far
+    apart = 0  # separators since the last digit
+    groups, least, seen, double, paren, shut = 0, 99, set(), False, bracket, False
+    card = "0" <= text[x] <= "9"
+    first = None
+    free, words = _free_before(text, x), {}
+    for j in range(i, min(len(tokens), i + MAX_TOKENS)):
+        start, y = tokens[j]
+        if j > i:
+            for c in text[tokens[j - 1][1]:start]:
+                if c != " ":
+                    return
+                apart += 1
+                seen.add(c)
+        token = text[start:y]
+        if not ("0" <= token[0] <= "9"):
+            if j > i:
+                if token not in "().-/":
+                    return
+                card = card and token in "./-"
+                paren, shut = paren or token == "(", shut or token == ")"
+                apart += 1
+                seen.add(token)
+            if apart > 2:
+                return
+            continue
+        if apart > 2 or not (token.isascii() and token.isdigit()):
+            return
+        double = double or "  " in text[tokens[j - 1][1]:start] if j > i else False
+        apart = 0
+        groups += 1
+        n += len(token)
+        first = digits.before[start] if first is None else first
+        if n > 19:
+            return
+        least = min(least, len(token))
+        partial, after = digits.end(j)
+        if partial:
+            continue
+        if card and 13 <= n <= 19:
+            if "card" not in words:
+                words["card"] = _word_before("card", text, x)
+            ends[j].append((i, "card", [
+                1.0, free, after, float(digits.luhn(first, n)), float(n in (15, 16)), float(len(seen) <= 1), float(least >= 3),
+                words["card"], float(double)]))
+        if (6 if plus or bracket else 7) <= n <= (14 if plus or bracket else 15):
+            if "phone" not in words:
+                words["phone"] = _word_before("phone", text, x)
+            ends[j].append((i, "phone", [
+                1.0, free, after, float(plus), float(paren and shut), float(9 <= n <= 15), float(groups >= 3),
+                words["phone"], float(groups == 1)]))
+
+
 def _whole(text: str, a: int, b: int, tokens: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
     """Candidates of any length: the whole addresses, and the key runs of more than ``MAX_TOKENS`` tokens, whole and
     from behind their first "="."""
@@ -272,7 +377,7 @@ class Field:
             for j in range(len(tokens)):
                 top, choice = best[j], None
                 for i, kind, f in ends[j]:
-                    s = best[i] + sum(w * x for w, x in zip(self.weights[kind], f)) - margin
+                    s = best[i] + sum(map(mul, self.weights[kind], f)) - margin
                     if s > top:
                         top, choice = s, (i, kind)
                 best[j + 1], back[j + 1] = top, choice
@@ -402,15 +507,15 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id",
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [x for t in b.column(1).to_pylist() for x in _variants(t, _labelled(t))]
-            quiet = [(t[x:y], []) for t in b.column(1).to_pylist() for x, y in _windows(t)
-                     if not _labelled(t[x:y]) and not _unsettled(t[x:y])]
+            found = [x for t in b.column(1).to_pylist() for x in _variants(t, _labelled(t)) if len(x[0]) <= TRAIN_CHARS]
+            parts = [t[x:min(y, x + TRAIN_CHARS)] for t in b.column(1).to_pylist() for x, y in _windows(t)]
+            quiet = [(t, []) for t in parts if not _labelled(t) and not _unsettled(t)]
             rows = [(t, json_spans(s)) for t, s in found + quiet]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)],
                                              ["text", "spans"])
 
     taken = (some.mapInArrow(windows, "text string, spans string").distinct()
-             .orderBy(F.xxhash64("text"), "spans").limit(600).collect())  # at most 600 windows of bounded length
+             .orderBy(F.xxhash64("text"), "spans").limit(TRAIN_WINDOWS).collect())  # windows of bounded length
     return train(_example_lines() * 3 + [(r.text, parse_spans(r.spans)) for r in taken])
 
 

@@ -146,3 +146,64 @@ def test_long_shapes_take_linear_time(text):
     began = time.process_time()
     P.all_spans(text, field)
     assert time.process_time() - began < 20
+
+
+def plain_lattice(text):
+    """Candidates by trying every stretch of at most ``MAX_TOKENS`` tokens against every pattern."""
+    tokens = [(m.start(), m.end()) for m in P.TOKEN.finditer(text)]
+    out = []
+    for i, (x, _) in enumerate(tokens):
+        if not (text[x].isalnum() or text[x] in "+("):
+            continue
+        for j in range(i, min(len(tokens), i + P.MAX_TOKENS)):
+            y = tokens[j][1]
+            span = text[x:y]
+            if not text[y - 1].isalnum() or not any(c in "0123456789" for c in span):
+                continue
+            partial = P.CUT_NUMBER_AFTER.match(text, y) or P.CUT_NUMBER_BEFORE.search(text[max(0, x - 2):x])
+            groups = P.re.findall(r"\d+", span)
+            digits = P._digits(span)
+            for kind in () if partial else P.NUMBER_KINDS:
+                if P.LOOSE[kind].fullmatch(span):
+                    word = P._word_before(kind, text, x)
+                    own = {"ip": None, "card": [
+                        float(P.luhn(digits)), float(len(digits) in (15, 16)), float(len({c for c in span if not c.isdigit()}) <= 1),
+                        float(all(len(g) >= 3 for g in groups)), word, float("  " in span)], "phone": [
+                        float(span[0] == "+"), float("(" in span and ")" in span), float(9 <= len(digits) <= 15), float(len(groups) >= 3),
+                        word, float(len(groups) == 1)]}[kind]
+                    out.append((i, j, kind, own and [1.0, P._free_before(text, x), P._free_after(text, y), *own]))
+            if P.LOOSE["secret"].fullmatch(span) and not P.CUT_KEY_AFTER.match(text, y):
+                out.append((i, j, "secret", None))
+    return sorted(out, key=str)
+
+
+def test_candidates_against_all_stretches():
+    import random
+
+    rng = random.Random(1)
+    parts = ["1", "2", "30", "555", "4111", "0147", "1234567890", "+", "(", ")", " ", "  ", "-", ".", "/", "a", "key", "_", "=", "x9", "card ", "tel ",
+             "\n", "\u00e9", "\u0663", "00", "10.20.30.41"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 40)))
+        tokens, ends = P._lattice(text, 0, len(text))
+        got = sorted(((i, j, k, f if k in ("card", "phone") else None) for j, own in enumerate(ends) for i, k, f in own
+                      if k != "email" and (k != "secret" or j - i < P.MAX_TOKENS)), key=str)
+        assert got == plain_lattice(text), repr(text)
+
+
+@pytest.mark.parametrize("text", ["1 " * 60_000, "123-4567 " * 20_000, "a1-" * 40_000, "1.2.3.4 " * 10_000, "(1) " * 30_000, "+1 " * 30_000])
+def test_text_full_of_numbers_takes_bounded_time(field, text):
+    import time
+
+    start = time.process_time()
+    field.segments(text)
+    assert time.process_time() - start < 20  # about a second where the machine is not loaded
+
+
+def test_training_windows_are_cut(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(P, "train", lambda examples: seen.extend(examples))
+    rows = [(i, "1234567 " * 4000 + f"call +49 30 5550 1{i:03d} " + "9 1 " * 3000) for i in range(40)]
+    P.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    own = [t for t, _ in seen if "1234567 1234567" in t or "9 1 9 1" in t]
+    assert own and max(len(t) for t, _ in seen) <= P.TRAIN_CHARS and len(seen) <= P.TRAIN_WINDOWS + 3 * len(P._example_lines())
