@@ -13,8 +13,9 @@ reach the threshold go through block-max WAND.
 
 Items are taken in blocks of one length class and of at most ``BLOCK_ITEMS`` items and ``BLOCK_CHARS`` characters
 on average. Indexes of at most that size together are sent to the tasks at a time, so a larger test set means more
-passes and not larger tasks. Document frequencies are counted over all items. Documents are read in place; nothing of
-them is shuffled.
+passes and not larger tasks. The items and their terms' frequencies are stored once; where there are several passes,
+what a pass finds is stored before the next index is made, so the driver holds one index however many items there
+are. Document frequencies are counted over all items. Documents are read in place; nothing of them is shuffled.
 
 Defined results: null and empty texts have no passages; an item with fewer than ``MIN_ITEM_WORDS`` words is
 found where exactly its words follow one another, and one without any word nowhere; items equal in text are reported each; a document is reported once for an item, with
@@ -33,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from chronotok.llm.text import table
+from chronotok.session import cut_lineage
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
@@ -265,7 +267,7 @@ def short_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
         for b in batches:
             yield b.filter(pa.array([0 < len(terms(t)) < MIN_ITEM_WORDS for t in b.column(1).to_pylist()], pa.bool_()))
 
-    items = rows.mapInArrow(short, "id long, text string")
+    items = cut_lineage(rows.mapInArrow(short, "id long, text string"))
     n, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     blocks = max(-(-n // BLOCK_ITEMS), -(-chars // BLOCK_CHARS))
     for k in range(blocks):
@@ -288,8 +290,8 @@ def item_blocks(benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str
                  pa.array([len(own[i]) for i in keep], pa.int64()),
                  pa.array([sorted(set(own[i])) for i in keep], pa.list_(pa.string()))], ["id", "text", "n", "terms"])
 
-    items = rows.mapInArrow(count, "id long, text string, n long, terms array<string>")
-    df = items.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    items = cut_lineage(rows.mapInArrow(count, "id long, text string, n long, terms array<string>"))
+    df = cut_lineage(items.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")))
     classes = items.groupBy(F.expr(_CLASS).alias("size")).agg(
         F.count("*").alias("n"), F.sum("n").alias("words"), F.sum(F.length("text")).alias("chars")).collect()
     n_items, words = sum(r["n"] for r in classes), sum(r.words for r in classes)
@@ -348,12 +350,20 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
                         [pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)], names)
         return run
 
-    out = None
-    for indexes in chain(item_blocks(benchmark, threshold, item_col, item_text_col),
-                         short_blocks(benchmark, item_col, item_text_col)):
-        part = rows.mapInArrow(searcher(indexes), schema)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+    return _passes(lambda indexes: rows.mapInArrow(searcher(indexes), schema), benchmark, threshold, item_col,
+                   item_text_col) or docs.sparkSession.createDataFrame([], schema)
+
+
+def _passes(run, benchmark: DataFrame, threshold: float, item_col: str, text_col: str) -> DataFrame | None:
+    """``run`` over every list of indexes, or None without any. Of several passes each is stored before the next, so
+    that no plan holds more than one list."""
+    out, waiting = None, None
+    for indexes in chain(item_blocks(benchmark, threshold, item_col, text_col), short_blocks(benchmark, item_col, text_col)):
+        if waiting is not None:
+            part = cut_lineage(waiting)
+            out = part if out is None else out.unionByName(part)
+        waiting = run(indexes)
+    return waiting if out is None else out.unionByName(cut_lineage(waiting))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, text_col: str = "text",
@@ -361,20 +371,38 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
     """The rows of ``docs``, with all their columns, that contain no test item."""
     at = docs.columns.index(text_col)
 
+    def hit_rows(b: pa.RecordBatch, column: int, indexes: list) -> list[int]:
+        return sorted({first + m[0] for first, words in _blocks(b, column) for x in indexes for m in x.matches(words)})
+
     def cleaner(indexes: list[Index] | list[ShortItems]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 keep = np.ones(b.num_rows, bool)
-                for first, words in _blocks(b, at):
-                    for x in indexes:
-                        keep[[first + m[0] for m in x.matches(words)]] = False
+                keep[hit_rows(b, at, indexes)] = False
                 yield b.filter(pa.array(keep))
         return run
 
-    for indexes in chain(item_blocks(benchmark, threshold, item_col, item_text_col),
-                         short_blocks(benchmark, item_col, item_text_col)):
-        docs = docs.mapInArrow(cleaner(indexes), docs.schema)
-    return docs
+    def finder(indexes: list[Index] | list[ShortItems]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(hit_rows(b, 1, indexes), pa.int64()))], ["row"])
+        return run
+
+    lists = chain(item_blocks(benchmark, threshold, item_col, item_text_col),
+                  short_blocks(benchmark, item_col, item_text_col))
+    first, second = next(lists, None), next(lists, None)
+    if first is None:
+        return docs
+    if second is None:
+        return docs.mapInArrow(cleaner(first), docs.schema)
+    # Several passes: the rows are stored with a number, each pass stores the numbers of its hits.
+    rows = cut_lineage(docs.select(F.monotonically_increasing_id().alias("row"),
+                                   F.struct(*(docs[c] for c in docs.columns)).alias("whole")))
+    texts = rows.select("row", F.col("whole")[text_col].cast("string").alias("text"))
+    for indexes in chain([first, second], lists):
+        hits = cut_lineage(texts.mapInArrow(finder(indexes), "row long"))
+        rows = rows.join(hits.distinct(), "row", "left_anti")
+    return rows.select("whole.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
