@@ -56,7 +56,7 @@ def fingerprint(text: str | None, k: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, k: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``rid`` (hash of the row's id and text) and ``fp`` (the fingerprint as a signed long) of every row."""
+    """``doc_id``, ``rid`` (128-bit digest of the row's id and text) and ``fp`` (the fingerprint as a signed long) of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t.as_py(), k) for t in b.column(2)], np.uint64).view(np.int64)
@@ -65,11 +65,13 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE_WORDS, id_col: str = "doc_id"
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_id(id_col, text_col).alias("rid"),
                        F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, rid long, fp long")
+    return rows.mapInArrow(run, "doc_id long, rid binary, fp long")
 
 
 def row_id(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    """128 bits, which differ between different rows (a 64-bit hash would not, over 10^10 rows)."""
+    part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
+    return F.unhex(F.md5(F.encode(F.concat(part(id_col), F.lit(" "), part(text_col)), "UTF-8")))
 
 
 def _segments(m: int) -> list[tuple[int, int]]:
