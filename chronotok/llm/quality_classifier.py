@@ -5,7 +5,8 @@ difference of the two sizes over the text's bytes, for the whole text and for it
 turned into a probability by a logistic fit on labelled texts that the dictionaries have not seen.
 
 The fit uses a bounded sample: at most ``per_class`` documents of each label, those with the smallest hash of the
-id, half for the dictionaries and half for the calibration; one task fits the model. Scoring reads every whole text in one pass; the model
+id, and of these as many whole texts in the order of another hash as reach ``FIT_BYTES``, half for the dictionaries and
+half for the calibration; one task fits the model. Scoring reads every whole text in one pass; the model
 (two dictionaries of at most ``DICT_BYTES`` and three numbers) is what the tasks receive.
 
 Defined results: a null or empty text scores as one whose sizes do not differ; a document with several labels
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 from chronotok.llm.text import id_crc_mod, table
 
 PER_CLASS = 4000
+FIT_BYTES = 64_000_000
 DICT_BYTES = 100_000
 LEVEL = 3
 CHUNK = 2048
@@ -101,7 +103,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col:
             .sortWithinPartitions(F.xxhash64("id", F.lit(1)), "id", "text").select("text", F.col("y").cast("int").alias("y")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = _learn([(t or "", y) for b in batches for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())])
+        taken, held = [], 0
+        for b in batches:
+            for t, y in zip(b.column(0), b.column(1).to_pylist()):
+                if held < FIT_BYTES:  # the rest is passed over, one row at a time
+                    taken.append((t.as_py() or "", y))
+                    held += len(taken[-1][0].encode("utf-8", "surrogatepass"))
+        m = _learn(taken)
         yield pa.RecordBatch.from_arrays(
             [pa.array([m.good], pa.binary()), pa.array([m.bad], pa.binary()), pa.array([list(m.weights)]),
              pa.array([m.constant], pa.float64())], ["good", "bad", "weights", "constant"])
