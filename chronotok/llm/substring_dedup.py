@@ -336,7 +336,11 @@ def _cut(rows: DataFrame, k: int) -> DataFrame:
                         start = s["start"] - own
                         if 0 <= start < 1 << ROW_SHIFT and span_digest(words, start, s["n"]) == s["digest"]:
                             hit[start:start + s["n"] - k + 1] = True
-                    hit = np.isin(h, h[hit])
+                    again = np.flatnonzero(np.isin(h, h[hit]) & ~hit)
+                    if len(again):  # equal hashes, so far: the words decide
+                        same = np.flatnonzero(hit & np.isin(h, h[again]))
+                        known = {span_digest(words, i, k) for i in same.tolist()}
+                        hit[[i for i in again.tolist() if span_digest(words, i, k) in known]] = True
                     edge = np.zeros(len(words) + 1, np.int64)
                     edge[:len(h)] += hit
                     edge[k:k + len(h)] -= hit
