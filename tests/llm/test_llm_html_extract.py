@@ -1,3 +1,6 @@
+import random
+from xml.etree import ElementTree
+
 import pytest
 from llm_cases import empty
 
@@ -192,3 +195,135 @@ def test_all_pages_of_the_table_equal_their_articles(spark):
         body = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
         blocks = [" ".join(unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1)[^>]*>", body)]
         assert texts[r.page_id] == "\n".join(b for b in blocks if b)
+
+
+# A second reading of well-formed pages: an XML parser's tree, and sums taken anew for every element.
+GONE = {"nav", "aside", "footer", "header"}
+GOES_UP = {"p", "li", "blockquote"}
+BLOCK_TAGS = {"div", "section", "article", "ul", "li", "p", "blockquote", "h2"} | GONE
+
+
+def pieces(el):
+    """(characters, characters in links, text) of each stretch of the element's own text, and its blocks, in order."""
+    out, words, linked = [], [], 0
+
+    def say(text, in_link):
+        nonlocal linked
+        words.append(text or "")
+        linked += len((text or "").strip()) if in_link else 0
+
+    def close():
+        nonlocal linked
+        text = " ".join("".join(words).split())
+        if text:
+            out.append((len(text), min(linked, len(text)), text))
+        words.clear()
+        linked = 0
+
+    def walk(x, in_link):
+        say(x.text, in_link)
+        for child in x:
+            if child.tag in BLOCK_TAGS:
+                close()
+                out.append(child)
+            elif child.get("class") != "notice":
+                walk(child, in_link or child.tag == "a")
+            say(child.tail, in_link)
+
+    walk(el, False)
+    close()
+    return out
+
+
+def plain_main_text(html):
+    root = ElementTree.fromstring(html)
+    above = {}
+
+    def kept(el):
+        return el.tag not in GONE and el.get("class") != "sidebar"
+
+    def under(el):
+        """The element and all kept blocks below it."""
+        found = [el]
+        for x in pieces(el):
+            if not isinstance(x, tuple) and kept(x):
+                above[x] = el
+                found += under(x)
+        return found
+
+    blocks = under(root)
+    own = {e: [x for x in pieces(e) if isinstance(x, tuple)] for e in blocks}
+    chars = {e: sum(n for x in under(e) for n, _, _ in own[x]) for e in blocks}
+    linked = {e: sum(k for x in under(e) for _, k, _ in own[x]) for e in blocks}
+    share = {e: linked[e] / chars[e] if chars[e] else 0 for e in blocks}
+    points = dict.fromkeys(blocks, 0.0)
+    for e in blocks:
+        n, k = sum(x[0] for x in own[e]), sum(x[1] for x in own[e])
+        if not n or e.tag in ("ul", "h2", "body") or k > n / 2:
+            continue
+        given = 1 + sum(x[2].count(",") for x in own[e]) + min(n / 100, 3)
+        line = [e]
+        while line[-1] in above:
+            line.append(above[line[-1]])
+        for level, up in enumerate(line[e.tag in GOES_UP:][:6]):
+            points[up] += given / (1, 2, 6, 9, 12, 15)[level]
+    score = {e: points[e] * (1 - share[e]) for e in blocks}
+    best = max(blocks, key=lambda e: score[e])
+    line = [best]
+    while line[-1] in above:
+        line.append(above[line[-1]])
+    articles = [e for e in line if e.tag == "article"]
+    if articles:
+        best = articles[0]
+    else:
+        for up in line[1:]:
+            if up is root or score[up] <= 0.75 * score[best]:
+                break
+            best = up
+    chosen = [best]
+    if best is not root:
+        beside = [x for x in pieces(above[best]) if not isinstance(x, tuple) and kept(x)]
+        chosen = [e for e in beside if e is best or score[e] >= max(10, 0.2 * score[best]) and e.tag != "ul" or e.tag == "p" and (
+            share[e] < 0.25 if chars[e] > 80 else chars[e] > 0 and not linked[e])]
+
+    def lines(e):
+        for x in pieces(e):
+            if isinstance(x, tuple):
+                yield x[2]
+            elif kept(x) and not (linked[x] and x.tag in ("ul", "div", "section") and share[x] > 0.5):
+                yield from lines(x)
+
+    return "\n".join(t for e in chosen for t in lines(e))
+
+
+def random_page(rng):
+    words = lambda n: " ".join(rng.choice(("alpha", "beta,", "gamma", "delta,", "x")) for _ in range(n))
+
+    def inline(n):
+        out = words(rng.randrange(1, n))
+        for _ in range(rng.randrange(3)):
+            tag = rng.choice(("a", "b", "a", 'span class="notice"'))
+            out += f" <{tag}>{words(rng.randrange(1, n))}</{tag.split()[0]}> {words(rng.randrange(1, 9))}"
+        return out
+
+    def block(depth):
+        tag = rng.choice(("p", "p", "p", "h2", "ul") if depth > 4 else
+                         ("p", "p", "div", "div", "section", "article", "ul", "blockquote", "nav", "aside", 'div class="sidebar"'))
+        if tag in ("p", "h2"):
+            inner = inline(40)
+        elif tag == "ul":
+            item = lambda: f"<a>{words(rng.randrange(1, 9))}</a>" if rng.random() < 0.5 else inline(20)
+            inner = "".join(f"<li>{item()}</li>" for _ in range(rng.randrange(1, 5)))
+        else:
+            inner = "".join(block(depth + 1) + (inline(9) if rng.random() < 0.2 else "") for _ in range(rng.randrange(1, 5)))
+        return f"<{tag}>{inner}</{tag.split()[0]}>"
+
+    prose = f"<p>{inline(40)}</p>"  # at least one paragraph with points
+    return f"<body>{''.join(block(0) for _ in range(rng.randrange(0, 5)))}{prose}</body>"
+
+
+def test_random_pages_equal_brute_force():
+    rng = random.Random(11)
+    for _ in range(1500):
+        html = random_page(rng)
+        assert H.main_text(html) == plain_main_text(html), html
