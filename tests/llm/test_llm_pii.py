@@ -207,3 +207,48 @@ def test_training_windows_are_cut(spark, monkeypatch):
     P.fit(spark.createDataFrame(rows, "doc_id long, text string"))
     own = [t for t, _ in seen if "1234567 1234567" in t or "9 1 9 1" in t]
     assert own and max(len(t) for t, _ in seen) <= P.TRAIN_CHARS and len(seen) <= P.TRAIN_WINDOWS + 3 * len(P._example_lines())
+
+
+def planted(rng):
+    """Text with values that no base pattern matches, and where they stand."""
+    from llm_cases import sentence
+
+    word = lambda: "".join(rng.choices("abcdefghijklmnoprstu", k=rng.randrange(3, 9)))
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+
+    def card():
+        body = "4" + digits(14)
+        return next(body + c for c in "0123456789" if luhn(body + c))
+
+    def value():
+        kind = rng.choice(("email", "email", "phone", "card", "secret"))
+        if kind == "email":
+            at, dot = rng.choice(((" [at] ", " [dot] "), (" (at) ", " (dot) "), (" at ", " dot ")))
+            return "write to ", kind, f"{word()}{at}{word()}{dot}{rng.choice(('com', 'org', 'net'))}"
+        if kind == "phone":
+            return "call ", kind, f"({rng.randrange(200, 999)}) {rng.randrange(200, 999)}-{digits(4)}"
+        if kind == "card":
+            number = card()
+            return "paid with card ", kind, ".".join(number[i:i + 4] for i in (0, 4, 8, 12))
+        return rng.choice(("password=", "api_key: ", "token = ")), kind, "".join(rng.choices("0123456789abcdef", k=32))
+
+    text, spans = "", []
+    for _ in range(rng.randrange(1, 4)):
+        lead, kind, v = value()
+        text += sentence(rng, rng.randrange(3, 20)) + " " + lead
+        spans.append((kind, len(text), len(text) + len(v)))
+        text += v + " " + rng.choice(("today. ", "please, ", "and so on. "))
+    return text + sentence(rng, 5), spans
+
+
+def test_recall_and_precision_of_added_spans(field):
+    rng, found, wanted, right = random.Random(8), 0, 0, 0
+    for _ in range(400):
+        text, spans = planted(rng)
+        base, every = P.all_spans(text, field)
+        added = set(every) - set(base)
+        hidden = [s for s in spans if not any(a < s[2] and s[1] < b for _, a, b in base)]
+        wanted += len(hidden)
+        found += len(added)
+        right += len(added & set(hidden))
+    assert wanted > 600 and right >= 0.9 * wanted and right >= 0.9 * found, (wanted, found, right)
