@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..session import cut_lineage
 
 
 def _c(x) -> Column:
@@ -51,14 +52,18 @@ def code_of_tokens(tokens) -> Column:
     return F.array_join(F.transform(_c(tokens), lambda t: F.regexp_replace(t, "^[^_]*_[0-9]+_", "")), "")
 
 
-def code_path(system, code) -> Column:
-    """Nodes from the top level to the code itself: ``(level, node, parent)``, a node being the code's prefix."""
-    pieces = code_pieces(system, code)
+def node_path(pieces: Column) -> Column:
+    """Nodes from the top level down, ``(level, node, parent)``, of the parts of a code."""
     prefix = lambda n: F.array_join(F.slice(pieces, F.lit(1), n), "")
     return F.transform(pieces, lambda x, i: F.struct(
         (i + 1).cast("int").alias("level"), prefix(i + 1).alias("node"), F.when(i > 0, prefix(i)).alias("parent")))
 
 
+def code_path(system, code) -> Column:
+    """Nodes from the top level to the code itself: ``(level, node, parent)``, a node being the code's prefix."""
+    return node_path(code_pieces(system, code))
+
+
 def code_tree(codes: DataFrame) -> DataFrame:
     """Distinct nodes of the codes ``(system, code)``: ``(system, level, node, parent)``."""
     return codes.select("system", F.explode(code_path("system", "code")).alias("p")).select("system", "p.*").distinct()
@@ -85,9 +90,17 @@ def roll_up(events: DataFrame, codes: DataFrame) -> DataFrame:
     them and level; a node that covers most persons is a sum over partial sums.
     """
     each = events.groupBy("person_id", "et", "cid").agg(F.count(F.lit(1)).alias("n"))
-    coded = codes.select("et", "cid", "system", code_path("system", "code").alias("path"))
-    nodes = each.join(coded, ["et", "cid"]).select("person_id", "n", "system", F.explode("path").alias("p")).select(
-        "person_id", "n", "system", "p.*")
-    per = nodes.groupBy("system", "level", "node", "parent", "person_id").agg(F.sum("n").alias("n"))
-    return per.groupBy("system", "level", "node", "parent").agg(
-        F.sum("n").alias("n_events"), F.count(F.lit(1)).alias("n_persons"))
+    pieces = codes.repartition("et", "cid").withColumn("_pieces", code_pieces("system", "code"))  # taken apart once a code
+    coded = cut_lineage(pieces.select("et", "cid", "system", F.explode(node_path(F.col("_pieces"))).alias("p")).select(
+        "et", "cid", "system", "p.*"))
+    key = ["system", "level", "node", "parent"]
+    tree = cut_lineage(coded.select(*key).distinct().withColumn("_node", F.monotonically_increasing_id()))  # numbers, not names, cross the exchanges
+    same = None
+    for c in key:
+        same = coded[c].eqNullSafe(tree[c]) if same is None else same & coded[c].eqNullSafe(tree[c])
+    paths = cut_lineage(coded.join(tree, same).select("et", "cid", "_node").groupBy("et", "cid").agg(
+        F.collect_list("_node").alias("_nodes")))
+    nodes = each.join(paths, ["et", "cid"]).select("person_id", "n", F.explode("_nodes").alias("_node"))
+    per = nodes.groupBy("_node", "person_id").agg(F.sum("n").alias("n"))
+    total = per.groupBy("_node").agg(F.sum("n").alias("n_events"), F.count(F.lit(1)).alias("n_persons"))
+    return tree.join(total, "_node").select(*key, "n_events", "n_persons")

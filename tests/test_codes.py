@@ -82,3 +82,10 @@ def test_tokenizer_takes_the_levels_in_place_of_the_concept(spark, num_partition
     spelled = t.where(F.col("token").startswith("ATC_")).groupBy("ev_seq").agg(
         C.code_of_tokens(F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"])).alias("c"))
     assert {r.c for r in spelled.collect()} == {"A10BA02", "A10"}
+
+
+def test_roll_up_moves_node_numbers(spark):
+    ev = spark.createDataFrame([(1, "medication", 1)], "person_id long, et string, cid long")
+    ct = spark.createDataFrame([("medication", 1, "ATC", "A10BA02")], "et string, cid long, system string, code string")
+    plan = C.roll_up(ev, ct)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_node" in plan and "hashpartitioning(system" not in plan and "lambdafunction" not in plan
