@@ -28,7 +28,9 @@ def sim_target_prob(sim_ev: DataFrame, persons: DataFrame, targets: list[str], n
     """Per (person, target) share of simulations with any variant of the target;
     every (person, target) pair appears (zeros included)."""
     tv = target_table(persons.sparkSession, targets)
-    hits = sim_ev.join(F.broadcast(tv), sim_ev["token"] == tv["variant"]).groupBy("person_id", "target").agg(
+    names = [r.variant for r in tv.select("variant").distinct().collect()]  # a few per target; filters before the join
+    named = sim_ev.where(F.col("token").isin(names))
+    hits = named.join(F.broadcast(tv), named["token"] == tv["variant"]).groupBy("person_id", "target").agg(
         F.countDistinct("sim_id").alias("_k"))
     grid = persons.select("person_id").distinct().withColumn("target", F.explode(F.array(*[F.lit(t) for t in targets])))
     return grid.join(hits, ["person_id", "target"], "left").select(
@@ -171,27 +173,30 @@ def first_of(sims: DataFrame, hit_tokens: list[str], stop_tokens: list[str], max
              num_samples: int, seq: DataFrame | None = None) -> DataFrame:
     """Per person, share of simulations whose first event among ``hit_tokens``,
     ``stop_tokens`` and the time limit (running minutes above ``max_minutes``) is a hit
-    (up to the first EOS). ``seq`` may pass a precomputed :func:`sequence_minutes`."""
-    s = (seq if seq is not None else sequence_minutes(sims, ["person_id", "sim_id"])).where(F.col("_eos_before") == 0)
+    (up to the first EOS). ``seq`` may pass a precomputed :func:`sequence_minutes`.
+
+    One pass: the first such position and whether it is a hit are one number, whose minimum is kept in a hash
+    aggregate (a minimum of structs would sort all rows of a task)."""
+    s = seq if seq is not None else sequence_minutes(sims, ["person_id", "sim_id"])
     is_hit = F.col("token").isin(hit_tokens)
     is_stop = F.col("token").isin(stop_tokens) if stop_tokens else F.lit(False)
     over = (F.col("cum_minutes") > max_minutes) if max_minutes is not None else F.lit(False)
-    first = s.where(is_hit | is_stop | over).groupBy("person_id", "sim_id").agg(
-        F.min(F.struct("pos", (is_hit & ~over).alias("hit"))).alias("_f"))
-    hits = first.where(F.col("_f.hit")).groupBy("person_id").agg(F.countDistinct("sim_id").alias("_k"))
-    persons = (seq if seq is not None else sims).select("person_id").distinct()
-    return persons.join(hits, "person_id", "left").select(
-        "person_id", (F.coalesce("_k", F.lit(0)) / F.lit(float(num_samples))).alias("prob"))
+    found = (F.col("_eos_before") == 0) & F.col("person_id").isNotNull() & (is_hit | is_stop | over)
+    at = F.col("pos").cast("bigint") * 2 + F.coalesce(is_hit & ~over, F.lit(False)).cast("int")
+    first = s.groupBy("person_id", "sim_id").agg(F.min(F.when(found, at)).alias("_f"))
+    hits = F.count(F.when(F.pmod("_f", F.lit(2)) == 1, F.col("sim_id")))
+    return first.groupBy("person_id").agg((hits / F.lit(float(num_samples))).alias("prob"))
 
 
 def length_of_stay(sims: DataFrame, seq: DataFrame | None = None) -> DataFrame:
     """Per simulation, running minutes at the first discharge (days); simulations
     that die before discharging, or never discharge, are dropped; per person mean."""
     s = (seq if seq is not None else sequence_minutes(sims, ["person_id", "sim_id"])).where(F.col("_eos_before") == 0)
+    at = F.col("pos").cast("bigint") * 2 + (F.col("token") == "EVENT_DISCHARGE").cast("int")  # numbers: no sort of all rows
     ev = s.where(F.col("token").isin("EVENT_DISCHARGE", "EVENT_DEATH")).groupBy("person_id", "sim_id").agg(
-        F.min(F.struct("pos", "token", "cum_minutes")).alias("_f"))
-    ok = ev.where(F.col("_f.token") == "EVENT_DISCHARGE").select(
-        "person_id", "sim_id", (F.col("_f.cum_minutes") / 1440.0).alias("los_days"))
+        F.min(at).alias("_at"), F.min_by("cum_minutes", at).alias("_minutes"))
+    ok = ev.where(F.pmod("_at", F.lit(2)) == 1).select(
+        "person_id", "sim_id", (F.col("_minutes") / 1440.0).alias("los_days"))
     return ok.groupBy("person_id").agg(F.avg("los_days").alias("los_days"), F.count(F.lit(1)).alias("n_sims"))
 
 

@@ -161,12 +161,12 @@ def truth_events(current: DataFrame, future: DataFrame, horizon_days: int) -> Da
         "person_id", "ts", concept_token("et", "cid").alias("token")).where(F.col("token").isNotNull())
 
 
-def sequence_minutes(seq: DataFrame, keys: list[str]) -> DataFrame:
+def sequence_minutes(seq: DataFrame, keys: list[str], num_partitions: int | None = None) -> DataFrame:
     """Running TIME_* minutes (inclusive) and EOS-before count per sequence."""
     from .ranking import running_sums
 
     s = seq.withColumn("_dm", time_token_minutes("token")).withColumn("_is_eos", (F.col("token") == K.EOS).cast("int"))
-    s = running_sums(s, keys, ["pos"], ["_dm", "_is_eos"], ["cum_minutes", "_eos_before"], [True, False])
+    s = running_sums(s, keys, ["pos"], ["_dm", "_is_eos"], ["cum_minutes", "_eos_before"], [True, False], num_partitions)
     return s.drop("_is_eos")
 
 
@@ -191,7 +191,8 @@ def target_table(spark, targets: list[str]) -> DataFrame:
     return t.select("target", F.explode(target_variants("target")).alias("variant"))
 
 
-def label_from_sequence(seqs: DataFrame, targets: list[str], horizon_days: int = 365) -> DataFrame:
+def label_from_sequence(seqs: DataFrame, targets: list[str], horizon_days: int = 365,
+                        num_partitions: int | None = None) -> DataFrame:
     """Skip leading structural tokens, accumulate TIME_* minutes, and
     flag a target seen while the running minutes are at most the horizon (``>`` stops).
 
@@ -206,7 +207,7 @@ def label_from_sequence(seqs: DataFrame, targets: list[str], horizon_days: int =
     start = seqs.where(~is_structural_leading(named)).groupBy("person_id").agg(F.min("pos").alias("_start"))
     s = seqs.join(start, "person_id").withColumn("_started", (F.col("pos") >= F.col("_start")).cast("int"))
     s = s.withColumn("_dm", F.when(F.col("_started") == 1, time_token_minutes("token")).otherwise(0))
-    s = running_sums(s, ["person_id"], ["pos"], ["_dm"], ["_cum"], [True])
+    s = running_sums(s, ["person_id"], ["pos"], ["_dm"], ["_cum"], [True], num_partitions)
     kept = s.where((F.col("_started") == 1) & ~F.col("token").startswith("TIME_") & (F.col("_cum") <= h))
     tv = target_table(seqs.sparkSession, targets)
     hits = kept.join(F.broadcast(tv), kept["token"] == tv["variant"]).select("person_id", "target").distinct()

@@ -32,6 +32,15 @@ def _n_parts(df: DataFrame, num_partitions: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+ROWS_A_SLICE = 1_000_000
+
+
+def slices_for(df: DataFrame) -> int:
+    """How many slices the rows of ``df`` need: the session's shuffle partitions, and more where a slice would hold over
+    ``ROWS_A_SLICE`` rows, so that what one task sorts does not grow with the input."""
+    return max(_n_parts(df, None), -(-df.count() // ROWS_A_SLICE))
+
+
 class Slices:
     """Rows of ``df`` cut into slices of the ``(group, order)`` range.
 
@@ -122,9 +131,9 @@ def global_rank(df: DataFrame, order_cols: list[str | Column], out: str = "rank"
 
 
 def running_sums(df: DataFrame, group_cols: list[str], order_cols: list[str], weights: list[str], outs: list[str],
-                 inclusive: list[bool]) -> DataFrame:
+                 inclusive: list[bool], num_partitions: int | None = None) -> DataFrame:
     """Running sums of several weights within groups; ``inclusive[i]`` adds the row's own weight."""
-    r = exclusive_running_sum(df, group_cols, order_cols, list(weights), list(outs))
+    r = exclusive_running_sum(df, group_cols, order_cols, list(weights), list(outs), num_partitions=num_partitions)
     for wt, o, inc in zip(weights, outs, inclusive):
         if inc:
             r = r.withColumn(o, F.col(o) + F.col(wt))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..operators import evaluate as EV
 from ..operators import labels as L
-from ..operators.ranking import global_rank
+from ..operators.ranking import global_rank, slices_for
 from ..operators.vocab import decode
 from ..session import cut_lineage
 from .timelines import TimelineBuild
@@ -46,7 +46,7 @@ class EvalContext:
     @cached_property
     def overlap(self) -> DataFrame:
         """Persons with both current and future events."""
-        return self.current.select("person_id").intersect(self.future.select("person_id"))
+        return cut_lineage(self.current.select("person_id").intersect(self.future.select("person_id")))
 
     @cached_property
     def future_tokens(self) -> DataFrame:
@@ -68,7 +68,7 @@ class EvalContext:
         grid = ranked.select("person_id", "r", F.explode(F.sequence(F.lit(0), F.lit(self.n - 1))).alias("sim_id"))
         grid = grid.withColumn("src_r", F.pmod(F.col("r") + F.col("sim_id") + 1, F.lit(n_persons)))
         src = ranked.select(F.col("r").alias("src_r"), F.col("person_id").alias("src_person"))
-        return grid.join(src, "src_r").select("person_id", "sim_id", "src_person")
+        return cut_lineage(grid.join(src, "src_r").select("person_id", "sim_id", "src_person"))
 
     @cached_property
     def sims(self) -> DataFrame:
@@ -90,23 +90,24 @@ class EvalContext:
         """Future sequences without their static tokens up to the first EOS, with running minutes
         (W4/W8). Every simulation is a copy of one of them, so the walk runs once, before the copies."""
         body = self.future_tokens.where(F.col("pos") >= 4).select("person_id", (F.col("pos") - 4).alias("pos"), "token_id")
-        s = L.sequence_minutes(decode(body, self.b.vocab), ["person_id"]).where(F.col("_eos_before") == 0)
+        s = L.sequence_minutes(decode(body, self.b.vocab), ["person_id"], slices_for(self.future_tokens)).where(F.col("_eos_before") == 0)
         return cut_lineage(s.select("person_id", "pos", "token", "cum_minutes", "_eos_before"))
 
     @cached_property
     def sim_seq(self) -> DataFrame:
-        """Simulations up to the first EOS with running minutes, written once because every
-        simulation-based score reads them."""
+        """Simulations up to the first EOS with running minutes. Not written: each score reads one join of the
+        stored sources and sequences, with its filters and columns below the join."""
         src = self.future_seq.withColumnRenamed("person_id", "src_person")
-        return cut_lineage(self.sim_sources.join(src, "src_person").drop("src_person"))
+        return self.sim_sources.join(src, "src_person").drop("src_person")
 
     @cached_property
     def sim_ev(self) -> DataFrame:
-        return cut_lineage(L.sim_events(self.sims, self.h, seq=self.sim_seq))
+        return L.sim_events(self.sims, self.h, seq=self.sim_seq)
 
     @cached_property
     def seq_labels(self) -> DataFrame:
-        return cut_lineage(L.label_from_sequence(self.future_named, self.targets, self.h))
+        return cut_lineage(L.label_from_sequence(
+            self.future_named, self.targets, self.h, slices_for(self.future_tokens)))
 
     @cached_property
     def sim_tprob(self) -> DataFrame:

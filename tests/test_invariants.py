@@ -131,3 +131,12 @@ def test_artifacts_are_scanned_with_pruned_columns(build):
     plan = build.events.where(F.col("et") == "death").select("person_id")._jdf.queryExecution().executedPlan().toString()
     assert "FileScan parquet" in plan and "ReadSchema: struct<person_id:bigint,et:string>" in plan
     assert "PushedFilters: [IsNotNull(et), EqualTo(et,death)]" in plan
+
+
+def test_simulations_are_joined_where_they_are_read(build):
+    """The copies of the sequences are never written: a score's filter reaches the stored sequences below the join."""
+    from chronotok.plans.evaluation import EvalContext
+
+    c = EvalContext(build, "2000-01-01 00:00:00", 365)
+    plan = c.sim_seq.where(F.col("token") == "EVENT_DEATH")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "EqualTo(token,EVENT_DEATH)" in plan

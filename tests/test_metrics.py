@@ -63,3 +63,17 @@ def test_set_metrics_empty_sets(spark):
     assert math.isclose(m[1]["jaccard"], 0.5)
     assert m[2]["precision"] == 0.0 and m[2]["recall"] == 0.0 and m[2]["f1"] == 0.0
     assert m[3]["jaccard"] == 0.0
+
+
+def test_first_of_and_length_of_stay_sort_nothing(spark):
+    """Both take the first event of a simulation in hash aggregates, ties at one position as before: a stop wins."""
+    rows = [(1, 0, 0, "EVENT_ADMISSION", 5), (1, 0, 1, "EVENT_DISCHARGE", 2880), (1, 1, 0, "EVENT_DEATH", 10), (1, 1, 2, "EVENT_DISCHARGE", 20),
+            (2, 0, 0, "X", 0), (2, 1, 0, "EVENT_ADMISSION", 99_999), (3, 0, 4, "EVENT_DEATH", 1), (3, 0, 4, "EVENT_ADMISSION", 1),
+            (3, 1, 0, "EVENT_DISCHARGE", 1440)]
+    seq = spark.createDataFrame([(*r, 0) for r in rows], "person_id long, sim_id int, pos int, token string, cum_minutes long, _eos_before long")
+    p = EV.first_of(seq, ["EVENT_ADMISSION"], ["EVENT_DEATH"], 43_200.0, 2, seq=seq)
+    los = EV.length_of_stay(seq, seq=seq)
+    assert {r.person_id: r.prob for r in p.collect()} == {1: 0.5, 2: 0.0, 3: 0.0}
+    assert {tuple(r) for r in los.collect()} == {(1, 2.0, 1), (3, 1.0, 1)}
+    for df in (p, los):
+        assert "SortAggregate" not in df._jdf.queryExecution().executedPlan().toString()

@@ -100,3 +100,12 @@ def test_ordered_events_of_a_hot_person(spark):
         n, before = last.get(p, (0, None))
         assert got[i] == (n + 1, None if before is None else (t - before).total_seconds() / 60)
         last[p] = (n + 1, t)
+
+
+def test_slices_grow_with_the_rows(spark, monkeypatch):
+    from chronotok.operators import ranking
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert ranking.slices_for(spark.range(100)) == parts
+    monkeypatch.setattr(ranking, "ROWS_A_SLICE", 10)
+    assert ranking.slices_for(spark.range(101)) == 11
