@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from ..sources import omop
-from .ranking import Slices
+from .ranking import Slices, slices_for
 
 # Order of events of one person on equal timestamps: rows still
 # tied after these keys produce identical tokens.
@@ -72,7 +72,7 @@ def events_of_known_persons(events: DataFrame, person: DataFrame) -> DataFrame:
 def clustered_events(events: DataFrame, num_partitions: int | None = None) -> Slices:
     """K1: the events stored by person and order, in slices with a bucket each. Orders, positions and cuts at an index
     time read them without a shuffle; a person with most of all events lies in many slices."""
-    return Slices(events, ["person_id"], EVENT_ORDER, num_partitions, clustered=True)
+    return Slices(events, ["person_id"], EVENT_ORDER, num_partitions or slices_for(events), clustered=True)
 
 
 def by_slice(s: Slices, per_person: DataFrame) -> DataFrame:

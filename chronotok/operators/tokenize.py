@@ -33,7 +33,7 @@ from ..functions.tokens import (
 )
 from ..session import cut_lineage
 from .events import EVENT_ORDER
-from .ranking import Slices
+from .ranking import Slices, slices_for
 from .vocab import encode
 
 ROW_ORDER = ["_kind", *EVENT_ORDER]
@@ -55,26 +55,35 @@ def _row_tokens() -> dict[str, Column]:
             "_qualifier": F.when(et == "measurement", unit).when(et == "admission", visit)}
 
 
-def fixed_ids(vocab: DataFrame) -> Column:
-    """Map of the fixed tokens (at most as many as the scheme has) to their ids."""
+def fixed_ids(vocab: DataFrame) -> dict[str, int]:
+    """Ids of the fixed tokens (at most as many as the scheme has)."""
     names = ", ".join(f"'{t}'" for t in K.fixed_vocab_tokens())
-    found = vocab.where(f"token IN ({names})").select("token", "token_id").collect()
-    return F.expr(f"cast(map({', '.join(f"'{r.token}', {r.token_id}" for r in found)}) as map<string,int>)")
+    return {r.token: r.token_id for r in vocab.where(f"token IN ({names})").select("token", "token_id").collect()}
 
 
-def gap_pairs(prev_ts: Column, fixed: Column) -> Column:
-    return F.transform(gap_tokens(gap_minutes(prev_ts, "ts")), lambda t: _pair(t, _fixed(fixed, t)))
+def known(fixed: dict[str, int], token: str) -> Column:
+    """The (token, id) pair of a fixed token as a constant."""
+    return _pair(F.lit(token), F.lit(fixed.get(token, 0)))
 
 
-def static_tokens(fixed: Column) -> Column:
+def with_gaps(rows: DataFrame, prev_ts: Column, fixed: dict[str, int]) -> DataFrame:
+    """``_gaps``: (token, id) pairs of the gap before each row. The minutes are a column of their own, since every
+    threshold reads them."""
+    return rows.withColumn("_gap", gap_minutes(prev_ts, "ts")).withColumn("_gaps", gap_tokens("_gap", lambda t: known(fixed, t)))
+
+
+def static_tokens(fixed: dict[str, int]) -> Column:
     age = F.concat(F.lit("AGE_"), age_band("age"))
     return F.array(_pair(age, _fixed(fixed, age)), *[_pair(t, F.col(f"{c}_id")) for c, t in _person_tokens().items()])
 
 
-def event_tokens(fixed: Column) -> Column:
+def event_tokens(fixed: dict[str, int]) -> Column:
     et = F.col("et")
-    head, q = event_token(et), F.concat(F.lit("Q"), F.col("_decile").cast("string"))  # NULL without a decile
-    head, q = _pair(head, _fixed(fixed, head)), F.when(q.isNotNull(), _pair(q, _fixed(fixed, q)))
+    head = _pair(event_token(et), _fixed(fixed, event_token(et)))
+    for t in K.fixed_vocab_tokens():  # constants for the event types of the scheme
+        if t.startswith("EVENT_"):
+            head = F.when(et == t[len("EVENT_"):].lower(), known(fixed, t)).otherwise(head)
+    q = F.try_element_at(F.array(*[known(fixed, f"Q{i}") for i in range(K.N_QUANTILES)]), F.col("_decile") + 1)  # NULL without a decile
     token = _row_tokens()
     concept = F.coalesce("_code", F.array(_pair(token["_concept"], F.col("_concept_id"))))
     qualifier = _pair(token["_qualifier"], F.col("_qualifier_id"))
@@ -90,8 +99,9 @@ def _pair(token: Column, token_id: Column) -> Column:
     return F.struct(token.alias("token"), token_id.cast("int").alias("id"))
 
 
-def _fixed(fixed: Column, token: Column) -> Column:
-    return F.coalesce(F.try_element_at(fixed, token), F.lit(0))
+def _fixed(fixed: dict[str, int], token: Column) -> Column:
+    ids = F.create_map(*[F.lit(x) for kv in fixed.items() for x in kv]) if fixed else F.lit(None).cast("map<string,int>")
+    return F.coalesce(F.try_element_at(ids, token), F.lit(0))
 
 
 def _with_ids(rows: DataFrame, vocab: DataFrame, tokens: dict[str, Column]) -> DataFrame:
@@ -150,7 +160,8 @@ def timeline_tokens(
     static = static_rows(demo, vocab, as_of_year, age)
     ev = event_rows(with_decile(events, cuts), vocab, codes)
     fixed = fixed_ids(vocab)
-    s = Slices(static.unionByName(ev, allowMissingColumns=True), ["person_id"], ROW_ORDER, num_partitions, clustered=True)
+    s = Slices(static.unionByName(ev, allowMissingColumns=True), ["person_id"], ROW_ORDER,
+               num_partitions or slices_for(events), clustered=True)
 
     is_person = (F.col("_kind") == 0).cast("int")
     spans = s.spanning(F.count(F.lit(1)).alias("_rows"), F.max("ts").alias("_ts"), F.max(is_person).alias("_p"),
@@ -168,13 +179,14 @@ def timeline_tokens(
         rows = s.join(rows, spans)
         rows = rows.where((F.coalesce("_any_person", "_has") == 1) & has_event(F.coalesce("_all_events", "_n")))
         prev = F.when(F.col("_rn") == 1, F.col("_ts_before")).otherwise(F.col("_lag_ts"))
-        body = F.when(F.col("_kind") == 0, static_tokens(fixed)).otherwise(
-            F.concat(gap_pairs(prev, fixed), event_tokens(fixed)))
+        rows = with_gaps(rows, prev, fixed)
+        rows = rows.withColumn("_own", F.when(F.col("_kind") == 0, static_tokens(fixed)).otherwise(event_tokens(fixed)))
+        body = F.when(F.col("_kind") == 0, F.col("_own")).otherwise(F.concat("_gaps", "_own"))
         last, none = F.col("_end") & F.coalesce("_last_slice", F.lit(True)), F.array().cast("array<struct<token:string,id:int>>")
         return rows.select(
             "_slice", "person_id", *ROW_ORDER, "_rn", "_end",
             (F.col("_rn") - 1 + F.coalesce("_rows_before", F.lit(0))).cast("int").alias("ev_seq"),
-            F.concat(body, F.when(last, F.array(_pair(F.lit(K.EOS), _fixed(fixed, F.lit(K.EOS))))).otherwise(none)).alias("_toks"))
+            F.concat(body, F.when(last, F.array(known(fixed, K.EOS))).otherwise(none)).alias("_toks"))
 
     first = F.try_element_at("_toks", F.lit(1))["id"]
     hot = with_tokens(s.join(s.rows, spans.select("_slice", "person_id"), "left_semi"))
@@ -192,10 +204,10 @@ def timeline_tokens(
     long = rows.select("person_id", "ev_seq", "ts", "_off", F.posexplode(_with_next()).alias("_slot", "_p")).select(
         "person_id",
         (F.col("_off") + F.col("_slot")).cast("int").alias("pos"),
-        F.col("_p.token").alias("token"),
+        F.col("_p._t.token").alias("token"),
         F.when(F.col("ev_seq") > 0, F.col("ts")).alias("ts"),
         "ev_seq",
-        F.col("_p.id").alias("token_id"),
+        F.col("_p._t.id").alias("token_id"),
         F.col("_p.next_id").alias("next_token_id"),
     )
     return long
@@ -215,9 +227,8 @@ def _with_next() -> Column:
     """W10 without a second pass: pair each slot with its successor -- the following
     slot of the same row, else the first token of the next row (``_next_first``);
     NULL after EOS. Built before the explode so no exploded row carries the array."""
-    return F.transform("_toks", lambda x, i: F.struct(
-        x["token"].alias("token"), x["id"].alias("id"),
-        F.coalesce(F.try_element_at(F.col("_toks"), i + 2)["id"], F.col("_next_first")).alias("next_id")))
+    after = F.concat(F.slice(F.col("_toks.id"), F.lit(2), F.size("_toks")), F.array("_next_first"))
+    return F.arrays_zip(F.col("_toks").alias("_t"), after.alias("next_id"))
 
 
 def timeline_arrays(tokens: DataFrame) -> DataFrame:

@@ -223,9 +223,10 @@ def q_timeline_tokens(spark, sf_dir):
 def q_timeline_tokens_skew_safe(spark, sf_dir):
     """Z1-Z4 with four times as many slices, so that many persons lie in several; same result as timeline_tokens."""
     b = build_for(spark, sf_dir, B2)
+    from ..operators.ranking import slices_for
     from ..operators.tokenize import timeline_tokens
 
-    n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = 4 * slices_for(b.events)
     t = timeline_tokens(b.events, b.demo, b.vocab, b.cuts, as_of_year=b.as_of_year, num_partitions=n)
     return t.select("person_id", "pos", "token", "token_id")
 

@@ -131,15 +131,15 @@ def read_tokens(spark: SparkSession, out_dir: str, events: DataFrame, demo: Data
         "person_id", "ev_seq", "off", "first", "prev_micros", "e.*")
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     prev = F.when(~F.col("first"), F.timestamp_add("MICROSECOND", F.col("prev_micros"), epoch))
-    body = T.event_rows(rows, vocab).select(
+    body = T.with_gaps(T.event_rows(rows, vocab), prev, fixed).select(
         "person_id", "ts", F.col("ev_seq").cast("int").alias("ev_seq"), "off",
-        F.concat(T.gap_pairs(prev, fixed), T.event_tokens(fixed)).alias("toks"))
+        F.concat("_gaps", T.event_tokens(fixed)).alias("toks"))
     start = T.static_rows(known, vocab, as_of_year).select(
         "person_id", F.lit(None).cast("timestamp_ntz").alias("ts"), F.lit(0).alias("ev_seq"), F.lit(0).cast("long").alias("off"),
         T.static_tokens(fixed).alias("toks"))
     both = body.unionByName(start)
     ends = both.groupBy("person_id").agg(F.max(F.struct("ev_seq", "ts", (F.col("off") + F.size("toks")).alias("off"))).alias("e"))
-    eos = F.array(F.struct(F.lit(K.EOS).alias("token"), F.try_element_at(fixed, F.lit(K.EOS)).alias("id")))
+    eos = F.array(T.known(fixed, K.EOS))
     rows = both.unionByName(ends.select("person_id", "e.ts", "e.ev_seq", "e.off", eos.alias("toks")))
     tokens = rows.select("person_id", "ev_seq", "ts", "off", F.posexplode("toks").alias("_slot", "_p")).select(
         "person_id", (F.col("off") + F.col("_slot")).cast("int").alias("pos"), F.col("_p.token").alias("token"),

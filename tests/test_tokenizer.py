@@ -183,3 +183,12 @@ def test_history_equals_tokenizing_the_events_up_to_the_index_time(spark):
     assert rows(got) == rows(again)
     lens = {r.person_id: r.history_len for r in L.history_lengths(b.tokens, index).collect()}
     assert lens == {r["person_id"]: r["count"] for r in got.groupBy("person_id").count().collect()}
+
+
+def test_gap_minutes_are_read_once_a_row(spark):
+    """The minutes before an event are one column: no threshold and no lambda takes the timestamps apart again."""
+    from chronotok.operators.tokenize import timeline_tokens
+
+    b = TimelineBuild(tables(spark), as_of_year=2025)
+    plan = timeline_tokens(b.events, b.demo, b.vocab, b.cuts, 2025)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("secondwithfraction") <= 2 and "lambdafunction" not in plan
